@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import simhash_dedup, substring_dedup
 
-_MODULES = (substring_dedup,)
+_MODULES = (substring_dedup, simhash_dedup)
 
 
 def queries() -> dict:
