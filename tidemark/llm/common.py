@@ -56,6 +56,8 @@ def word_count(text: Column) -> Column:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: As separators: white space and ASCII punctuation, for comparison of bare words.
+BARE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _R = 0x9E3779B97F4A7C15
 _RI = pow(_R, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -95,7 +97,7 @@ class WordBlock:
     """Words of consecutive rows: ``starts``/``ends`` in bytes, ``first[r]`` the
     number of the first word of row r, ``hashes`` one 64-bit value per word."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE):
         self.data, self.offsets = data, offsets
         n = len(data)
         if n == 0:
@@ -103,7 +105,7 @@ class WordBlock:
             self.first = np.zeros(len(offsets), np.int64)
             self.hashes = np.zeros(0, np.uint64)
             return
-        space = _SPACE[data]
+        space = between[data]
         edge = np.ones(n + 1, bool)
         edge[1:] = space
         inner = offsets[offsets < n]
@@ -121,12 +123,12 @@ class WordBlock:
         self.hashes = mix((acc[self.ends] - acc[self.starts]) * q[self.starts])
 
 
-def blocks(arr: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, WordBlock]]:
+def blocks(arr: pa.Array, most: int = 1 << 19, between: np.ndarray = _SPACE) -> Iterator[tuple[int, int, WordBlock]]:
     """(first row, row after the last, words) over slices of about ``most`` bytes."""
     data, offsets = string_buffers(arr)
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
         hi = min(hi, n)
-        yield lo, hi, WordBlock(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        yield lo, hi, WordBlock(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], between)
         lo = hi

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash_dedup, substring_dedup
+from . import decontaminate, simhash_dedup, substring_dedup
 
-_MODULES = (substring_dedup, simhash_dedup)
+_MODULES = (substring_dedup, decontaminate, simhash_dedup)
 
 
 def queries() -> dict:
