@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import WordBlock, blocks, mix, string_buffers
 
 MER = 8
-HOT = 4096
+HOT = 1024
 LONGEST = 256
 
 
@@ -120,11 +120,12 @@ def _cut(window: int):
     return run
 
 
-_DIGESTS = "digest binary, _id long, _key long, start int"
+_DIGESTS = "digest binary, _id long, _key long, starts array<int>"
 
 
 def _digests(window: int):
-    """One row per window of the marked super-k-mers, its words as a digest."""
+    """One row per document and distinct window of its marked super-k-mers: the
+    digest of the window's words, and where it starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,19 +136,19 @@ def _digests(window: int):
                 at = np.zeros(len(w) + 1, np.int64)
                 np.cumsum([len(x) + 1 for x in w], out=at[1:])
                 at = at.tolist()
+                found: defaultdict = defaultdict(list)
                 for m in marks.as_py():
                     for s in range(m["start"], m["start"] + m["n"]):
-                        out[0].append(hashlib.blake2b(whole[at[s] : at[s + window] - 1], digest_size=16).digest())
-                        out[3].append(s)
-                    out[1] += [i] * m["n"]
-                    out[2] += [k] * m["n"]
+                        found[hashlib.blake2b(whole[at[s] : at[s + window] - 1], digest_size=16).digest()].append(s)
+                for c, v in zip(out, (found.keys(), [i] * len(found), [k] * len(found), found.values())):
+                    c += v
                 if len(out[0]) > 50_000:
                     yield _batch(out)
                     out = [[], [], [], []]
             yield _batch(out)
 
     def _batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int32()))], ["digest", "_id", "_key", "start"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["digest", "_id", "_key", "starts"])
 
     return run
 
@@ -241,7 +242,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     calm = marked(False).mapInArrow(_cut(window), _PACKED).repartition("mini").sortWithinPartitions("mini").mapInArrow(_bucket(window), _SPANS)
     each = marked(True).mapInArrow(_digests(window), _DIGESTS)
     owner = each.groupBy("digest").agg(F.min("_id").alias("a"), F.max("_id").alias("z")).where("a < z").select("digest", "a")
-    burnt = each.join(owner, "digest").where("_id > a").select("_id", "_key", F.col("start").alias("lo"), (F.col("start") + window).alias("hi"))
+    burnt = each.join(owner, "digest").where("_id > a").select("_id", "_key", F.explode("starts").alias("lo")).withColumn("hi", F.col("lo") + window)
     return calm.unionByName(burnt)
 
 
