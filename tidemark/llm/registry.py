@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash_dedup, substring_dedup, warc_archive
+from . import chat_format, decontaminate, quality_rules, simhash_dedup, substring_dedup, warc_archive
 
-_MODULES = (substring_dedup, decontaminate, warc_archive, simhash_dedup)
+_MODULES = (substring_dedup, decontaminate, warc_archive, simhash_dedup, chat_format, quality_rules)
 
 
 def queries() -> dict:
