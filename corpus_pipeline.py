@@ -1,8 +1,68 @@
-"""The corpus pipeline: quality, near-duplicates, repeats, leaks, mixing."""
+"""The corpus pipeline: quality, near-duplicates, repeats, leaks, mixing.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
+result as Parquet to the shared folder and hands the reread table to the next stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, quality_classifier, simhash_dedup, source_mixing, substring_dedup
+from tidemark.llm.common import written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    stats = quality_classifier.document_statistics(docs)
+    fitted = quality_classifier.fit(quality_classifier.with_labels(stats, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality_classifier.scored(docs, fitted).where(F.col("quality_score") >= quality_classifier.ACCEPT).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group: that with the smallest id."""
+    return simhash_dedup.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that an earlier document has; texts that lose none stay
+    as they are, texts that lose all go."""
+    d = substring_dedup.substring_dedup(docs)
+    cut = F.col("dedup.n_removed") > 0
+    text = F.when(cut, F.col("dedup.kept")).otherwise(F.col("text"))
+    out = d.where(~cut | (F.col("dedup.kept") != "")).withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with the number of copies."""
+    return source_mixing.mixed(docs).where("copies > 0")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", leaks),
+    ("source mixing", mixing),
+]
+
+#: The classifier and the fingerprints are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+    return docs
