@@ -42,6 +42,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand at most ``rows`` rows to Python at a time, unless the session already
+    asks for fewer: texts are long, and a worker holds a batch several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def words(text: Column) -> Column:
     """Native array of the words of ``text``; empty for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))
@@ -65,7 +73,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, 1 << 19)
+        n = max(n, 1 << 18)
         for k, r in enumerate((_R, _RI)):
             t = np.full(n, r, np.uint64)
             t[0] = 1
@@ -123,7 +131,7 @@ class WordBlock:
         self.hashes = mix((acc[self.ends] - acc[self.starts]) * q[self.starts])
 
 
-def blocks(arr: pa.Array, most: int = 1 << 19, between: np.ndarray = _SPACE) -> Iterator[tuple[int, int, WordBlock]]:
+def blocks(arr: pa.Array, most: int = 1 << 18, between: np.ndarray = _SPACE) -> Iterator[tuple[int, int, WordBlock]]:
     """(first row, row after the last, words) over slices of about ``most`` bytes."""
     data, offsets = string_buffers(arr)
     lo, n = 0, len(offsets) - 1

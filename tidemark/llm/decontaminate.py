@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BARE, WordBlock, blocks, mix, string_buffers
+from .common import BARE, WordBlock, blocks, mix, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -185,6 +185,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     reported.  Repeated document rows are reported as often as they occur.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
     parts = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1

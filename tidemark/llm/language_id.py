@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, small_batches
 
 ORDER = 4
 SAMPLE = 400  # documents per language, each for the counts and for calibration
 REJECT = 0.999
 UNKNOWN = "und"
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _fold: list[np.ndarray] = []
 
@@ -203,6 +203,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     ``labelled`` rows without language, text or letters teach nothing.
     """
     spark = labelled.sparkSession
+    small_batches(spark)
     d = labelled.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("_h")).where("_lang is not null and _text is not null")
     rate = [(r["_lang"], min(1.0, 2.0 * sample / r["n"])) for r in d.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()]
     if not rate:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordBlock, blocks, mix, written
+from .common import WordBlock, blocks, mix, small_batches, written
 from .language_id import held_out
 
 FEATURES = 128
@@ -210,6 +210,7 @@ def with_labels(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, stats), written to the shared folder; null texts have the statistics of empty ones."""
+    small_batches(docs.sparkSession)
     return written(docs.select(F.col(id_col).cast("long").alias("_id"), F.arrow_udf(_stats, "array<double>")(F.col(text_col).cast("string")).alias("stats")), "statistics")
 
 

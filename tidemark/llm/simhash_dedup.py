@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 RADIUS = 4
 BLOCKS = (0, 13, 26, 39, 52)  # where the blocks start; the first HEAD bits of each are the key
@@ -74,53 +74,68 @@ def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(i, j), np.minimum(i, j))
 
 
-def trie_links(keys: np.ndarray, depth: int, radius: int = RADIUS, leaf: int = 64, most: int = 1 << 18) -> np.ndarray:
+def trie_links(keys: np.ndarray, depth: int, radius: int = RADIUS, leaf: int = 64, most: int = 1 << 16) -> np.ndarray:
     """For each of the sorted distinct ``keys`` (uint64) the position of the least
     key that links connect it with; only keys with equal first ``depth`` bits are
-    compared."""
+    compared.
+
+    A first pass within one bit joins what lies close together; the full pass then
+    also prunes node pairs that are connected throughout, so a dense group of near
+    copies does not cost the square of its size.
+    """
     parent = np.arange(len(keys))
+    for near in sorted({min(1, radius), radius}):
+        _traverse(keys, parent, depth, near, leaf, most)
+    return _roots(parent, np.arange(len(keys)))
+
+
+def _traverse(keys: np.ndarray, parent: np.ndarray, depth: int, radius: int, leaf: int, most: int) -> None:
+    root = _roots(parent, np.arange(len(keys)))
+    changes = np.zeros(len(keys) + 1, np.int32)
+    np.cumsum(root[1:] != root[:-1], out=changes[1 : len(keys)])  # equal at two places: one group in between
     head = keys >> np.uint64(64 - depth)
-    lo = np.flatnonzero(np.append(True, head[1:] != head[:-1])) if len(keys) else np.zeros(0, np.int64)
-    hi = np.append(lo[1:], len(keys))
+    lo = np.flatnonzero(np.append(True, head[1:] != head[:-1])).astype(np.int32) if len(keys) else np.zeros(0, np.int32)
+    hi = np.append(lo[1:], np.int32(len(keys))).astype(np.int32)
     many = hi - lo > 1
     lo, hi = lo[many], hi[many]
-    stack = [(63 - depth, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
+    stack = [(63 - depth, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
     while stack:
         bit, a, b, c, d, gone = stack.pop()
         if len(a) > most:
-            for part in np.array_split(np.arange(len(a)), -(-len(a) // most)):
-                stack.append((bit, a[part], b[part], c[part], d[part], gone[part]))
+            for k in range(0, len(a), most):
+                stack.append((bit, *(x[k : k + most].copy() for x in (a, b, c, d, gone))))
             continue
-        small = (b - a) * (d - c) <= leaf
+        joined = (changes[a] == changes[b - 1]) & (changes[c] == changes[d - 1]) & (root[a] == root[c])
+        small = ((b - a).astype(np.int64) * (d - c) <= leaf) & ~joined
         if bit < 0:
-            small[:] = True
+            small = ~joined
         if small.any():
-            _compare(keys, parent, a[small], b[small], c[small], d[small], radius)
-        big = ~small
+            _compare(keys, parent, *(x[small].astype(np.int64) for x in (a, b, c, d)), radius)
+        big = ~small & ~joined
         if not big.any():
             continue
         a, b, c, d, gone = a[big], b[big], c[big], d[big], gone[big]
         step = np.uint64(1) << np.uint64(bit)
         above = ~((step << np.uint64(1)) - np.uint64(1)) if bit < 63 else np.uint64(0)
-        m = np.clip(np.searchsorted(keys, (keys[a] & above) | step), a, b)
-        n = np.clip(np.searchsorted(keys, (keys[c] & above) | step), c, d)
+        m = np.clip(np.searchsorted(keys, (keys[a] & above) | step), a, b).astype(np.int32)
+        n = np.clip(np.searchsorted(keys, (keys[c] & above) | step), c, d).astype(np.int32)
         same = (a == c) & (b == d)
+        every = np.ones(len(a), bool)
         pairs = (
-            (a, m, c, n, gone, np.ones(len(a), bool)),
-            (m, b, n, d, gone, np.ones(len(a), bool)),
-            (a, m, n, d, gone + 1, np.ones(len(a), bool)),
+            (a, m, c, n, gone, every),
+            (m, b, n, d, gone, every),
+            (a, m, n, d, gone + 1, every),
             (m, b, c, n, gone + 1, ~same),  # of a node and itself, the mirror image is the pair above
         )
-        out = [[], [], [], [], []]
+        out: tuple[list, ...] = ([], [], [], [], [])
         for p, q, r, s, g, ok in pairs:
             ok = ok & (q > p) & (s > r) & (g <= radius) & ~((p == r) & (q == s) & (q - p == 1))
             for x, y in zip(out, (p, q, r, s, g)):
                 x.append(y[ok])
         stack.append((bit - 1, *(np.concatenate(x) for x in out)))
-    return _roots(parent, np.arange(len(keys)))
 
 
-def _compare(keys, parent, a, b, c, d, radius, most: int = 1 << 20) -> None:
+def _compare(keys, parent, a, b, c, d, radius, most: int = 1 << 18) -> None:
     """Links between all keys of small node pairs, a slice of the pairs at a time."""
     size = (b - a) * (d - c)
     upto = np.cumsum(size)
@@ -231,6 +246,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     without an id take part; their group's id is null only if no member has one.
     Repeated rows get equal results.
     """
+    small_batches(docs.sparkSession)
     f = F.arrow_udf(_fingerprints, "long")
     rows = written(docs.select(F.col(id_col).cast("long").alias("_id"), f(F.col(text_col).cast("string")).alias("fp")), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("_id").alias("least"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordBlock, blocks, mix, string_buffers
+from .common import WordBlock, blocks, mix, small_batches, string_buffers
 
 MER = 8
 HOT = 1024
@@ -108,7 +108,7 @@ def _cut(window: int):
                     for c, v in zip(out, (m["mini"], i, k, m["start"], m["n"], packed)):
                         c.append(v)
                     size += len(packed)
-                if size > 1 << 23:
+                if size > 1 << 21:
                     yield _batch(out)
                     out, size = [[], [], [], [], [], []], 0
             yield _batch(out)
@@ -142,7 +142,7 @@ def _digests(window: int):
                         found[hashlib.blake2b(whole[at[s] : at[s + window] - 1], digest_size=16).digest()].append(s)
                 for c, v in zip(out, (found.keys(), [i] * len(found), [k] * len(found), found.values())):
                     c += v
-                if len(out[0]) > 50_000:
+                if len(out[0]) > 10_000:
                     yield _batch(out)
                     out = [[], [], [], []]
             yield _batch(out)
@@ -177,7 +177,7 @@ def _ranks(words: np.ndarray, window: int) -> np.ndarray:
 _SPANS = "_id long, _key long, lo int, hi int"
 
 
-def _bucket(window: int, most: int = 1 << 22):
+def _bucket(window: int, most: int = 1 << 20):
     """Spans of repeated words, from packed strings sorted by minimiser."""
 
     def spans(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -233,6 +233,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(_id, _key, lo, hi): word ranges of a document that a document with a
     smaller id has too.  ``_key`` is a hash of the text, so that rows that repeat
     an id keep their own spans.  Rows without id or text have none."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
     d = d.where("_id is not null and _text is not null")
     light = d.mapInArrow(_light(window), _LIGHT)

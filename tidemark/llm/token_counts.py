@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 VOCABULARY = "word_bpe_49k.json"
 SLICE = 1 << 20
 KNOWN = 1 << 19  # pieces that a worker remembers
@@ -118,6 +120,7 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int
     """``docs`` with n_bytes, n_tokens (long) and over_limit (boolean), which replace
     input columns of these names.  Null text counts as empty; repeated rows get equal
     counts.  Special strings inside texts count as the library's default has it."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     d = docs.select(*keep, F.octet_length(text).cast("long").alias("n_bytes"), F.arrow_udf(_counts(path), "long")(text).alias("n_tokens"))
