@@ -1,11 +1,14 @@
 """Registered queries and their SQL."""
 
+from . import machine, retrieval  # noqa: F401  (declare their queries)
+from .registry import ORACLES, QUERIES
+
 FLAGSHIP = "q02_hourly_coverage"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
