@@ -64,7 +64,7 @@ def _minimisers(block: WordBlock, window: int) -> tuple[np.ndarray, np.ndarray,
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     m = h[valid]
     new = np.ones(len(valid), bool)
-    new[1:] = (m[1:] != m[:-1]) | (valid[1:] != valid[:-1] + 1)
+    new[1:] = (m[1:] != m[:-1]) | (valid[1:] != valid[:-1] + 1) | (last[valid][1:] != last[valid][:-1])
     at = np.flatnonzero(new)
     inside = np.arange(len(valid)) - np.repeat(at, np.diff(np.append(at, len(valid))))
     at = np.flatnonzero(inside % LONGEST == 0)
