@@ -229,14 +229,20 @@ def _bucket(window: int, most: int = 1 << 20):
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot: int = HOT) -> DataFrame:
-    """(_id, _key, lo, hi): word ranges of a document that a document with a
-    smaller id has too.  ``_key`` is a hash of the text, so that rows that repeat
-    an id keep their own spans.  Rows without id or text have none."""
-    small_batches(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
-    d = d.where("_id is not null and _text is not null")
-    light = d.mapInArrow(_light(window), _LIGHT)
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _key, _has, _text, _rest).  Neither key is ever null, so that the joins
+    below put no filter of their own on the documents and one shuffle of the texts
+    serves them all; ``_key`` tells rows with one id and different texts apart."""
+    i, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "dedup")])
+    return docs.select(F.coalesce(i, F.lit(0)).alias("_id"), F.xxhash64(text, i.isNull()).alias("_key"), (i.isNotNull() & text.isNotNull()).alias("_has"), text.alias("_text"), rest.alias("_rest"))
+
+
+def repeated_spans(d: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
+    """(_id, _key, lo, hi): word ranges of a document that a document with a smaller
+    id has too, from rows made by ``_keyed``.  Rows without id or text have none."""
+    light = d.where("_has").select("_id", "_key", "_text").mapInArrow(_light(window), _LIGHT)
+    d = d.drop("_has")  # as below, where the texts are needed once more: the same columns, so the same shuffle
     shared = light.groupBy("mini").agg(F.count(F.lit(1)).alias("rows"), F.min("_id").alias("a"), F.max("_id").alias("z")).where("a < z").select("mini", (F.col("rows") > hot).alias("hot"))
     marks = light.join(shared, "mini").groupBy("_id", "_key", "hot").agg(F.collect_set(F.struct("start", "n", "mini")).alias("marks"))
     marked = lambda is_hot: d.join(marks.where(F.col("hot") if is_hot else ~F.col("hot")).drop("hot"), ["_id", "_key"])
@@ -276,9 +282,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing.  Rows with one id never remove each other's words; rows without an
     id are left alone.  Other columns pass through under any name.
     """
-    spans = repeated_spans(docs, id_col, text_col, window, hot).groupBy("_id", "_key").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "dedup")])
-    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).cast("string").alias("_text"), rest.alias("_rest"))
+    small_batches(docs.sparkSession)
+    d = _keyed(docs, id_col, text_col)
+    spans = repeated_spans(d, window, hot).groupBy("_id", "_key").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     out = d.join(spans, ["_id", "_key"], "left").select("_rest", "_text", F.arrow_udf(_keep, _KEPT)("_text", "_spans").alias("dedup"))
     return out.select(*[(F.col("_text") if c == text_col else F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns if c != "dedup"], "dedup")
 
