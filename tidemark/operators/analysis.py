@@ -331,3 +331,21 @@ def lead_time(anomalies: DataFrame, failures: DataFrame, bounds: DataFrame, hour
     d = d.select("method", inside.alias("anomalies_in_windows"), (F.col("total") - inside).alias("anomalies_elsewhere"), "window_hours", other.alias("other_hours"))
     d = d.withColumns({"rate_in_windows_per_hour": F.coalesce(F.try_divide(F.col("anomalies_in_windows"), F.col("window_hours")), F.lit(0.0)), "rate_elsewhere_per_hour": F.col("anomalies_elsewhere") / F.col("other_hours")})
     return d.withColumn("enrichment", F.try_divide("rate_in_windows_per_hour", "rate_elsewhere_per_hour"))
+
+
+# --- further analyses -------------------------------------------------------------
+
+
+def naive_flag_rate(readings: DataFrame, states: DataFrame, base: DataFrame) -> DataFrame:
+    """Share of single readings outside the fences of their sensor and state: what an
+    alarm on every reading, without persistence, would cost."""
+    r = readings.where(trusted(F.col("quality_code_id"))).join(states.where("not is_stale").select("reading_ts", "operating_state"), "reading_ts")
+    d = r.join(base.select("sensor_id", "operating_state", "iqr_lower_fence", "iqr_upper_fence"), ["sensor_id", "operating_state"])
+    out = (F.col("value") < F.col("iqr_lower_fence")) | (F.col("value") > F.col("iqr_upper_fence"))
+    return d.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("readings"), F.count_if(out).alias("flagged"), pct(F.count_if(out), F.count(F.lit(1))).alias("flagged_pct"))
+
+
+def monthly_state_means(hourly_state: DataFrame) -> DataFrame:
+    """Sample-weighted means per sensor, state and month."""
+    d = hourly_state.groupBy("sensor_id", "operating_state", F.date_format("bucket_start", "yyyy-MM").alias("month"))
+    return d.agg(F.try_divide(F.sum(F.col("avg_value") * F.col("sample_count")), F.sum("sample_count").cast("double")).alias("mean_value"), F.sum("sample_count").alias("samples"))

@@ -80,3 +80,34 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
         c = d.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
         out = c if out is None else out.unionByName(c)
     return out
+
+
+def value_counts(scans: DataFrame, signals: list[str]) -> DataFrame:
+    """How often each value of each signal occurs."""
+    cells = scans.select(F.explode(F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).cast("double").alias("value")) for c in signals])).alias("c")).select("c.*")
+    return cells.groupBy("signal", "value").agg(F.count(F.lit(1)).alias("scans"))
+
+
+def band_counts(scans: DataFrame, signal: str, bands: tuple[float, ...]) -> DataFrame:
+    """Scans per band of a signal: 0 below the first edge, n at or above the last."""
+    band = sum(((F.col(signal) >= b).cast("int") for b in bands), F.lit(0))
+    return scans.where(F.col(signal).isNotNull()).groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("scans"), F.min(signal).alias("min_value"), F.max(signal).alias("max_value"))
+
+
+def setpoint_agreement(scans: DataFrame, signal: str, switch: str, setpoint: float) -> DataFrame:
+    """How often a switch agrees with its documented setpoint (on below it)."""
+    expected = (F.col(signal) < setpoint).cast("double")
+    d = scans.where(F.col(signal).isNotNull() & F.col(switch).isNotNull())
+    return d.agg(F.count(F.lit(1)).alias("scans"), F.count_if(expected == F.col(switch)).alias("agreeing")).withColumn("agreement_pct", pct(F.col("agreeing"), F.col("scans")))
+
+
+def contamination(frozen: DataFrame, windows: DataFrame, time: str = "scan_ts") -> DataFrame:
+    """Held scans inside each window (window_start to start_ts); windows without any have 0.
+
+    ``frozen`` has ``time`` and ``is_stale``.
+    """
+    from .analysis import inside_windows
+
+    d = inside_windows(frozen, windows, time).groupBy("source_reference", "hours").agg(F.count(F.lit(1)).alias("scans"), F.count_if("is_stale").alias("held"))
+    d = windows.select("source_reference", "hours").join(d, ["source_reference", "hours"], "left")
+    return d.select("source_reference", "hours", F.coalesce("scans", F.lit(0)).alias("scans"), F.coalesce("held", F.lit(0)).alias("held"), pct(F.col("held"), F.col("scans")).alias("held_pct"))

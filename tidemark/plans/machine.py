@@ -474,3 +474,36 @@ def compression_summary(spark, sf):
 def compress_sweep(spark, sf):
     r, _ = _archive(spark, sf)
     return tidy(compress.sweep(r, (1.0, 5.0, 10.0, 25.0), 6 * B.GAP))
+
+
+# --- further profile and analysis -------------------------------------------------
+
+
+@query(sql(S, "SELECT band, count(*) AS scans, min(view) AS min_value, max(view) AS max_value FROM (SELECT view, ((view >= 15)::INT + (view >= 35)::INT + (view >= 70)::INT)::BIGINT AS band FROM scans WHERE view IS NOT NULL) GROUP BY 1", "min_value max_value"))
+def profile_bands(spark, sf):
+    return tidy(profile.band_counts(A.scans(spark, sf), "view", A.BANDS))
+
+
+@query(sql(S, "SELECT signal, value, count(*) AS scans FROM (SELECT 'click' AS signal, click AS value FROM scans UNION ALL SELECT 'signup', signup FROM scans) GROUP BY 1, 2", "value"))
+def profile_values(spark, sf):
+    return tidy(profile.value_counts(A.scans(spark, sf), ["click", "signup"]))
+
+
+@query(sql(S, "SELECT count(*) AS scans, count(*) FILTER (WHERE (click < 40)::INT = signup) AS agreeing, 100.0 * count(*) FILTER (WHERE (click < 40)::INT = signup) / nullif(count(*), 0) AS agreement_pct FROM scans WHERE click IS NOT NULL AND signup IS NOT NULL", "agreement_pct"))
+def profile_setpoint(spark, sf):
+    return tidy(profile.setpoint_agreement(A.scans(spark, sf), "click", "signup", B.SETPOINT))
+
+
+@query(sql(S, "SELECT source_reference, hours::BIGINT AS hours, count(scan_ts) AS scans, count(*) FILTER (WHERE is_stale) AS held, 100.0 * count(*) FILTER (WHERE is_stale) / nullif(count(scan_ts), 0) AS held_pct FROM failure CROSS JOIN (VALUES (24), (12), (6), (1)) v(hours) LEFT JOIN clean ON scan_ts >= start_ts - to_hours(hours) AND scan_ts < start_ts GROUP BY ALL", "held_pct"))
+def frozen_contamination(spark, sf):
+    return tidy(profile.contamination(clean_scans(spark, sf), analysis.lead_up_windows(A.failures(spark))))
+
+
+@query(sql(S + BASE, "SELECT sensor_id, count(*) AS readings, count(*) FILTER (WHERE value < lo OR value > hi) AS flagged, 100.0 * count(*) FILTER (WHERE value < lo OR value > hi) / count(*) AS flagged_pct FROM nb JOIN st USING (reading_ts) JOIN base USING (sensor_id, operating_state) WHERE q >= 64 AND q <> 65 AND NOT is_stale GROUP BY 1", "flagged_pct"))
+def naive_flag_rate(spark, sf):
+    return tidy(analysis.naive_flag_rate(narrow(spark, sf), states(spark, sf), B.baseline(spark, sf)))
+
+
+@query(sql(S + HS, "SELECT sensor_id, operating_state, strftime(bucket_start, '%Y-%m') AS month, sum(avg_value * sample_count) / sum(sample_count) AS mean_value, sum(sample_count)::BIGINT AS samples FROM hs GROUP BY ALL", "mean_value"))
+def monthly_state_means(spark, sf):
+    return tidy(analysis.monthly_state_means(B.hourly_state(spark, sf)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -35,9 +36,9 @@ def read_scans(spark: SparkSession, path: str, signals: list[str]) -> DataFrame:
 
 
 def file_identity(spark: SparkSession, path: str) -> tuple[str, int]:
-    """(SHA-256, bytes) of a file."""
+    """(SHA-256, bytes) of a file; Spark lists no empty file, so none found is an empty one."""
     r = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256), "length").first()
-    return r[0], r[1]
+    return (r[0], r[1]) if r else (hashlib.sha256(b"").hexdigest(), 0)
 
 
 def first_days(scans: DataFrame, days: int, time: str = "scan_ts") -> tuple[DataFrame, bool]:
