@@ -122,54 +122,55 @@ class Index:
         return out
 
 
+def _windows(index: Index, block: WordBlock, threshold: float) -> Iterator[tuple]:
+    """(row, item, similarity, first word, last word + 1), the best window of each item."""
+    by_row: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
+    runs = {}
+    for k, (keys, sizes, sieve) in index.anchors.items():
+        if len(block.hashes) < k:
+            continue
+        runs[k] = s = _runs(block.hashes, k)
+        maybe = np.flatnonzero(sieve[s & np.uint64((1 << _SIEVE) - 1)])
+        at = np.searchsorted(keys, s[maybe])
+        hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == s[maybe])
+        maybe, at = maybe[hit], at[hit]
+        row = np.searchsorted(block.first, maybe, "right") - 1
+        inside = maybe + k <= block.first[row + 1]
+        for p, a, r in zip(maybe[inside].tolist(), at[inside].tolist(), row[inside].tolist()):
+            for size in sizes[a]:
+                by_row[r][k, size].append(p)
+    for r, groups in by_row.items():
+        lo, hi = int(block.first[r]), int(block.first[r + 1])
+        body = block.data
+        words = [body[a:z].tobytes() for a, z in zip(block.starts[lo:hi].tolist(), block.ends[lo:hi].tolist())]
+        best: dict[int, tuple] = {}
+        for (k, size), places in groups.items():
+            size_here = min(size, hi - lo)
+            p = np.unique(np.array(places))
+            starts = np.unique((p[:, None] - np.arange(size_here - k + 1)).ravel())
+            starts = starts[(starts >= lo) & (starts + size_here <= hi)]
+            a, z = int(starts[0]), int(starts[-1]) + size_here - k + 1
+            for part in np.array_split(starts, -(-len(starts) // 4096)):
+                a, z = int(part[0]), int(part[-1]) + size_here - k + 1
+                f = _simhash(runs[k][a:z], part - a, part - a + size_here - k + 1)
+                for w, n in index.candidates(f, size):
+                    s = int(part[w]) - lo
+                    x = similarity(bag(words[s : s + size_here]), index.bags[n])
+                    if x >= threshold and (n not in best or (-x, s) < best[n][:2]):
+                        best[n] = (-x, s, s + size_here)
+        for n, (x, s, e) in best.items():
+            yield r, index.ids[n], -x, s, e
+
+
 _FOUND = "_id long, item_id long, similarity double, start_word long, end_word long"
 
 
 def _scan(shared, threshold: float):
-    def windows(index: Index, block: WordBlock) -> Iterator[tuple]:
-        """(row, item, similarity, first word, last word + 1), the best window of each item."""
-        by_row: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
-        runs = {}
-        for k, (keys, sizes, sieve) in index.anchors.items():
-            if len(block.hashes) < k:
-                continue
-            runs[k] = s = _runs(block.hashes, k)
-            maybe = np.flatnonzero(sieve[s & np.uint64((1 << _SIEVE) - 1)])
-            at = np.searchsorted(keys, s[maybe])
-            hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == s[maybe])
-            maybe, at = maybe[hit], at[hit]
-            row = np.searchsorted(block.first, maybe, "right") - 1
-            inside = maybe + k <= block.first[row + 1]
-            for p, a, r in zip(maybe[inside].tolist(), at[inside].tolist(), row[inside].tolist()):
-                for size in sizes[a]:
-                    by_row[r][k, size].append(p)
-        for r, groups in by_row.items():
-            lo, hi = int(block.first[r]), int(block.first[r + 1])
-            body = block.data
-            words = [body[a:z].tobytes() for a, z in zip(block.starts[lo:hi].tolist(), block.ends[lo:hi].tolist())]
-            best: dict[int, tuple] = {}
-            for (k, size), places in groups.items():
-                size_here = min(size, hi - lo)
-                p = np.unique(np.array(places))
-                starts = np.unique((p[:, None] - np.arange(size_here - k + 1)).ravel())
-                starts = starts[(starts >= lo) & (starts + size_here <= hi)]
-                a, z = int(starts[0]), int(starts[-1]) + size_here - k + 1
-                for part in np.array_split(starts, -(-len(starts) // 4096)):
-                    a, z = int(part[0]), int(part[-1]) + size_here - k + 1
-                    f = _simhash(runs[k][a:z], part - a, part - a + size_here - k + 1)
-                    for w, n in index.candidates(f, size):
-                        s = int(part[w]) - lo
-                        x = similarity(bag(words[s : s + size_here]), index.bags[n])
-                        if x >= threshold and (n not in best or (-x, s) < best[n][:2]):
-                            best[n] = (-x, s, s + size_here)
-            for n, (x, s, e) in best.items():
-                yield r, index.ids[n], -x, s, e
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for b in batches:
             ids = b.column("_id").to_pylist()
-            found = [(ids[lo + r], *rest) for lo, _, block in blocks(pc.utf8_lower(b.column("_text")), between=BARE) for r, *rest in windows(index, block)]
+            found = [(ids[lo + r], *rest) for lo, _, block in blocks(pc.utf8_lower(b.column("_text")), between=BARE) for r, *rest in _windows(index, block, threshold)]
             if found:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], ["_id", "item_id", "similarity", "start_word", "end_word"])
@@ -177,6 +178,17 @@ def _scan(shared, threshold: float):
     return run
 
 
+def _leaks(shared, threshold: float):
+    def run(text: pa.Array) -> pa.Array:
+        out = np.zeros(len(text), bool)
+        for lo, _, block in blocks(pc.utf8_lower(text), between=BARE):
+            for r, *_ in _windows(shared.value, block, threshold):
+                out[lo + r] = True
+        return pa.array(out)
+
+    return run
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id_col, item_id, similarity, start_word, end_word): each item in each document
     at its best window; words count from 0, bare words as above.
@@ -184,29 +196,32 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Null or empty texts and items hold nothing.  Of items with equal text each is
     reported.  Repeated document rows are reported as often as they occur.
     """
+    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
+    out = None
+    for index in _indices(docs, items, item_col, item_text, block_bytes):
+        found = d.mapInArrow(_scan(index, threshold), _FOUND)
+        out = found if out is None else out.unionByName(found)
+    return out.withColumnRenamed("_id", id_col)
+
+
+def _indices(docs: DataFrame, items: DataFrame, item_col: str, item_text: str, block_bytes: int) -> Iterator:
+    """Broadcast indices of the items, in blocks of bounded bytes."""
     spark = docs.sparkSession
     small_batches(spark)
     items = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
     parts = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
-    out = None
     for part in range(parts):
         block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part) if parts > 1 else items
-        index = Index([(r["i"], r["t"]) for r in block.collect()])
-        found = d.mapInArrow(_scan(spark.sparkContext.broadcast(index), threshold), _FOUND)
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("_id", id_col)
+        yield spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in block.collect()]))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold an item.  A row goes by its own text:
-    rows that share an id with a leaking row but not its text stay."""
-    spark = docs.sparkSession
-    key = F.xxhash64(F.col(text_col).cast("string"))
-    keyed = docs.withColumn("_key", key)
-    leaks = contamination(keyed, items, "_key", text_col, **options).select("_key").distinct()
-    return keyed.join(leaks, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows whose text holds an item: a filter, without a shuffle."""
+    for index in _indices(docs, items, item_col, item_text, block_bytes):
+        leak = F.arrow_udf(_leaks(index, threshold), "boolean")(F.col(text_col).cast("string"))
+        docs = docs.where(~leak)
+    return docs
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
