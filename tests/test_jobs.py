@@ -40,6 +40,7 @@ def test_hostile_file_end_to_end(spark, hostile, tmp_path):
     assert (again.inserted, again.skipped, again.shortfall) == (0, 195, 0)
     out = jobs.run_analytics(spark, folder, 1, 8, [1, 2, 3], ("2021-01-01 00:00:00", "2021-01-02 00:00:00"), min_samples=2)
     assert out["scans"] == 13
+    assert jobs.run_compression(spark, folder, [1, 2, 3]) and spark.read.parquet(folder + "/compressed").count() <= 39
 
 
 def test_empty_and_partial(spark, tmp_path):
@@ -60,3 +61,12 @@ def test_reports(spark):
     with pytest.raises(ValueError):
         report.markdown(d, 1)
     assert report.latencies([float(x) for x in range(1, 21)]) == {"min": 1.0, "median": 10.5, "p95": 19.0, "max": 20.0}
+
+
+def test_summaries_by_wording(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import summary_by_wording
+
+    d = spark.createDataFrame([("Run total: 5",), ("detail was capped at 1,000 rows",), ("a gap",), (None,)], "t string")
+    assert [r[0] for r in d.select(summary_by_wording(F.col("t"))).collect()] == [True, True, False, False]

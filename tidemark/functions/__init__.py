@@ -82,3 +82,8 @@ def status_reason(status: Column, critical: Column, warning: Column, hours: int
 def is_identifier(text: Column) -> Column:
     """Whether a sensor reference is a number rather than a code."""
     return F.trim(text).rlike("^[0-9]+$")
+
+
+def summary_by_wording(details: Column) -> Column:
+    """Whether an issue row from before the summary flag existed is a summary, by its text."""
+    return F.coalesce(details.like("Run total:%") | details.like("%was capped at%"), F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.operators import analysis, rollup, validate
+from tidemark.operators import analysis, compress, rollup, validate
 from tidemark.sources import archive
 
 
@@ -66,7 +66,7 @@ def run_ingestion(spark: SparkSession, csv_path: str, folder: str, signals: list
     left, right = pair or (analogue[0], analogue[0])
     totals = validate.issue_totals(scans, clean, signals, left, right).withColumn("run_id", F.lit(run_id)).collect()
     read, rejected = scans.count(), rejects.count()
-    rejects.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(path("rejected"))
+    rejects.withColumns({"run_id": F.lit(run_id), "payload": F.substring("payload", 1, 1000)}).write.mode("append").parquet(path("rejected"))
     inserted, skipped = archive.insert(validate.melted(clean, signals), path("readings"), ["sensor_id", "reading_ts"], "sensor_id")
     missing = sum(r["affected_rows"] for r in totals if r["issue_type"] == "MISSING_VALUE")
     short = (read - rejected) * len(signals) - missing - inserted - skipped
@@ -100,3 +100,14 @@ def run_analytics(spark: SparkSession, folder: str, current_id: int, switch_id:
     b = readings.agg(F.min("reading_ts").alias("a"), F.max("reading_ts").alias("z")).first()
     days = max((b["z"] - b["a"]).total_seconds() / 86400, 1.0) if b["a"] else 1.0
     return {"scans": states.count(), "baselines": base.count(), "alarms": {r["method"]: (r["total"], r["verdict"]) for r in analysis.alarm_rate(found, days).collect()}}
+
+
+def run_compression(spark: SparkSession, folder: str, sensor_ids: list[int], percent: float = C.COMPRESSION_PCT, gap_seconds: float = C.GAP_SECONDS) -> bool:
+    """Compress the readings of some sensors, store what is kept and its statistics, and
+    say whether every sensor keeps its error bound."""
+    readings = spark.read.parquet(f"{folder}/readings").where(F.col("sensor_id").isin(sensor_ids))
+    dev = compress.deviations(readings, percent)
+    compress.compress(readings, dev, gap_seconds).write.mode("overwrite").parquet(f"{folder}/compressed")
+    stats = compress.compression_stats(readings, spark.read.parquet(f"{folder}/compressed"), dev)
+    stats.withColumn("deviation_pct", F.lit(float(percent))).write.mode("overwrite").parquet(f"{folder}/compression_stats")
+    return spark.read.parquet(f"{folder}/compression_stats").where("not within_bound").isEmpty()

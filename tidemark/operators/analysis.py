@@ -74,6 +74,11 @@ def baselines(readings: DataFrame, states: DataFrame, start: str, end: str, name
     )
 
 
+def stored_baselines(base: DataFrame, name: str) -> DataFrame:
+    """The baselines of one name, a row per sensor and state."""
+    return base.where(F.col("baseline_name") == name)
+
+
 def state_against_global(readings: DataFrame, states: DataFrame, sensor_id: int) -> DataFrame:
     """Quartiles per state and over all states, in one pass over grouping sets."""
     v = F.col("value").cast("double")

@@ -82,6 +82,13 @@ def quality_summary(ledger: DataFrame, issues: DataFrame) -> DataFrame:
     return d.agg(F.sum(F.when(F.col("is_summary"), F.col("affected_rows")).otherwise(0)).alias("affected_rows"), F.sum(F.when(~F.col("is_summary"), 1).otherwise(0)).alias("detail_rows"))
 
 
+def issue_summary(ledger: DataFrame, issues: DataFrame) -> DataFrame:
+    """Issue totals of the newest run that succeeded in full, types with none left out."""
+    run = ledger.where("status = 'SUCCEEDED'").agg(F.max("run_id").alias("run_id"))
+    d = issues.where("is_summary").join(run, "run_id", "left_semi").groupBy("issue_type", "severity").agg(F.sum("affected_rows").alias("affected_rows"))
+    return d.where("affected_rows > 0")
+
+
 def timestamp_gaps(issues: DataFrame, ledger: DataFrame) -> DataFrame:
     """Gap details of the newest run that succeeded in full."""
     run = ledger.where("status = 'SUCCEEDED'").agg(F.max("run_id").alias("run_id"))

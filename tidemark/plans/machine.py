@@ -132,6 +132,11 @@ def view_dq_summary(spark, sf):
     return tidy(views.quality_summary(_ledger(spark), _issues(spark, sf)))
 
 
+@query(sql(_ISSUES_SQL, "SELECT issue_type, severity, sum(affected_rows)::BIGINT AS affected_rows FROM issues WHERE is_summary AND run_id = (SELECT max(run_id) FROM ledger WHERE status = 'SUCCEEDED') GROUP BY 1, 2 HAVING sum(affected_rows) > 0"))
+def issue_summary(spark, sf):
+    return tidy(views.issue_summary(_ledger(spark), _issues(spark, sf)))
+
+
 @query(sql(_ISSUES_SQL, "SELECT run_id, window_start AS gap_start, window_end AS gap_end, observed_value AS gap_seconds, observed_value / 3600.0 AS gap_hours, affected_rows AS estimated_missing_scans FROM issues WHERE NOT is_summary AND run_id = (SELECT max(run_id) FROM ledger WHERE status = 'SUCCEEDED')", "gap_seconds gap_hours"))
 def view_timestamp_gap(spark, sf):
     return tidy(views.timestamp_gaps(_issues(spark, sf), _ledger(spark)))
