@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, words
+from .common import SPACES, words, written
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -104,11 +104,20 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``measured`` and ``failed`` (long): bit k set if rule k fails."""
+    """``measured`` and ``failed`` (long): bit k set if rule k fails.
+
+    Store it (``stored_ledger``) before filtering by it: a filter on an unstored ledger
+    is pushed into it, and the measurements are made again for every rule.
+    """
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(0) for k, rule in enumerate(RULES.values())]
     return measured(docs, text_col).withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long"))
 
 
+def stored_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The ledger as a table of the shared folder, without the texts."""
+    return written(ledger(docs, text_col), "ledger")
+
+
 def passes(policy: str, version: int, failed: str = "failed") -> Column:
     return F.col(failed).bitwiseAND(F.lit(mask(POLICIES[policy][version])).cast("long")) == 0
 
@@ -130,7 +139,7 @@ def ablation(entries: DataFrame, policy: str, version: int) -> DataFrame:
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return ledger(docs).select("doc_id", *MEASURES[:5], (~passes("base", 1)).alias("base_failed"), passes("web", 2).alias("kept"), "failed", *MEASURES[5:])
+    return stored_ledger(docs).select("doc_id", *MEASURES[:5], (~passes("base", 1)).alias("base_failed"), passes("web", 2).alias("kept"), "failed", *MEASURES[5:])
 
 
 ORACLE = r"""
