@@ -115,7 +115,7 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def stored_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The ledger as a table of the shared folder, without the texts."""
-    return written(ledger(docs, text_col), "ledger")
+    return written(ledger(docs, text_col).drop(text_col), "ledger")
 
 
 def passes(policy: str, version: int, failed: str = "failed") -> Column:
