@@ -257,10 +257,10 @@ def holt_winters_scores(series: DataFrame, holdout: int = C.HOLDOUT_DAYS, ma: in
     def run(g: pd.DataFrame) -> pd.DataFrame:
         y = g.sort_values("bucket_date")["value"].to_numpy(float)
         first = len(y) - holdout
-        if len(y) < holdout + ma + slack:
-            return pd.DataFrame({"sensor_id": [], "actual": [], "method": [], "predicted": []})
         return pd.DataFrame({"sensor_id": g["sensor_id"].iloc[0], "actual": y[first:], "method": "holt_winters_additive", "predicted": [predict(y[:k]) for k in range(first, len(y))]})
 
+    long = series.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= holdout + ma + slack).select("sensor_id")
+    series = series.select("sensor_id", "bucket_date", "value").join(long, "sensor_id", "left_semi")
     return _scores(series.groupBy("sensor_id").applyInPandas(run, "sensor_id int, actual double, method string, predicted double"))
 
 
