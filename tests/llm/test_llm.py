@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -214,6 +215,38 @@ def test_leaks_with_edits(spark):
     assert set(got) <= set(want) and len(want) > 60 and len(got) >= 0.97 * len(want)
 
 
+def test_leaks_beyond_the_radius():
+    """Every pair at the threshold is found, also those whose fingerprints are far apart."""
+    rng = np.random.default_rng(31)
+    for k in range(600):
+        w = [f"v{x}" for x in rng.integers(0, 5000, 49)]
+        item = (k, " ".join(w))
+        w[int(rng.integers(6, 43))] = "changed"
+        row = (k, " ".join([*(f"u{x}" for x in rng.integers(0, 5000, 20)), *w, *(f"u{x}" for x in rng.integers(0, 5000, 20))]))
+        index, got = decontaminate.Index([item]), {}
+        for _, _, block in decontaminate.blocks(pa.array([row[1]]), between=decontaminate.BARE):
+            for _, i, x, *_ in decontaminate._windows(index, block, 0.8):
+                got[k, i] = round(x, 9)
+        assert got == brute_leaks([row], [item]) == {(k, k): 0.8}
+
+
+def test_shared_counts_are_exact():
+    """Counts of shared shingles against brute force, with words that repeat, over several steps."""
+    rng = np.random.default_rng(4)
+    items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 1 + i % 3, 6 + i % 9))) for i in range(60)]
+    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 1 + i % 3, 3 + 9 * i))) for i in range(25)]
+    step = decontaminate._STEP
+    for decontaminate._STEP in (7, step):
+        got = {}
+        index = decontaminate.Index(items)
+        index.candidates = lambda prints, size: []  # by counts alone
+        for lo, _, block in decontaminate.blocks(pa.array([t for _, t in rows]), between=decontaminate.BARE):
+            for r, i, x, *_ in decontaminate._windows(index, block, 0.8):
+                got[rows[lo + r][0], i] = round(x, 9)
+        assert got == brute_leaks(rows, items) and len(got) > 100
+    decontaminate._STEP = step
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/x y", "same"), (2, "http://b\r\nX: y", "same"), (2, "http://b\r\nX: y", "same"), (3, None, None), (4, "u", ""), (None, "u", "same"), (5, "u", "ü\r\n\r\nWARC/1.1\r\nWARC-Type: revisit\r\n")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "header": F.lit(2)})

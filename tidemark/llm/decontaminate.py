@@ -14,8 +14,10 @@ in some block, and each item is entered under its block value and the eight valu
 one bit away, so that one look-up for each block finds all of them.  Candidates
 within the radius are then verified with the exact similarity.
 
-At similarity 0.8 about ten of 64 bits differ, with a standard deviation of three,
-so the radius passes nearly all pairs above the threshold; the tests measure it.
+At similarity 0.8 about ten of 64 bits differ, with a standard deviation of three, so
+some pairs above the threshold lie beyond the radius.  The shingles that windows share
+with each item not found whole are therefore counted as well: the similarity fixes how
+many they must share at least, so every pair that reaches the threshold is found.
 
 Documents are scanned once and not shuffled.  Items are broadcast in blocks of at
 most ``BLOCK_BYTES`` of text, one scan of the documents for each block.
@@ -23,6 +25,7 @@ most ``BLOCK_BYTES`` of text, one scan of the documents for each block.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -39,6 +42,7 @@ SIMILARITY = 0.8
 RADIUS = 15
 BLOCK_BYTES = 32 << 20
 _SIEVE = 20
+_STEP = 4096
 
 
 def _runs(h: np.ndarray, k: int) -> np.ndarray:
@@ -79,6 +83,7 @@ class Index:
         self.ids, self.bags, self.size, prints = [], [], [], []
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
         anchors: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for i, text in items:
             words = bare_words(text or "")
             if not words:
@@ -95,6 +100,8 @@ class Index:
             prints.append(f)
             for x in runs.tolist():
                 anchors[k][x].add(len(words))
+            keys, times = np.unique(runs, return_counts=True)
+            held[len(words)].append((keys, np.full(len(keys), n, np.int64), times))
             tables = self.tables.setdefault(len(words), [defaultdict(list) for _ in range(8)])
             for b, table in enumerate(tables):
                 v = f >> (8 * b) & 255
@@ -107,6 +114,13 @@ class Index:
             sieve = np.zeros(1 << _SIEVE, bool)
             sieve[keys & np.uint64((1 << _SIEVE) - 1)] = True
             self.anchors[k] = (keys, [sorted(found[x]) for x in keys.tolist()], sieve)
+        #: by size: shingles, where the holders of each begin, and which item holds it how often
+        self.holders = {}
+        for size, parts in held.items():
+            key, item, times = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(key, kind="stable")
+            keys, first = np.unique(key[order], return_index=True)
+            self.holders[size] = (keys, np.r_[first, len(order)], item[order], times[order])
 
     def candidates(self, prints: np.ndarray, size: int) -> list[tuple[int, int]]:
         """(window, item) within the radius, for items of ``size`` words."""
@@ -121,6 +135,56 @@ class Index:
                 out += [(w, x) for x in n[np.bitwise_count(self.prints[n] ^ np.uint64(f)) <= RADIUS].tolist()]
         return out
 
+    def shared(self, places: np.ndarray, hashes: np.ndarray, size: int, n_shingles: int, lo: int, hi: int, threshold: float) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(item, [(shared shingles, first word)], the most first), for items of ``size``
+        words and windows of ``n_shingles`` that begin in [lo, hi] and share enough.
+
+        ``places`` ascend and hold all shingles of those windows that an item of the size
+        has.  The j-th place adds to the windows from it back to the one that already
+        has the shingle as often as the item, so each adds an interval of windows.
+        """
+        total = size - min(SHINGLE, size) + 1
+        need = max(1, math.ceil(threshold * (n_shingles + total) / (1 + threshold) - 1e-9))
+        if len(places) < need:
+            return
+        full = np.flatnonzero(places[need - 1 :] - places[: len(places) - need + 1] < n_shingles)
+        if not len(full):
+            return
+        cover = np.zeros(len(places) + 1, np.int64)
+        np.add.at(cover, full, 1)
+        np.add.at(cover, full + need, -1)
+        inside = np.cumsum(cover)[:-1] > 0
+        places, hashes = places[inside], hashes[inside]
+        keys, first, holder, times = self.holders[size]
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for a in range(lo, hi + 1, _STEP):
+            z = min(a + _STEP - 1, hi)
+            here = slice(*np.searchsorted(places, [a, z + n_shingles]))
+            p, at = places[here], np.searchsorted(keys, hashes[here])
+            many = first[at + 1] - first[at]
+            if not len(p):
+                continue
+            entry = np.repeat(first[at] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+            p, item = np.repeat(p, many), holder[entry]
+            _, which, hits = np.unique(item, return_inverse=True, return_counts=True)
+            p, item, entry = (x[hits[which] >= need] for x in (p, item, entry))
+            order = np.lexsort((p, entry))  # an entry is one shingle of one item
+            p, item, entry = p[order], item[order], entry[order]
+            before = np.arange(len(p)) - times[entry]
+            same = (before >= 0) & (entry[before] == entry)
+            begin = np.maximum(np.maximum(p - n_shingles + 1, a), np.where(same, p[before] + 1, a))
+            end = np.minimum(p, z)
+            good = begin <= end
+            item, begin, end = item[good], begin[good], end[good]
+            who, at, step = np.r_[item, item], np.r_[begin, end + 1], np.repeat([1, -1], len(item))
+            order = np.lexsort((at, who))
+            who, at, n = who[order], at[order], np.cumsum(step[order])
+            last = np.r_[(who[1:] != who[:-1]) | (at[1:] != at[:-1]), True] if len(who) else np.zeros(0, bool)
+            for i, s, x in zip(who[last & (n >= need)].tolist(), at[last & (n >= need)].tolist(), n[last & (n >= need)].tolist()):
+                found[i].append((x, s))
+        for i, windows in found.items():
+            yield i, sorted(windows, key=lambda w: (-w[0], w[1]))
+
 
 def _windows(index: Index, block: WordBlock, threshold: float) -> Iterator[tuple]:
     """(row, item, similarity, first word, last word + 1), the best window of each item."""
@@ -158,6 +222,17 @@ def _windows(index: Index, block: WordBlock, threshold: float) -> Iterator[tuple
                     x = similarity(bag(words[s : s + size_here]), index.bags[n])
                     if x >= threshold and (n not in best or (-x, s) < best[n][:2]):
                         best[n] = (-x, s, s + size_here)
+            n_shingles = size_here - k + 1
+            for n, windows in index.shared(p, runs[k][p], size, n_shingles, lo, hi - size_here, threshold):
+                if n in best and best[n][0] == -1:  # equal windows have equal fingerprints
+                    continue
+                for both, s in windows:
+                    s -= lo
+                    x = similarity(bag(words[s : s + size_here]), index.bags[n])
+                    if x >= threshold and (n not in best or (-x, s) < best[n][:2]):
+                        best[n] = (-x, s, s + size_here)
+                    if x == both / (n_shingles + index.bags[n].total() - both):  # not so if hashes collide
+                        break
         for n, (x, s, e) in best.items():
             yield r, index.ids[n], -x, s, e
 
