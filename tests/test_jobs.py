@@ -43,6 +43,37 @@ def test_hostile_file_end_to_end(spark, hostile, tmp_path):
     assert jobs.run_compression(spark, folder, [1, 2, 3]) and spark.read.parquet(folder + "/compressed").count() <= 39
 
 
+def test_issue_details_are_stored(spark, hostile, tmp_path):
+    from tidemark.operators import views
+    from tidemark.sources import archive
+
+    folder = str(tmp_path / "archive")
+    jobs.run_ingestion(spark, hostile, folder, SIGNALS, ANALOGUE, pair=("a1", "a2"), now=T0)
+    stored = spark.read.parquet(folder + "/issues")
+    at = lambda s: T0 + timedelta(seconds=s)
+    got = {(r["run_id"], r["issue_type"], r["severity"], r["window_start"], r["window_end"], r["affected_rows"], r["observed_value"]) for r in stored.where("not is_summary").collect()}
+    assert got == {
+        (1, "GAP", "INFO", at(40), at(7200), 715, 7160.0),
+        (1, "FLATLINE", "WARNING", at(7200), at(7260), 6, None),
+        (1, "XSENSOR_DIVERGENCE", "WARNING", at(40), at(40), 1, 999 - 5.7),
+    }
+    assert stored.where("is_summary and issue_type = 'GAP'").first()["details"] == "Run total: 1 occurrence(s) of GAP for all sensors."
+    runs = archive.ledger(spark.read.parquet(folder + "/ledger"))
+    assert [tuple(r) for r in views.timestamp_gaps(stored, runs).collect()] == [(1, at(40), at(7200), 7160.0, 7160.0 / 3600, 715)]
+
+
+def test_many_details_are_capped_in_words(spark, tmp_path):
+    lines = [(100 * k, float(k % 7), {}) for k in range(1003)]
+    write(tmp_path / "gaps.csv", lines)
+    folder = str(tmp_path / "archive")
+    jobs.run_ingestion(spark, str(tmp_path / "gaps.csv"), folder, SIGNALS, ANALOGUE, now=T0)
+    stored = spark.read.parquet(folder + "/issues").where("issue_type = 'GAP'")
+    kept = [r["window_start"] for r in stored.where("not is_summary").orderBy("window_start").collect()]
+    assert kept == [T0 + timedelta(seconds=100 * k) for k in range(1000)]
+    rest = {(r["run_id"], r["severity"], r["affected_rows"], r["details"]) for r in stored.where("is_summary").collect()}
+    assert rest == {(1, "INFO", 1002, "Run total: 1,002 occurrence(s) of GAP for all sensors."), (1, "INFO", 0, "Per-event detail for GAP was capped at 1,000 rows. The summary row above carries the exact total.")}
+
+
 def test_empty_and_partial(spark, tmp_path):
     empty = tmp_path / "empty.csv"
     empty.write_text("")

@@ -25,6 +25,9 @@ class IngestionResult:
     issues: dict = field(default_factory=dict)
 
 
+ISSUES = "run_id long, issue_type string, severity string, sensor_id int, window_start timestamp_ntz, window_end timestamp_ntz, affected_rows long, observed_value double, is_summary boolean, details string"
+
+
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.parquet(path)
@@ -70,9 +73,15 @@ def run_ingestion(spark: SparkSession, csv_path: str, folder: str, signals: list
     inserted, skipped = archive.insert(validate.melted(clean, signals), path("readings"), ["sensor_id", "reading_ts"], "sensor_id")
     missing = sum(r["affected_rows"] for r in totals if r["issue_type"] == "MISSING_VALUE")
     short = (read - rejected) * len(signals) - missing - inserted - skipped
-    rows = [(run_id, r["issue_type"], r["severity"], r["sensor_id"], r["affected_rows"], True) for r in totals]
-    rows.append((run_id, "LOAD_RECONCILIATION", "INFO" if short == 0 else "CRITICAL", None, abs(short), True))
-    spark.createDataFrame(rows, "run_id long, issue_type string, severity string, sensor_id int, affected_rows long, is_summary boolean").write.mode("append").parquet(path("issues"))
+    names = {s[0]: s[1] for s in signals}
+    total = lambda r: f"Run total: {r['affected_rows']:,} occurrence(s) of {r['issue_type']} for {names.get(r['sensor_id'], 'all sensors')}."
+    rows = [(run_id, r["issue_type"], r["severity"], r["sensor_id"], None, None, r["affected_rows"], None, True, total(r)) for r in totals]
+    said = f"{read:,} source rows read, {rejected:,} quarantined, {read - rejected:,} accepted x {len(signals)} sensors minus {missing:,} missing values = {short + inserted + skipped:,} expected readings. Inserted {inserted:,}, already present {skipped:,}, unaccounted {short:,}."
+    rows.append((run_id, "LOAD_RECONCILIATION", "INFO" if short == 0 else "CRITICAL", None, None, None, abs(short), None, True, said))
+    summary = spark.createDataFrame(rows, ISSUES)
+    details = validate.issue_details(scans, clean, left, right).withColumns({"run_id": F.lit(run_id).cast("long"), "sensor_id": F.lit(None).cast("int"), "is_summary": F.lit(False)})
+    details = validate.capped_details(details.select(*summary.columns), "issue_type", ["window_start"])
+    details.unionByName(summary).withColumns({"run_id": F.lit(run_id).cast("long"), "details": F.substring("details", 1, 1000)}).write.mode("append").parquet(path("issues"))
     status = validate.run_status(read, cut)
     note(status, read=read, inserted=inserted, skipped=skipped, rejected=rejected)
     return IngestionResult(run_id, status, read, rejected, inserted, skipped, short, {(r["issue_type"], r["sensor_id"]): r["affected_rows"] for r in totals})

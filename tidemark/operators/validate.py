@@ -119,10 +119,30 @@ def issue_totals(ordered: DataFrame, scans: DataFrame, signals, left: str, right
     return every.groupBy("issue_type", "sensor_id").agg(F.count(F.lit(1)).alias("affected_rows")).withColumn("severity", severity(F.col("issue_type")))
 
 
+def issue_details(ordered: DataFrame, scans: DataFrame, left: str, right: str, most: float = C.DIVERGENCE, gap_seconds: int = C.GAP_SECONDS, scan_seconds: int = C.SCAN_SECONDS) -> DataFrame:
+    """One row per gap and per frozen block, and one for the divergence: (issue_type,
+    severity, window_start, window_end, affected_rows, observed_value, details)."""
+    hours = lambda seconds: F.format_string("%.2f", seconds / 3600.0)
+    count = lambda n: F.format_number(n, 0)
+    g = gaps(ordered, gap_seconds, scan_seconds).withColumn("s", F.col("gap_seconds").cast("double"))
+    gap = g.select(F.lit("GAP").alias("issue_type"), F.col("gap_start").alias("window_start"), F.col("gap_end").alias("window_end"), F.col("missing_scans").alias("affected_rows"), F.col("s").alias("observed_value"), F.concat(F.lit("No data for "), hours(F.col("s")), F.lit(" h ("), count("s"), F.lit(f" s), against a {gap_seconds} s threshold.")).alias("details"))
+    # the first scan of a freeze is good, but the block begins with it
+    f = scans.where("is_stale").groupBy("island").agg(F.min("prev_ts").alias("window_start"), F.max("scan_ts").alias("window_end"), F.count(F.lit(1)).alias("affected_rows"))
+    held = F.col("affected_rows") + 1
+    flat = f.select(F.lit("FLATLINE").alias("issue_type"), "window_start", "window_end", "affected_rows", F.lit(None).cast("double").alias("observed_value"), F.concat(F.lit("All analogue signals held identical values for "), count(held), F.lit(" consecutive scans ("), hours(held * scan_seconds), F.lit(" h). Marked UNCERTAIN_STALE; excluded from baselines.")).alias("details"))
+    text = F.concat(F.lit(f"|{left} - {right}| exceeded {most} on "), count("affected_rows"), F.lit(" scan(s); worst was "), F.format_string("%.3f", "observed_value"), F.lit("."))
+    apart = divergence(scans, left, right, most).select(F.lit("XSENSOR_DIVERGENCE").alias("issue_type"), "window_start", "window_end", "affected_rows", "observed_value", text.alias("details"))
+    return gap.unionByName(flat).unionByName(apart).withColumn("severity", severity(F.col("issue_type")))
+
+
 def capped_details(details: DataFrame, by: str, order: list[str], most: int = C.DETAIL_CAP) -> DataFrame:
     """At most ``most`` details per type, and a row that says so where more exist."""
     w = Window.partitionBy(by).orderBy(*order)
-    return details.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    kept = details.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    text = F.concat(F.lit("Per-event detail for "), F.col(by), F.lit(f" was capped at {most:,} rows. The summary row above carries the exact total."))
+    said = {by: F.col(by), "severity": F.lit("INFO"), "affected_rows": F.lit(0), "is_summary": F.lit(True), "details": text}
+    over = details.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    return kept.unionByName(over.select(*[said.get(c, F.lit(None)).cast(t).alias(c) for c, t in details.dtypes]))
 
 
 def reconciliation(read: int | Column, rejected_rows, missing, inserted, skipped, sensors: int) -> list[Column]:
