@@ -38,6 +38,11 @@ def day_of(ts: Column) -> Column:
     return F.to_date(ts)
 
 
+def block_of(ts: Column) -> Column:
+    """The hour of an instant as a number: the blocks into which series are cut."""
+    return F.floor(epoch(ts) / 3600)
+
+
 def usable(quality: Column) -> Column:
     return quality >= 64
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.functions import day_of, epoch, hours_between, operating_state, pct, severity_by_z, trusted
+from tidemark.functions import block_of, day_of, epoch, hours_between, operating_state, pct, severity_by_z, trusted
 
 from .ordered import lagged, running
 
@@ -137,15 +137,15 @@ def setpoint_episodes(readings: DataFrame, sensor_id: int, setpoint: float = C.S
     instead groups by minute number minus rank, which mixes separate runs; it is kept
     for comparison with archives that were grouped so.
     """
-    r = readings.where(F.col("sensor_id") == sensor_id).withColumn("_day", day_of(F.col("reading_ts")))
+    r = readings.where(F.col("sensor_id") == sensor_id).withColumn("_block", block_of(F.col("reading_ts")))
     low = (F.col("value") < setpoint) & trusted(F.col("quality_code_id"))
     if minute_groups:
-        d = running(r.where(low), [], "_day", ["reading_ts"], "_rank", F.lit(1).cast("long"))
+        d = running(r.where(low), [], "_block", ["reading_ts"], "_rank", F.lit(1).cast("long"))
         d = d.withColumn("_g", F.floor(epoch(F.col("reading_ts")) / 60) - F.col("_rank"))
     else:
-        d = lagged(r.withColumn("_low", F.coalesce(low, F.lit(False))), [], "_day", ["reading_ts"], {"_was": "_low", "_before": "reading_ts"})
+        d = lagged(r.withColumn("_low", F.coalesce(low, F.lit(False))), [], "_block", ["reading_ts"], {"_was": "_low", "_before": "reading_ts"})
         new = ~F.coalesce(F.col("_was"), F.lit(False)) | (epoch(F.col("reading_ts")) - epoch(F.col("_before")) > gap_seconds if gap_seconds is not None else F.lit(False))
-        d = running(d, [], "_day", ["reading_ts"], "_g", (F.col("_low") & new).cast("long")).where("_low")
+        d = running(d, [], "_block", ["reading_ts"], "_g", (F.col("_low") & new).cast("long")).where("_low")
     e = d.groupBy("_g").agg(F.min("reading_ts").alias("episode_start"), F.max("reading_ts").alias("episode_end"), F.count(F.lit(1)).alias("scans"), F.min("value").alias("lowest"))
     return e.where(F.col("scans") >= min_scans).drop("_g")
 

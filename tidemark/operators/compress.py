@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.functions import day_of, deviation_for_span, epoch, millis, seconds_between
+from tidemark.functions import block_of, deviation_for_span, epoch, millis, seconds_between
 
 from .ordered import bracketed, lagged, running
 
@@ -61,13 +61,13 @@ def segments(readings: DataFrame, gap_seconds: float = C.GAP_SECONDS, cut_days:
     that is what spreads a long series over tasks.  An archive without breaks can be cut
     every ``cut_days`` as well, at the price of the points on either side.
     """
-    d = readings.withColumn("_day", day_of(F.col("reading_ts")))
-    d = lagged(d, ["sensor_id"], "_day", ["reading_ts"], {"_pt": "reading_ts", "_pq": "quality_code_id"})
+    d = readings.withColumn("_block", block_of(F.col("reading_ts")))
+    d = lagged(d, ["sensor_id"], "_block", ["reading_ts"], {"_pt": "reading_ts", "_pq": "quality_code_id"})
     cut = F.col("_pt").isNull() | ((millis(F.col("reading_ts")) - millis(F.col("_pt"))) / 1000.0 > gap_seconds) | (F.col("_pq") != F.col("quality_code_id"))
     if cut_days:
         part = lambda c: F.floor(epoch(F.col(c)) / (86400 * cut_days))
         cut = cut | (part("reading_ts") != part("_pt"))
-    return running(d, ["sensor_id"], "_day", ["reading_ts"], "segment", F.when(cut, 1).otherwise(0).cast("long")).drop("_pt", "_pq", "_day")
+    return running(d, ["sensor_id"], "_block", ["reading_ts"], "segment", F.when(cut, 1).otherwise(0).cast("long")).drop("_pt", "_pq", "_block")
 
 
 def deviations(readings: DataFrame, percent: float) -> DataFrame:
@@ -99,7 +99,7 @@ def compress(readings: DataFrame, deviation: DataFrame, gap_seconds: float = C.G
 
 def redrawn(readings: DataFrame, kept: DataFrame, requests_by: str = "sensor_id") -> DataFrame:
     """Every reading with the value that linear interpolation of the kept ones gives."""
-    d = bracketed(kept, readings.select("sensor_id", "reading_ts", "value"), "sensor_id", "reading_ts", "reading_ts", "value", "to_date({t})")
+    d = bracketed(kept, readings.select("sensor_id", "reading_ts", "value"), "sensor_id", "reading_ts", "reading_ts", "value")
     whole = (millis(F.col("next_ts")) - millis(F.col("prev_ts"))).cast("double")
     part = (millis(F.col("reading_ts")) - millis(F.col("prev_ts"))).cast("double")
     line = F.col("prev_value") + (F.col("next_value") - F.col("prev_value")) * F.try_divide(part, whole)
@@ -140,7 +140,7 @@ def value_at(kept: DataFrame, requests: DataFrame, sensors: DataFrame, gap_secon
     bracket longer than ``gap_seconds`` an analogue sensor has no answer and the row is
     left out, as before the first stored point.
     """
-    d = bracketed(kept, requests, "sensor_id", "at", "reading_ts", "value", "to_date({t})").join(sensors.select("sensor_id", "sensor_class"), "sensor_id")
+    d = bracketed(kept, requests, "sensor_id", "at", "reading_ts", "value").join(sensors.select("sensor_id", "sensor_class"), "sensor_id")
     wide = seconds_between(F.col("prev_ts"), F.col("next_ts"))
     digital, exact, end = F.col("sensor_class") == "Digital", F.col("prev_ts") == F.col("at"), F.col("next_ts").isNull()
     d = d.where(F.col("prev_ts").isNotNull() & (end | (wide <= gap_seconds) | digital))

@@ -1,7 +1,7 @@
 """Window functions over long ordered series without one task per series.
 
 ``lag``, ``lead`` and running values over a whole series would put a series, or a
-whole file, in one task.  Here a series is cut into blocks (days, ranges of line
+whole file, in one task.  Here a series is cut into blocks (hours, ranges of line
 numbers) that keep its order: the window runs inside each block, one row per block
 carries what crosses its edge, and only that small table is ordered as a whole.
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import block_of
+
 
 def _neighbour(df: DataFrame, by: list[str], block: str, order: list[str], cols: dict[str, str], forward: bool) -> DataFrame:
     inside = Window.partitionBy(*by, block).orderBy(*order)
@@ -47,28 +49,42 @@ def running(df: DataFrame, by: list[str], block: str, order: list[str], new: str
     return d.withColumn(new, both).drop("_v", "_in", "_carry")
 
 
+def filled(df: DataFrame, by: list[str], block: str, order: list[str], cols: tuple[str, ...]) -> DataFrame:
+    """Each of ``cols`` with its last value carried forward over nulls."""
+    inside = Window.partitionBy(*by, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order)))
+    edge = df.groupBy(*by, block).agg(*[newest(c).alias(f"_e_{c}") for c in cols])
+    carry = edge.select(*by, block, *[F.last(f"_e_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in cols])
+    d = df.join(carry, [*by, block], "left")
+    return d.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_c_{c}")) for c in cols}).drop(*[f"_c_{c}" for c in cols])
+
+
 def runs(df: DataFrame, by: list[str], block: str, order: list[str], flag: Column, island: str = "island", size: str = "run_length") -> DataFrame:
     """Number maximal runs of rows with ``flag`` and give each flagged row its run's
     length (0 elsewhere).  A run starts a new island after each unflagged row."""
     d = running(df.withColumn("_flag", F.coalesce(flag, F.lit(False))), by, block, order, island, F.when(F.col("_flag"), 0).otherwise(1).cast("long"))
-    sizes = d.where("_flag").groupBy(*by, island).agg(F.count(F.lit(1)).alias(size))
-    return d.join(sizes, [*by, island], "left").withColumn(size, F.when(F.col("_flag"), F.coalesce(size, F.lit(0))).otherwise(0)).drop("_flag")
+    # sizes by block as well, so that a run that fills many blocks is no hot key of the join
+    sizes = d.where("_flag").groupBy(*by, island, block).agg(F.count(F.lit(1)).alias("_part"))
+    sizes = sizes.select(*by, island, block, F.sum("_part").over(Window.partitionBy(*by, island)).alias(size))
+    return d.join(sizes, [*by, block, island], "left").withColumn(size, F.when(F.col("_flag"), F.coalesce(size, F.lit(0))).otherwise(0)).drop("_flag")
 
 
-def bracketed(points: DataFrame, requests: DataFrame, key: str, at: str, time: str, value: str, block: str) -> DataFrame:
+def bracketed(points: DataFrame, requests: DataFrame, key: str, at: str, time: str, value: str) -> DataFrame:
     """As-of join both ways: each request with the last point at or before it
     (prev_ts, prev_value) and the first one after it (next_ts, next_value).
 
     Points and requests are merged in time order; the last point before a block comes
-    in over its edge, so no series has to fit in one task.
+    in over its edge, so no series has to fit in one task.  Both directions look back
+    over a growing frame, ahead of a request in descending order, so the cost stays
+    in proportion to the rows.
     """
     p = points.select(key, F.col(time).alias("_t"), F.struct(F.col(time).alias("ts"), F.col(value).alias("value")).alias("_p"), F.lit(None).cast("struct<x:int>").alias("_r"), F.lit(0).alias("_k"))
     r = requests.withColumn("_req", F.struct(*[F.col(c) for c in requests.columns])).select(key, F.col(at).alias("_t"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), F.col("_req").alias("_r"), F.lit(1).alias("_k"))
-    both = p.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).unionByName(r).withColumn("_b", F.expr(block.replace("{t}", "_t")))
-    order = ["_t", "_k"]
-    inside = Window.partitionBy(key, "_b").orderBy(*order)
-    back = F.last("_p", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_p", ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing))
+    both = p.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).unionByName(r).withColumn("_b", block_of(F.col("_t")))
+    inside = Window.partitionBy(key, "_b").rowsBetween(Window.unboundedPreceding, 0)
+    back = F.last("_p", ignorenulls=True).over(inside.orderBy("_t", "_k"))
+    ahead = F.last("_p", ignorenulls=True).over(inside.orderBy(F.desc("_t"), F.desc("_k")))  # a request holds no point
     edge = both.where("_k = 0").groupBy(key, "_b").agg(F.max_by("_p", "_t").alias("z"), F.min_by("_p", "_t").alias("a"))
     blocks = both.select(key, "_b").distinct().join(edge, [key, "_b"], "left")
     series = Window.partitionBy(key).orderBy("_b")
@@ -76,7 +92,7 @@ def bracketed(points: DataFrame, requests: DataFrame, key: str, at: str, time: s
         key,
         "_b",
         F.last("z", ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("a", ignorenulls=True).over(series.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.last("a", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
     )
     d = both.withColumn("_back", back).withColumn("_ahead", ahead).where("_k = 1").join(carry, [key, "_b"], "left")
     d = d.withColumn("_back", F.coalesce("_back", "_before")).withColumn("_ahead", F.coalesce("_ahead", "_after"))

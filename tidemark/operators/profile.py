@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import day_of, epoch, pct
+from tidemark.functions import block_of, day_of, epoch, pct
 
 from .ordered import lagged, runs
 
@@ -23,7 +23,7 @@ def columns(scans: DataFrame, signals: list[str]) -> DataFrame:
 
 def intervals(scans: DataFrame, time: str = "scan_ts") -> DataFrame:
     """How often each step between successive scans occurs, in seconds."""
-    d = lagged(scans.withColumn("_day", day_of(F.col(time))), [], "_day", [time], {"_was": time})
+    d = lagged(scans.withColumn("_block", block_of(F.col(time))), [], "_block", [time], {"_was": time})
     return d.where("_was is not null").groupBy((epoch(F.col(time)) - epoch(F.col("_was"))).alias("seconds")).agg(F.count(F.lit(1)).alias("steps"))
 
 
@@ -54,12 +54,12 @@ def failure_profile(scans: DataFrame, failures: DataFrame, signals: list[str], s
 
 def frozen_blocks(scans: DataFrame, signals: list[str], top: int = 10, time: str = "scan_ts") -> DataFrame:
     """The longest runs of scans that repeat the one before in every signal, whatever their length."""
-    d = scans.withColumn("_day", day_of(F.col(time)))
-    d = lagged(d, [], "_day", [time], {f"_w{k}": c for k, c in enumerate(signals)})
+    d = scans.withColumn("_block", block_of(F.col(time)))
+    d = lagged(d, [], "_block", [time], {f"_w{k}": c for k, c in enumerate(signals)})
     same = F.lit(True)
     for k, c in enumerate(signals):
         same = same & F.coalesce(F.col(c) == F.col(f"_w{k}"), F.lit(False))
-    d = runs(d, [], "_day", [time], same)
+    d = runs(d, [], "_block", [time], same)
     blocks = d.where("run_length > 0").groupBy("island").agg(F.min(time).alias("block_start"), F.max(time).alias("block_end"), F.count(F.lit(1)).alias("frozen_scans"))
     return blocks.drop("island").orderBy(F.desc("frozen_scans"), "block_start").limit(top)
 
@@ -67,8 +67,8 @@ def frozen_blocks(scans: DataFrame, signals: list[str], top: int = 10, time: str
 def longest_constant(scans: DataFrame, signals: list[str], time: str = "scan_ts") -> DataFrame:
     """Per signal, the longest run of equal values: its length, value and start."""
     cells = scans.select(time, F.explode(F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).cast("double").alias("v")) for c in signals])).alias("c")).select(time, "c.*").where("v is not null")
-    d = lagged(cells.withColumn("_day", day_of(F.col(time))), ["signal"], "_day", [time], {"_was": "v"})
-    d = runs(d, ["signal"], "_day", [time], F.coalesce(F.col("v") == F.col("_was"), F.lit(False)))
+    d = lagged(cells.withColumn("_block", block_of(F.col(time))), ["signal"], "_block", [time], {"_was": "v"})
+    d = runs(d, ["signal"], "_block", [time], F.coalesce(F.col("v") == F.col("_was"), F.lit(False)))
     r = d.groupBy("signal", "island").agg(F.count(F.lit(1)).alias("run"), F.min(time).alias("run_start"), F.max("v").alias("value"))
     w = Window.partitionBy("signal").orderBy(F.desc("run"), "run_start")
     return r.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("signal", "run", "value", "run_start")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.functions import day_of, hour_of, pct, seconds_between, trusted, usable
+from tidemark.functions import block_of, day_of, hour_of, pct, seconds_between, trusted, usable
 
 from .ordered import leading
 
@@ -16,9 +16,9 @@ BUCKETS = {"hour": (hour_of, "bucket_start"), "day": (day_of, "bucket_date")}
 def weighted(readings: DataFrame, default_seconds: int = C.SCAN_SECONDS, most_seconds: int = C.GAP_SECONDS) -> DataFrame:
     """``readings`` with ``weight``: seconds to the sensor's next reading, at most
     ``most_seconds``, so that no reading carries the weight of a gap."""
-    d = readings.withColumn("_day", day_of(F.col("reading_ts")))
-    d = leading(d, ["sensor_id"], "_day", ["reading_ts"], {"_next": "reading_ts"})
-    return d.withColumn("weight", F.least(F.coalesce(seconds_between(F.col("reading_ts"), F.col("_next")), F.lit(default_seconds)), F.lit(most_seconds))).drop("_next", "_day")
+    d = readings.withColumn("_block", block_of(F.col("reading_ts")))
+    d = leading(d, ["sensor_id"], "_block", ["reading_ts"], {"_next": "reading_ts"})
+    return d.withColumn("weight", F.least(F.coalesce(seconds_between(F.col("reading_ts"), F.col("_next")), F.lit(default_seconds)), F.lit(most_seconds))).drop("_next", "_block")
 
 
 def rollup(readings: DataFrame, bucket: str = "hour", time_weighted: bool = False, **weights) -> DataFrame:

@@ -27,20 +27,21 @@ def severity(issue: Column) -> Column:
     return F.when(issue.isin(*CRITICAL), "CRITICAL").when(issue.isin(*WARNING), "WARNING").otherwise("INFO")
 
 
-def checked_order(raw: DataFrame, by_previous_line: bool = False) -> DataFrame:
+def checked_order(raw: DataFrame, by_previous_line: bool = False, form: str = FORMAT) -> DataFrame:
     """``raw`` with scan_ts, delta (seconds since the scan before), prev_ts and reject.
 
     A scan is in order if it is later than every accepted scan before it.  With
     ``by_previous_line`` it is compared with the parsed line just above, dropped or
-    not, which lets a scan that is too early pass after a step back.
+    not, which lets a scan that is too early pass after a step back.  Times are compared
+    in full; ``delta`` counts the second boundaries between them.
     """
-    d = raw.withColumn("scan_ts", F.try_to_timestamp("timestamp", F.lit(FORMAT)).cast("timestamp_ntz"))
+    d = raw.withColumn("scan_ts", F.try_to_timestamp("timestamp", F.lit(form)).cast("timestamp_ntz"))
     d = d.withColumn("_block", F.floor(F.col("source_line_no") / LINES_PER_BLOCK))
     parsed = d.where("scan_ts is not null")
     order = ["source_line_no"]
     parsed = lagged(parsed, [], "_block", order, {"prev_ts": "scan_ts"}) if by_previous_line else running(parsed, [], "_block", order, "prev_ts", F.col("scan_ts"), "max", before=True)
     parsed = parsed.withColumn("delta", seconds_between(F.col("prev_ts"), F.col("scan_ts")))
-    parsed = parsed.withColumn("reject", F.when(F.col("delta") == 0, "DUPLICATE_TIMESTAMP").when(F.col("delta") < 0, "NON_MONOTONIC_TIMESTAMP"))
+    parsed = parsed.withColumn("reject", F.when(F.col("scan_ts") == F.col("prev_ts"), "DUPLICATE_TIMESTAMP").when(F.col("scan_ts") < F.col("prev_ts"), "NON_MONOTONIC_TIMESTAMP"))
     bad = d.where("scan_ts is null").withColumns({"prev_ts": F.lit(None).cast("timestamp_ntz"), "delta": F.lit(None).cast("long"), "reject": F.lit("UNPARSEABLE_TIMESTAMP")})
     return parsed.unionByName(bad)
 

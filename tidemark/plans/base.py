@@ -12,10 +12,12 @@ from tidemark.operators import analysis, rollup, validate
 from tidemark.sources import adapters as A
 from tidemark.sources.archive import built
 
-# Settings for archives of hourly scans and sparse events; the operators' defaults are
-# those of a ten-second archive.
+# Settings for sparse events; the operators' defaults are those of a ten-second archive.
 PER_HOUR, PER_DAY, GAP, USUAL, MOST = 4.0, 96.0, 3600, 900, 3600
-SCAN, LOW_LIMIT, HIGH_LIMIT = 3600, 0.0, 300.0
+LOW_LIMIT, HIGH_LIMIT = 0.0, 300.0
+#: Scans come as densely as events; a gap is a step of so many average steps.
+GAP_SCANS = 5
+SCAN_SQL, GAP_SQL = "(SELECT scan FROM sp)", f"(SELECT {GAP_SCANS} * scan FROM sp)"
 APART = 60.0
 WINDOW, HISTORY, PERSIST, MIN_SAMPLES = 48, 12, 2, 20
 BASE_FROM, BASE_TO, BASE_NAME = "2024-01-01 00:00:00", "2024-01-21 00:00:00", "REFERENCE"
@@ -46,8 +48,30 @@ def between(df: DataFrame, time: str = "reading_ts", start: str = FROM, end: str
     return df.where((F.col(time) >= F.to_timestamp_ntz(F.lit(start))) & (F.col(time) < F.to_timestamp_ntz(F.lit(end))))
 
 
+_seconds: dict[tuple[str, str], int] = {}
+
+
+def scan_seconds(spark: SparkSession, sf_dir: str) -> int:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _seconds:
+        _seconds[key] = A.scan_seconds(spark, sf_dir)
+    return _seconds[key]
+
+
+def gap_seconds(spark: SparkSession, sf_dir: str) -> int:
+    return GAP_SCANS * scan_seconds(spark, sf_dir)
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir, "scans", lambda: A.scans(spark, sf_dir))
+
+
+def raw_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.raw_scans(scans(spark, sf_dir))
+
+
 def ordered(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    d = lambda: validate.checked_order(A.raw_scans(spark, sf_dir), **options)
+    d = lambda: validate.checked_order(raw_scans(spark, sf_dir), form=A.STAMP, **options)
     return d() if options else built(spark, sf_dir, "ordered", d)
 
 
@@ -73,7 +97,7 @@ def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def episodes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return analysis.setpoint_episodes(narrow(spark, sf_dir), PRESSURE_ID, SETPOINT, gap_seconds=GAP, **options)
+    return analysis.setpoint_episodes(narrow(spark, sf_dir), PRESSURE_ID, SETPOINT, gap_seconds=gap_seconds(spark, sf_dir), **options)
 
 
 def detected(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
@@ -109,8 +133,14 @@ r AS (SELECT sensor_id, sensor_code, ts AS reading_ts, value, (CASE WHEN value <
   FROM events JOIN sensor ON event_type = sensor_code)"""
 )
 
-_CELL = ", ".join(f"arg_min(value, ts) FILTER (WHERE event_type = '{c}') AS {c}" for c in A.WIDE)
-_HELD = ", ".join(f"CASE WHEN day(scan_ts) IN (10, 20) AND hour(scan_ts) BETWEEN 7 AND 16 THEN max(CASE WHEN hour(scan_ts) = 7 THEN {c} END) OVER (PARTITION BY scan_ts::DATE) ELSE {c} END AS {c}" for c in A.WIDE)
+_CELL = ", ".join(f"last_value(CASE WHEN event_type = '{c}' THEN value END IGNORE NULLS) OVER w AS {c}" for c in A.WIDE)
+_IS_HELD = f"(day(scan_ts) IN {A.HELD_DAYS} AND hour(scan_ts) BETWEEN {A.HELD_HOURS[0]} AND {A.HELD_HOURS[1]})"
+_HELD = ", ".join(f"CASE WHEN held THEN first_value({c}) OVER (PARTITION BY scan_ts::DATE, held ORDER BY scan_no) ELSE {c} END AS {c}" for c in A.WIDE)
+_FAULTS = "CASE WHEN scan_no % 61 = 5 AND own <> 'click' THEN 999.0 ELSE click END AS click, CASE WHEN scan_no % 89 = 17 AND own <> 'purchase' THEN NULL ELSE purchase END AS purchase, CASE WHEN scan_no % 67 = 7 AND own <> 'signup' THEN 0.5 ELSE signup END AS signup"
+_LINES = " UNION ALL ".join(
+    f"SELECT scan_no * 10 AS source_index, 2 * scan_no + {k} AS source_line_no, {stamp} AS stamp, {', '.join(A.WIDE)} FROM faults{where}"
+    for k, stamp, where in ((2, "stamp", ""), (3, "stamp", " WHERE scan_no % 97 = 31"), (9, "stamp", " WHERE scan_no % 97 = 53"), (3, "'not-a-timestamp'", " WHERE scan_no % 97 = 13"))
+)
 _SAME = " AND ".join(f"coalesce({c} = lag({c}) OVER w, false)" for c in A.ANALOGUE)
 
 
@@ -125,17 +155,16 @@ _CELLS = " UNION ALL ".join(f"SELECT {i}::BIGINT AS sensor_id, scan_ts AS readin
 SCANS = (
     DIMS
     + f""",
-s0 AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS scan_ts, {_CELL} FROM events GROUP BY 1),
-s1 AS (SELECT * REPLACE (CASE WHEN signup IS NOT NULL THEN (signup > 30)::INT::DOUBLE END AS signup) FROM s0),
-scans AS (SELECT scan_ts, {_HELD} FROM s1),
-n AS (SELECT *, date_diff('hour', TIMESTAMP '{A.START}', scan_ts) AS n FROM scans),
-raw AS (SELECT n * 10 AS source_index, n + 2 AS source_line_no,
-  CASE WHEN n % 97 = 13 THEN 'not-a-timestamp' ELSE strftime(scan_ts - to_hours((CASE n % 97 WHEN 31 THEN 1 WHEN 53 THEN 3 ELSE 0 END)::INT), '%Y-%m-%d %H:%M:%S') END AS stamp,
-  CASE WHEN n % 61 = 5 THEN 999.0 ELSE click END AS click, error, purchase, view, CASE WHEN n % 67 = 7 THEN 0.5 ELSE signup END AS signup FROM n),
-parsed AS (SELECT *, try_strptime(stamp, '%Y-%m-%d %H:%M:%S') AS scan_ts FROM raw),
+sp AS (SELECT greatest(1, coalesce(date_diff('second', min(ts), max(ts)) // nullif(count(*), 0), 1)) AS scan FROM events),
+s0 AS (SELECT event_id AS scan_no, ts AS scan_ts, event_type AS own, {_CELL} FROM events WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+s1 AS (SELECT * REPLACE ((signup > 30)::INT::DOUBLE AS signup), {_IS_HELD} AS held FROM s0),
+scans AS (SELECT scan_no, scan_ts, own, {_HELD} FROM s1),
+faults AS (SELECT * REPLACE ({_FAULTS}), strftime(scan_ts, '%Y-%m-%d %H:%M:%S.%f') AS stamp FROM scans),
+raw AS ({_LINES}),
+parsed AS (SELECT *, try_strptime(stamp, '%Y-%m-%d %H:%M:%S.%f') AS scan_ts FROM raw),
 o1 AS (SELECT *, max(scan_ts) OVER (ORDER BY source_line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_ts FROM parsed WHERE scan_ts IS NOT NULL),
 o2 AS (SELECT *, date_diff('second', prev_ts, scan_ts) AS delta FROM o1),
-ordered AS (SELECT *, CASE WHEN delta = 0 THEN 'DUPLICATE_TIMESTAMP' WHEN delta < 0 THEN 'NON_MONOTONIC_TIMESTAMP' END AS reject FROM o2
+ordered AS (SELECT *, CASE WHEN scan_ts = prev_ts THEN 'DUPLICATE_TIMESTAMP' WHEN scan_ts < prev_ts THEN 'NON_MONOTONIC_TIMESTAMP' END AS reject FROM o2
   UNION ALL SELECT *, NULL, NULL, 'UNPARSEABLE_TIMESTAMP' FROM parsed WHERE scan_ts IS NULL),
 c1 AS (SELECT *, {_SAME} AS same FROM ordered WHERE reject IS NULL WINDOW w AS (ORDER BY source_line_no)),
 c2 AS (SELECT *, sum((NOT same)::INT) OVER (ORDER BY source_line_no ROWS UNBOUNDED PRECEDING) AS island FROM c1),

@@ -56,12 +56,12 @@ _COUNTS = " UNION ALL ".join(
         S,
         f"""SELECT issue_type, sensor_id, count(*) AS affected_rows, CASE WHEN issue_type IN ('UNPARSEABLE_TIMESTAMP', 'DUPLICATE_TIMESTAMP', 'NON_MONOTONIC_TS', 'OUT_OF_RANGE', 'NON_BINARY_DIGITAL') THEN 'CRITICAL' WHEN issue_type = 'GAP' THEN 'INFO' ELSE 'WARNING' END AS severity FROM (
  SELECT CASE reject WHEN 'NON_MONOTONIC_TIMESTAMP' THEN 'NON_MONOTONIC_TS' ELSE reject END AS issue_type, NULL::BIGINT AS sensor_id FROM ordered WHERE reject IS NOT NULL
- UNION ALL SELECT 'GAP', NULL FROM ordered WHERE reject IS NULL AND delta > {B.GAP} UNION ALL SELECT 'FLATLINE', NULL FROM clean WHERE is_stale
+ UNION ALL SELECT 'GAP', NULL FROM ordered WHERE reject IS NULL AND delta > {B.GAP_SQL} UNION ALL SELECT 'FLATLINE', NULL FROM clean WHERE is_stale
  UNION ALL SELECT 'XSENSOR_DIVERGENCE', NULL FROM clean WHERE abs(click - error) > {B.APART} UNION ALL {_COUNTS}) GROUP BY 1, 2""",
     )
 )
 def validate_issues(spark, sf):
-    return tidy(validate.issue_totals(ordered(spark, sf), clean_scans(spark, sf), B.SIGNALS, "click", "error", B.APART, B.GAP))
+    return tidy(validate.issue_totals(ordered(spark, sf), clean_scans(spark, sf), B.SIGNALS, "click", "error", B.APART, B.gap_seconds(spark, sf)))
 
 
 @query(sql(S, f"SELECT count(*) AS affected_rows, min(scan_ts) AS window_start, max(scan_ts) AS window_end, max(abs(click - error)) AS observed_value FROM clean WHERE abs(click - error) > {B.APART} HAVING count(*) > 0", "observed_value"))
@@ -91,9 +91,9 @@ def reconciliation(spark, sf):
     return tidy(d.select("*", *validate.reconciliation(F.col("read"), F.col("rejected"), F.col("missing"), F.col("inserted"), F.col("skipped"), 5)))
 
 
-@query(sql(S, f"SELECT prev_ts AS gap_start, scan_ts AS gap_end, delta AS gap_seconds, greatest(delta // {B.SCAN} - 1, 0) AS missing_scans FROM ordered WHERE reject IS NULL AND delta > {B.GAP}"))
+@query(sql(S, f"SELECT prev_ts AS gap_start, scan_ts AS gap_end, delta AS gap_seconds, greatest(delta // {B.SCAN_SQL} - 1, 0) AS missing_scans FROM ordered WHERE reject IS NULL AND delta > {B.GAP_SQL}"))
 def scan_gaps(spark, sf):
-    return tidy(validate.gaps(ordered(spark, sf), B.GAP, B.SCAN))
+    return tidy(validate.gaps(ordered(spark, sf), B.gap_seconds(spark, sf), B.scan_seconds(spark, sf)))
 
 
 _LEDGER = [
@@ -107,7 +107,7 @@ _ISSUES_SQL = (
     S
     + f""",
 {_LEDGER_SQL},
-g AS (SELECT prev_ts, scan_ts, delta, greatest(delta // {B.SCAN} - 1, 0) AS missing FROM ordered WHERE reject IS NULL AND delta > {B.GAP}),
+g AS (SELECT prev_ts, scan_ts, delta, greatest(delta // {B.SCAN_SQL} - 1, 0) AS missing FROM ordered WHERE reject IS NULL AND delta > {B.GAP_SQL}),
 issues AS (SELECT run_id, 'GAP' AS issue_type, 'INFO' AS severity, prev_ts AS window_start, scan_ts AS window_end, delta::DOUBLE AS observed_value, missing AS affected_rows, false AS is_summary FROM g, ledger WHERE run_id < 3
  UNION ALL SELECT run_id, 'GAP', 'INFO', NULL, NULL, NULL, (SELECT count(*) FROM g), true FROM ledger WHERE run_id < 3)"""
 )
@@ -118,7 +118,7 @@ def _ledger(spark):
 
 
 def _issues(spark, sf):
-    g = validate.gaps(ordered(spark, sf), B.GAP, B.SCAN)
+    g = validate.gaps(ordered(spark, sf), B.gap_seconds(spark, sf), B.scan_seconds(spark, sf))
     runs = _ledger(spark).where("run_id < 3").select("run_id")
     tag = [F.lit("GAP").alias("issue_type"), F.lit("INFO").alias("severity")]
     one = g.crossJoin(runs).select("run_id", *tag, F.col("gap_start").alias("window_start"), F.col("gap_end").alias("window_end"), F.col("gap_seconds").cast("double").alias("observed_value"), F.col("missing_scans").alias("affected_rows"), F.lit(False).alias("is_summary"))
@@ -203,7 +203,7 @@ _MAD_SQL = f"SELECT sensor_id, bucket_start AS reading_ts, avg_value AS value, m
 _IQR = f"SELECT hs.*, lo, hi, iqr, row_number() OVER ({_PART}) AS rn, avg_value < lo OR avg_value > hi AS f FROM hs JOIN base USING (sensor_id, operating_state) WHERE iqr > 0"
 _IQR_SQL = f"SELECT sensor_id, bucket_start AS reading_ts, avg_value AS value, lo AS expected_low, hi AS expected_high, 'BASELINE_IQR' AS method, (CASE WHEN avg_value < lo THEN lo - avg_value ELSE avg_value - hi END) / iqr AS score, CASE WHEN (CASE WHEN avg_value < lo THEN lo - avg_value ELSE avg_value - hi END) / iqr >= 1.5 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, operating_state FROM ({_PERSIST.format(flags=_IQR, n=1)})"
 _LOW = f"sensor_id = {B.PRESSURE_ID} AND value < {B.SETPOINT} AND q >= 64 AND q <> 65"
-_EP = f"""SELECT min(reading_ts) AS episode_start, max(reading_ts) AS episode_end, count(*) AS scans, min(value) AS lowest FROM (SELECT *, sum((low AND NOT (coalesce(was, false) AND epoch(reading_ts) - epoch(bf) <= {B.GAP}))::INT) OVER (ORDER BY reading_ts ROWS UNBOUNDED PRECEDING) AS g
+_EP = f"""SELECT min(reading_ts) AS episode_start, max(reading_ts) AS episode_end, count(*) AS scans, min(value) AS lowest FROM (SELECT *, sum((low AND NOT (coalesce(was, false) AND date_diff('second', bf, reading_ts) <= {B.GAP_SQL}))::INT) OVER (ORDER BY reading_ts ROWS UNBOUNDED PRECEDING) AS g
  FROM (SELECT *, lag(low) OVER (ORDER BY reading_ts) AS was, lag(reading_ts) OVER (ORDER BY reading_ts) AS bf FROM (SELECT *, {_LOW} AS low FROM nb WHERE sensor_id = {B.PRESSURE_ID}))) WHERE low GROUP BY g HAVING count(*) >= {C.SETPOINT_MIN_SCANS}"""
 _SET_SQL = f"SELECT {B.PRESSURE_ID}::BIGINT AS sensor_id, episode_start AS reading_ts, lowest AS value, {B.SETPOINT}::DOUBLE AS expected_low, NULL::DOUBLE AS expected_high, 'SETPOINT' AS method, {B.SETPOINT} - lowest AS score, CASE WHEN lowest < {B.SETPOINT_CRITICAL} THEN 'CRITICAL' ELSE 'WARNING' END AS severity, NULL::VARCHAR AS operating_state FROM ({_EP})"
 _ANOMALIES = S + HS + BASE + f", anomaly AS ({_MAD_SQL} UNION ALL {_IQR_SQL} UNION ALL {_SET_SQL})"
@@ -229,7 +229,7 @@ def setpoint_episodes(spark, sf):
     return tidy(B.episodes(spark, sf))
 
 
-@query(sql(S, f"SELECT min(reading_ts) AS episode_start, max(reading_ts) AS episode_end, count(*) AS scans, min(value) AS lowest FROM (SELECT *, epoch(reading_ts)::BIGINT // 60 - row_number() OVER (ORDER BY reading_ts) AS g FROM nb WHERE {_LOW}) GROUP BY g HAVING count(*) >= 1", "lowest"))
+@query(sql(S, f"SELECT min(reading_ts) AS episode_start, max(reading_ts) AS episode_end, count(*) AS scans, min(value) AS lowest FROM (SELECT *, date_diff('minute', TIMESTAMP '1970-01-01', reading_ts) - row_number() OVER (ORDER BY reading_ts) AS g FROM nb WHERE {_LOW}) GROUP BY g HAVING count(*) >= 1", "lowest"))
 def detect_setpoint_refgroup(spark, sf):
     return tidy(B.episodes(spark, sf, minute_groups=True, min_scans=1))
 
@@ -279,9 +279,9 @@ def view_equipment_health(spark, sf):
     return tidy(views.equipment_health(A.equipment(spark), A.sensors(spark), n, B.anomalies(spark, sf), A.failures(spark)))
 
 
-@query(sql(S, f"SELECT strftime(d, '%Y-%m-%d') AS bucket_date, n AS usable_scans, a AS off_scans, b AS offloaded_scans, c AS loaded_scans, e AS starting_scans, 100.0 * c / n AS loaded_pct, (b + c + e) * 1.0 AS running_hours, p AS running_pct, CASE WHEN count(p) OVER w >= 3 THEN avg(p) OVER w END AS running_pct_7d FROM (SELECT *, 100.0 * (b + c + e) / n AS p FROM (SELECT reading_ts::DATE AS d, count(*) AS n, count(*) FILTER (WHERE operating_state = 'OFF') AS a, count(*) FILTER (WHERE operating_state = 'OFFLOADED') AS b, count(*) FILTER (WHERE operating_state = 'LOADED') AS c, count(*) FILTER (WHERE operating_state = 'STARTING') AS e FROM st WHERE NOT is_stale GROUP BY 1)) WINDOW w AS (ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)", "loaded_pct running_hours running_pct running_pct_7d"))
+@query(sql(S, f"SELECT strftime(d, '%Y-%m-%d') AS bucket_date, n AS usable_scans, a AS off_scans, b AS offloaded_scans, c AS loaded_scans, e AS starting_scans, 100.0 * c / n AS loaded_pct, (b + c + e) * {B.SCAN_SQL}::DOUBLE / 3600.0 AS running_hours, p AS running_pct, CASE WHEN count(p) OVER w >= 3 THEN avg(p) OVER w END AS running_pct_7d FROM (SELECT *, 100.0 * (b + c + e) / n AS p FROM (SELECT reading_ts::DATE AS d, count(*) AS n, count(*) FILTER (WHERE operating_state = 'OFF') AS a, count(*) FILTER (WHERE operating_state = 'OFFLOADED') AS b, count(*) FILTER (WHERE operating_state = 'LOADED') AS c, count(*) FILTER (WHERE operating_state = 'STARTING') AS e FROM st WHERE NOT is_stale GROUP BY 1)) WINDOW w AS (ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)", "loaded_pct running_hours running_pct running_pct_7d"))
 def duty_cycle_daily(spark, sf):
-    return tidy(analysis.duty_cycle(states(spark, sf).where("not is_stale"), B.SCAN))
+    return tidy(analysis.duty_cycle(states(spark, sf).where("not is_stale"), B.scan_seconds(spark, sf)))
 
 
 # --- failures and forecasts -------------------------------------------------------
@@ -367,15 +367,15 @@ def forecast_holt_winters(spark, sf):
 @query(
     sql(
         S,
-        f"""SELECT total_readings, good_readings, held_readings, 100.0 * good_readings / total_readings AS good_pct, 100.0 * held_readings / total_readings AS held_pct, (SELECT count(*) FROM ordered WHERE reject IS NOT NULL) AS quarantined_rows, (SELECT count(*) FROM ordered WHERE reject IS NULL AND delta > {B.GAP}) AS gap_count,
- 100.0 * (SELECT count(*) FROM st) / (date_diff('second', a, z) / {B.SCAN}.0 + 1) AS coverage_pct FROM (SELECT count(*) AS total_readings, count(*) FILTER (WHERE q = 192) AS good_readings, count(*) FILTER (WHERE q = 65) AS held_readings, min(reading_ts) AS a, max(reading_ts) AS z FROM nb)""",
+        f"""SELECT total_readings, good_readings, held_readings, 100.0 * good_readings / total_readings AS good_pct, 100.0 * held_readings / total_readings AS held_pct, (SELECT count(*) FROM ordered WHERE reject IS NOT NULL) AS quarantined_rows, (SELECT count(*) FROM ordered WHERE reject IS NULL AND delta > {B.GAP_SQL}) AS gap_count,
+ 100.0 * (SELECT count(*) FROM st) / ((epoch_us(z) - epoch_us(a)) / 1e6 / {B.SCAN_SQL} + 1) AS coverage_pct FROM (SELECT count(*) AS total_readings, count(*) FILTER (WHERE q = 192) AS good_readings, count(*) FILTER (WHERE q = 65) AS held_readings, min(reading_ts) AS a, max(reading_ts) AS z FROM nb)""",
         "good_pct held_pct coverage_pct",
     )
 )
 def archive_quality(spark, sf):
     o = ordered(spark, sf)
     n = narrow(spark, sf)
-    return tidy(views.archive_quality(n, o.where("reject is not null"), validate.gaps(o, B.GAP, B.SCAN), states(spark, sf).agg(F.count(F.lit(1)).alias("scans")), B.SCAN))
+    return tidy(views.archive_quality(n, o.where("reject is not null"), validate.gaps(o, B.gap_seconds(spark, sf), B.scan_seconds(spark, sf)), states(spark, sf).agg(F.count(F.lit(1)).alias("scans")), B.scan_seconds(spark, sf)))
 
 
 @query(
@@ -391,27 +391,27 @@ def archive_quality(spark, sf):
     )
 )
 def profile_columns(spark, sf):
-    return tidy(profile.columns(A.scans(spark, sf), list(A.WIDE)))
+    return tidy(profile.columns(B.scans(spark, sf), list(A.WIDE)))
 
 
 @query(sql(S, "SELECT date_diff('second', p, scan_ts) AS seconds, count(*) AS steps FROM (SELECT scan_ts, lag(scan_ts) OVER (ORDER BY scan_ts) AS p FROM scans) WHERE p IS NOT NULL GROUP BY 1"))
 def profile_intervals(spark, sf):
-    return tidy(profile.intervals(A.scans(spark, sf)))
+    return tidy(profile.intervals(B.scans(spark, sf)))
 
 
-@query(sql(S, "SELECT strftime(scan_ts::DATE, '%Y-%m-%d') AS bucket_date, count(*) AS scans, 100.0 * count(*) / 24 AS coverage_pct, 100.0 * count(*) / 24 < 50 AS is_low FROM scans GROUP BY ALL", "coverage_pct"))
+@query(sql(S, "SELECT strftime(scan_ts::DATE, '%Y-%m-%d') AS bucket_date, count(*) AS scans, 100.0 * count(*) / (86400.0 / (SELECT scan FROM sp))::DOUBLE AS coverage_pct, 100.0 * count(*) / (86400.0 / (SELECT scan FROM sp))::DOUBLE < 50 AS is_low FROM scans GROUP BY ALL", "coverage_pct"))
 def profile_coverage(spark, sf):
-    return tidy(profile.coverage(A.scans(spark, sf), 24.0))
+    return tidy(profile.coverage(B.scans(spark, sf), 86400.0 / B.scan_seconds(spark, sf)))
 
 
 @query(sql(S, "SELECT strftime(scan_ts, '%Y-%m') AS month, count(*) AS scans, (SELECT coalesce(sum(c - 1), 0)::BIGINT FROM (SELECT count(*) AS c FROM raw GROUP BY stamp)) AS repeated_stamps FROM scans GROUP BY 1"))
 def profile_months(spark, sf):
-    return tidy(profile.monthly(A.scans(spark, sf)).crossJoin(profile.duplicates(A.raw_scans(spark, sf), ["timestamp"]).withColumnRenamed("duplicate_rows", "repeated_stamps")))
+    return tidy(profile.monthly(B.scans(spark, sf)).crossJoin(profile.duplicates(B.raw_scans(spark, sf), ["timestamp"]).withColumnRenamed("duplicate_rows", "repeated_stamps")))
 
 
-@query(sql(S, f"SELECT failure_event_id, source_reference, date_diff('second', start_ts, end_ts) // {B.SCAN} + 1 AS expected_scans, count(scan_ts) AS scans, avg(click) AS mean_click, avg(view) AS mean_view FROM failure LEFT JOIN scans ON scan_ts >= start_ts AND scan_ts <= end_ts GROUP BY failure_event_id, source_reference, start_ts, end_ts", "mean_click mean_view"))
+@query(sql(S, f"SELECT failure_event_id, source_reference, date_diff('second', start_ts, end_ts) // {B.SCAN_SQL} + 1 AS expected_scans, count(scan_ts) AS scans, avg(click) AS mean_click, avg(view) AS mean_view FROM failure LEFT JOIN scans ON scan_ts >= start_ts AND scan_ts <= end_ts GROUP BY failure_event_id, source_reference, start_ts, end_ts", "mean_click mean_view"))
 def profile_failures(spark, sf):
-    return tidy(profile.failure_profile(A.scans(spark, sf), A.failures(spark), ["click", "view"], B.SCAN))
+    return tidy(profile.failure_profile(B.scans(spark, sf), A.failures(spark), ["click", "view"], B.scan_seconds(spark, sf)))
 
 
 _SAME_ALL = " AND ".join(f"coalesce({c} = lag({c}) OVER w, false)" for c in A.ANALOGUE)
@@ -419,7 +419,7 @@ _SAME_ALL = " AND ".join(f"coalesce({c} = lag({c}) OVER w, false)" for c in A.AN
 
 @query(sql(S, f"SELECT min(scan_ts) AS block_start, max(scan_ts) AS block_end, count(*) AS frozen_scans FROM (SELECT *, sum((NOT eq)::INT) OVER (ORDER BY scan_ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT scan_ts, {_SAME_ALL} AS eq FROM scans WINDOW w AS (ORDER BY scan_ts))) WHERE eq GROUP BY g ORDER BY frozen_scans DESC, block_start LIMIT 10"))
 def frozen_blocks(spark, sf):
-    return tidy(profile.frozen_blocks(A.scans(spark, sf), list(A.ANALOGUE)))
+    return tidy(profile.frozen_blocks(B.scans(spark, sf), list(A.ANALOGUE)))
 
 
 @query(
@@ -431,7 +431,7 @@ def frozen_blocks(spark, sf):
     )
 )
 def longest_constant_run(spark, sf):
-    return tidy(profile.longest_constant(A.scans(spark, sf), list(A.WIDE)))
+    return tidy(profile.longest_constant(B.scans(spark, sf), list(A.WIDE)))
 
 
 _RUNS = "runs AS (SELECT o_custkey AS run_id, 'file-' || o_custkey % 7 AS source_file, arg_max(CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'P' THEN 'PARTIAL' ELSE 'FAILED' END, o_orderkey) AS status, count(*) AS events FROM orders GROUP BY 1, 2)"
@@ -486,17 +486,17 @@ def compress_sweep(spark, sf):
 
 @query(sql(S, "SELECT band, count(*) AS scans, min(view) AS min_value, max(view) AS max_value FROM (SELECT view, ((view >= 15)::INT + (view >= 35)::INT + (view >= 70)::INT)::BIGINT AS band FROM scans WHERE view IS NOT NULL) GROUP BY 1", "min_value max_value"))
 def profile_bands(spark, sf):
-    return tidy(profile.band_counts(A.scans(spark, sf), "view", A.BANDS))
+    return tidy(profile.band_counts(B.scans(spark, sf), "view", A.BANDS))
 
 
 @query(sql(S, "SELECT signal, value, count(*) AS scans FROM (SELECT 'click' AS signal, click AS value FROM scans UNION ALL SELECT 'signup', signup FROM scans) GROUP BY 1, 2", "value"))
 def profile_values(spark, sf):
-    return tidy(profile.value_counts(A.scans(spark, sf), ["click", "signup"]))
+    return tidy(profile.value_counts(B.scans(spark, sf), ["click", "signup"]))
 
 
 @query(sql(S, "SELECT count(*) AS scans, count(*) FILTER (WHERE (click < 40)::INT = signup) AS agreeing, 100.0 * count(*) FILTER (WHERE (click < 40)::INT = signup) / nullif(count(*), 0) AS agreement_pct FROM scans WHERE click IS NOT NULL AND signup IS NOT NULL", "agreement_pct"))
 def profile_setpoint(spark, sf):
-    return tidy(profile.setpoint_agreement(A.scans(spark, sf), "click", "signup", B.SETPOINT))
+    return tidy(profile.setpoint_agreement(B.scans(spark, sf), "click", "signup", B.SETPOINT))
 
 
 @query(sql(S, "SELECT source_reference, hours::BIGINT AS hours, count(scan_ts) AS scans, count(*) FILTER (WHERE is_stale) AS held, 100.0 * count(*) FILTER (WHERE is_stale) / nullif(count(scan_ts), 0) AS held_pct FROM failure CROSS JOIN (VALUES (24), (12), (6), (1)) v(hours) LEFT JOIN clean ON scan_ts >= start_ts - to_hours(hours) AND scan_ts < start_ts GROUP BY ALL", "held_pct"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.functions import day_of, operating_state, pct, seconds_between, trusted, usable
+from tidemark.functions import block_of, day_of, operating_state, pct, seconds_between, trusted, usable
 from tidemark.operators import analysis, ordered, rollup, serve, views
 from tidemark.sources import adapters as A
 
@@ -28,13 +28,13 @@ _DATE = "strftime(bucket_date, '%Y-%m-%d') AS bucket_date"
 
 @query(sql(R, f"SELECT reading_ts, sensor_code, value, code AS quality, is_usable FROM r JOIN quality ON q = quality_code_id WHERE sensor_code = 'click' AND reading_ts >= '{FROM}' AND reading_ts < '{TO}'", "value"))
 def q01_time_window(spark, sf):
-    r = between(A.readings(spark, sf)).join(A.sensors(spark).where("sensor_code = 'click'"), "sensor_id").join(A.quality_codes(spark), "quality_code_id")
+    r = between(A.readings(spark, sf, "click")).join(A.sensors(spark), "sensor_id").join(A.quality_codes(spark), "quality_code_id")
     return tidy(r.select("reading_ts", "sensor_code", "value", F.col("code").alias("quality"), "is_usable"))
 
 
 @query(sql(R + _HOURLY, f"SELECT bucket_start, sample_count, 100.0 * sample_count / {B.PER_HOUR} AS coverage_pct, good_count AS usable_count, min_value, avg_value, max_value, stddev_value FROM h WHERE sensor_id = 3 AND bucket_start >= '{FROM}' AND bucket_start < '{TO}'", "coverage_pct min_value avg_value max_value stddev_value"))
 def q02_hourly_coverage(spark, sf):
-    r = between(A.readings(spark, sf)).join(A.sensors(spark).where("sensor_code = 'purchase'").select("sensor_id"), "sensor_id")
+    r = between(A.readings(spark, sf, "purchase"))
     return tidy(rollup.hourly_coverage(r, B.PER_HOUR).drop("sensor_id"))
 
 
@@ -43,7 +43,7 @@ def q03_daily_trend_lag(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("sensor_id").orderBy("bucket_date")
-    d = rollup.rollup(A.readings(spark, sf).where("sensor_id = 3"), "day")
+    d = rollup.rollup(A.readings(spark, sf, "purchase"), "day")
     d = d.withColumn("prev_avg_value", F.lag("avg_value").over(w)).withColumn("trailing_mean_7d", F.avg("avg_value").over(w.rowsBetween(-6, 0)))
     delta = F.col("avg_value") - F.col("prev_avg_value")
     return tidy(d.select("bucket_date", "avg_value", "prev_avg_value", delta.alias("delta"), (100.0 * F.try_divide(delta, F.abs("prev_avg_value"))).alias("pct_change"), "sample_count", "trailing_mean_7d"))
@@ -74,8 +74,8 @@ _GAPS = f"""SELECT sensor_id, prev AS gap_start, reading_ts AS gap_end, gap_seco
 
 
 def _gaps(spark, sf):
-    d = A.readings(spark, sf).withColumn("_day", day_of(F.col("reading_ts")))
-    d = ordered.lagged(d, ["sensor_id"], "_day", ["reading_ts"], {"gap_start": "reading_ts"})
+    d = A.readings(spark, sf).withColumn("_block", block_of(F.col("reading_ts")))
+    d = ordered.lagged(d, ["sensor_id"], "_block", ["reading_ts"], {"gap_start": "reading_ts"})
     return d.select("sensor_id", "gap_start", F.col("reading_ts").alias("gap_end"), seconds_between(F.col("gap_start"), F.col("reading_ts")).alias("gap_seconds")).where(F.col("gap_seconds") > B.GAP)
 
 
@@ -103,7 +103,7 @@ def q09_quality_pivot(spark, sf):
   FROM failure CROSS JOIN (VALUES (24), (12), (6), (1)) v(hours) JOIN r ON sensor_id = 1 AND reading_ts >= start_ts - to_hours(hours) AND reading_ts < start_ts GROUP BY failure_event_id, source_reference, start_ts, hours),
  (SELECT avg(value) AS bm, stddev_samp(value) AS bs FROM r WHERE sensor_id = 1 AND q >= 64 AND q <> 65 AND reading_ts >= '{B.BASE_FROM}' AND reading_ts < '{B.BASE_TO}')""", "usable_pct lead_up_mean usable_max baseline_mean z_vs_baseline"))
 def q10_failure_correlation(spark, sf):
-    r = A.readings(spark, sf).where(F.col("sensor_id") == B.PRESSURE_ID)
+    r = A.readings(spark, sf, "click")
     base = between(r, "reading_ts", B.BASE_FROM, B.BASE_TO).where(trusted(F.col("quality_code_id"))).agg(F.avg("value").alias("mean_value"), F.stddev_samp("value").alias("stddev_value"))
     return tidy(analysis.failure_correlation(r, A.failures(spark), base))
 
@@ -115,7 +115,7 @@ _BAND = "CASE WHEN value < 15 THEN 'OFF' WHEN value < 35 THEN 'OFFLOADED' WHEN v
 
 @query(sql(R, _DUTY.format(scan=f"{B.USUAL}.0") + " " + _DUTY_FROM.format(rows=f"SELECT reading_ts::DATE AS d, {_BAND} AS s FROM r WHERE sensor_id = 5 AND q >= 64 AND q <> 65 AND reading_ts >= '{FROM}' AND reading_ts < '{TO}'"), "loaded_pct running_hours"))
 def q11_duty_cycle(spark, sf):
-    r = between(A.readings(spark, sf)).where((F.col("sensor_id") == B.CURRENT_ID) & trusted(F.col("quality_code_id")))
+    r = between(A.readings(spark, sf, A.CURRENT)).where(trusted(F.col("quality_code_id")))
     d = analysis.duty_cycle(r.select("reading_ts", operating_state(F.col("value"), A.BANDS).alias("operating_state")), B.USUAL)
     return tidy(d.drop("running_pct", "running_pct_7d"))
 
@@ -314,8 +314,8 @@ def value_at(spark, sf):
     """Every reading asked of an archive that stored each third one."""
     from tidemark.operators.compress import value_at as ask
 
-    r = A.readings(spark, sf).withColumn("_day", day_of(F.col("reading_ts")))
-    k = ordered.running(r, ["sensor_id"], "_day", ["reading_ts"], "k", F.lit(1).cast("long"))
+    r = A.readings(spark, sf).withColumn("_block", block_of(F.col("reading_ts")))
+    k = ordered.running(r, ["sensor_id"], "_block", ["reading_ts"], "k", F.lit(1).cast("long"))
     d = ask(k.where("k % 3 = 1"), k.select("sensor_id", F.col("reading_ts").alias("at")), A.sensors(spark), 4 * B.MOST)
     return tidy(d)
 
