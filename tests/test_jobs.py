@@ -43,6 +43,34 @@ def test_hostile_file_end_to_end(spark, hostile, tmp_path):
     assert jobs.run_compression(spark, folder, [1, 2, 3]) and spark.read.parquet(folder + "/compressed").count() <= 39
 
 
+def test_a_load_that_raises_is_closed(spark, hostile, tmp_path):
+    from tidemark.sources import archive
+
+    folder = str(tmp_path / "archive")
+    with pytest.raises(ValueError):
+        jobs.run_ingestion(spark, hostile, folder, [*SIGNALS, (99, "nowhere", 0.0, 1.0, False)], ANALOGUE, now=T0)
+    assert [r["status"] for r in archive.ledger(spark.read.parquet(folder + "/ledger")).collect()] == ["FAILED"]
+
+
+def test_quarantine_keeps_the_line(spark, tmp_path):
+    f = tmp_path / "odd.csv"
+    write(f, [(0, 1.0, {}), ("never", 1.5, {"a1": "n/a"})])
+    folder = str(tmp_path / "archive")
+    jobs.run_ingestion(spark, str(f), folder, SIGNALS, ANALOGUE, now=T0)
+    assert spark.read.parquet(folder + "/rejected").first()["payload"] == "10,never,n/a" + ",1.5" * 6 + ",1.0" * 8
+
+
+def test_baselines_of_other_names_stay(spark, hostile, tmp_path):
+    folder = str(tmp_path / "archive")
+    jobs.run_ingestion(spark, hostile, folder, SIGNALS, ANALOGUE, now=T0)
+    window = ("2021-01-01 00:00:00", "2021-01-02 00:00:00")
+    for name in ("REFERENCE", "2020", "REFERENCE"):
+        jobs.run_analytics(spark, folder, 1, 8, [1, 2, 3], window, name=name, min_samples=2, pressure_id=2)
+    base = spark.read.parquet(folder + "/baseline")
+    assert {str(r[0]): r[1] for r in base.groupBy("baseline_name").count().collect()} == {"2020": base.count() // 2, "REFERENCE": base.count() // 2} and base.count()
+    assert spark.read.parquet(folder + "/anomaly").where("method = 'SETPOINT'").count() == 1
+
+
 def test_issue_details_are_stored(spark, hostile, tmp_path):
     from tidemark.operators import views
     from tidemark.sources import archive

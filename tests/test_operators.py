@@ -1,6 +1,7 @@
 """Hand-computed cases of the operators."""
 
 import math
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -214,18 +215,48 @@ def test_insert_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "t")
     assert archive.insert(d, path, ["k"]) == (2, 1)
     assert archive.insert(d, path, ["k"]) == (0, 3)
+    assert archive.insert(d.limit(0), path, ["k"]) == (0, 0)
+
+
+def test_loads_are_compared_with_their_own_dates(spark, tmp_path):
+    rows = [(1, T0 + timedelta(days=k % 3, seconds=k), float(k)) for k in range(9)]
+    d = spark.createDataFrame(rows, "sensor_id int, reading_ts timestamp_ntz, value double").withColumn("day", F.to_date("reading_ts"))
+    path, keys = str(tmp_path / "t"), ["sensor_id", "reading_ts"]
+    assert archive.insert(d.where("day < '2021-01-03'"), path, keys, ["sensor_id", "day"], "day") == (6, 0)
+    assert archive.insert(d, path, keys, ["sensor_id", "day"], "day") == (3, 6)
+    twice = d.withColumn("value", F.col("value") + 100).unionByName(d)
+    other = str(tmp_path / "u")
+    archive.insert(twice, other, keys, ["day"], "day")
+    assert {r["value"] for r in spark.read.parquet(other).collect()} == {float(k) for k in range(9)}  # of one key the least
 
 
 def test_csv_source(spark, tmp_path):
     f = tmp_path / "scan.csv"
     f.write_text(",timestamp,TP2,X\n0,2021-01-01 00:00:00,1.5,9\n10,bad,2.5,9\n20,2021-01-01 00:00:20,,9\n")
-    d = archive.read_scans(spark, str(f), ["TP2"]).orderBy("source_line_no").collect()
+    raw = archive.read_scans(spark, str(f), ["TP2"])
+    assert [r["payload"] for r in raw.orderBy("source_line_no").collect()] == ["0,2021-01-01 00:00:00,1.5,9", "10,bad,2.5,9", "20,2021-01-01 00:00:20,,9"]
+    d = raw.orderBy("source_line_no").collect()
     assert [(r["source_line_no"], r["source_index"], r["timestamp"], r["TP2"]) for r in d] == [(2, 0, "2021-01-01 00:00:00", 1.5), (3, 10, "bad", 2.5), (4, 20, "2021-01-01 00:00:20", None)]
     assert archive.file_identity(spark, str(f))[1] == f.stat().st_size
     with pytest.raises(ValueError):
         archive.read_scans(spark, str(f), ["NOPE"])
 
 
+def test_lines_follow_the_file_over_splits(spark, tmp_path):
+    import hashlib
+
+    f = tmp_path / "big.csv"
+    f.write_text(",timestamp,A\n" + "".join(f"{'' if k % 7 == 0 else 5000 - k},2021-01-01 00:00:00,{k}.0\n" for k in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        d = archive.read_scans(spark, str(f), ["A"])
+        assert spark.read.csv(str(f)).rdd.getNumPartitions() > 1
+        assert [(r["source_line_no"], r["A"]) for r in d.orderBy("source_line_no").collect()] == [(k + 2, float(k)) for k in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert archive.file_identity(spark, str(f)) == (hashlib.sha256(f.read_bytes()).hexdigest(), f.stat().st_size)
+
+
 def test_ledger(spark, tmp_path):
     p = str(tmp_path / "ledger")
     archive.ledger_event(spark, p, 1, "a.csv", "s1", "RUNNING", T0)
@@ -249,7 +280,102 @@ def test_merge_and_replace(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     b = spark.createDataFrame([(2, "z"), (3, "w")], "k int, v string")
     assert {tuple(r) for r in archive.merged(a, b, ["k"]).collect()} == {(1, "x"), (2, "z"), (3, "w")}
-    assert {tuple(r) for r in archive.replace_where(a, b.where("k = 2"), "k").collect()} == {(1, "x"), (2, "z")}
+
+
+def test_parts_are_replaced(spark, tmp_path):
+    p = str(tmp_path / "t")
+    rows = lambda name, *ks: spark.createDataFrame([(name, k) for k in ks], "name string, k int")
+    archive.replace_part(p, "name", "a/b", rows("a/b", 1, 2))
+    archive.replace_part(p, "name", "c", rows("c", 3))
+    archive.replace_part(p, "name", "a/b", rows("a/b", 4))
+    assert {(r["name"], r["k"]) for r in spark.read.parquet(p).collect()} == {("a/b", 4), ("c", 3)}
+    archive.replace_part(p, "name", "c", rows("c"))
+    assert {(r["name"], r["k"]) for r in spark.read.parquet(p).collect()} == {("a/b", 4)}
+
+
+def test_built_tables_follow_their_source(spark, tmp_path):
+    import os
+
+    source = str(tmp_path / "src")
+    n = lambda: archive.built(spark, source, "n", lambda: spark.read.parquet(f"{source}/events.parquet").groupBy().count()).first()[0]
+    spark.range(3).write.parquet(f"{source}/events.parquet")
+    assert n() == n() == 3
+    spark.range(5).write.mode("overwrite").parquet(f"{source}/events.parquet")
+    os.utime(f"{source}/events.parquet", (2e9, 2e9))
+    assert n() == 5
+    archive.forget(spark)
+    assert n() == 5
+
+
+def test_carried_values(spark):
+    rng = random.Random(9)
+    rows = [(k % 2, k, rng.choice([None, None, 1.0, 2.0, 3.0])) for k in range(200)]
+    d = spark.createDataFrame(rows, "g int, k int, v double").withColumn("b", F.floor(F.col("k") / 11))
+    got = {r["k"]: r["v"] for r in ordered.filled(d, ["g"], "b", ["k"], ("v",)).collect()}
+    last = {}
+    for g, k, v in rows:
+        last[g] = v if v is not None else last.get(g)
+        assert got[k] == last[g]
+
+
+def test_long_runs_cross_blocks(spark):
+    flags = [1, 1, 0] + [1] * 40 + [0, 1]
+    d = spark.createDataFrame([(k, bool(f)) for k, f in enumerate(flags)], "k int, f boolean").withColumn("b", F.floor(F.col("k") / 6))
+    got = [r["run_length"] for r in ordered.runs(d, [], "b", ["k"], F.col("f")).orderBy("k").collect()]
+    assert got == [2, 2, 0] + [40] * 40 + [0, 1]
+
+
+def test_as_of_both_ways(spark):
+    rng = random.Random(4)
+    points = sorted(rng.sample(range(0, 40_000), 60))
+    ask = sorted(rng.sample(range(-500, 41_000), 200)) + points[:5]
+    at = lambda s: T0 + timedelta(seconds=s)
+    p = spark.createDataFrame([(1, at(s), float(s)) for s in points], "sensor_id int, reading_ts timestamp_ntz, value double")
+    r = spark.createDataFrame([(1, at(s)) for s in ask], "sensor_id int, at timestamp_ntz")
+    for x in ordered.bracketed(p, r, "sensor_id", "at", "reading_ts", "value").collect():
+        s = int((x["at"] - T0).total_seconds())
+        assert x["prev_value"] == max((float(q) for q in points if q <= s), default=None)
+        assert x["next_value"] == min((float(q) for q in points if q > s), default=None)
+
+
+def test_pieces_bound_a_group(spark):
+    r = readings(spark, [(10 * k, math.sin(k / 5), 192) for k in range(500)])
+    dev = spark.createDataFrame([(1, 0.05)], "sensor_id int, deviation double")
+    whole, cut = compress.compress(r, dev), compress.compress(r, dev, cut_rows=100)
+    assert compress.segments(r, cut_rows=100).groupBy("segment", "piece").count().agg(F.max("count")).first()[0] == 100
+    assert whole.count() <= cut.count() <= whole.count() + 10
+    assert compress.compression_stats(r, cut, dev).first()["within_bound"]
+    s = {x["pct"]: x for x in compress.sweep(r, (1.0, 10.0), cut_rows=100).collect()}
+    assert s[1.0]["kept_count"] > s[10.0]["kept_count"] and not s[1.0]["violations"] and 0.5 < s[10.0]["worst_budget_used"] <= 1
+
+
+def test_series_and_pages_know_what_is_left(spark):
+    r = readings(spark, [(10 * k, k, 192) for k in range(10)])
+    q = spark.createDataFrame(C.QUALITY, "quality_code_id int, code string, family string, is_usable boolean")
+    for limit, more in ((9, True), (10, False), (11, False)):
+        s = serve.raw_series(r, q, 1, None, None, limit)
+        assert s.rows.count() == min(limit, 10) and s.truncated == more
+    d = spark.createDataFrame([(1, T0, "M", "WARNING", st, 1.0) for st in ("A", "B", "C")], "sensor_id int, reading_ts timestamp_ntz, method string, severity string, operating_state string, score double")
+    pages = [serve.anomaly_page(d, 1, k, severity="WARNING") for k in range(3)]
+    assert [p.rows.first()["operating_state"] for p in pages] == ["A", "B", "C"] and pages[0].total.first()["total"] == 3
+    with pytest.raises(ValueError):
+        serve.summary(2, points=r)
+
+
+def test_overview_and_age(spark):
+    sf = os.environ.get("TIDEMARK_TEST_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    from tidemark.plans import base
+    from tidemark.sources import adapters
+
+    r = base.narrow(spark, sf)
+    o = serve.overview(adapters.equipment(spark), adapters.sensors(spark), r, adapters.quality_codes(spark), base.anomalies(spark, sf), adapters.failures(spark), views.sensor_quality(r), 1)
+    assert o["counts"] == [{"equipment_count": 1, "sensor_count": 5}] and len(o["latest_readings"]) == 5 and len(o["active_anomalies"]) <= 50 and len(o["recent_failures"]) == 4
+    runs = spark.createDataFrame([(1, "SUCCEEDED", T0)], "run_id long, status string, started_utc timestamp_ntz")
+    newest = o["archive"][0]["last_ts"]
+    age = lambda hours: dict(serve.health_checks({"readings": r}, runs, [], newest + timedelta(hours=hours), max_age_hours=24))["newest reading"]
+    assert age(3) == "OK" and age(30) == "30.0 HOURS OLD"
 
 
 def test_frozen_blocks_and_extremes(spark):

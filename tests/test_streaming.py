@@ -18,3 +18,22 @@ def test_state_crosses_micro_batches(spark, tmp_path):
     assert sum(r["is_stale"] for r in got) == 3  # the sixth to eighth of eight equal scans
     assert [r["reject"] for r in got if r["reject"]] == ["NON_MONOTONIC_TIMESTAMP"]
     assert [r["gap_seconds"] for r in got if r["gap_seconds"] is not None] == [430.0]
+
+
+def test_lines_are_judged_in_order(spark, tmp_path):
+    """Rows written out of order over several files of one trigger, against the batch validator."""
+    from tidemark.operators import validate
+
+    t0 = datetime(2024, 1, 1)
+    steps = [0, 10, 20, 20, 15, 30, 40, 50, 60, 70, 80, 75, 200]
+    rows = [("m", k + 2, t0 + timedelta(seconds=s), float(k > 11)) for k, s in enumerate(steps)] + [("m", 99, None, 1.0)]
+    schema = "machine string, line long, ts timestamp, a double"
+    d = spark.createDataFrame(rows, schema)
+    d.orderBy("a", "ts").repartition(5).write.parquet(str(tmp_path / "in"))
+    q = validated_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "machine", "ts", ["a"], line="line").writeStream.format("memory").queryName("by_line").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r["line"]: (r["reject"], r["gap_seconds"]) for r in spark.table("by_line").collect()}
+    batch = validate.checked_order(d.selectExpr("line as source_line_no", "line as source_index", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') as timestamp", "a"))
+    want = {r["source_line_no"]: (r["reject"], float(r["delta"]) if r["reject"] is None and (r["delta"] or 0) > 30 else None) for r in batch.collect()}
+    assert got == want and sum(x is not None for x, _ in got.values()) == 4

@@ -224,6 +224,16 @@ def improvement(scores: DataFrame) -> DataFrame:
     return scores.withColumn("improvement_pct", F.when(F.col("method") != "naive_persistence", 100.0 * F.try_divide(naive - F.col("mae"), naive)))
 
 
+def forecast_verdict(scores: DataFrame) -> DataFrame:
+    """(sensor_id, benchmark_mae, best_method, best_mae, verdict): whether any method beats
+    persistence on a series; sensors without that benchmark have no row."""
+    naive = F.col("method") == "naive_persistence"
+    other = F.when(~naive, F.struct("mae", "method"))
+    d = scores.groupBy("sensor_id").agg(F.max(F.when(naive, F.col("mae"))).alias("benchmark_mae"), F.min(other).alias("b")).where("benchmark_mae is not null and b is not null")
+    verdict = F.when(F.col("b.mae") < F.col("benchmark_mae"), "BEATS PERSISTENCE").otherwise("NOTHING BEATS PERSISTENCE")
+    return d.select("sensor_id", "benchmark_mae", F.col("b.method").alias("best_method"), F.col("b.mae").alias("best_mae"), verdict.alias("verdict"))
+
+
 def holt_winters_scores(series: DataFrame, holdout: int = C.HOLDOUT_DAYS, ma: int = C.MA_DAYS, slack: int = 10) -> DataFrame:
     """Walk-forward scores of additive-trend exponential smoothing, refitted every day.
 

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.functions import block_of, deviation_for_span, epoch, millis, seconds_between
+from tidemark.functions import block_of, deviation_for_span, millis, seconds_between
 
 from .ordered import bracketed, lagged, running
 
+CUT_ROWS = 50_000
+_ROWS = 36  # bits that count the readings of a sensor
+
+
 def door(t: np.ndarray, v: np.ndarray, e: float) -> np.ndarray:
     """Positions that a swinging door of half-width ``e`` keeps of one unbroken segment.
 
@@ -54,20 +58,22 @@ def door(t: np.ndarray, v: np.ndarray, e: float) -> np.ndarray:
     return np.array(sorted(keep))
 
 
-def segments(readings: DataFrame, gap_seconds: float = C.GAP_SECONDS, cut_days: int | None = None) -> DataFrame:
-    """``readings`` with ``segment``: no line may span a gap or a change of quality.
+def segments(readings: DataFrame, gap_seconds: float = C.GAP_SECONDS, cut_rows: int = CUT_ROWS) -> DataFrame:
+    """``readings`` with ``segment`` and ``piece``: no line may span a gap or a change of quality.
 
     Both sides of such a break are always kept, so segments compress independently;
-    that is what spreads a long series over tasks.  An archive without breaks can be cut
-    every ``cut_days`` as well, at the price of the points on either side.
+    that is what spreads a long series over tasks.  So that a series without breaks is
+    no single group, it is also cut every ``cut_rows`` readings of its sensor, at the
+    price of the two points on either side.
     """
     d = readings.withColumn("_block", block_of(F.col("reading_ts")))
     d = lagged(d, ["sensor_id"], "_block", ["reading_ts"], {"_pt": "reading_ts", "_pq": "quality_code_id"})
     cut = F.col("_pt").isNull() | ((millis(F.col("reading_ts")) - millis(F.col("_pt"))) / 1000.0 > gap_seconds) | (F.col("_pq") != F.col("quality_code_id"))
-    if cut_days:
-        part = lambda c: F.floor(epoch(F.col(c)) / (86400 * cut_days))
-        cut = cut | (part("reading_ts") != part("_pt"))
-    return running(d, ["sensor_id"], "_block", ["reading_ts"], "segment", F.when(cut, 1).otherwise(0).cast("long")).drop("_pt", "_pq", "_block")
+    # breaks and rows so far, in one running sum
+    both = F.when(cut, F.lit((1 << _ROWS) + 1)).otherwise(F.lit(1)).cast("long")
+    d = running(d, ["sensor_id"], "_block", ["reading_ts"], "_both", both)
+    rows = F.col("_both").bitwiseAND(F.lit((1 << _ROWS) - 1))
+    return d.withColumns({"segment": F.shiftright("_both", _ROWS), "piece": F.floor((rows - 1) / cut_rows)}).drop("_pt", "_pq", "_block", "_both")
 
 
 def deviations(readings: DataFrame, percent: float) -> DataFrame:
@@ -76,30 +82,34 @@ def deviations(readings: DataFrame, percent: float) -> DataFrame:
     return span.select("sensor_id", deviation_for_span(F.col("lo"), F.col("hi"), percent).alias("deviation"))
 
 
-def compress(readings: DataFrame, deviation: DataFrame, gap_seconds: float = C.GAP_SECONDS, cut_days: int | None = None) -> DataFrame:
+def compress(readings: DataFrame, deviation: DataFrame, gap_seconds: float = C.GAP_SECONDS, cut_rows: int = CUT_ROWS) -> DataFrame:
     """The readings worth keeping; what is dropped can be redrawn within the deviation.
 
     ``deviation`` has (sensor_id, deviation) and may hold several settings per sensor,
-    told apart by any further columns, which are carried through.
+    told apart by any further columns, which are carried through.  A group holds at most
+    ``cut_rows`` readings.
     """
     extra = [c for c in deviation.columns if c not in ("sensor_id", "deviation")]
-    d = segments(readings, gap_seconds, cut_days).withColumn("_t", millis(F.col("reading_ts")) / 1000.0)
-    d = d.select("sensor_id", "reading_ts", "value", "quality_code_id", "segment", "_t").join(deviation, "sensor_id")
+    d = segments(readings, gap_seconds, cut_rows).withColumn("_t", millis(F.col("reading_ts")) / 1000.0)
+    d = d.select("sensor_id", "reading_ts", "value", "quality_code_id", "segment", "piece", "_t").join(deviation, "sensor_id")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("_t", kind="stable")
         t = g["_t"].to_numpy(float)
-        return g.iloc[door(t - t[0], g["value"].to_numpy(float), float(g["deviation"].iloc[0]))].drop(columns=["segment", "_t"])
+        return g.iloc[door(t - t[0], g["value"].to_numpy(float), float(g["deviation"].iloc[0]))].drop(columns=["segment", "piece", "_t"])
 
     types = dict(d.dtypes)
     out = ["sensor_id", "reading_ts", "value", "quality_code_id", "deviation", *extra]
-    kept = d.groupBy("sensor_id", "segment", *extra).applyInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in d.columns if c not in ("segment", "_t")))
+    kept = d.groupBy("sensor_id", "segment", "piece", *extra).applyInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in d.columns if c not in ("segment", "piece", "_t")))
     return kept.select(*out)
 
 
-def redrawn(readings: DataFrame, kept: DataFrame, requests_by: str = "sensor_id") -> DataFrame:
-    """Every reading with the value that linear interpolation of the kept ones gives."""
-    d = bracketed(kept, readings.select("sensor_id", "reading_ts", "value"), "sensor_id", "reading_ts", "reading_ts", "value")
+def redrawn(readings: DataFrame, kept: DataFrame, by: tuple[str, ...] = ("sensor_id",)) -> DataFrame:
+    """Every reading with the value that linear interpolation of the kept ones gives, per
+    ``by`` (the sensor, and the setting where there are several)."""
+    key = F.struct(*by).alias("_key")
+    asked = readings.select(key, *by, "reading_ts", "value")
+    d = bracketed(kept.select(key, "reading_ts", "value"), asked, "_key", "reading_ts", "reading_ts", "value").drop("_key")
     whole = (millis(F.col("next_ts")) - millis(F.col("prev_ts"))).cast("double")
     part = (millis(F.col("reading_ts")) - millis(F.col("prev_ts"))).cast("double")
     line = F.col("prev_value") + (F.col("next_value") - F.col("prev_value")) * F.try_divide(part, whole)
@@ -107,11 +117,15 @@ def redrawn(readings: DataFrame, kept: DataFrame, requests_by: str = "sensor_id"
 
 
 def compression_stats(readings: DataFrame, kept: DataFrame, deviation: DataFrame) -> DataFrame:
-    """Per sensor: counts, ratio, share kept, worst, mean and root mean square error,
-    share of the error budget used, and whether the promise holds."""
+    """Per sensor, and per further column of ``deviation``: counts, ratio, share kept,
+    worst, mean and root mean square error, share of the error budget used, and whether
+    the promise holds."""
+    extra = [c for c in deviation.columns if c not in ("sensor_id", "deviation")]
+    by = ("sensor_id", *extra)
+    asked = readings.join(deviation.select(*by), "sensor_id") if extra else readings
     err = F.abs(F.col("value") - F.col("rebuilt"))
-    d = redrawn(readings, kept).groupBy("sensor_id").agg(F.count(F.lit(1)).alias("original_count"), F.max(err).alias("max_error"), F.avg(err).alias("mean_error"), F.sqrt(F.avg(err * err)).alias("rmse"))
-    d = d.join(kept.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("kept_count")), "sensor_id").join(deviation, "sensor_id")
+    d = redrawn(asked, kept, by).groupBy(*by).agg(F.count(F.lit(1)).alias("original_count"), F.max(err).alias("max_error"), F.avg(err).alias("mean_error"), F.sqrt(F.avg(err * err)).alias("rmse"))
+    d = d.join(kept.groupBy(*by).agg(F.count(F.lit(1)).alias("kept_count")), list(by)).join(deviation, list(by))
     slack = F.greatest(F.col("deviation") * 1e-6, F.lit(1e-9))
     return d.withColumns(
         {
@@ -123,13 +137,15 @@ def compression_stats(readings: DataFrame, kept: DataFrame, deviation: DataFrame
     )
 
 
-def sweep(readings: DataFrame, percents=C.COMPRESSION_SWEEP, gap_seconds: float = C.GAP_SECONDS) -> DataFrame:
-    """Totals per deviation setting, over all sensors, from one pass over the readings."""
-    span = readings.groupBy("sensor_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"))
+def sweep(readings: DataFrame, percents=C.COMPRESSION_SWEEP, gap_seconds: float = C.GAP_SECONDS, cut_rows: int = CUT_ROWS) -> DataFrame:
+    """Per deviation setting, over all sensors: counts, ratio, the largest share of an
+    error budget used, and the number of sensors whose bound does not hold."""
+    span = readings.groupBy("sensor_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     each = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("pct"), deviation_for_span(F.col("lo"), F.col("hi"), p).alias("deviation")) for p in percents])).alias("s")
     dev = span.select("sensor_id", each).select("sensor_id", "s.deviation", "s.pct")
-    kept = compress(readings, dev, gap_seconds).groupBy("pct").agg(F.count(F.lit(1)).alias("kept_count"))
-    return kept.crossJoin(span.agg(F.sum("n").alias("original_count"))).withColumn("compression_ratio", F.col("original_count") / F.col("kept_count"))
+    stats = compression_stats(readings, compress(readings, dev, gap_seconds, cut_rows), dev)
+    d = stats.groupBy("pct").agg(F.sum("original_count").alias("original_count"), F.sum("kept_count").alias("kept_count"), F.max("budget_used").alias("worst_budget_used"), F.count_if(~F.col("within_bound")).alias("violations"))
+    return d.withColumn("compression_ratio", F.col("original_count") / F.col("kept_count"))
 
 
 def value_at(kept: DataFrame, requests: DataFrame, sensors: DataFrame, gap_seconds: float = C.GAP_SECONDS) -> DataFrame:

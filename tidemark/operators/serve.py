@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 from typing import Any
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.functions import pct, usable
 
+from . import views
+
 
 class NotFound(LookupError):
     """No sensor or machine of that reference."""
@@ -57,20 +60,33 @@ def optional(df: DataFrame, **wanted: Any) -> DataFrame:
     return df
 
 
-def raw_series(readings: DataFrame, quality: DataFrame, sensor_id: int, start, end, limit: int = C.MAX_POINTS) -> DataFrame:
+@dataclass
+class Series:
+    """At most ``limit`` points in time order, and whether there are more."""
+
+    rows: DataFrame
+    limit: int
+    _one_more: DataFrame
+
+    @property
+    def truncated(self) -> bool:
+        return self._one_more.count() > self.limit
+
+
+def _first(points: DataFrame, limit: int) -> Series:
+    inorder = points.orderBy("timestamp")
+    return Series(inorder.limit(limit), limit, points.limit(limit + 1))
+
+
+def raw_series(readings: DataFrame, quality: DataFrame, sensor_id: int, start, end, limit: int = C.MAX_POINTS) -> Series:
     r = optional(readings, sensor_id=sensor_id, start=start, end=end).join(quality.select("quality_code_id", "code"), "quality_code_id")
-    return r.select(F.col("reading_ts").alias("timestamp"), "value", F.col("code").alias("quality"), usable(F.col("quality_code_id")).alias("quality_usable")).orderBy("timestamp").limit(limit + 1)
+    return _first(r.select(F.col("reading_ts").alias("timestamp"), "value", F.col("code").alias("quality"), usable(F.col("quality_code_id")).alias("quality_usable")), limit)
 
 
-def bucket_series(rollup: DataFrame, bucket: str, sensor_id: int, start, end, per_bucket: float, limit: int = C.MAX_POINTS) -> DataFrame:
+def bucket_series(rollup: DataFrame, bucket: str, sensor_id: int, start, end, per_bucket: float, limit: int = C.MAX_POINTS) -> Series:
     t = F.col(bucket).cast("timestamp_ntz")
     d = rollup.where((F.col("sensor_id") == sensor_id) & (t >= F.lit(start).cast("timestamp_ntz")) & (t < F.lit(end).cast("timestamp_ntz")))
-    return d.select(t.alias("timestamp"), F.col("avg_value").alias("value"), "min_value", "max_value", "sample_count", F.round(pct(F.col("sample_count"), F.lit(per_bucket)), 1).alias("coverage_pct")).orderBy("timestamp").limit(limit + 1)
-
-
-def truncated(series: DataFrame, limit: int = C.MAX_POINTS) -> bool:
-    """Whether a series read with limit + 1 rows has more than ``limit``."""
-    return series.limit(limit + 1).count() > limit
+    return _first(d.select(t.alias("timestamp"), F.col("avg_value").alias("value"), "min_value", "max_value", "sample_count", F.round(pct(F.col("sample_count"), F.lit(per_bucket)), 1).alias("coverage_pct")), limit)
 
 
 def several(read: Callable[[int], DataFrame], references: str, ids: dict[str, int], most: int = C.MAX_SENSORS) -> DataFrame:
@@ -88,19 +104,32 @@ def severity_rank(severity="severity"):
     return F.when(F.col(severity) == "CRITICAL", 0).when(F.col(severity) == "WARNING", 1).otherwise(2)
 
 
+#: An instant may hold an anomaly of each state of each sensor.
+_TIES = ("sensor_id", "method", "operating_state")
+
+
 def ranked_anomalies(anomalies: DataFrame, limit: int = 200) -> DataFrame:
     """Worst first, then highest score, then newest."""
-    return anomalies.orderBy(severity_rank(), F.desc("score"), F.desc("reading_ts"), "sensor_id", "method").limit(limit)
+    return anomalies.orderBy(severity_rank(), F.desc("score"), F.desc("reading_ts"), *_TIES).limit(limit)
+
+
+@dataclass
+class Page:
+    """One page, and the one-row frame ``total`` of how many rows the filters leave."""
 
+    rows: DataFrame
+    total: DataFrame
 
-def anomaly_page(anomalies: DataFrame, limit: int, offset: int, **wanted: Any) -> DataFrame:
+
+def anomaly_page(anomalies: DataFrame, limit: int, offset: int, **wanted: Any) -> Page:
     """A page in the order severity, newest first, with full tie-breaks."""
-    return optional(anomalies, **wanted).orderBy(severity_rank(), F.desc("reading_ts"), "sensor_id", "method").offset(offset).limit(limit)
+    d = optional(anomalies, **wanted)
+    return Page(d.orderBy(severity_rank(), F.desc("reading_ts"), *_TIES).offset(offset).limit(limit), d.agg(F.count(F.lit(1)).alias("total")))
 
 
 def active_anomalies(anomalies: DataFrame, archive_end: DataFrame, limit: int = 50, hours: int = C.ACTIVE_HOURS) -> DataFrame:
     d = anomalies.crossJoin(archive_end.select("last_ts")).where(F.col("reading_ts") >= F.col("last_ts") - F.make_dt_interval(F.lit(0), F.lit(hours))).drop("last_ts")
-    return d.orderBy(severity_rank(), F.desc("score"), "reading_ts", "sensor_id", "method").limit(limit)
+    return d.orderBy(severity_rank(), F.desc("score"), "reading_ts", *_TIES).limit(limit)
 
 
 def resolve_sensor(sensors: DataFrame, reference: str) -> tuple[int, str]:
@@ -118,9 +147,31 @@ def equipment_list(equipment: DataFrame, sensors: DataFrame) -> DataFrame:
     return equipment.join(n, "equipment_id", "left").withColumn("sensor_count", F.coalesce("sensor_count", F.lit(0)))
 
 
-def summary(**parts: DataFrame) -> dict[str, list[dict]]:
-    """Small result frames as lists of dictionaries, for one answer to a start page."""
-    return {k: [r.asDict() for r in d.collect()] for k, d in parts.items()}
+def summary(most: int = 1000, **parts: DataFrame) -> dict[str, list[dict]]:
+    """Small result frames as lists of dictionaries, for one answer to a start page;
+    raises if a part has over ``most`` rows."""
+    out = {}
+    for k, d in parts.items():
+        rows = d.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{k}: more than {most} rows")
+        out[k] = [r.asDict() for r in rows]
+    return out
+
+
+def overview(equipment: DataFrame, sensors: DataFrame, readings: DataFrame, quality: DataFrame, anomalies: DataFrame, failures: DataFrame, archive_quality: DataFrame, pressure_id: int, limit: int = 50) -> dict[str, list[dict]]:
+    """All that a start page shows in one answer: bounds and counts of the archive, health
+    per machine, latest readings, active anomalies, failures, quality."""
+    bounds = views.bounds(readings)
+    return summary(
+        archive=bounds,
+        counts=equipment.agg(F.count(F.lit(1)).alias("equipment_count")).crossJoin(sensors.where("is_active").agg(F.count(F.lit(1)).alias("sensor_count"))),
+        equipment=views.equipment_health(equipment, sensors, readings, anomalies, failures),
+        latest_readings=views.latest_readings(readings, sensors, quality, equipment),
+        active_anomalies=active_anomalies(anomalies, bounds, limit),
+        recent_failures=views.failure_context(failures, readings, pressure_id).orderBy(F.desc("start_ts")),
+        data_quality=archive_quality,
+    )
 
 
 class TimedCache:
@@ -136,10 +187,15 @@ class TimedCache:
         return self._value
 
 
-def health_checks(tables: dict[str, DataFrame], ledger: DataFrame, required: list[str], now: datetime, stuck_hours: float = 24) -> list[tuple[str, str]]:
-    """(check, state) of required tables, stuck runs and stored baselines."""
+def health_checks(tables: dict[str, DataFrame], ledger: DataFrame, required: list[str], now: datetime, stuck_hours: float = 24, max_age_hours: float | None = None) -> list[tuple[str, str]]:
+    """(check, state) of required tables, stuck runs, stored baselines and, with
+    ``max_age_hours``, the age of the newest reading."""
     out = [(f"table {t}", "OK" if t in tables else "MISSING") for t in required]
     old = ledger.where(F.col("status") == "RUNNING").where(F.col("started_utc") < F.lit(now - timedelta(hours=stuck_hours)).cast("timestamp_ntz")).count()
     out.append(("stuck runs", "OK" if not old else f"{old} STUCK"))
     out.append(("baselines", "OK" if "baseline" in tables and not tables["baseline"].isEmpty() else "NONE"))
+    if max_age_hours is not None:
+        newest = tables["readings"].agg(F.max("reading_ts")).first()[0] if "readings" in tables else None
+        hours = None if newest is None else (now - newest).total_seconds() / 3600
+        out.append(("newest reading", "NONE" if hours is None else "OK" if hours <= max_age_hours else f"{hours:.1f} HOURS OLD"))
     return out

@@ -47,9 +47,11 @@ def checked_order(raw: DataFrame, by_previous_line: bool = False, form: str = FO
 
 
 def rejected(ordered: DataFrame, columns: list[str]) -> DataFrame:
-    """The quarantine: line, reason, detail and the line as it was."""
+    """The quarantine: line, reason, detail and the line as it was (its ``payload`` column
+    where the source keeps one, otherwise the parsed columns in order)."""
     detail = F.when(F.col("reject") == "UNPARSEABLE_TIMESTAMP", "Timestamp could not be parsed.").otherwise(F.concat(F.lit("Delta from previous reading was "), F.col("delta").cast("string"), F.lit(" s.")))
-    return ordered.where("reject is not null").select("source_line_no", F.col("reject").alias("reason_code"), detail.alias("reason_detail"), F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("payload"))
+    payload = F.col("payload") if "payload" in ordered.columns else F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return ordered.where("reject is not null").select("source_line_no", F.col("reject").alias("reason_code"), detail.alias("reason_detail"), payload.alias("payload"))
 
 
 def gaps(ordered: DataFrame, gap_seconds: int = C.GAP_SECONDS, scan_seconds: int = C.SCAN_SECONDS) -> DataFrame:

@@ -136,5 +136,19 @@ def archive_quality(readings: DataFrame, rejects: DataFrame, gaps: DataFrame, sc
     return t.withColumn("coverage_pct", F.coalesce(100.0 * F.col("scans") / (span / scan_seconds + 1), F.lit(0.0))).drop("a", "z", "scans")
 
 
-def usable_counts(readings: DataFrame) -> DataFrame:
-    return readings.groupBy("sensor_id").agg(F.count_if(usable(F.col("quality_code_id"))).alias("usable"))
+def top_sensors(anomalies: DataFrame, sensors: DataFrame, archive: DataFrame, days: int, top: int = 5) -> DataFrame:
+    """The sensors with the most anomalies in the last ``days`` of the archive (``bounds``)."""
+    recent = anomalies.crossJoin(archive.select("last_ts")).where(F.col("reading_ts") >= F.col("last_ts") - F.make_dt_interval(F.lit(days)))
+    n = recent.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("anomalies"))
+    return n.join(sensors.select("sensor_id", "sensor_code"), "sensor_id").select("sensor_code", "anomalies").orderBy(F.desc("anomalies"), "sensor_code").limit(top)
+
+
+def rejects_by_reason(rejects: DataFrame) -> DataFrame:
+    return rejects.groupBy("reason_code").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def equal_counts(readings: DataFrame) -> DataFrame:
+    """One row: how many different reading counts sensors have; a scan archive without
+    missing cells has one."""
+    n = readings.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.count(F.lit(1)).alias("sensors"), F.countDistinct("n").alias("distinct_counts")).withColumn("verdict", F.when(F.col("distinct_counts") == 1, "OK").otherwise("WARNING"))

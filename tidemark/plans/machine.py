@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.operators import analysis, compress, profile, rollup, serve, validate, views
 from tidemark.sources import adapters as A
+from tidemark.sources import archive
 
 from . import base as B
 from .base import clean_scans, narrow, ordered, sql, states, tidy
-from .registry import query
+from .registry import ORACLES, query
 
 S, HS, BASE = B.SCANS, B.HOURLY_STATE, B.BASELINE
 _PAYLOAD = "concat_ws(',', source_index::VARCHAR, stamp, " + ", ".join(f"coalesce({c}::VARCHAR, '')" for c in A.WIDE) + ")"
@@ -36,6 +37,11 @@ def validate_rejects(spark, sf):
     return tidy(d.select("source_line_no", "reason_code", "reason_detail", F.split("payload", ",")[1].alias("payload_stamp")))
 
 
+@query(sql(S, "SELECT reject AS reason_code, count(*) AS rows FROM ordered WHERE reject IS NOT NULL GROUP BY 1"))
+def rejects_by_reason(spark, sf):
+    return tidy(views.rejects_by_reason(validate.rejected(ordered(spark, sf), B.RAW_COLUMNS)))
+
+
 _PREVIOUS = S.replace("max(scan_ts) OVER (ORDER BY source_line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "lag(scan_ts) OVER (ORDER BY source_line_no)")
 
 
@@ -96,50 +102,50 @@ def scan_gaps(spark, sf):
     return tidy(validate.gaps(ordered(spark, sf), B.gap_seconds(spark, sf), B.scan_seconds(spark, sf)))
 
 
-_LEDGER = [
-    # run_id, file, status, rows_read
-    (1, "scans-a.csv", "PARTIAL", 100),
-    (2, "scans-b.csv", "SUCCEEDED", 700),
-    (3, "scans-b.csv", "SKIPPED", 0),
-]
-_LEDGER_SQL = "ledger(run_id, source_file, status, rows_read) AS (VALUES " + ", ".join(f"({a}::BIGINT, '{b}', '{c}', {d}::BIGINT)" for a, b, c, d in _LEDGER) + ")"
+_RUN = f"date_diff('day', DATE '{A.START[:10]}', scan_ts::DATE)"
 _ISSUES_SQL = (
     S
     + f""",
-{_LEDGER_SQL},
-g AS (SELECT prev_ts, scan_ts, delta, greatest(delta // {B.SCAN_SQL} - 1, 0) AS missing FROM ordered WHERE reject IS NULL AND delta > {B.GAP_SQL}),
-issues AS (SELECT run_id, 'GAP' AS issue_type, 'INFO' AS severity, prev_ts AS window_start, scan_ts AS window_end, delta::DOUBLE AS observed_value, missing AS affected_rows, false AS is_summary FROM g, ledger WHERE run_id < 3
- UNION ALL SELECT run_id, 'GAP', 'INFO', NULL, NULL, NULL, (SELECT count(*) FROM g), true FROM ledger WHERE run_id < 3)"""
+ledger AS (SELECT run_id, 'scans-' || run_id || '.csv' AS source_file, CASE run_id % 5 WHEN 0 THEN 'PARTIAL' WHEN 4 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, count(*) AS rows_read FROM (SELECT {_RUN} AS run_id FROM ordered WHERE reject IS NULL) GROUP BY 1),
+g AS (SELECT {_RUN} AS run_id, prev_ts, scan_ts, delta, greatest(delta // {B.SCAN_SQL} - 1, 0) AS missing FROM ordered WHERE reject IS NULL AND delta > {B.GAP_SQL}),
+issues AS (SELECT run_id, 'GAP' AS issue_type, 'INFO' AS severity, prev_ts AS window_start, scan_ts AS window_end, delta::DOUBLE AS observed_value, missing AS affected_rows, false AS is_summary FROM g
+ UNION ALL SELECT run_id, 'GAP', 'INFO', NULL, NULL, NULL, count(*), true FROM g GROUP BY run_id)"""
 )
 
 
-def _ledger(spark):
-    return spark.createDataFrame(_LEDGER, "run_id long, source_file string, status string, rows_read long")
+def _run_of(time):
+    return F.datediff(F.to_date(time), F.to_date(F.lit(A.START[:10]))).cast("long").alias("run_id")
+
+
+def _ledger(spark, sf):
+    """A run for each day of the archive, as if its scans had come in daily files."""
+    days = ordered(spark, sf).where("reject is null").groupBy(_run_of("scan_ts")).agg(F.count(F.lit(1)).alias("rows_read"))
+    status = F.when(F.col("run_id") % 5 == 0, "PARTIAL").when(F.col("run_id") % 5 == 4, "FAILED").otherwise("SUCCEEDED")
+    return days.select("run_id", F.concat(F.lit("scans-"), F.col("run_id").cast("string"), F.lit(".csv")).alias("source_file"), status.alias("status"), "rows_read")
 
 
 def _issues(spark, sf):
-    g = validate.gaps(ordered(spark, sf), B.gap_seconds(spark, sf), B.scan_seconds(spark, sf))
-    runs = _ledger(spark).where("run_id < 3").select("run_id")
+    g = validate.gaps(ordered(spark, sf), B.gap_seconds(spark, sf), B.scan_seconds(spark, sf)).withColumn("run_id", _run_of("gap_end"))
     tag = [F.lit("GAP").alias("issue_type"), F.lit("INFO").alias("severity")]
-    one = g.crossJoin(runs).select("run_id", *tag, F.col("gap_start").alias("window_start"), F.col("gap_end").alias("window_end"), F.col("gap_seconds").cast("double").alias("observed_value"), F.col("missing_scans").alias("affected_rows"), F.lit(False).alias("is_summary"))
+    one = g.select("run_id", *tag, F.col("gap_start").alias("window_start"), F.col("gap_end").alias("window_end"), F.col("gap_seconds").cast("double").alias("observed_value"), F.col("missing_scans").alias("affected_rows"), F.lit(False).alias("is_summary"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("window_start", "timestamp_ntz"), ("window_end", "timestamp_ntz"), ("observed_value", "double"))]
-    total = g.agg(F.count(F.lit(1)).alias("n")).crossJoin(runs).select("run_id", *tag, *none, F.col("n").alias("affected_rows"), F.lit(True).alias("is_summary"))
+    total = g.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).select("run_id", *tag, *none, F.col("n").alias("affected_rows"), F.lit(True).alias("is_summary"))
     return one.unionByName(total)
 
 
 @query(sql(_ISSUES_SQL, "SELECT run_id, source_file, status, rows_read, issue_type, severity, coalesce(sum(affected_rows) FILTER (WHERE is_summary), 0)::BIGINT AS affected_rows, count(*) FILTER (WHERE NOT is_summary) AS detail_rows FROM ledger LEFT JOIN issues USING (run_id) GROUP BY ALL"))
 def view_dq_summary(spark, sf):
-    return tidy(views.quality_summary(_ledger(spark), _issues(spark, sf)))
+    return tidy(views.quality_summary(_ledger(spark, sf), _issues(spark, sf)))
 
 
 @query(sql(_ISSUES_SQL, "SELECT issue_type, severity, sum(affected_rows)::BIGINT AS affected_rows FROM issues WHERE is_summary AND run_id = (SELECT max(run_id) FROM ledger WHERE status = 'SUCCEEDED') GROUP BY 1, 2 HAVING sum(affected_rows) > 0"))
 def issue_summary(spark, sf):
-    return tidy(views.issue_summary(_ledger(spark), _issues(spark, sf)))
+    return tidy(views.issue_summary(_ledger(spark, sf), _issues(spark, sf)))
 
 
 @query(sql(_ISSUES_SQL, "SELECT run_id, window_start AS gap_start, window_end AS gap_end, observed_value AS gap_seconds, observed_value / 3600.0 AS gap_hours, affected_rows AS estimated_missing_scans FROM issues WHERE NOT is_summary AND run_id = (SELECT max(run_id) FROM ledger WHERE status = 'SUCCEEDED')", "gap_seconds gap_hours"))
 def view_timestamp_gap(spark, sf):
-    return tidy(views.timestamp_gaps(_issues(spark, sf), _ledger(spark)))
+    return tidy(views.timestamp_gaps(_issues(spark, sf), _ledger(spark, sf)))
 
 
 # --- states, rollups, baselines ---------------------------------------------------
@@ -242,22 +248,33 @@ def alarm_rate(spark, sf):
 _RANK = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END"
 
 
-@query(sql(_ANOMALIES, f"SELECT * FROM anomaly WHERE severity IN ('CRITICAL', 'WARNING') ORDER BY {_RANK}, score DESC, reading_ts DESC, sensor_id, method LIMIT 200", _DET))
+@query(sql(_ANOMALIES, f"SELECT * FROM anomaly WHERE severity IN ('CRITICAL', 'WARNING') ORDER BY {_RANK}, score DESC, reading_ts DESC, sensor_id, method, operating_state NULLS FIRST LIMIT 200", _DET))
 def q04_anomaly_ranked(spark, sf):
     wanted = spark.createDataFrame([("CRITICAL",), ("WARNING",)], "severity string")
     return tidy(serve.ranked_anomalies(B.anomalies(spark, sf).join(wanted, "severity", "left_semi").select(*analysis.ANOMALY)))
 
 
-@query(sql(_ANOMALIES, f"SELECT * FROM anomaly WHERE severity = 'WARNING' AND reading_ts >= '2024-01-04' ORDER BY reading_ts DESC, sensor_id, method LIMIT 20 OFFSET 5", _DET))
+@query(sql(_ANOMALIES, f"SELECT * FROM anomaly WHERE severity = 'WARNING' AND reading_ts >= '2024-01-04' ORDER BY reading_ts DESC, sensor_id, method, operating_state NULLS FIRST LIMIT 20 OFFSET 5", _DET))
 def anomalies_page(spark, sf):
-    return tidy(serve.anomaly_page(B.anomalies(spark, sf), 20, 5, severity="WARNING", method=None, start="2024-01-04 00:00:00"))
+    return tidy(serve.anomaly_page(B.anomalies(spark, sf), 20, 5, severity="WARNING", method=None, start="2024-01-04 00:00:00").rows)
 
 
-@query(sql(_ANOMALIES, f"SELECT * FROM anomaly WHERE reading_ts >= (SELECT max(reading_ts) FROM nb) - to_hours(240) ORDER BY {_RANK}, score DESC, reading_ts, sensor_id, method LIMIT 50", _DET))
+@query(sql(_ANOMALIES, f"SELECT * FROM anomaly WHERE reading_ts >= (SELECT max(reading_ts) FROM nb) - to_hours(240) ORDER BY {_RANK}, score DESC, reading_ts, sensor_id, method, operating_state NULLS FIRST LIMIT 50", _DET))
 def anomalies_active(spark, sf):
     return tidy(serve.active_anomalies(B.anomalies(spark, sf), views.bounds(narrow(spark, sf)), hours=240))
 
 
+@query(sql(_ANOMALIES, "SELECT count(*) AS total FROM anomaly WHERE severity = 'WARNING' AND reading_ts >= '2024-01-04'"))
+def anomalies_total(spark, sf):
+    """How many rows the pages of ``anomalies_page`` hold together."""
+    return serve.anomaly_page(B.anomalies(spark, sf), 20, 5, severity="WARNING", start="2024-01-04 00:00:00").total
+
+
+@query(sql(_ANOMALIES, "SELECT sensor_code, count(*) AS anomalies FROM anomaly JOIN sensor USING (sensor_id) WHERE reading_ts >= (SELECT max(reading_ts) FROM nb) - to_days(20) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"))
+def anomaly_top_sensors(spark, sf):
+    return tidy(views.top_sensors(B.anomalies(spark, sf), A.sensors(spark), views.bounds(narrow(spark, sf)), 20))
+
+
 @query(sql(_ANOMALIES, "SELECT method, severity, sensor_id, count(*) AS anomalies FROM anomaly WHERE reading_ts >= (SELECT max(reading_ts) FROM nb) - to_days(20) GROUP BY ALL"))
 def anomaly_counts(spark, sf):
     end = views.bounds(narrow(spark, sf)).select("last_ts")
@@ -356,7 +373,38 @@ def forecast_naive_ma(spark, sf):
     return tidy(analysis.forecast_scores(_daily(spark, sf), 7, 5, 3))
 
 
-@query(None)
+@query(
+    f"WITH s AS (FROM ({ORACLES['forecast_naive_ma']})) SELECT sensor_id, n.mae AS benchmark_mae, m.method AS best_method, m.mae AS best_mae, CASE WHEN m.mae < n.mae THEN 'BEATS PERSISTENCE' ELSE 'NOTHING BEATS PERSISTENCE' END AS verdict FROM s n JOIN s m USING (sensor_id) WHERE n.method = 'naive_persistence' AND m.method <> n.method"
+)
+def forecast_verdict(spark, sf):
+    return tidy(analysis.forecast_verdict(analysis.forecast_scores(_daily(spark, sf), 7, 5, 3)))
+
+
+def _smoothing(rounds: int = 4) -> str:
+    """Additive-trend smoothing in SQL: the same grid, refined as often, one reduction over
+    a series for each pair of parameters."""
+    edge = lambda c, i: f"greatest(0.01::DOUBLE, least(0.99::DOUBLE, CASE WHEN {i} = 10 THEN {c} + w ELSE {i} * ((({c} + w) - ({c} - w)) / 10) + ({c} - w) END))"
+    ahead = "(m.l + m.s)"
+    level = f"(a * z.x + (1 - a) * {ahead})"
+    step = f"lambda m, z: {{'l': {level}, 's': b * ({level} - m.l) + (1 - b) * m.s, 'e': m.e + (z.x - {ahead}) * (z.x - {ahead}), 'x': z.x}}"
+    states = "list_concat([{'l': ys[1], 's': ys[2] - ys[1], 'e': 0::DOUBLE, 'x': ys[1]}], [{'l': 0::DOUBLE, 's': 0::DOUBLE, 'e': 0::DOUBLE, 'x': v} FOR v IN ys[2:]])"
+    ctes = f""",
+y AS (SELECT sensor_id, list(value ORDER BY bucket_date) AS y FROM ({_DAYS}) GROUP BY 1 HAVING count(*) >= 15),
+g0 AS (SELECT sensor_id, y[k + 1] AS actual, k, y[1:k] AS ys, 0.5::DOUBLE AS ca, 0.5::DOUBLE AS cb, 0.5::DOUBLE AS w, NULL::DOUBLE AS p FROM (SELECT *, unnest(range(len(y) - 7, len(y))) AS k FROM y))"""
+    for r in range(rounds):
+        ctes += f""",
+t{r} AS (SELECT *, list_reduce({states}, {step}) AS m FROM (SELECT *, {edge("ca", "ia")} AS a, {edge("cb", "ib")} AS b FROM g{r}, range(11) i(ia), range(11) j(ib))),
+g{r + 1} AS (SELECT sensor_id, actual, k, ys, best.a AS ca, best.b AS cb, w / 4 AS w, best.p AS p FROM (SELECT sensor_id, actual, k, ys, w, min({{'e': m.e, 'at': 11 * ib + ia, 'a': a, 'b': b, 'p': m.l + m.s}}) AS best FROM t{r} GROUP BY ALL))"""
+    return ctes + f", f AS (SELECT sensor_id, actual AS value, p FROM g{rounds})"
+
+
+@query(
+    sql(
+        S + HS + _smoothing(),
+        "SELECT sensor_id, 'holt_winters_additive' AS method, avg(abs(value - p)) AS mae, sqrt(avg((value - p) ** 2)) AS rmse, CASE WHEN min(abs(value)) > 1e-6 THEN avg(100.0 * abs(value - p) / abs(value)) END AS mape, count(*) AS n FROM f GROUP BY 1",
+        "mae rmse mape",
+    )
+)
 def forecast_holt_winters(spark, sf):
     return tidy(analysis.holt_winters_scores(_daily(spark, sf), 7, 5, 3))
 
@@ -434,14 +482,21 @@ def longest_constant_run(spark, sf):
     return tidy(profile.longest_constant(B.scans(spark, sf), list(A.WIDE)))
 
 
-_RUNS = "runs AS (SELECT o_custkey AS run_id, 'file-' || o_custkey % 7 AS source_file, arg_max(CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'P' THEN 'PARTIAL' ELSE 'FAILED' END, o_orderkey) AS status, count(*) AS events FROM orders GROUP BY 1, 2)"
+_RUNS = """ev AS (SELECT o_custkey AS run_id, 'file-' || o_custkey % 7 AS source_file, 'sha-' || o_custkey % 7 AS source_sha256, CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'P' THEN 'PARTIAL' ELSE 'FAILED' END AS status, make_timestamp(o_orderkey * 1000000) AS event_utc, floor(o_totalprice)::BIGINT AS rows_read FROM orders),
+runs AS (SELECT run_id, arg_max(source_file, event_utc) AS source_file, arg_max(source_sha256, event_utc) AS source_sha256, arg_max(status, event_utc) AS status, max(event_utc) AS completed_utc, arg_max(rows_read, event_utc) AS rows_read, min(event_utc) AS started_utc FROM ev GROUP BY 1)"""
 
 
 def _runs(spark, sf):
-    """A ledger as a log: orders are status events of the run their customer stands for; the newest decides."""
+    """The ledger of a log of status events: orders, each of the run its customer stands for."""
     o = spark.read.parquet(f"{sf}/orders.parquet")
     status = F.when(F.col("o_orderstatus") == "F", "SUCCEEDED").when(F.col("o_orderstatus") == "P", "PARTIAL").otherwise("FAILED")
-    return o.groupBy(F.col("o_custkey").alias("run_id")).agg(F.max_by(status, "o_orderkey").alias("status"), F.count(F.lit(1)).alias("events")).select("run_id", F.concat(F.lit("file-"), (F.col("run_id") % 7).cast("string")).alias("source_file"), "status", "events")
+    named = lambda prefix: F.concat(F.lit(prefix), (F.col("o_custkey") % 7).cast("string"))
+    none = F.lit(0).cast("long")
+    log = o.select(
+        F.col("o_custkey").alias("run_id"), named("file-").alias("source_file"), named("sha-").alias("source_sha256"), status.alias("status"), F.timestamp_seconds("o_orderkey").cast("timestamp_ntz").alias("event_utc"),
+        F.floor("o_totalprice").cast("long").alias("rows_read"), none.alias("rows_inserted"), none.alias("rows_skipped"), none.alias("rows_rejected"),
+    )
+    return archive.ledger(log).drop("rows_inserted", "rows_skipped", "rows_rejected")
 
 
 @query(f"WITH {_RUNS} SELECT * FROM runs")
@@ -449,36 +504,96 @@ def run_history(spark, sf):
     return _runs(spark, sf)
 
 
-@query(f"WITH {_RUNS} SELECT source_file, max(run_id) AS run_id, count(*) AS runs FROM runs WHERE status = 'SUCCEEDED' GROUP BY 1")
+@query(f"WITH {_RUNS} SELECT source_sha256, max(run_id) AS run_id, count(*) AS runs FROM runs WHERE status = 'SUCCEEDED' GROUP BY 1")
 def last_ingestion(spark, sf):
-    d = _runs(spark, sf).where("status = 'SUCCEEDED'")
-    return d.groupBy("source_file").agg(F.max("run_id").alias("run_id"), F.count(F.lit(1)).alias("runs"))
+    """The newest load of every file that succeeded in full."""
+    return archive.completed_runs(_runs(spark, sf)).select("source_sha256", "run_id", "runs")
+
+
+@query(f"WITH {_RUNS} SELECT * FROM runs WHERE source_sha256 = 'sha-3' AND status = 'SUCCEEDED' ORDER BY run_id DESC LIMIT 1")
+def completed_run(spark, sf):
+    return archive.completed_run(_runs(spark, sf), "sha-3").drop("runs")
+
+
+@query(f"WITH {_RUNS} SELECT * FROM runs ORDER BY status <> 'SUCCEEDED', run_id DESC LIMIT 1")
+def last_full_run(spark, sf):
+    return archive.last_run(_runs(spark, sf))
 
 
 # --- compression ------------------------------------------------------------------
 
 
+PERCENT, SWEEP = 5.0, (1.0, 5.0, 10.0, 25.0)
+
+
 def _archive(spark, sf):
     r = narrow(spark, sf).where("sensor_id in (1, 2, 3, 5)")
-    return r, compress.deviations(r, 5.0)
+    return r, compress.deviations(r, PERCENT)
+
+
+def _door(percents) -> str:
+    """The swinging door in SQL: a walk over each piece, then chords split where they err."""
+    return (
+        S
+        + f""",
+ar AS (SELECT *, epoch_us(reading_ts) // 1000 AS ms, lag(epoch_us(reading_ts) // 1000) OVER k AS pms, lag(q) OVER k AS pq, row_number() OVER k AS rn FROM nb WHERE sensor_id IN (1, 2, 3, 5) WINDOW k AS (PARTITION BY sensor_id ORDER BY reading_ts)),
+ab AS (SELECT *, sum((pms IS NULL OR (ms - pms) / 1000.0 > {6 * B.GAP} OR pq <> q)::INT) OVER (PARTITION BY sensor_id ORDER BY reading_ts ROWS UNBOUNDED PRECEDING) AS segment, (rn - 1) // {compress.CUT_ROWS} AS piece FROM ar),
+dev AS (SELECT sensor_id, pct, CASE WHEN hi > lo THEN (hi - lo) * (pct / 100.0::DOUBLE) ELSE 0 END AS deviation FROM (SELECT sensor_id, min(value) AS lo, max(value) AS hi FROM ab GROUP BY 1), (SELECT unnest([{', '.join(f'{p}::DOUBLE' for p in percents)}]) AS pct)),
+p0 AS (SELECT sensor_id, pct, segment, piece, reading_ts, value AS v, q, deviation AS e, ms / 1000.0::DOUBLE AS t, row_number() OVER k - 1 AS i FROM ab JOIN dev USING (sensor_id) WINDOW k AS (PARTITION BY sensor_id, pct, segment, piece ORDER BY reading_ts)),
+p AS MATERIALIZED (SELECT *, sensor_id || '/' || pct || '/' || segment || '/' || piece AS g, max(i) OVER (PARTITION BY sensor_id, pct, segment, piece) AS z, t - min(t) OVER (PARTITION BY sensor_id, pct, segment, piece) AS x FROM p0),
+walk(g, j, ax, av, jx, jv, top, low, shut) AS (
+  SELECT g, 0::BIGINT, x, v, x, v, 'inf'::DOUBLE, '-inf'::DOUBLE, false FROM p WHERE i = 0
+  UNION ALL SELECT g, i, CASE WHEN s THEN jx ELSE ax END, CASE WHEN s THEN jv ELSE av END, x, v, CASE WHEN s THEN (v + e - jv) / (x - jx) ELSE top END, CASE WHEN s THEN (v - e - jv) / (x - jx) ELSE low END, s
+  FROM (SELECT *, low > top AS s FROM (SELECT w.g, p.i, w.ax, w.av, w.jx, w.jv, p.x, p.v, p.e, CASE WHEN p.x > w.ax THEN least(w.top, (p.v + p.e - w.av) / (p.x - w.ax)) ELSE w.top END AS top,
+    CASE WHEN p.x > w.ax THEN greatest(w.low, (p.v - p.e - w.av) / (p.x - w.ax)) ELSE w.low END AS low FROM walk w JOIN p ON p.g = w.g AND p.i = w.j + 1))),
+marks AS (SELECT g, i FROM p WHERE i = 0 OR i = z OR z < 2 OR e <= 0 UNION SELECT g, j - 1 FROM walk WHERE shut),
+chords(g, a, b) AS (
+  SELECT * FROM (SELECT g, i, lead(i) OVER (PARTITION BY g ORDER BY i) AS n FROM marks) WHERE n IS NOT NULL
+  UNION ALL SELECT g, unnest([a, -w.k]), unnest([-w.k, b]) FROM (
+   SELECT c.g, c.a, c.b, max({{'o': abs(m.v - (l.v + (r.v - l.v) / (r.x - l.x) * (m.x - l.x))), 'k': -m.i}}) AS w, any_value(m.e) AS e
+   FROM chords c JOIN p l ON l.g = c.g AND l.i = c.a JOIN p r ON r.g = c.g AND r.i = c.b JOIN p m ON m.g = c.g AND m.i > c.a AND m.i < c.b WHERE r.x > l.x GROUP BY 1, 2, 3) WHERE w.o > e),
+ends AS (SELECT g, i FROM marks UNION SELECT g, a FROM chords UNION SELECT g, b FROM chords),
+kept AS (SELECT p.* FROM p JOIN ends USING (g, i)),
+line AS (SELECT a.sensor_id, a.pct, a.v, a.e, b.reading_ts AS pt, b.v AS pv, c.reading_ts AS nt, c.v AS nv, a.reading_ts AS at_ts FROM p a ASOF JOIN kept b ON b.sensor_id = a.sensor_id AND b.pct = a.pct AND b.reading_ts <= a.reading_ts ASOF LEFT JOIN kept c ON c.sensor_id = a.sensor_id AND c.pct = a.pct AND c.reading_ts > a.reading_ts),
+err AS (SELECT *, abs(v - CASE WHEN pt = at_ts OR nt IS NULL THEN pv ELSE coalesce(pv + (nv - pv) * ((epoch_us(at_ts) // 1000 - epoch_us(pt) // 1000) / nullif(epoch_us(nt) // 1000 - epoch_us(pt) // 1000, 0)::DOUBLE), pv) END) AS off FROM line),
+stat AS (SELECT sensor_id, pct, count(*) AS original_count, max(off) AS max_error, avg(off) AS mean_error, sqrt(avg(off * off)) AS rmse, any_value(e) AS deviation FROM err GROUP BY 1, 2),
+stats AS (SELECT *, original_count::DOUBLE / kept_count AS compression_ratio, 100.0::DOUBLE * kept_count / original_count AS retained_pct, max_error / nullif(deviation, 0) AS budget_used, max_error <= deviation + greatest(deviation * 1e-6, 1e-9) AS within_bound FROM stat JOIN (SELECT sensor_id, pct, count(*) AS kept_count FROM kept GROUP BY 1, 2) USING (sensor_id, pct))"""
+    )
 
 
-@query(None)
+def _recursive(percents, body: str, doubles: str) -> str:
+    return sql(_door(percents), body, doubles).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_recursive((PERCENT,), "SELECT sensor_id, reading_ts, v AS value, q AS quality_code_id, e AS deviation FROM kept", "value deviation"))
 def compress_sdt(spark, sf):
     r, dev = _archive(spark, sf)
     return tidy(compress.compress(r, dev, 6 * B.GAP))
 
 
-@query(None)
+@query(_recursive((PERCENT,), "SELECT * EXCLUDE (pct) FROM stats", "max_error mean_error rmse deviation compression_ratio retained_pct budget_used"))
 def compression_summary(spark, sf):
     r, dev = _archive(spark, sf)
     return tidy(compress.compression_stats(r, compress.compress(r, dev, 6 * B.GAP), dev))
 
 
-@query(None)
+@query(_recursive(SWEEP, "SELECT pct, sum(original_count)::BIGINT AS original_count, sum(kept_count)::BIGINT AS kept_count, max(budget_used) AS worst_budget_used, count(*) FILTER (WHERE NOT within_bound) AS violations, sum(original_count)::DOUBLE / sum(kept_count) AS compression_ratio FROM stats GROUP BY 1", "pct worst_budget_used compression_ratio"))
 def compress_sweep(spark, sf):
     r, _ = _archive(spark, sf)
-    return tidy(compress.sweep(r, (1.0, 5.0, 10.0, 25.0), 6 * B.GAP))
+    return tidy(compress.sweep(r, SWEEP, 6 * B.GAP))
+
+
+_ASKED = """SELECT q.sensor_id, q.reading_ts AS "at", CASE WHEN p.reading_ts = q.reading_ts OR x.reading_ts IS NULL THEN p.v ELSE p.v + (x.v - p.v) * ((epoch_us(q.reading_ts) // 1000 - epoch_us(p.reading_ts) // 1000) / (epoch_us(x.reading_ts) // 1000 - epoch_us(p.reading_ts) // 1000)::DOUBLE) END AS value,
+ CASE WHEN p.reading_ts = q.reading_ts THEN 'EXACT' WHEN x.reading_ts IS NULL THEN 'HELD_END_OF_ARCHIVE' ELSE 'INTERPOLATED' END AS method, p.reading_ts AS prev_ts, x.reading_ts AS next_ts, date_diff('second', p.reading_ts, x.reading_ts) AS bracket_seconds
+ FROM p q ASOF JOIN kept p ON p.sensor_id = q.sensor_id AND p.reading_ts <= q.reading_ts ASOF LEFT JOIN kept x ON x.sensor_id = q.sensor_id AND x.reading_ts > q.reading_ts WHERE x.reading_ts IS NULL OR date_diff('second', p.reading_ts, x.reading_ts) <= {limit}"""
+
+
+@query(_recursive((PERCENT,), _ASKED.format(limit=6 * B.GAP), "value"))
+def value_at_compressed(spark, sf):
+    """Every analogue reading asked of the archive that compression left of them."""
+    r, dev = _archive(spark, sf)
+    kept = compress.compress(r, dev, 6 * B.GAP)
+    return tidy(compress.value_at(kept, r.select("sensor_id", F.col("reading_ts").alias("at")), A.sensors(spark), 6 * B.GAP))
 
 
 # --- further profile and analysis -------------------------------------------------

@@ -238,9 +238,16 @@ def _auto(spark, sf, start: str, end: str, sensor_id: int = 1):
     r = A.readings(spark, sf).where(F.col("sensor_id") == sensor_id)
     how = serve.choose_resolution(a, z)
     if how == "raw":
-        return serve.raw_series(r, A.quality_codes(spark), sensor_id, a, z)
+        return serve.raw_series(r, A.quality_codes(spark), sensor_id, a, z).rows
     bucket, name, per = ("hour", "bucket_start", B.PER_HOUR) if how == "hourly" else ("day", "bucket_date", B.PER_DAY)
-    return serve.bucket_series(rollup.rollup(between(r, "reading_ts", start, end), bucket), name, sensor_id, a, z, per)
+    return serve.bucket_series(rollup.rollup(between(r, "reading_ts", start, end), bucket), name, sensor_id, a, z, per).rows
+
+
+@query(sql(R, "SELECT reading_ts AS timestamp, value, code AS quality, is_usable AS quality_usable, (SELECT count(*) FROM r WHERE sensor_id = 5) > 150 AS truncated FROM r JOIN quality ON q = quality_code_id WHERE sensor_id = 5 ORDER BY reading_ts LIMIT 150", "value"))
+def series_limited(spark, sf):
+    """The first points of a series that holds more than the service returns at once."""
+    s = serve.raw_series(A.readings(spark, sf, A.CURRENT), A.quality_codes(spark), B.CURRENT_ID, None, None, 150)
+    return tidy(s.rows.withColumn("truncated", F.lit(s.truncated)))
 
 
 @query(sql(R + _HOURLY, f"SELECT sensor_code, bucket_start AS timestamp, avg_value AS value, min_value, max_value, sample_count, round(100.0 * sample_count / {B.PER_HOUR}, 1)::DOUBLE AS coverage_pct FROM h JOIN sensor USING (sensor_id) WHERE sensor_id IN (1, 5) AND bucket_start >= '2024-01-03' AND bucket_start < '2024-01-06'", "value min_value max_value coverage_pct"))
@@ -264,6 +271,11 @@ def integrity_counts(spark, sf):
     return tidy(d.withColumn("repeated_keys", F.col("readings") - F.col("instants")).crossJoin(orphans))
 
 
+@query(sql(R, "SELECT count(*) AS sensors, count(DISTINCT n) AS distinct_counts, CASE WHEN count(DISTINCT n) = 1 THEN 'OK' ELSE 'WARNING' END AS verdict FROM (SELECT count(*) AS n FROM r GROUP BY sensor_id)"))
+def integrity_equal_counts(spark, sf):
+    return tidy(views.equal_counts(A.readings(spark, sf)))
+
+
 @query("SELECT 'lineitem without order' AS check_name, count(*) AS orphans FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) UNION ALL SELECT 'order without customer', count(*) FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey) UNION ALL SELECT 'customer without order', count(*) FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def integrity_orphans(spark, sf):
     t = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("lineitem", "orders", "customer")}

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,28 +16,35 @@ from tidemark.operators.validate import check_header
 
 def read_scans(spark: SparkSession, path: str, signals: list[str]) -> DataFrame:
     """A wide CSV whose first column has no name: (source_index, source_line_no,
-    timestamp string, signals), columns by name.
+    timestamp string, signals, payload), columns by name; ``payload`` is the line as read.
 
-    Line numbers start at 2.  They come from the ordinal's order, which the source
-    guarantees, so that the file splits over tasks.
+    Line numbers start at 2 and follow the order of the file: splits by where they
+    begin, lines inside a split as a task reads them.  Only the number of lines of each
+    split is ordered as a whole.
     """
     found = [c for c in spark.read.option("header", True).csv(path).columns]
     check_header([c for c in found if c not in ("_c0", "")], ["timestamp", *signals])
     schema = T.StructType([T.StructField(c, T.StringType()) for c in found])
     d = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
-    d = d.select(F.col(f"`{found[0]}`").try_cast("long").alias("source_index"), "timestamp", *[F.col(f"`{c}`").try_cast("double").alias(c) for c in signals])
-    # dense numbers by range: counts per range partition, then places inside it
-    d = d.withColumn("_part", F.floor(F.col("source_index") / 1_000_000))
-    base = d.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    base = base.select(F.col("_part").alias("_range"), (F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).alias("_base"))
-    d = d.join(base, F.col("_part").eqNullSafe(F.col("_range"))).drop("_range")
-    return d.withColumn("source_line_no", F.col("_base") + F.row_number().over(Window.partitionBy("_part").orderBy("source_index"))).drop("_part", "_base")
+    payload = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in found]).alias("payload")
+    split = F.col("_metadata.file_block_start").alias("_split")
+    d = d.select(F.col(f"`{found[0]}`").try_cast("long").alias("source_index"), "timestamp", *[F.col(f"`{c}`").try_cast("double").alias(c) for c in signals], payload, split, F.monotonically_increasing_id().alias("_at"))
+    n = d.groupBy("_split").agg(F.count(F.lit(1)).alias("n"))
+    base = n.select("_split", (F.coalesce(F.sum("n").over(Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).alias("_base"))
+    return d.join(base, "_split").withColumn("source_line_no", F.col("_base") + F.row_number().over(Window.partitionBy("_split").orderBy("_at"))).drop("_split", "_base", "_at")
 
 
 def file_identity(spark: SparkSession, path: str) -> tuple[str, int]:
-    """(SHA-256, bytes) of a file; Spark lists no empty file, so none found is an empty one."""
-    r = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256), "length").first()
-    return (r[0], r[1]) if r else (hashlib.sha256(b"").hexdigest(), 0)
+    """(SHA-256, bytes) of a file of any size, read as a stream: the digest of a whole file
+    has to see its bytes in order, a few at a time."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = files.open(at)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream), files.getFileStatus(at).getLen()
+    finally:
+        stream.close()
 
 
 def first_days(scans: DataFrame, days: int, time: str = "scan_ts") -> tuple[DataFrame, bool]:
@@ -59,25 +65,37 @@ def active_sensors(sensors: DataFrame) -> DataFrame:
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key is not stored yet, each key once."""
-    return rows.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    """Rows whose key is not stored yet, each key once: of rows with one key that with the
+    least further columns, so that repeated loads agree."""
+    rest = [c for c in rows.columns if c not in keys]
+    once = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else rows.distinct()
+    return once.select(*rows.columns).join(stored.select(*keys), keys, "left_anti")
+
 
+def insert(rows: DataFrame, stored_path: str, keys: list[str], partition: list[str] | None = None, within: str | None = None) -> tuple[int, int]:
+    """Append what is new to a Parquet table; (inserted, skipped).
 
-def insert(rows: DataFrame, stored_path: str, keys: list[str], partition: str | None = None) -> tuple[int, int]:
-    """Append what is new to a Parquet table; (inserted, skipped)."""
+    ``within`` names a partition column whose range in ``rows`` bounds what is read of the
+    table: a load is compared with the partitions of its own dates only.  Pass stored
+    ``rows``; they are read once for their range and once for the insert, and both
+    numbers come out of the one write.
+    """
     spark = rows.sparkSession
+    total = rows.agg(F.count(F.lit(1)).alias("n"), *([F.min(within).alias("a"), F.max(within).alias("z")] if within else [])).first()
     try:
         stored = spark.read.parquet(stored_path)
     except Exception as e:  # the table does not exist before the first load
-        if "PATH_NOT_FOUND" not in str(e):
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         stored = spark.createDataFrame([], rows.schema)
-    fresh = new_rows(rows, stored, keys).persist()
-    n, total = fresh.count(), rows.count()
+    if within:
+        stored = stored.where(F.col(within).between(F.lit(total["a"]), F.lit(total["z"])))
+    added = Observation()
+    fresh = new_rows(rows, stored, keys).observe(added, F.count(F.lit(1)).alias("n"))
     w = fresh.write.mode("append")
-    (w.partitionBy(partition) if partition else w).parquet(stored_path)
-    fresh.unpersist()
-    return n, total - n
+    (w.partitionBy(*partition) if partition else w).parquet(stored_path)
+    n = added.get["n"]
+    return n, total["n"] - n
 
 
 def merged(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,9 +103,11 @@ def merged(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     return source.unionByName(target.join(source.select(*keys), keys, "left_anti").select(*source.columns))
 
 
-def replace_where(stored: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """``stored`` with all rows of the values of ``column`` that ``rows`` has replaced."""
-    return stored.join(rows.select(column).distinct(), column, "left_anti").select(*rows.columns).unionByName(rows)
+def replace_part(table_path: str, column: str, value: str, rows: DataFrame) -> None:
+    """Replace all rows of one value of ``column`` (a partition of the table) by ``rows``,
+    which may be none; other values stay as they are."""
+    safe = "".join(c if c.isalnum() or c in "_-." else f"%{ord(c):02X}" for c in value)
+    rows.drop(column).write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/{column}={safe}")
 
 
 LEDGER = "run_id long, source_file string, source_sha256 string, status string, event_utc timestamp_ntz, rows_read long, rows_inserted long, rows_skipped long, rows_rejected long"
@@ -104,9 +124,17 @@ def ledger(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").agg(new.alias("r"), F.min("event_utc").alias("started_utc")).select("run_id", "r.*", "started_utc").withColumnRenamed("event_utc", "completed_utc")
 
 
+def completed_runs(runs: DataFrame) -> DataFrame:
+    """(source_sha256, run_id, runs, ...): the newest run of every file that succeeded, and
+    how many did."""
+    rest = [c for c in runs.columns if c != "source_sha256"]
+    d = runs.where("status = 'SUCCEEDED'").groupBy("source_sha256").agg(F.max_by(F.struct(*rest), "run_id").alias("r"), F.count(F.lit(1)).alias("runs"))
+    return d.select("source_sha256", "r.*", "runs")
+
+
 def completed_run(runs: DataFrame, sha: str) -> DataFrame:
     """The newest run of this very file that succeeded, if any."""
-    return runs.where((F.col("source_sha256") == sha) & (F.col("status") == "SUCCEEDED")).orderBy(F.desc("run_id")).limit(1)
+    return completed_runs(runs.where(F.col("source_sha256") == sha))
 
 
 def last_run(runs: DataFrame) -> DataFrame:
@@ -118,28 +146,56 @@ def fresh_path(base: str, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_made: dict[tuple[str, str, str], str] = {}
+_made: dict[tuple[str, str, str], tuple[int, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); only
-    where the session names none, as in local tests, a temporary one of this machine."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); only a local
+    session that names none gets a temporary one of this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def built(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table of the archive, built once for each session and source and then read.
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def changed_at(spark: SparkSession, path: str) -> int:
+    """When a table's file or folder was last changed, in milliseconds."""
+    at, files = _files(spark, path)
+    return files.getFileStatus(at).getModificationTime()
+
+
+def built(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], table: str = "events.parquet") -> DataFrame:
+    """A table of the archive, built once for each session and state of its source, then read.
 
     The tables that many queries share (validated readings, states, rollups,
-    baselines, anomalies) are stored, not computed again in every query.
+    baselines, anomalies) are stored, not computed again in every query; they are built
+    anew when the source's file changes.
     """
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _made:
+    stamp = changed_at(spark, f"{source}/{table}")
+    if key not in _made or _made[key][0] != stamp:
         path = fresh_path(shared_dir(spark), name)
         make().write.parquet(path)
-        _made[key] = path
-    return spark.read.parquet(_made[key])
+        if key in _made:
+            _remove(spark, _made[key][1])
+        _made[key] = stamp, path
+    return spark.read.parquet(_made[key][1])
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at, files = _files(spark, path)
+    files.delete(at, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove the built tables of this session."""
+    for key in [k for k in _made if k[0] == spark.sparkContext.applicationId]:
+        _remove(spark, _made.pop(key)[1])

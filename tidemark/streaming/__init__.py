@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -20,36 +21,46 @@ from tidemark import constants as C
 STATE = "newest timestamp, last array<double>, run long"
 
 
-def validated_stream(scans: DataFrame, key: str, time: str, signals: list[str], gap_seconds: float = C.GAP_SECONDS, samples: int = C.FLATLINE_SAMPLES) -> DataFrame:
+_NEVER = np.iinfo(np.int64).min
+
+
+def validated_stream(scans: DataFrame, key: str, time: str, signals: list[str], gap_seconds: float = C.GAP_SECONDS, samples: int = C.FLATLINE_SAMPLES, line: str | None = None) -> DataFrame:
     """A stream of (key, time, signals) with ``reject``, ``gap_seconds`` and ``is_stale``.
 
-    Rows of one key in a micro-batch are taken in time order of arrival; state per key
-    is one scan, however long the stream runs.
+    A shuffle keeps no order, so the rows of a key in a micro-batch are put in that of
+    ``line`` (a line or sequence number of the source, returned as well), or of their
+    time where the source has none; what one trigger admits of a key must fit in memory.
+    State per key is one scan, however long the stream runs.  A null time is rejected as
+    unparseable and takes no part in the order.
     """
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         newest, last, length = state.get if state.exists else (None, None, 0)
-        for g in batches:
-            reject, gaps, stale = [], [], []
-            for row in g.itertuples(index=False):
-                t = getattr(row, time)
-                now = [None if pd.isna(x := getattr(row, c)) else float(x) for c in signals]
-                step = None if newest is None else (t - newest).total_seconds()
-                if step is not None and step <= 0:
-                    reject.append("DUPLICATE_TIMESTAMP" if step == 0 else "NON_MONOTONIC_TIMESTAMP")
-                    gaps.append(None)
-                    stale.append(False)
-                    continue
-                same = last is not None and None not in now and now == list(last)
-                length = length + 1 if same else 0
-                reject.append(None)
-                gaps.append(step if step is not None and step > gap_seconds else None)
-                stale.append(length >= max(samples - 1, 1))
-                newest, last = t, now
-            yield g.assign(reject=reject, gap_seconds=pd.array(gaps, "Float64"), is_stale=stale)
+        g = pd.concat(list(batches), ignore_index=True).sort_values(line or time, kind="stable", ignore_index=True)
+        t = g[time].to_numpy("datetime64[ns]").astype(np.int64)
+        null = g[time].isna().to_numpy()
+        t[null] = _NEVER
+        before = np.maximum.accumulate(np.append(_NEVER if newest is None else pd.Timestamp(newest).value, t))[:-1]
+        first = before == _NEVER
+        late = ~first & (t <= before)
+        reject = np.select([null, late & (t == before), late], ["UNPARSEABLE_TIMESTAMP", "DUPLICATE_TIMESTAMP", "NON_MONOTONIC_TIMESTAMP"], "").astype(object)
+        reject[reject == ""] = None
+        ok = ~late & ~null
+        step = np.where(ok & ~first, (t - np.where(first, t, before)) / 1e9, np.nan)
+        stale = np.zeros(len(g), bool)
+        values = g.loc[ok, signals].to_numpy(float, na_value=np.nan)
+        if len(values):
+            was = np.full((1, len(signals)), np.nan) if last is None else np.array([[np.nan if x is None else x for x in last]], float)
+            same = (values == np.vstack([was, values[:-1]])).all(axis=1)
+            at = np.arange(len(same))
+            broken = np.maximum.accumulate(np.where(same, -1, at))
+            run_length = np.where(broken < 0, at + 1 + length, at - broken)
+            stale[ok] = run_length >= max(samples - 1, 1)
+            newest, last, length = g.loc[ok, time].iloc[-1], [None if np.isnan(x) else float(x) for x in values[-1]], int(run_length[-1])
+        yield g.assign(reject=reject, gap_seconds=pd.array(np.where(step > gap_seconds, step, np.nan), "Float64"), is_stale=stale)
         state.update((newest, last, length))
 
-    d = scans.select(key, time, *signals)
+    d = scans.select(key, *([line] if line else []), time, *signals)
     types = dict(d.dtypes)
     out = ", ".join(f"`{c}` {types[c]}" for c in d.columns) + ", reject string, gap_seconds double, is_stale boolean"
     return d.groupBy(key).applyInPandasWithState(run, out, STATE, "append", GroupStateTimeout.NoTimeout)
