@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,11 +21,13 @@ SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder of
-    this machine is set.
+    Only a local session that names none, as in tests, gets a temporary folder of
+    this machine; on a cluster that would be another folder for each executor.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -39,15 +42,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand at most ``rows`` rows to Python at a time, unless the session already
-    asks for fewer: texts are long, and a worker holds a batch several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def discarded(table: DataFrame) -> None:
+    """Remove a table that ``written`` made, once nothing will read it again."""
+    spark = table.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_at)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Hand at most ``rows`` rows and about ``size`` bytes to Python at a time, unless the
+    session already asks for less: texts are long, and a worker holds a batch several
+    times over.  Plans read these settings when they run, so they stay set."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        number, unit = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", spark.conf.get(key).lower()).groups()
+        now = int(number) << 10 * "bkmgt".index(unit or "b")
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``columns`` beside one struct ``_row`` of all input columns, so that no input name
+    can clash with one of an operator; ``unboxed`` undoes it."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return docs.select(row, *[c.alias(k) for k, c in columns.items()])
+
+
+def unboxed(d: DataFrame, without: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """The input columns of boxed rows, and ``columns``, which replace those of their names."""
+    names = [c for c in d.schema["_row"].dataType.names if c not in without and c not in columns]
+    return d.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *[c.alias(k) for k, c in columns.items()])
 
 
 def words(text: Column) -> Column:
@@ -131,12 +159,70 @@ class WordBlock:
         self.hashes = mix((acc[self.ends] - acc[self.starts]) * q[self.starts])
 
 
-def blocks(arr: pa.Array, most: int = 1 << 18, between: np.ndarray = _SPACE) -> Iterator[tuple[int, int, WordBlock]]:
-    """(first row, row after the last, words) over slices of about ``most`` bytes."""
-    data, offsets = string_buffers(arr)
+def overlapping(data: np.ndarray, overlap: int, most: int = 1 << 18, between: np.ndarray = _SPACE) -> Iterator[tuple[int, WordBlock, bool]]:
+    """(number of the first word, words, whether it is the last part) of one text, in parts
+    of about ``most`` bytes of which each repeats the last ``overlap`` words of the one
+    before; so what is computed of a very long text needs no memory for all of it."""
+    at = word = 0
+    while True:
+        end = at + most
+        while end < len(data):
+            cut = np.flatnonzero(between[data[end : end + most]])
+            if len(cut):
+                end += int(cut[0])
+                break
+            end += most  # one word longer than a part stays whole
+        end = min(end, len(data))
+        block = WordBlock(data[at:end], np.array([0, end - at]), between)
+        n = len(block.starts)
+        if end == len(data):
+            yield word, block, True
+            return
+        if n <= overlap + 1:
+            most *= 2  # too few words to go on from
+            continue
+        yield word, block, False
+        word += n - overlap
+        at = at + int(block.starts[n - overlap]) if overlap else end
+
+
+LONG = 1 << 20  # bytes from which a text is worked on in parts
+
+
+def row_spans(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of slices of about ``most`` bytes, a longer text by itself."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
-        hi = min(hi, n)
-        yield lo, hi, WordBlock(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], between)
+        hi = min(max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1), n)
+        yield lo, hi
         lo = hi
+
+
+def blocks(arr: pa.Array, most: int = 1 << 18, between: np.ndarray = _SPACE) -> Iterator[tuple[int, int, WordBlock]]:
+    """(first row, row after the last, words) over slices of about ``most`` bytes; a longer
+    text is a slice of its own."""
+    data, offsets = string_buffers(arr)
+    for lo, hi in row_spans(offsets, most):
+        yield lo, hi, WordBlock(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], between)
+
+
+_AFTER = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def normal(text: bytes) -> tuple[bytes, np.ndarray]:
+    """The words of a text joined by one space, and where each begins, with one more place
+    after the last: word k is ``out[at[k] : at[k + 1] - 1]``.  A long text is split a part
+    at a time, so that its words never exist as a list."""
+    parts, at = [], 0
+    while at < len(text):
+        end = len(text)
+        if end - at > LONG:
+            stop = _AFTER.search(text, at + LONG)
+            end = stop.end() if stop else end
+        if words_ := text[at:end].split():
+            parts.append(b" ".join(words_))
+        at = end
+    out = b" ".join(parts)
+    if not out:
+        return out, np.zeros(1, np.int64)
+    return out, np.concatenate([[0], np.flatnonzero(np.frombuffer(out, np.uint8) == 32) + 1, [len(out) + 1]])

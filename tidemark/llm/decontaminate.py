@@ -35,13 +35,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BARE, WordBlock, blocks, mix, small_batches
+from .common import BARE, LONG, WordBlock, mix, overlapping, row_spans, small_batches, string_buffers
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 15
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20  # of items' text; an index is about ten times as large
 _SIEVE = 20
+_BAGS = 4096  # of items, kept by a worker
 _STEP = 4096
 
 
@@ -77,12 +78,15 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 class Index:
-    """Items by the shingles they hold and by the blocks of their fingerprints."""
+    """Items by the shingles they hold and by the blocks of their fingerprints.
+
+    All tables are sorted arrays: about 290 bytes for each item and 45 for each of its
+    shingles, so the index is of the order of ten times the text of its items.  Bags of
+    shingles are made from an item's words when a candidate is verified.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.bags, self.size, prints = [], [], [], []
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
-        anchors: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        self.ids, self.words, sizes, prints = [], [], [], []
         held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for i, text in items:
             words = bare_words(text or "")
@@ -90,30 +94,24 @@ class Index:
                 continue
             data = np.frombuffer(b" ".join(words), np.uint8)
             h = WordBlock(data, np.array([0, len(data)])).hashes
-            k = min(SHINGLE, len(words))
-            runs = _runs(h, k)
-            n = len(self.ids)
-            f = int(_simhash(runs, np.array([0]), np.array([len(runs)]))[0])
-            self.ids.append(i)
-            self.bags.append(bag(words))
-            self.size.append(len(words))
-            prints.append(f)
-            for x in runs.tolist():
-                anchors[k][x].add(len(words))
+            runs = _runs(h, min(SHINGLE, len(words)))
             keys, times = np.unique(runs, return_counts=True)
-            held[len(words)].append((keys, np.full(len(keys), n, np.int64), times))
-            tables = self.tables.setdefault(len(words), [defaultdict(list) for _ in range(8)])
-            for b, table in enumerate(tables):
-                v = f >> (8 * b) & 255
-                for near in [v, *(v ^ 1 << e for e in range(8))]:
-                    table[near].append(n)
-        self.prints = np.array(prints, np.uint64)
-        self.anchors = {}
-        for k, found in anchors.items():
-            keys = np.array(sorted(found), np.uint64)
-            sieve = np.zeros(1 << _SIEVE, bool)
-            sieve[keys & np.uint64((1 << _SIEVE) - 1)] = True
-            self.anchors[k] = (keys, [sorted(found[x]) for x in keys.tolist()], sieve)
+            held[len(words)].append((keys, np.full(len(keys), len(self.ids), np.int32), times.astype(np.int32)))
+            self.ids.append(i)
+            self.words.append(data.tobytes())
+            sizes.append(len(words))
+            prints.append(int(_simhash(runs, np.array([0]), np.array([len(runs)]))[0]))
+        self.size, self.prints = np.array(sizes, np.int64), np.array(prints, np.uint64)
+        #: by size: for each block and value, the items under it (a value's own and those one bit away)
+        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        near = np.append(0, 1 << np.arange(8)).astype(np.uint64)
+        for size in held:
+            n = np.flatnonzero(self.size == size).astype(np.int32)
+            self.tables[size] = []
+            for block in range(8):
+                values = (((self.prints[n] >> np.uint64(8 * block)) & np.uint64(255))[:, None] ^ near).ravel()
+                order = np.argsort(values, kind="stable")
+                self.tables[size].append((np.searchsorted(values[order], np.arange(257, dtype=np.uint64)), np.repeat(n, 9)[order]))
         #: by size: shingles, where the holders of each begin, and which item holds it how often
         self.holders = {}
         for size, parts in held.items():
@@ -121,18 +119,40 @@ class Index:
             order = np.argsort(key, kind="stable")
             keys, first = np.unique(key[order], return_index=True)
             self.holders[size] = (keys, np.r_[first, len(order)], item[order], times[order])
+        #: by words in a shingle: shingles, where the sizes of items that hold each begin, and the sizes
+        self.anchors = {}
+        for k in {min(SHINGLE, size) for size in held}:
+            own = [(self.holders[size][0], size) for size in sorted(held) if min(SHINGLE, size) == k]
+            key, of = np.concatenate([x for x, _ in own]), np.concatenate([np.full(len(x), size, np.int32) for x, size in own])
+            order = np.argsort(key, kind="stable")
+            keys, first = np.unique(key[order], return_index=True)
+            sieve = np.zeros(1 << _SIEVE, bool)
+            sieve[keys & np.uint64((1 << _SIEVE) - 1)] = True
+            self.anchors[k] = (keys, np.r_[first, len(order)], of[order], sieve)
+        self._bags: dict[int, Counter] = {}
+
+    def bag(self, n: int) -> Counter:
+        if n not in self._bags:
+            if len(self._bags) >= _BAGS:
+                self._bags.clear()
+            self._bags[n] = bag(self.words[n].split(b" "))
+        return self._bags[n]
 
     def candidates(self, prints: np.ndarray, size: int) -> list[tuple[int, int]]:
         """(window, item) within the radius, for items of ``size`` words."""
         out = []
-        tables = self.tables[size]
-        for w, f in enumerate(prints.tolist()):
-            found = set()
-            for b, table in enumerate(tables):
-                found.update(table.get(f >> (8 * b) & 255, ()))
-            if found:
-                n = np.fromiter(found, np.int64, len(found))
-                out += [(w, x) for x in n[np.bitwise_count(self.prints[n] ^ np.uint64(f)) <= RADIUS].tolist()]
+        for part in range(0, len(prints), _STEP):
+            f = prints[part : part + _STEP]
+            found = []
+            for block, (first, items) in enumerate(self.tables[size]):
+                v = ((f >> np.uint64(8 * block)) & np.uint64(255)).astype(np.int64)
+                many = first[v + 1] - first[v]
+                w = np.repeat(np.arange(len(f)), many)
+                n = items[np.repeat(first[v] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]
+                near = np.bitwise_count(self.prints[n] ^ f[w]) <= RADIUS
+                found.append(w[near] * np.int64(len(self.ids)) + n[near])
+            pairs = np.unique(np.concatenate(found))
+            out += zip((part + pairs // len(self.ids)).tolist(), (pairs % len(self.ids)).tolist())
         return out
 
     def shared(self, places: np.ndarray, hashes: np.ndarray, size: int, n_shingles: int, lo: int, hi: int, threshold: float) -> Iterator[tuple[int, list[tuple[int, int]]]]:
@@ -186,11 +206,13 @@ class Index:
             yield i, sorted(windows, key=lambda w: (-w[0], w[1]))
 
 
-def _windows(index: Index, block: WordBlock, threshold: float) -> Iterator[tuple]:
-    """(row, item, similarity, first word, last word + 1), the best window of each item."""
+def _windows(index: Index, block: WordBlock, threshold: float, whole: bool = True) -> Iterator[tuple[int, int, tuple]]:
+    """(row, number of the item, (- similarity, first word, last word + 1)), the best window
+    of each item.  A row shorter than an item is compared as it is, but not so where the
+    rows are parts of a text (``whole`` is false)."""
     by_row: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
     runs = {}
-    for k, (keys, sizes, sieve) in index.anchors.items():
+    for k, (keys, of, sizes, sieve) in index.anchors.items():
         if len(block.hashes) < k:
             continue
         runs[k] = s = _runs(block.hashes, k)
@@ -201,7 +223,7 @@ def _windows(index: Index, block: WordBlock, threshold: float) -> Iterator[tuple
         row = np.searchsorted(block.first, maybe, "right") - 1
         inside = maybe + k <= block.first[row + 1]
         for p, a, r in zip(maybe[inside].tolist(), at[inside].tolist(), row[inside].tolist()):
-            for size in sizes[a]:
+            for size in sizes[of[a] : of[a + 1]].tolist():
                 by_row[r][k, size].append(p)
     for r, groups in by_row.items():
         lo, hi = int(block.first[r]), int(block.first[r + 1])
@@ -209,6 +231,8 @@ def _windows(index: Index, block: WordBlock, threshold: float) -> Iterator[tuple
         words = [body[a:z].tobytes() for a, z in zip(block.starts[lo:hi].tolist(), block.ends[lo:hi].tolist())]
         best: dict[int, tuple] = {}
         for (k, size), places in groups.items():
+            if hi - lo < size and not whole:
+                continue
             size_here = min(size, hi - lo)
             p = np.unique(np.array(places))
             starts = np.unique((p[:, None] - np.arange(size_here - k + 1)).ravel())
@@ -219,7 +243,7 @@ def _windows(index: Index, block: WordBlock, threshold: float) -> Iterator[tuple
                 f = _simhash(runs[k][a:z], part - a, part - a + size_here - k + 1)
                 for w, n in index.candidates(f, size):
                     s = int(part[w]) - lo
-                    x = similarity(bag(words[s : s + size_here]), index.bags[n])
+                    x = similarity(bag(words[s : s + size_here]), index.bag(n))
                     if x >= threshold and (n not in best or (-x, s) < best[n][:2]):
                         best[n] = (-x, s, s + size_here)
             n_shingles = size_here - k + 1
@@ -228,27 +252,43 @@ def _windows(index: Index, block: WordBlock, threshold: float) -> Iterator[tuple
                     continue
                 for both, s in windows:
                     s -= lo
-                    x = similarity(bag(words[s : s + size_here]), index.bags[n])
+                    x = similarity(bag(words[s : s + size_here]), index.bag(n))
                     if x >= threshold and (n not in best or (-x, s) < best[n][:2]):
                         best[n] = (-x, s, s + size_here)
-                    if x == both / (n_shingles + index.bags[n].total() - both):  # not so if hashes collide
+                    if x == both / (n_shingles + index.bag(n).total() - both):  # not so if hashes collide
                         break
-        for n, (x, s, e) in best.items():
-            yield r, index.ids[n], -x, s, e
-
-
-_FOUND = "_id long, item_id long, similarity double, start_word long, end_word long"
+        for n, found in best.items():
+            yield r, n, found
+
+
+def _texts(index: Index, text: pa.Array, threshold: float) -> Iterator[tuple[int, dict[int, tuple]]]:
+    """(row, best window by item) of the rows that hold an item; a very long text is worked
+    on in parts that overlap by the longest item."""
+    data, offsets = string_buffers(pc.utf8_lower(text))
+    for lo, hi in row_spans(offsets):
+        d = data[offsets[lo] : offsets[hi]]
+        rows: dict[int, dict[int, tuple]] = defaultdict(dict)
+        if len(d) > LONG and hi - lo == 1:
+            for word, block, last in overlapping(d, max(int(index.size.max(initial=1)) - 1, 0), LONG, BARE):
+                for _, n, (x, s, e) in _windows(index, block, threshold, word == 0 and last):
+                    found = (x, s + word, e + word)
+                    if n not in rows[lo] or found < rows[lo][n]:
+                        rows[lo][n] = found
+        else:
+            for r, n, found in _windows(index, WordBlock(d, offsets[lo : hi + 1] - offsets[lo], BARE), threshold):
+                rows[lo + r][n] = found
+        yield from rows.items()
 
 
 def _scan(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for b in batches:
-            ids = b.column("_id").to_pylist()
-            found = [(ids[lo + r], *rest) for lo, _, block in blocks(pc.utf8_lower(b.column("_text")), between=BARE) for r, *rest in _windows(index, block, threshold)]
+            found = [(r, index.ids[n], -x, s, e) for r, best in _texts(index, b.column("_text"), threshold) for n, (x, s, e) in best.items()]
             if found:
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], ["_id", "item_id", "similarity", "start_word", "end_word"])
+                r, *rest = zip(*found)
+                columns = [pa.array(c, t) for c, t in zip(rest, (pa.int64(), pa.float64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(r)), *columns], ["_id", "_item", "similarity", "start_word", "end_word"])
 
     return run
 
@@ -256,9 +296,8 @@ def _scan(shared, threshold: float):
 def _leaks(shared, threshold: float):
     def run(text: pa.Array) -> pa.Array:
         out = np.zeros(len(text), bool)
-        for lo, _, block in blocks(pc.utf8_lower(text), between=BARE):
-            for r, *_ in _windows(shared.value, block, threshold):
-                out[lo + r] = True
+        for r, best in _texts(shared.value, text, threshold):
+            out[r] = bool(best)
         return pa.array(out)
 
     return run
@@ -266,21 +305,27 @@ def _leaks(shared, threshold: float):
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id_col, item_id, similarity, start_word, end_word): each item in each document
-    at its best window; words count from 0, bare words as above.
+    at its best window, of equal ones the first; words count from 0, bare words as above.
 
     Null or empty texts and items hold nothing.  Of items with equal text each is
-    reported.  Repeated document rows are reported as often as they occur.
+    reported.  Repeated document rows are reported as often as they occur.  Very long
+    texts are read whole, a part at a time.  Document ids may be of any type, item ids
+    are integers (others raise); other columns are ignored, whatever they are called,
+    but ``id_col`` may not be ``item_id``.  Empty tables give an empty result.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
+    if id_col == "item_id":
+        raise ValueError("the result has a column item_id already")
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
     out = None
     for index in _indices(docs, items, item_col, item_text, block_bytes):
-        found = d.mapInArrow(_scan(index, threshold), _FOUND)
+        found = d.mapInArrow(_scan(index, threshold), f"_id {d.schema['_id'].dataType.simpleString()}, _item long, similarity double, start_word long, end_word long")
         out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("_id", id_col)
+    return out.withColumnsRenamed({"_id": id_col, "_item": "item_id"})
 
 
 def _indices(docs: DataFrame, items: DataFrame, item_col: str, item_text: str, block_bytes: int) -> Iterator:
-    """Broadcast indices of the items, in blocks of bounded bytes."""
+    """Broadcast indices of the items, in blocks of at most about ``block_bytes`` of text,
+    each of which reaches the driver and is about ten times as large as an index."""
     spark = docs.sparkSession
     small_batches(spark)
     items = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
@@ -292,7 +337,8 @@ def _indices(docs: DataFrame, items: DataFrame, item_col: str, item_text: str, b
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without the rows whose text holds an item: a filter, without a shuffle."""
+    """``docs`` without the rows whose text holds an item: a filter, without a shuffle.
+    Null and empty texts stay, as do all texts if there is no item; column names are free."""
     for index in _indices(docs, items, item_col, item_text, block_bytes):
         leak = F.arrow_udf(_leaks(index, threshold), "boolean")(F.col(text_col).cast("string"))
         docs = docs.where(~leak)

@@ -10,9 +10,14 @@ The score is the softmax of the cross-entropies at a temperature fitted on calib
 rows; ``rejected`` marks texts whose cross-entropy is above nearly all calibration rows
 of the predicted language, so that they are probably in none of the learned ones.
 
-Learning uses at most about ``SAMPLE`` whole documents per language (drawn by a hash of
-id and text), so the model that is broadcast has a bounded size.  n-grams are packed in
-64 bits, sixteen for each character, and hashed by a bijection, so look-ups are exact.
+Learning uses at most about ``2 * SAMPLE`` whole documents per language, drawn by a hash
+of id and text, and at most about ``SAMPLE_BYTES`` of text over all languages, shared
+equally; so the model that is broadcast has a bounded size.  n-grams are packed in 64
+bits, sixteen for each character, and hashed by a bijection, so look-ups are exact;
+letters beyond the basic plane share 6,144 codes.
+
+Very long texts are scored and counted a part at a time, with three characters carried
+over, so memory does not grow with a text.
 """
 
 from __future__ import annotations
@@ -28,10 +33,12 @@ from pyspark.sql import functions as F
 from .common import mix, small_batches
 
 ORDER = 4
-SAMPLE = 400  # documents per language, each for the counts and for calibration
+SAMPLE = 400  # half the documents drawn per language, of which a quarter calibrate
+SAMPLE_BYTES = 64 << 20  # of text drawn over all languages
 REJECT = 0.999
 UNKNOWN = "und"
 CHUNK = 1 << 18
+START = "\x01"  # three stand before a text; in a text it is white space
 
 _fold: list[np.ndarray] = []
 
@@ -50,34 +57,55 @@ def _folded() -> np.ndarray:
     return _fold[0]
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(packed 4-gram, text number) of each predicted character, and letters per text."""
-    points = np.frombuffer("".join("\x01\x01\x01" + t + " " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    fold = _folded()
+def _letters(text: str) -> np.ndarray:
+    """One code per character: the letter in lower case, or space."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     high = points > 0xFFFF
-    c = fold[np.where(high, 32, points)]
+    c = _folded()[np.where(high, 32, points)]
     if high.any():
-        text = "".join(map(chr, points[high].tolist()))
-        c[high] = [0xE000 + ord(x) % 0x1800 if x.isalpha() else 32 for x in text]
+        c[high] = [0xE000 + ord(x) % 0x1800 if x.isalpha() else 32 for x in map(chr, points[high].tolist())]
+    return c
+
+
+def _packed(c: np.ndarray) -> np.ndarray:
+    g = c.copy()
+    for k in range(1, ORDER):
+        g[k:] |= c[:-k] << np.uint64(16 * k)
+    return g
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(packed 4-gram, text number) of each predicted character, and letters per text."""
+    c = _letters("".join(START * 3 + t.replace(START, " ") + " " for t in texts))
     row = np.repeat(np.arange(len(texts)), [len(t) + 4 for t in texts])
     letters = np.bincount(row[c > 32], minlength=len(texts))
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
     c, row = c[keep], row[keep]
-    g = c.copy()
-    for k in range(1, ORDER):
-        g[k:] |= c[:-k] << np.uint64(16 * k)
     said = c != 1
-    return g[said], row[said], letters
+    return _packed(c)[said], row[said], letters
+
+
+def _long_codes(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """As ``_codes`` for one text, a part at a time: (packed 4-grams, letters)."""
+    before = np.ones(ORDER - 1, np.uint64)
+    for at in range(0, len(text), CHUNK):
+        part = text[at : at + CHUNK].replace(START, " ") + (" " if at + CHUNK >= len(text) else "")
+        c = _letters(part)
+        letters = int((c > 32).sum())
+        c = np.append(before, c[(c != 32) | (np.append(before[-1], c[:-1]) != 32)])
+        before = c[-(ORDER - 1) :]
+        yield _packed(c)[ORDER - 1 :], letters
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Slices of about ``CHUNK`` characters; a longer text by itself."""
     lo = size = 0
     for k, t in enumerate(texts):
+        if size and size + len(t) > CHUNK:
+            yield lo, k
+            lo, size = k, 0
         size += len(t)
-        if size > CHUNK:
-            yield lo, k + 1
-            lo, size = k + 1, 0
     if lo < len(texts):
         yield lo, len(texts)
 
@@ -164,6 +192,13 @@ class Model:
         """(cross-entropy per character of each text in each language, letters)."""
         out, letters = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
         for lo, hi in _groups(texts):
+            if len(texts[lo]) > CHUNK:
+                n = 0
+                for g, some in _long_codes(texts[lo]):
+                    out[lo] -= self.logp(g).sum(axis=0, dtype=float)
+                    n, letters[lo] = n + len(g), letters[lo] + some
+                out[lo] /= max(n, 1)
+                continue
             g, row, letters[lo:hi] = _codes(texts[lo:hi])
             p = self.logp(g)
             n = np.maximum(np.bincount(row, minlength=hi - lo), 1)
@@ -183,8 +218,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, texts = np.array(b.column("_lang").to_pylist(), object), b.column("_text").to_pylist()
         for lang in sorted(set(langs)):
             mine = [t for t, x in zip(texts, langs) if x == lang]
-            for lo, hi in _groups(mine):
-                codes, n = np.unique(_codes(mine[lo:hi])[0], return_counts=True)
+            for g in (g for lo, hi in _groups(mine) for g in ((x for x, _ in _long_codes(mine[lo])) if len(mine[lo]) > CHUNK else (_codes(mine[lo:hi])[0],))):
+                codes, n = np.unique(g, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.view(np.int64)), pa.array(n)], ["lang", "code", "n"])
 
 
@@ -197,19 +232,23 @@ def _measured(shared):
     return run
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE):
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES):
     """(broadcast model, temperature, least cross-entropy at which a language rejects).
 
-    ``labelled`` rows without language, text or letters teach nothing.
+    ``labelled`` rows without language, text or letters teach nothing; of each language
+    at least one row is counted, so that every language can be predicted.
     """
     spark = labelled.sparkSession
     small_batches(spark)
     d = labelled.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("_h")).where("_lang is not null and _text is not null")
-    rate = [(r["_lang"], min(1.0, 2.0 * sample / r["n"])) for r in d.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()]
-    if not rate:
+    key = F.pmod("_h", F.lit(1 << 20))
+    seen = d.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_text").cast("double")).alias("size"), F.min_by("_h", F.struct(key, F.col("_h"))).alias("first")).collect()
+    if not seen:
         return None, 1.0, {}
-    share = F.element_at(F.create_map(*[F.lit(x) for r in rate for x in r]), F.col("_lang"))
-    d = d.where(F.pmod("_h", F.lit(1 << 20)) < share * (1 << 20)).withColumn("_half", F.pmod(F.shiftright("_h", 32), F.lit(4)) == 0)
+    share = F.create_map(*[F.lit(x) for r in seen for x in (r["_lang"], min(1.0, 2.0 * sample / r["n"], sample_bytes / len(seen) / max(r["size"], 1.0)))])
+    first = F.create_map(*[F.lit(x) for r in seen for x in (r["_lang"], r["first"])])
+    is_first = F.col("_h") == F.element_at(first, F.col("_lang"))
+    d = d.where(is_first | (key < F.element_at(share, F.col("_lang")) * (1 << 20))).withColumn("_half", (F.pmod(F.shiftright("_h", 32), F.lit(4)) == 0) & ~is_first)
     rows = d.where("not _half").select("_lang", "_text").mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     counts = {}
     for lang, g in rows.groupby("lang"):
@@ -254,11 +293,15 @@ def _predict(shared, temperature: float, limits: dict):
 
 
 def identify(docs: DataFrame, fitted, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``language`` of lang_pred, score, entropy and rejected.
+    """``docs`` with a struct ``language`` of lang_pred, score, entropy and rejected, which
+    replaces an input column of that name; other columns pass through under any name.
 
     Texts that are null or have no letter are ``und`` with score 0, as are all texts
     if nothing could be learned.  Ties go to the first language in code point order.
+    Repeated rows get equal results; very long texts count whole, a part at a time; an
+    empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     return docs.withColumn("language", F.arrow_udf(_predict(*fitted), _OUT)(F.col(text_col).cast("string")))
 
 

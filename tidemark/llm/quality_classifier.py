@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordBlock, blocks, mix, small_batches, written
+from .common import LONG, WordBlock, mix, overlapping, row_spans, small_batches, string_buffers, written
 from .language_id import held_out
 
 FEATURES = 128
@@ -62,26 +62,10 @@ def _distinct(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.bincount(row[first], minlength=rows).astype(float)
 
 
-def statistics(block: WordBlock) -> np.ndarray:
-    """STATS of each row of the block."""
-    rows = len(block.first) - 1
-    n = np.diff(block.first).astype(float)
-    row = np.repeat(np.arange(rows), np.diff(block.first))
-    of_byte = np.repeat(np.arange(rows), np.diff(block.offsets))
-    kinds = np.bincount(of_byte * 8 + _KIND[block.data], minlength=8 * rows).reshape(rows, 8).astype(float)
-    length = (block.ends - block.starts).astype(float)
-    size = np.bincount(row, weights=length, minlength=rows)
-    # capitals beyond ASCII, two-byte Latin: C3 80 to C3 9E
-    d = block.data
-    wide = np.flatnonzero((d[:-1] == 0xC3) & (d[1:] >= 0x80) & (d[1:] <= 0x9E)) if len(d) > 1 else np.zeros(0, np.int64)
-    kinds[:, 1] += np.bincount(of_byte[wide], minlength=rows)
-    h = block.hashes
-    pair = mix(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else h[:0]
-    triple = mix(pair[:-1] * np.uint64(5) + h[2:]) if len(h) > 2 else h[:0]
-    in2, in3 = row[: len(pair)] == row[1 : len(pair) + 1], row[: len(triple)] == row[2 : len(triple) + 2]
-    some, words2, words3 = np.maximum(n, 1), np.maximum(n - 1, 1), np.maximum(n - 2, 1)
-    body = np.maximum(size, 1)
-    same = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=rows) if len(h) > 1 else np.zeros(rows)
+def _ratios(n, size, kinds, distinct, same, long_words) -> np.ndarray:
+    """STATS from counts per row; ``kinds`` has a column per kind of byte."""
+    some, words2, words3, body = np.maximum(n, 1), np.maximum(n - 1, 1), np.maximum(n - 2, 1), np.maximum(size, 1)
+    one, two, three = distinct
     return np.stack(
         [
             np.log1p(n),
@@ -93,18 +77,69 @@ def statistics(block: WordBlock) -> np.ndarray:
             kinds[:, 4] / body,
             kinds[:, 5] / body,
             kinds[:, 7] / body,
-            _distinct(h, row, rows) / some,
-            _distinct(pair[in2], row[: len(pair)][in2], rows) / words2,
-            _distinct(triple[in3], row[: len(triple)][in3], rows) / words3,
+            one / some,
+            two / words2,
+            three / words3,
             same / words2,
-            np.bincount(row, weights=length > 24, minlength=rows) / some,
+            long_words / some,
         ],
         axis=1,
     )
 
 
+def _wide_capitals(d: np.ndarray) -> np.ndarray:
+    """Where capitals beyond ASCII begin, two-byte Latin: C3 80 to C3 9E."""
+    return np.flatnonzero((d[:-1] == 0xC3) & (d[1:] >= 0x80) & (d[1:] <= 0x9E)) if len(d) > 1 else np.zeros(0, np.int64)
+
+
+def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pair = mix(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else h[:0]
+    return pair, mix(pair[:-1] * np.uint64(5) + h[2:]) if len(h) > 2 else h[:0]
+
+
+def statistics(block: WordBlock) -> np.ndarray:
+    """STATS of each row of the block."""
+    rows = len(block.first) - 1
+    n = np.diff(block.first).astype(float)
+    row = np.repeat(np.arange(rows), np.diff(block.first))
+    of_byte = np.repeat(np.arange(rows), np.diff(block.offsets))
+    kinds = np.bincount(of_byte * 8 + _KIND[block.data], minlength=8 * rows).reshape(rows, 8).astype(float)
+    kinds[:, 1] += np.bincount(of_byte[_wide_capitals(block.data)], minlength=rows)
+    length = (block.ends - block.starts).astype(float)
+    h = block.hashes
+    pair, triple = _runs(h)
+    in2, in3 = row[: len(pair)] == row[1 : len(pair) + 1], row[: len(triple)] == row[2 : len(triple) + 2]
+    same = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=rows) if len(h) > 1 else np.zeros(rows)
+    distinct = _distinct(h, row, rows), _distinct(pair[in2], row[: len(pair)][in2], rows), _distinct(triple[in3], row[: len(triple)][in3], rows)
+    return _ratios(n, np.bincount(row, weights=length, minlength=rows), kinds, distinct, same, np.bincount(row, weights=length > 24, minlength=rows))
+
+
+def long_statistics(data: np.ndarray, part: int = 1 << 21) -> np.ndarray:
+    """STATS of one very long text, a part at a time: memory is that of a part and eight
+    bytes for each distinct word, pair and triple."""
+    kinds = np.zeros((1, 8))
+    for at in range(0, len(data), part):
+        d = data[at : at + part + 1]
+        kinds[0] += np.bincount(_KIND[d[:part]], minlength=8)
+        kinds[0, 1] += int((_wide_capitals(d) < part).sum())
+    n = size = same = long_words = 0
+    sets = [np.zeros(0, np.uint64)] * 3
+    for word, block, _ in overlapping(data, 2, part):
+        old = n - word  # words of the part before that come again
+        length, h = (block.ends - block.starts)[old:], block.hashes
+        same += int((h[1:] == h[:-1])[max(old - 1, 0) :].sum())
+        n, size, long_words = n + len(length), size + int(length.sum()), long_words + int((length > 24).sum())
+        sets = [np.union1d(x, y) for x, y in zip(sets, (h, *_runs(h)))]
+    one = lambda x: np.array([float(x)])
+    return _ratios(one(n), one(size), kinds, [one(len(x)) for x in sets], one(same), one(long_words))
+
+
 def all_statistics(text: pa.Array) -> np.ndarray:
-    parts = [statistics(b) for _, _, b in blocks(text)]
+    data, offsets = string_buffers(text)
+    parts = []
+    for lo, hi in row_spans(offsets):
+        d = data[offsets[lo] : offsets[hi]]
+        parts.append(long_statistics(d) if len(d) > LONG and hi - lo == 1 else statistics(WordBlock(d, offsets[lo : hi + 1] - offsets[lo])))
     return np.concatenate(parts) if parts else np.zeros((0, len(STATS)))
 
 
@@ -202,8 +237,9 @@ def fit(labelled: DataFrame):
 
 def with_labels(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", folds: int = 4, out_fold: int = 2, calibrate_fold: int = 3) -> DataFrame:
     """(stats, y, calibrate) of the labelled rows outside the held-out fold; rows whose
-    id or label is null, or label other than 0 and 1, teach nothing."""
-    y = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("double").alias("y")).where("_id is not null and y in (0, 1)")
+    id or label is null, or label other than 0 and 1, teach nothing.  Ids may be of any
+    type that both tables share; repeated rows count as often as they occur."""
+    y = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("y")).where("_id is not null and y in (0, 1)")
     j = stats.join(y, "_id").where(~held_out(F.col("_id"), folds, out_fold))
     return j.select("stats", "y", held_out(F.col("_id"), folds, calibrate_fold).alias("calibrate"))
 
@@ -211,7 +247,7 @@ def with_labels(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, stats), written to the shared folder; null texts have the statistics of empty ones."""
     small_batches(docs.sparkSession)
-    return written(docs.select(F.col(id_col).cast("long").alias("_id"), F.arrow_udf(_stats, "array<double>")(F.col(text_col).cast("string")).alias("stats")), "statistics")
+    return written(docs.select(F.col(id_col).alias("_id"), F.arrow_udf(_stats, "array<double>")(F.col(text_col).cast("string")).alias("stats")), "statistics")
 
 
 def _probability(shared, of):
@@ -222,10 +258,22 @@ def _probability(shared, of):
     return run
 
 
-def scored(docs: DataFrame, fitted, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``quality_score``, straight from the texts.  Without any label
-    nothing is held against a document, and the score is 1."""
-    return docs.withColumn("quality_score", F.arrow_udf(_probability(fitted, all_statistics), "double")(F.col(text_col).cast("string")))
+def scored(docs: DataFrame, fitted, text_col: str = "text", out: str = "quality_score") -> DataFrame:
+    """``docs`` with the score in column ``out``, straight from the texts; an input column
+    of that name is replaced, others pass through under any name.
+
+    Null texts score as empty ones do; repeated rows score equally; very long texts are
+    read whole, a part at a time; an empty table gives an empty one.  Without any label
+    nothing is held against a document, and the score is 1.
+    """
+    small_batches(docs.sparkSession)
+    return docs.withColumn(out, F.arrow_udf(_probability(fitted, all_statistics), "double")(F.col(text_col).cast("string")))
+
+
+def accepted(docs: DataFrame, fitted, text_col: str = "text", least: float = ACCEPT) -> DataFrame:
+    """The rows that score ``least`` or more, with their own columns, whatever those are called."""
+    small_batches(docs.sparkSession)
+    return docs.where(F.arrow_udf(_probability(fitted, all_statistics), "double")(F.col(text_col).cast("string")) >= least)
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:

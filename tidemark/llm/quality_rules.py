@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, words, written
+from .common import boxed, unboxed, words, written
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -44,7 +44,18 @@ def mask(rules) -> int:
     return sum(1 << names.index(r) for r in rules)
 
 
-def _repeat_words(w: Column, n: Column) -> Column:
+def _rolled(d: DataFrame) -> DataFrame:
+    """``_hashes`` of single words made hashes of the WINDOW words from each place on, by
+    doubling: every word is hashed once, then pairs, fours and eights of hashes (the last
+    places hash what is left).  A projection for each step, so that none is made twice."""
+    size = 1
+    while size < WINDOW:
+        d = d.withColumn("_hashes", F.zip_with("_hashes", F.slice("_hashes", size + 1, F.size("_hashes")), lambda a, b: F.xxhash64(a, b)))
+        size *= 2
+    return d
+
+
+def _repeat_words() -> Column:
     """Words in windows of WINDOW words that occur twice or more.
 
     The hashes of all windows are made first; only where they are not all distinct
@@ -78,29 +89,30 @@ def _covered() -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns of MEASURES (long); a clashing input column is replaced.
+    """``docs`` with the columns of MEASURES (long); a clashing input column is replaced,
+    others pass through under any name.
 
-    Null text has no words, lines or characters.
+    Null text has no words, lines or characters; repeated rows get equal results; very
+    long texts are measured whole, within their row; an empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]
-    d = docs.select(*keep, text.alias("_text"), words(text).alias("_words"))
-    n = F.size("_words")
-    window = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))).otherwise(F.array().cast("array<long>"))
+    d = _rolled(boxed(docs, _text=text, _hashes=F.transform(words(text), lambda w: F.xxhash64(w))))
+    n = F.size("_hashes")
+    window = F.when(n >= WINDOW, F.slice("_hashes", 1, F.greatest(n - (WINDOW - 1), F.lit(1)))).otherwise(F.array().cast("array<long>"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.select(*keep, "_text", n.cast("long").alias("n_words"), window.alias("_windows"), lines.alias("_lines"))
-    gone = lambda chars: F.length("_text") - F.length(F.translate("_text", chars, ""))
+    d = d.select("_row", "_text", n.cast("long").alias("n_words"), window.alias("_windows"), lines.alias("_lines"))
+    count = lambda chars: F.regexp_count("_text", F.lit(chars))
     out = {
         "n_words": F.col("n_words"),
-        "word_chars": F.length(F.translate("_text", SPACES, "")),
-        "n_symbols": gone(SYMBOLS),
+        "word_chars": F.length("_text") - count(r"[\x20\x09-\x0D]"),
+        "n_symbols": count(f"[{SYMBOLS}]"),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": _repeat_words(F.col("_words"), n),
+        "n_repeat_words": _repeat_words(),
         "n_lines": F.size("_lines"),
         "n_letters": F.length(F.regexp_replace("_text", r"\P{L}+", "")),
         "n_upper": F.length(F.regexp_replace("_text", r"\P{Lu}+", "")),
     }
-    return d.select(*keep, *[c.cast("long").alias(k) for k, c in out.items()])
+    return unboxed(d, **{k: c.cast("long") for k, c in out.items()})
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -137,6 +149,11 @@ def ablation(entries: DataFrame, policy: str, version: int) -> DataFrame:
     return row.select(F.inline(each))
 
 
+def stored_ablation(docs: DataFrame, policy: str = "web", version: int = 2) -> DataFrame:
+    """``ablation`` of a policy over the stored ledger of whole texts."""
+    return ablation(stored_ledger(docs), policy, version)
+
+
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return stored_ledger(docs).select("doc_id", *MEASURES[:5], (~passes("base", 1)).alias("base_failed"), passes("web", 2).alias("kept"), "failed", *MEASURES[5:])
@@ -159,3 +176,12 @@ f AS (SELECT *, ((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)
   + 64 * (n_words > 0 AND 2 * n_letters < word_chars)::INT)::BIGINT AS failed FROM m)
 SELECT *, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f
 """
+
+
+def quality_rules_ablation(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the policy that op6 applies rejects, and rejects alone."""
+    return stored_ablation(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ABLATION = f"""WITH f AS (SELECT failed FROM ({ORACLE})), r AS (SELECT unnest({list(RULES)}) AS rule, unnest(range({len(RULES)})) AS k)
+SELECT rule, count(*) FILTER (WHERE failed & (1 << k::INT) <> 0) AS fails, count(*) FILTER (WHERE failed = (1 << k::INT)) AS fails_alone FROM r, f GROUP BY rule"""

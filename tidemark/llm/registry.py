@@ -8,8 +8,8 @@ _MODULES = (substring_dedup, decontaminate, warc_archive, simhash_dedup, chat_fo
 
 
 def queries() -> dict:
-    return {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit()}
+    return {"quality_rules_ablation": quality_rules.quality_rules_ablation} | {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict:
-    return {name: m.ORACLE for m in _MODULES for name in vars(m) if name.startswith("op") and name[2].isdigit() and getattr(m, "ORACLE", None)}
+    return {"quality_rules_ablation": quality_rules.ABLATION} | {name: m.ORACLE for m in _MODULES for name in vars(m) if name.startswith("op") and name[2].isdigit() and getattr(m, "ORACLE", None)}

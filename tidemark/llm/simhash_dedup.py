@@ -20,38 +20,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import boxed, discarded, normal, small_batches, unboxed, written
 
 RADIUS = 4
 BLOCKS = (0, 13, 26, 39, 52)  # where the blocks start; the first HEAD bits of each are the key
 HEAD = 12
 SUB_BLOCKS, SUB_HEAD = (0, 10, 20, 30, 40), 10  # within the 52 bits below the key
 SPLIT = 20_000
+SALT = 16
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
     """64-bit SimHash of the text, unsigned."""
-    w = text.lower().split()
+    whole, at = normal(text.lower())
+    w = len(at) - 1
     if not w:
         return 0
-    n = max(1, len(w) - shingle + 1)
-    whole = b" ".join(w)
-    length = np.array([len(x) + 1 for x in w], np.int64)
-    end = np.cumsum(length)
-    start = (end - length)[:n].tolist()
-    end = (end[-n:] - 1).tolist()
+    n = max(1, w - shingle + 1)
+    start, end = at[:n], at[min(shingle, w) :] - 1
     digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for k in range(0, n, 1 << 15):
-        h = np.array([digest(whole[a:z], 42) for a, z in zip(start[k : k + (1 << 15)], end[k : k + (1 << 15)])], "<u8")
+        h = np.array([digest(whole[a:z], 42) for a, z in zip(start[k : k + (1 << 15)].tolist(), end[k : k + (1 << 15)].tolist())], "<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(text: pa.Array) -> pa.Array:
-    return pa.array(np.array([fingerprint((t.as_py() or "").encode()) for t in text], np.uint64).view(np.int64))
+    return pa.array(np.array([fingerprint(t.as_py() or b"") for t in text.cast(pa.binary())], np.uint64).view(np.int64))
 
 
 # --- the trie, one rotation at a time ---------------------------------------------
@@ -156,7 +154,7 @@ def _compare(keys, parent, a, b, c, d, radius, most: int = 1 << 18) -> None:
 _LINKS = "u long, v long"
 
 
-def _join_tries(split: bool):
+def _join_tries():
     """Links between the fingerprints of a partition sorted by (part, turned)."""
 
     def links(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +210,7 @@ def links(fps: DataFrame, split: int = SPLIT) -> DataFrame:
     key = F.explode(F.array(*[F.struct((F.col("part") * len(SUB_BLOCKS) + (len(BLOCKS) + s)).alias("part"), top.bitwiseOR(_turn(below, b, width)).alias("turned")) for s, b in enumerate(SUB_BLOCKS)]))
     again = first.where("crowd").select("fp", key.alias("k")).select("fp", "k.part", "k.turned").withColumn("head", F.shiftrightunsigned("turned", 64 - HEAD - SUB_HEAD))
     dealt = first.where("crowd is null").select("fp", "part", "turned", "head").unionByName(again)
-    return dealt.repartition("part", "head").sortWithinPartitions("part", "turned").mapInArrow(_join_tries(True), _LINKS)
+    return dealt.repartition("part", "head").sortWithinPartitions("part", "turned").mapInArrow(_join_tries(), _LINKS)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -230,7 +228,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        old, edges = edges, written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discarded(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select("u", F.col("v").alias("root"))
@@ -238,36 +237,59 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("the links did not settle")
 
 
+def fingerprints(docs: DataFrame, text_col: str = "text") -> Column:
+    """SimHash of a text column as a signed long."""
+    return F.arrow_udf(_fingerprints, "long")(F.col(text_col).cast("string"))
+
+
+def groups_of(rows: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(fp, component_id) for each distinct ``fp`` of stored (_id, fp)."""
+    nodes = rows.groupBy("fp").agg(F.min("_id").alias("least"))
+    roots = components(links(nodes.select("fp"), split))
+    linked = nodes.join(roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct()), F.col("fp") == F.col("u")).select("fp", "least", "root")
+    # a group may hold a third of all fingerprints, so its rows are dealt to SALT slices
+    slice_ = F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int").alias("_salt")
+    least = linked.groupBy("root", slice_).agg(F.min("least").alias("least")).groupBy("root").agg(F.min("least").alias("component_id"))
+    least = least.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    joined = linked.select("fp", "root", slice_).join(least, ["root", "_salt"]).select("fp", "component_id", F.lit(True).alias("_linked"))
+    # fingerprints without a link are groups of their own
+    return nodes.join(joined, "fp", "left").select("fp", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
-    """(id_col, fingerprint long, component_id): one row per row of ``docs``.
+    """(id_col, fingerprint long, component_id): one row per row of ``docs``, whose other
+    columns may have any name.
 
-    ``component_id`` is the smallest id that links reach, the row's own included.
-    Null and empty texts have fingerprint zero and are linked like any other.  Rows
+    ``component_id`` is the smallest id that links reach, the row's own included; ids may
+    be of any type that has an order.  Null and empty texts have fingerprint zero and are
+    linked like any other; very long texts are read whole, a part at a time.  Rows
     without an id take part; their group's id is null only if no member has one.
-    Repeated rows get equal results.
+    Repeated rows get equal results; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    f = F.arrow_udf(_fingerprints, "long")
-    rows = written(docs.select(F.col(id_col).cast("long").alias("_id"), f(F.col(text_col).cast("string")).alias("fp")), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("_id").alias("least"))
-    roots = components(links(nodes.select("fp"), split))
-    rooted = nodes.join(roots, nodes["fp"] == roots["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.join(groups, "fp").select(F.col("_id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows of a group but that with the smallest id; rows that
-    repeat an id count as one document.  Rows without an id stay if their whole group
-    has none."""
-    groups = simhash_groups(docs, id_col, text_col)
-    stays = groups.where(f"{id_col} = component_id").select(F.col(id_col).alias("_stays")).distinct()
-    kept = docs.join(stays, F.col(id_col).cast("long") == F.col("_stays"), "left_semi").dropDuplicates([id_col])
-    bare = groups.where(f"{id_col} is null and component_id is null").select("fingerprint").distinct()
-    f = F.arrow_udf(_fingerprints, "long")
-    lone = docs.where(F.col(id_col).isNull()).withColumn("_fp", f(F.col(text_col).cast("string"))).join(bare.withColumnRenamed("fingerprint", "_fp"), "_fp", "left_semi").drop("_fp")
-    return kept.unionByName(lone)
+    rows = written(docs.select(F.col(id_col).alias("_id"), fingerprints(docs, text_col).alias("fp")), "fingerprints")
+    return rows.join(groups_of(rows, split), "fp").select(F.col("_id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
+    """``docs`` without the rows of a group but one: that with the smallest id, of rows
+    with that id the one with the least digest of its columns, so that reruns agree.
+    Rows without an id stay if their whole group has none, equal ones once.
+
+    Ids, digests (of 128 bits) and fingerprints decide; the texts travel once, to the
+    join with the decision.  Column names are free; an empty table gives an empty one.
+    """
+    small_batches(docs.sparkSession)
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    every = [*cols, *[c.isNull() for c in cols]]
+    d = boxed(docs, _id=F.col(id_col), fp=fingerprints(docs, text_col), _k=F.xxhash64(*every), _l=F.xxhash64(F.lit(1), *every))
+    rows = written(d.select("_id", "fp", "_k", "_l"), "fingerprints")
+    best = rows.join(groups_of(rows, split), "fp").where(F.col("_id").eqNullSafe(F.col("component_id")))
+    one = best.where("_id is not null").groupBy("_id").agg(F.min(F.struct("_k", "_l")).alias("k")).select("k._k", "k._l")
+    stays = one.unionByName(best.where("_id is null").select("_k", "_l").distinct()).withColumn("_stays", F.lit(True))
+    # one shuffle of the texts serves the join and the choice among equal rows
+    kept = d.select("_row", "_k", "_l").join(stays, ["_k", "_l"])
+    return unboxed(kept.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_l").orderBy("_k"))).where("_n = 1"))
 
 
 def op4_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordBlock, blocks, mix, small_batches, string_buffers
+from .common import LONG, WordBlock, mix, normal, overlapping, row_spans, small_batches, string_buffers
 
 MER = 8
 HOT = 1024
@@ -80,13 +80,17 @@ def _light(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, keys = b.column("_id").to_numpy(zero_copy_only=False), b.column("_key").to_numpy(zero_copy_only=False)
-            for lo, _, block in blocks(b.column("_text")):
-                first, n, mini = _minimisers(block, window)
-                row = np.searchsorted(block.first, first, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mini.view(np.int64)), pa.array(ids[lo + row]), pa.array(keys[lo + row]), pa.array((first - block.first[row]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["mini", "_id", "_key", "start", "n"],
-                )
+            data, offsets = string_buffers(b.column("_text"))
+            for lo, hi in row_spans(offsets):
+                d = data[offsets[lo] : offsets[hi]]
+                parts = overlapping(d, window - 1) if len(d) > LONG and hi - lo == 1 else [(0, WordBlock(d, offsets[lo : hi + 1] - offsets[lo]), True)]
+                for word, block, _ in parts:
+                    first, n, mini = _minimisers(block, window)
+                    row = np.searchsorted(block.first, first, "right") - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(mini.view(np.int64)), pa.array(ids[lo + row]), pa.array(keys[lo + row]), pa.array((word + first - block.first[row]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                        ["mini", "_id", "_key", "start", "n"],
+                    )
 
     return run
 
@@ -101,10 +105,10 @@ def _cut(window: int):
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
             size = 0
-            for text, i, k, marks in zip(b.column("_text"), b.column("_id").to_pylist(), b.column("_key").to_pylist(), b.column("marks")):
-                w = text.as_py().encode().split()
+            for text, i, k, marks in zip(b.column("_text").cast(pa.binary()), b.column("_id").to_pylist(), b.column("_key").to_pylist(), b.column("marks")):
+                whole, at = normal(text.as_py())
                 for m in marks.as_py():
-                    packed = b" ".join(w[m["start"] : m["start"] + m["n"] + window - 1])
+                    packed = whole[at[m["start"]] : at[m["start"] + m["n"] + window - 1] - 1]
                     for c, v in zip(out, (m["mini"], i, k, m["start"], m["n"], packed)):
                         c.append(v)
                     size += len(packed)
@@ -130,12 +134,8 @@ def _digests(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for text, i, k, marks in zip(b.column("_text"), b.column("_id").to_pylist(), b.column("_key").to_pylist(), b.column("marks")):
-                w = text.as_py().encode().split()
-                whole = b" ".join(w)
-                at = np.zeros(len(w) + 1, np.int64)
-                np.cumsum([len(x) + 1 for x in w], out=at[1:])
-                at = at.tolist()
+            for text, i, k, marks in zip(b.column("_text").cast(pa.binary()), b.column("_id").to_pylist(), b.column("_key").to_pylist(), b.column("marks")):
+                whole, at = normal(text.as_py())
                 found: defaultdict = defaultdict(list)
                 for m in marks.as_py():
                     for s in range(m["start"], m["start"] + m["n"]):
@@ -257,20 +257,23 @@ _KEPT = "struct<n_words:long,n_removed:long,kept:string>"
 
 
 def _keep(text: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for t, s in zip(text, spans):
-        t, s = t.as_py(), s.as_py()
-        w = [] if t is None else t.encode().split()
-        n, gone = len(w), 0
+    counts, gone, kept = [], [], []
+    for t, s in zip(text.cast(pa.binary()), spans):
+        whole, at = normal(t.as_py() or b"")
+        n, s = len(at) - 1, s.as_py()
+        out, removed = [whole], 0
         if s:
-            kept, end = [], 0
-            for x in sorted(s, key=lambda x: (x["lo"], x["hi"])):
-                kept += w[end : x["lo"]] if x["lo"] > end else []
+            out, end = [], 0
+            for x in [*sorted(s, key=lambda x: (x["lo"], x["hi"])), {"lo": n, "hi": n}]:
+                if x["lo"] > end:
+                    out.append(whole[at[end] : at[x["lo"]] - 1])
+                    removed -= x["lo"] - end
                 end = max(end, x["hi"])
-            kept += w[end:]
-            w, gone = kept, n - len(kept)
-        out.append({"n_words": n, "n_removed": gone, "kept": b" ".join(w).decode()})
-    return pa.array(out, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
+            removed += n
+        counts.append(n)
+        gone.append(removed)
+        kept.append(b" ".join(out))
+    return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_words", "n_removed", "kept"])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot: int = HOT) -> DataFrame:
@@ -279,8 +282,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``dedup``; an input column of that name is replaced.
 
     Null text: no words, ``kept`` empty.  Texts shorter than a window lose
-    nothing.  Rows with one id never remove each other's words; rows without an
-    id are left alone.  Other columns pass through under any name.
+    nothing; very long ones are read whole, a part at a time.  Rows with one id never
+    remove each other's words; rows without an id are left alone.  Ids are integers
+    (others raise).  Other columns pass through under any name; an empty table gives an
+    empty one.
     """
     small_batches(docs.sparkSession)
     d = _keyed(docs, id_col, text_col)
