@@ -29,6 +29,8 @@ from .common import shared_dir
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 SLICE = 1024  # records of one payload in a task
+#: An archive is written once and kept, so it is compressed harder than Spark does by itself.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(4 << 20)}
 
 
 def base32(hexadecimal: Column, digits: int = 40) -> Column:
@@ -56,7 +58,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     """
     body = F.coalesce(F.col(body_col).cast("string"), F.lit("")).cast("binary")
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), _uri(F.col(url_col).cast("string")).alias("url"), body.alias("payload"))
-    light = p.select("page_id", "url", F.unhex(F.sha2("payload", 256)).alias("digest"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n"))
+    light = p.select("page_id", "url", F.unhex(F.sha2("payload", 256)).alias("digest"), F.unhex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("n"))
     first = light.groupBy("digest", "n").agg(F.max("page_id").alias("holder"), F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
     typed = light.join(first, ["digest", "n"]).withColumn("revisit", (F.col("n") >= revisit_from) & ~F.col("page_id").eqNullSafe(F.col("holder")))
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit(CRLF))
@@ -68,19 +70,19 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         line("WARC-Record-ID", record(F.col("page_id"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.col("url")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.hex("sha1")))),
         F.when(F.col("revisit"), F.concat(line("WARC-Refers-To", record(F.col("holder"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", (F.when(F.col("revisit"), 0).otherwise(F.col("n")) + len(http)).cast("string")),
         F.lit(CRLF + http),
     )
     slice_ = F.pmod(F.xxhash64("page_id", "url"), F.col("slices")).cast("int").alias("slice")
-    typed.select("page_id", header.cast("binary").alias("header"), "digest", slice_).write.parquet(f"{path}/records")
+    typed.select("page_id", header.cast("binary").alias("header"), "digest", slice_).write.options(**PACKED).parquet(f"{path}/records")
     at = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63))).alias("at")
     full = p.select(F.unhex(F.sha2("payload", 256)).alias("digest"), at("page_id"), "payload")
     held = full.join(first.select("digest", at("holder"), "slices"), ["digest", "at"])
     # partitioned by both keys already, so dropping repeated rows needs no further shuffle
-    held.dropDuplicates(["digest", "at"]).select("digest", "payload", "slices").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    held.dropDuplicates(["digest", "at"]).select("digest", "payload", "slices").write.options(**PACKED).parquet(f"{path}/payloads")
 
 
 def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
