@@ -47,13 +47,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ``n_chars`` follows the text.  Rows with one id do not shorten each other; rows
     without an id are left alone.
     """
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest")
-    d = substring_dedup.substring_dedup(docs.select(F.col("doc_id").alias("_id"), "text", rest), "_id")
+    # every column of the operator's input is read from its output, so one shuffle serves its joins
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("_rest")
+    d = substring_dedup.substring_dedup(docs.select("doc_id", "text", rest))
     cut = F.col("dedup.n_removed") > 0
     text = F.when(cut, F.col("dedup.kept")).otherwise(F.col("text"))
     d = d.where(~cut | (F.col("dedup.kept") != ""))
-    new = {"text": text, "n_chars": F.when(cut, F.length("dedup.kept").cast("long")).otherwise(F.col("_rest.n_chars")) if "n_chars" in docs.columns else None}
-    return d.select(*[new.get(c, F.col(f"_rest.`{c}`") if c != "text" else None).alias(c) for c in docs.columns])
+    own = {c: F.col(f"_rest.`{c}`") for c in docs.columns if c not in ("doc_id", "text")} | {"doc_id": F.col("doc_id"), "text": text}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(cut, F.length("dedup.kept").cast("long")).otherwise(own["n_chars"])
+    return d.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
