@@ -90,12 +90,34 @@ def test_substring_random(spark):
         b = base[rng.integers(0, 4)]
         a = int(rng.integers(0, 300))
         rows.append((i, " ".join(f"t{x}" for x in np.r_[rng.integers(0, 40, 30), b[a : a + int(rng.integers(20, 100))], rng.integers(0, 40, 20)])))
-    for window in (50, 7, 1):
-        d = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=window)
+    for window, hot in ((50, 1024), (50, 12), (50, 1), (7, 1024), (7, 12), (1, 1024)):
+        d = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=window, hot=hot)
         got = Counter((r["doc_id"], r["dedup"]["n_words"], r["dedup"]["n_removed"], r["dedup"]["kept"]) for r in d.collect())
         assert got == brute_removed(rows, window)
 
 
+def test_substring_common_phrase(spark):
+    """One phrase of thirty words stands in all documents: its minimisers are hot, the longer ones are not."""
+    rng = np.random.default_rng(6)
+    phrase, passage = [f"p{x}" for x in range(30)], [f"q{x}" for x in range(70)]
+    rows = []
+    for i in range(80):
+        own = [f"w{i}x{x}" for x in range(90)]
+        a = int(rng.integers(0, 80))
+        rows.append((i, " ".join([*own[:a], *phrase, *own[a:], *(passage[i % 7 :] if i % 9 == 0 else [])])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (40, 4):
+        d = substring_dedup.substring_dedup(table, hot=hot)
+        got = Counter((r["doc_id"], r["dedup"]["n_words"], r["dedup"]["n_removed"], r["dedup"]["kept"]) for r in d.collect())
+        assert got == brute_removed(rows)
+    light = pa.RecordBatch.from_pylist([{"_id": i, "_key": i, "_text": t} for i, t in rows])
+    rows_of = lambda bs: Counter(m for b in bs for m in b.column("mini").to_pylist())
+    short = [b for b in substring_dedup._light(50)(iter([light]))]
+    hottest, most = rows_of(short).most_common(1)[0]
+    marks = [{"_id": i, "_key": i, "_text": t, "marks": [{"start": s, "n": n} for b in short for m, k, s, n in zip(*(b.column(c).to_pylist() for c in ("mini", "_id", "start", "n"))) if k == i and m == hottest]} for i, t in rows]
+    assert most > 20 and max(rows_of(substring_dedup._again(50)(iter([pa.RecordBatch.from_pylist(marks)]))).values()) < most / 4
+
+
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

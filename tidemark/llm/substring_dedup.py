@@ -13,10 +13,15 @@ packed as the string of its words.  Equal windows have equal minimisers, so
 2.  the packed strings of the others go to the bucket of their minimiser, where
     exact ranks of word runs are built by sorting and give, for every distinct
     window, the least document id;
-3.  minimisers with over ``HOT`` super-k-mers (a passage that very many documents
-    share) would make a large bucket.  Their windows are counted one by one under
-    a 128-bit BLAKE2b digest instead, with partial aggregation before the shuffle.
-    Both ways count all windows.
+3.  minimisers with over ``HOT`` super-k-mers would make a large bucket.  Their windows
+    are cut again under a longer minimiser (``LONG_MER`` words), which tells apart
+    passages that have but a few words in common, and those pieces go to their buckets
+    as packed strings too;
+4.  what is over ``HOT`` even then is a passage that very many documents share.  There
+    the minimiser is the whole window, a super-k-mer is one window, and a bucket holds
+    copies of one string: a 128-bit BLAKE2b digest stands for it, counted with partial
+    aggregation before the shuffle.
+    All ways count all windows.
 
 Documents are shuffled by id, once; nothing is collected to the driver.
 """
@@ -35,19 +40,19 @@ from pyspark.sql import functions as F
 
 from .common import LONG, WordBlock, mix, normal, overlapping, row_spans, small_batches, string_buffers
 
-MER = 8
+MER, LONG_MER = 8, 32
 HOT = 1024
 LONGEST = 256
 
 
-def _minimisers(block: WordBlock, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _minimisers(block: WordBlock, window: int, most: int = MER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, number of windows, minimiser) of each super-k-mer; windows
     are numbered by their first word in the block."""
     h, size = block.hashes, 1
     if len(h) < window:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     mer = 1
-    while mer * 2 <= min(MER, window):
+    while mer * 2 <= min(most, window):
         mer *= 2
     while size < mer:
         h = mix(h[:-size] * np.uint64(0xD6E8FEB86659FD93) + h[size:])
@@ -95,6 +100,37 @@ def _light(window: int):
     return run
 
 
+def _again(window: int, most: int = 1 << 20):
+    """Rows like those of ``_light`` for the marked super-k-mers, under longer minimisers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, i, k, marks in zip(b.column("_text").cast(pa.binary()), b.column("_id").to_pylist(), b.column("_key").to_pylist(), b.column("marks")):
+                whole, at = normal(text.as_py())
+                parts, starts, size = [], [], 0
+                for m in marks.as_py():
+                    parts.append(whole[at[m["start"]] : at[m["start"] + m["n"] + window - 1] - 1])
+                    starts.append(m["start"])
+                    size += len(parts[-1])
+                    if size > most:
+                        yield cut(parts, starts, i, k)
+                        parts, starts, size = [], [], 0
+                yield cut(parts, starts, i, k)
+
+    def cut(parts: list[bytes], starts: list[int], i: int, k: int) -> pa.RecordBatch:
+        offsets = np.cumsum([0, *map(len, parts)])
+        block = WordBlock(np.frombuffer(b"".join(parts), np.uint8), offsets)
+        first, n, mini = _minimisers(block, window, LONG_MER)
+        row = np.searchsorted(block.first, first, "right") - 1
+        start = np.array(starts, np.int64)[row] + first - block.first[row]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(mini.view(np.int64)), pa.array([i] * len(n), pa.int64()), pa.array([k] * len(n), pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+            ["mini", "_id", "_key", "start", "n"],
+        )
+
+    return run
+
+
 _PACKED = "mini long, _id long, _key long, start int, n int, packed binary"
 
 
@@ -243,11 +279,19 @@ def repeated_spans(d: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
     id has too, from rows made by ``_keyed``.  Rows without id or text have none."""
     light = d.where("_has").select("_id", "_key", "_text").mapInArrow(_light(window), _LIGHT)
     d = d.drop("_has")  # as below, where the texts are needed once more: the same columns, so the same shuffle
-    shared = light.groupBy("mini").agg(F.count(F.lit(1)).alias("rows"), F.min("_id").alias("a"), F.max("_id").alias("z")).where("a < z").select("mini", (F.col("rows") > hot).alias("hot"))
-    marks = light.join(shared, "mini").groupBy("_id", "_key", "hot").agg(F.collect_set(F.struct("start", "n", "mini")).alias("marks"))
-    marked = lambda is_hot: d.join(marks.where(F.col("hot") if is_hot else ~F.col("hot")).drop("hot"), ["_id", "_key"])
-    calm = marked(False).mapInArrow(_cut(window), _PACKED).repartition("mini").sortWithinPartitions("mini").mapInArrow(_bucket(window), _SPANS)
-    each = marked(True).mapInArrow(_digests(window), _DIGESTS)
+
+    def marks(rows: DataFrame) -> DataFrame:
+        shared = rows.groupBy("mini").agg(F.count(F.lit(1)).alias("rows"), F.min("_id").alias("a"), F.max("_id").alias("z")).where("a < z").select("mini", (F.col("rows") > hot).alias("hot"))
+        return rows.join(shared, "mini").groupBy("_id", "_key", "hot").agg(F.collect_set(F.struct("start", "n", "mini")).alias("marks"))
+
+    def marked(found: DataFrame) -> DataFrame:
+        return d.join(found.drop("hot"), ["_id", "_key"])
+
+    short = marks(light)
+    long = marks(marked(short.where("hot")).mapInArrow(_again(window), _LIGHT))
+    calm = marked(short.where("not hot").unionByName(long.where("not hot"))).mapInArrow(_cut(window), _PACKED)
+    calm = calm.repartition("mini").sortWithinPartitions("mini").mapInArrow(_bucket(window), _SPANS)
+    each = marked(long.where("hot")).mapInArrow(_digests(window), _DIGESTS)
     owner = each.groupBy("digest").agg(F.min("_id").alias("a"), F.max("_id").alias("z")).where("a < z").select("digest", "a")
     burnt = each.join(owner, "digest").where("_id > a").select("_id", "_key", F.explode("starts").alias("lo")).withColumn("hi", F.col("lo") + window)
     return calm.unionByName(burnt)
