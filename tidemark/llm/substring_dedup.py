@@ -42,6 +42,7 @@ from .common import LONG, WordBlock, mix, normal, overlapping, row_spans, small_
 
 MER, LONG_MER = 8, 32
 HOT = 1024
+SALTS = 32  # parts of a digest that very many documents have
 LONGEST = 256
 
 
@@ -291,9 +292,12 @@ def repeated_spans(d: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
     long = marks(marked(short.where("hot")).mapInArrow(_again(window), _LIGHT))
     calm = marked(short.where("not hot").unionByName(long.where("not hot"))).mapInArrow(_cut(window), _PACKED)
     calm = calm.repartition("mini").sortWithinPartitions("mini").mapInArrow(_bucket(window), _SPANS)
-    each = marked(long.where("hot")).mapInArrow(_digests(window), _DIGESTS)
-    owner = each.groupBy("digest").agg(F.min("_id").alias("a"), F.max("_id").alias("z")).where("a < z").select("digest", "a")
-    burnt = each.join(owner, "digest").where("_id > a").select("_id", "_key", F.explode("starts").alias("lo")).withColumn("hi", F.col("lo") + window)
+    # a digest's documents are dealt in parts, so that none of the two shuffles brings them all together
+    each = marked(long.where("hot")).mapInArrow(_digests(window), _DIGESTS).withColumn("part", F.pmod(F.xxhash64("_id", "_key"), F.lit(SALTS)))
+    parts = each.groupBy("digest", "part").agg(F.min("_id").alias("a"), F.max("_id").alias("z"))
+    owner = parts.groupBy("digest").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.collect_list("part").alias("parts")).where("a < z")
+    burnt = each.join(owner.select("digest", "a", F.explode("parts").alias("part")), ["digest", "part"]).where("_id > a")
+    burnt = burnt.select("_id", "_key", F.explode("starts").alias("lo")).withColumn("hi", F.col("lo") + window)
     return calm.unionByName(burnt)
 
 
