@@ -42,7 +42,7 @@ from .common import LONG, WordBlock, mix, normal, overlapping, row_spans, small_
 
 MER, LONG_MER = 8, 32
 HOT = 1024
-SALTS = 32  # parts of a digest that very many documents have
+SALTS = 32  # parts, at most 63, of a minimiser or digest that very many documents have
 LONGEST = 256
 
 
@@ -281,9 +281,17 @@ def repeated_spans(d: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
     light = d.where("_has").select("_id", "_key", "_text").mapInArrow(_light(window), _LIGHT)
     d = d.drop("_has")  # as below, where the texts are needed once more: the same columns, so the same shuffle
 
+    # a minimiser or digest that very many documents have is dealt in parts by document, so
+    # that no shuffle brings all of its rows together
+    part = F.pmod(F.xxhash64("_id", "_key"), F.lit(SALTS)).cast("int")
+
     def marks(rows: DataFrame) -> DataFrame:
-        shared = rows.groupBy("mini").agg(F.count(F.lit(1)).alias("rows"), F.min("_id").alias("a"), F.max("_id").alias("z")).where("a < z").select("mini", (F.col("rows") > hot).alias("hot"))
-        return rows.join(shared, "mini").groupBy("_id", "_key", "hot").agg(F.collect_set(F.struct("start", "n", "mini")).alias("marks"))
+        rows = rows.withColumn("part", part)
+        held = F.bit_or(F.expr("shiftleft(1L, part)")).alias("held")
+        shared = rows.groupBy("mini").agg(F.count(F.lit(1)).alias("rows"), F.min("_id").alias("a"), F.max("_id").alias("z"), held).where("a < z")
+        parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda p: F.getbit("held", p) == 1)
+        shared = shared.select("mini", (F.col("rows") > hot).alias("hot"), F.explode(parts).alias("part"))
+        return rows.join(shared, ["mini", "part"]).groupBy("_id", "_key", "hot").agg(F.collect_set(F.struct("start", "n", "mini")).alias("marks"))
 
     def marked(found: DataFrame) -> DataFrame:
         return d.join(found.drop("hot"), ["_id", "_key"])
@@ -292,8 +300,7 @@ def repeated_spans(d: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
     long = marks(marked(short.where("hot")).mapInArrow(_again(window), _LIGHT))
     calm = marked(short.where("not hot").unionByName(long.where("not hot"))).mapInArrow(_cut(window), _PACKED)
     calm = calm.repartition("mini").sortWithinPartitions("mini").mapInArrow(_bucket(window), _SPANS)
-    # a digest's documents are dealt in parts, so that none of the two shuffles brings them all together
-    each = marked(long.where("hot")).mapInArrow(_digests(window), _DIGESTS).withColumn("part", F.pmod(F.xxhash64("_id", "_key"), F.lit(SALTS)))
+    each = marked(long.where("hot")).mapInArrow(_digests(window), _DIGESTS).withColumn("part", part)
     parts = each.groupBy("digest", "part").agg(F.min("_id").alias("a"), F.max("_id").alias("z"))
     owner = parts.groupBy("digest").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.collect_list("part").alias("parts")).where("a < z")
     burnt = each.join(owner.select("digest", "a", F.explode("parts").alias("part")), ["digest", "part"]).where("_id > a")
