@@ -78,6 +78,22 @@ def unboxed(d: DataFrame, without: tuple[str, ...] = (), **columns: Column) -> D
     return d.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *[c.alias(k) for k, c in columns.items()])
 
 
+def part_of(salts: int, *by: str) -> Column:
+    """Number of the part, out of ``salts``, in which the rows of a hot key are dealt."""
+    return F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
+
+
+def parts_held(part: Column) -> Column:
+    """Aggregate: the parts (at most 63) that a key has rows in, as bits of a long."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), part))
+
+
+def each_part(held: str, salts: int) -> Column:
+    """A row for each part in ``held``, so that a join on key and part spreads a hot key
+    and copies the other side no further than its parts."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda p: F.getbit(held, p) == 1))
+
+
 def words(text: Column) -> Column:
     """Native array of the words of ``text``; empty for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, discarded, normal, small_batches, unboxed, written
+from .common import boxed, discarded, each_part, normal, part_of, parts_held, small_batches, unboxed, written
 
 RADIUS = 4
 BLOCKS = (0, 13, 26, 39, 52)  # where the blocks start; the first HEAD bits of each are the key
@@ -243,8 +243,8 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> Column:
 
 
 def groups_of(rows: DataFrame, split: int = SPLIT) -> DataFrame:
-    """(fp, component_id) for each distinct ``fp`` of stored (_id, fp)."""
-    nodes = rows.groupBy("fp").agg(F.min("_id").alias("least"))
+    """(fp, component_id, held) for each distinct ``fp`` of stored (_id, fp, _part)."""
+    nodes = rows.groupBy("fp").agg(F.min("_id").alias("least"), parts_held(F.col("_part")).alias("held"))
     roots = components(links(nodes.select("fp"), split))
     linked = nodes.join(roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct()), F.col("fp") == F.col("u")).select("fp", "least", "root")
     # a group may hold a third of all fingerprints, so its rows are dealt to SALT slices
@@ -253,7 +253,15 @@ def groups_of(rows: DataFrame, split: int = SPLIT) -> DataFrame:
     least = least.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
     joined = linked.select("fp", "root", slice_).join(least, ["root", "_salt"]).select("fp", "component_id", F.lit(True).alias("_linked"))
     # fingerprints without a link are groups of their own
-    return nodes.join(joined, "fp", "left").select("fp", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return nodes.join(joined, "fp", "left").select("fp", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), "held")
+
+
+def _grouped(rows: DataFrame, split: int) -> DataFrame:
+    """Stored ``rows`` (_id, fp, ...) with their component_id.  A fingerprint may be that of
+    very many copies, so its rows are dealt in SALT parts."""
+    rows = rows.withColumn("_part", part_of(SALT, *rows.columns))
+    groups = groups_of(rows, split).select("fp", "component_id", each_part("held", SALT).alias("_part"))
+    return rows.join(groups, ["fp", "_part"]).drop("_part")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
@@ -268,7 +276,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     small_batches(docs.sparkSession)
     rows = written(docs.select(F.col(id_col).alias("_id"), fingerprints(docs, text_col).alias("fp")), "fingerprints")
-    return rows.join(groups_of(rows, split), "fp").select(F.col("_id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+    return _grouped(rows, split).select(F.col("_id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
@@ -284,7 +292,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = [*cols, *[c.isNull() for c in cols]]
     d = boxed(docs, _id=F.col(id_col), fp=fingerprints(docs, text_col), _k=F.xxhash64(*every), _l=F.xxhash64(F.lit(1), *every))
     rows = written(d.select("_id", "fp", "_k", "_l"), "fingerprints")
-    best = rows.join(groups_of(rows, split), "fp").where(F.col("_id").eqNullSafe(F.col("component_id")))
+    best = _grouped(rows, split).where(F.col("_id").eqNullSafe(F.col("component_id")))
     one = best.where("_id is not null").groupBy("_id").agg(F.min(F.struct("_k", "_l")).alias("k")).select("k._k", "k._l")
     stays = one.unionByName(best.where("_id is null").select("_k", "_l").distinct()).withColumn("_stays", F.lit(True))
     # one shuffle of the texts serves the join and the choice among equal rows
