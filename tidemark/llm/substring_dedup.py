@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG, WordBlock, mix, normal, overlapping, row_spans, small_batches, string_buffers
+from .common import LONG, WordBlock, each_part, mix, normal, overlapping, part_of, parts_held, row_spans, small_batches, string_buffers
 
 MER, LONG_MER = 8, 32
 HOT = 1024
@@ -283,14 +283,13 @@ def repeated_spans(d: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
 
     # a minimiser or digest that very many documents have is dealt in parts by document, so
     # that no shuffle brings all of its rows together
-    part = F.pmod(F.xxhash64("_id", "_key"), F.lit(SALTS)).cast("int")
+    part = part_of(SALTS, "_id", "_key")
 
     def marks(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("part", part)
-        held = F.bit_or(F.expr("shiftleft(1L, part)")).alias("held")
+        held = parts_held(F.col("part")).alias("held")
         shared = rows.groupBy("mini").agg(F.count(F.lit(1)).alias("rows"), F.min("_id").alias("a"), F.max("_id").alias("z"), held).where("a < z")
-        parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda p: F.getbit("held", p) == 1)
-        shared = shared.select("mini", (F.col("rows") > hot).alias("hot"), F.explode(parts).alias("part"))
+        shared = shared.select("mini", (F.col("rows") > hot).alias("hot"), each_part("held", SALTS).alias("part"))
         return rows.join(shared, ["mini", "part"]).groupBy("_id", "_key", "hot").agg(F.collect_set(F.struct("start", "n", "mini")).alias("marks"))
 
     def marked(found: DataFrame) -> DataFrame:
