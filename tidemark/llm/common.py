@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than ASCII white space.
@@ -94,6 +94,24 @@ def each_part(held: str, salts: int) -> Column:
     return F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda p: F.getbit(held, p) == 1))
 
 
+def ranged(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` stored in ranges of ``order``, with the number of the range as ``_block``.
+
+    Spark draws the bounds from a sample of its own; as the number is written, whatever is
+    worked out from it later agrees, also after tasks are lost.
+    """
+    return written(df.repartitionByRange(*order).withColumn("_block", F.spark_partition_id()), name)
+
+
+def numbered(table: DataFrame, number: str, rows: str, *order: Column) -> DataFrame:
+    """A ``ranged`` table with the running sum of ``rows`` in ``order``: rows are ordered in
+    their ranges, and only a row for each range is ordered as a whole."""
+    blocks = table.groupBy("_block").agg(F.sum(rows).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum(rows).over(Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return table.join(blocks.select("_block", before.alias("_before")), "_block").withColumn(number, F.col("_before") + inside).drop("_before")
+
+
 def words(text: Column) -> Column:
     """Native array of the words of ``text``; empty for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))
