@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, fill_in_middle, importance_resampling, language_id, quality_classifier, quality_rules, simhash_dedup, source_mixing, substring_dedup, token_counts, warc_archive
+from . import chat_format, decontaminate, fill_in_middle, html_extraction, importance_resampling, language_id, quality_classifier, quality_rules, simhash_dedup, source_mixing, substring_dedup, token_counts, warc_archive
 
-_MODULES = (substring_dedup, decontaminate, warc_archive, simhash_dedup, chat_format, quality_rules, token_counts, source_mixing, language_id, quality_classifier, fill_in_middle, importance_resampling)
+_MODULES = (substring_dedup, decontaminate, warc_archive, simhash_dedup, chat_format, quality_rules, token_counts, source_mixing, language_id, quality_classifier, fill_in_middle, html_extraction, importance_resampling)
 
 
 def queries() -> dict:
