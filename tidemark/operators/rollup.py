@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
@@ -21,22 +21,27 @@ def weighted(readings: DataFrame, default_seconds: int = C.SCAN_SECONDS, most_se
     return d.withColumn("weight", F.least(F.coalesce(seconds_between(F.col("reading_ts"), F.col("_next")), F.lit(default_seconds)), F.lit(most_seconds))).drop("_next", "_block")
 
 
-def rollup(readings: DataFrame, bucket: str = "hour", time_weighted: bool = False, **weights) -> DataFrame:
-    """One row per sensor and bucket: counts, extremes, mean, sample deviation, first
-    and last value; with ``time_weighted`` the time-weighted mean in the same pass."""
-    f, name = BUCKETS[bucket]
-    d = weighted(readings, **weights) if time_weighted else readings
+def measures(time: str = "reading_ts") -> list[Column]:
+    """What a bucket says of its readings: counts, extremes, mean, sample deviation, first and last value."""
     v = F.col("value").cast("double")
-    aggs = [
+    return [
         F.count(F.lit(1)).alias("sample_count"),
         F.count_if(usable(F.col("quality_code_id"))).alias("good_count"),
         F.min(v).alias("min_value"),
         F.max(v).alias("max_value"),
         F.avg(v).alias("avg_value"),
         F.stddev_samp(v).alias("stddev_value"),
-        F.min_by(v, "reading_ts").alias("first_value"),
-        F.max_by(v, "reading_ts").alias("last_value"),
+        F.min_by(v, time).alias("first_value"),
+        F.max_by(v, time).alias("last_value"),
     ]
+
+
+def rollup(readings: DataFrame, bucket: str = "hour", time_weighted: bool = False, **weights) -> DataFrame:
+    """One row per sensor and bucket: counts, extremes, mean, sample deviation, first
+    and last value; with ``time_weighted`` the time-weighted mean in the same pass."""
+    f, name = BUCKETS[bucket]
+    d = weighted(readings, **weights) if time_weighted else readings
+    v, aggs = F.col("value").cast("double"), measures()
     if time_weighted:
         aggs.append(F.try_divide(F.sum(v * F.col("weight")), F.sum("weight").cast("double")).alias("time_weighted_avg"))
     return d.groupBy("sensor_id", f(F.col("reading_ts")).alias(name)).agg(*aggs)

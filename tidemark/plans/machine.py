@@ -532,7 +532,12 @@ def _archive(spark, sf):
 
 
 def _door(percents) -> str:
-    """The swinging door in SQL: a walk over each piece, then chords split where they err."""
+    """The swinging door in SQL: one reduction over the readings of a piece, then chords split where they err."""
+    top, low = (f"CASE WHEN z.x > m.ax THEN {f}(m.{k}, (z.v {op} e - m.av) / (z.x - m.ax)) ELSE m.{k} END" for f, k, op in (("least", "top", "+"), ("greatest", "low", "-")))
+    pick = lambda shut, on: f"CASE WHEN {low} > {top} THEN {shut} ELSE {on} END"
+    step = f"lambda m, z: {{'x': z.x, 'v': z.v, 'i': z.i, 'ax': {pick('m.x', 'm.ax')}, 'av': {pick('m.v', 'm.av')}, 'top': {pick('(z.v + e - m.v) / (z.x - m.x)', top)}, 'low': {pick('(z.v - e - m.v) / (z.x - m.x)', low)}, 'marks': {pick('list_append(m.marks, m.i)', 'm.marks')}}}"
+    first = "{'x': x, 'v': v, 'i': i, 'ax': x, 'av': v, 'top': 'inf'::DOUBLE, 'low': '-inf'::DOUBLE, 'marks': []::BIGINT[]}"
+    off = "abs(vs[k] - (vs[1] + (vs[-1] - vs[1]) / (xs[-1] - xs[1]) * (xs[k] - xs[1])))"
     return (
         S
         + f""",
@@ -541,19 +546,12 @@ ab AS (SELECT *, sum((pms IS NULL OR (ms - pms) / 1000.0 > {6 * B.GAP} OR pq <>
 dev AS (SELECT sensor_id, pct, CASE WHEN hi > lo THEN (hi - lo) * (pct / 100.0::DOUBLE) ELSE 0 END AS deviation FROM (SELECT sensor_id, min(value) AS lo, max(value) AS hi FROM ab GROUP BY 1), (SELECT unnest([{', '.join(f'{p}::DOUBLE' for p in percents)}]) AS pct)),
 p0 AS (SELECT sensor_id, pct, segment, piece, reading_ts, value AS v, q, deviation AS e, ms / 1000.0::DOUBLE AS t, row_number() OVER k - 1 AS i FROM ab JOIN dev USING (sensor_id) WINDOW k AS (PARTITION BY sensor_id, pct, segment, piece ORDER BY reading_ts)),
 p AS MATERIALIZED (SELECT *, sensor_id || '/' || pct || '/' || segment || '/' || piece AS g, max(i) OVER (PARTITION BY sensor_id, pct, segment, piece) AS z, t - min(t) OVER (PARTITION BY sensor_id, pct, segment, piece) AS x FROM p0),
-walk(g, j, ax, av, jx, jv, top, low, shut) AS (
-  SELECT g, 0::BIGINT, x, v, x, v, 'inf'::DOUBLE, '-inf'::DOUBLE, false FROM p WHERE i = 0
-  UNION ALL SELECT g, i, CASE WHEN s THEN jx ELSE ax END, CASE WHEN s THEN jv ELSE av END, x, v, CASE WHEN s THEN (v + e - jv) / (x - jx) ELSE top END, CASE WHEN s THEN (v - e - jv) / (x - jx) ELSE low END, s
-  FROM (SELECT *, low > top AS s FROM (SELECT w.g, p.i, w.ax, w.av, w.jx, w.jv, p.x, p.v, p.e, CASE WHEN p.x > w.ax THEN least(w.top, (p.v + p.e - w.av) / (p.x - w.ax)) ELSE w.top END AS top,
-    CASE WHEN p.x > w.ax THEN greatest(w.low, (p.v - p.e - w.av) / (p.x - w.ax)) ELSE w.low END AS low FROM walk w JOIN p ON p.g = w.g AND p.i = w.j + 1))),
-marks AS (SELECT g, i FROM p WHERE i = 0 OR i = z OR z < 2 OR e <= 0 UNION SELECT g, j - 1 FROM walk WHERE shut),
-chords(g, a, b) AS (
-  SELECT * FROM (SELECT g, i, lead(i) OVER (PARTITION BY g ORDER BY i) AS n FROM marks) WHERE n IS NOT NULL
-  UNION ALL SELECT g, unnest([a, -w.k]), unnest([-w.k, b]) FROM (
-   SELECT c.g, c.a, c.b, max({{'o': abs(m.v - (l.v + (r.v - l.v) / (r.x - l.x) * (m.x - l.x))), 'k': -m.i}}) AS w, any_value(m.e) AS e
-   FROM chords c JOIN p l ON l.g = c.g AND l.i = c.a JOIN p r ON r.g = c.g AND r.i = c.b JOIN p m ON m.g = c.g AND m.i > c.a AND m.i < c.b WHERE r.x > l.x GROUP BY 1, 2, 3) WHERE w.o > e),
-ends AS (SELECT g, i FROM marks UNION SELECT g, a FROM chords UNION SELECT g, b FROM chords),
-kept AS (SELECT p.* FROM p JOIN ends USING (g, i)),
+walk AS MATERIALIZED (SELECT g, e, xs, vs, list_concat([0::BIGINT], list_reduce(path, {step}).marks, [len(xs)::BIGINT - 1]) AS m FROM (SELECT g, any_value(e) AS e, list(x ORDER BY i) AS xs, list(v ORDER BY i) AS vs, list({first} ORDER BY i) AS path FROM p WHERE z >= 2 AND e > 0 GROUP BY g)),
+chords(g, e, a, xs, vs) AS (
+  SELECT g, e, m[k], xs[m[k] + 1:m[k + 1] + 1], vs[m[k] + 1:m[k + 1] + 1] FROM (SELECT *, unnest(range(1, len(m))) AS k FROM walk)
+  UNION ALL SELECT g, e, unnest([a, a - w.k - 1]), unnest([xs[:-w.k], xs[-w.k:]]), unnest([vs[:-w.k], vs[-w.k:]]) FROM (
+   SELECT *, list_max([{{'o': {off}, 'k': -k}} FOR k IN range(2, len(xs))]) AS w FROM chords WHERE len(xs) > 2 AND xs[-1] > xs[1]) WHERE w.o > e),
+kept AS (SELECT p.* FROM p WHERE i = 0 OR i = z OR z < 2 OR e <= 0 UNION ALL SELECT p.* FROM p JOIN (SELECT DISTINCT g, a FROM chords WHERE a > 0) c ON c.g = p.g AND c.a = p.i WHERE p.z >= 2 AND p.e > 0),
 line AS (SELECT a.sensor_id, a.pct, a.v, a.e, b.reading_ts AS pt, b.v AS pv, c.reading_ts AS nt, c.v AS nv, a.reading_ts AS at_ts FROM p a ASOF JOIN kept b ON b.sensor_id = a.sensor_id AND b.pct = a.pct AND b.reading_ts <= a.reading_ts ASOF LEFT JOIN kept c ON c.sensor_id = a.sensor_id AND c.pct = a.pct AND c.reading_ts > a.reading_ts),
 err AS (SELECT *, abs(v - CASE WHEN pt = at_ts OR nt IS NULL THEN pv ELSE coalesce(pv + (nv - pv) * ((epoch_us(at_ts) // 1000 - epoch_us(pt) // 1000) / nullif(epoch_us(nt) // 1000 - epoch_us(pt) // 1000, 0)::DOUBLE), pv) END) AS off FROM line),
 stat AS (SELECT sensor_id, pct, count(*) AS original_count, max(off) AS max_error, avg(off) AS mean_error, sqrt(avg(off * off)) AS rmse, any_value(e) AS deviation FROM err GROUP BY 1, 2),

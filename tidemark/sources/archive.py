@@ -185,12 +185,13 @@ def built(spark: SparkSession, source: str, name: str, make: Callable[[], DataFr
         path = fresh_path(shared_dir(spark), name)
         make().write.parquet(path)
         if key in _made:
-            _remove(spark, _made[key][1])
+            remove(spark, _made[key][1])
         _made[key] = stamp, path
     return spark.read.parquet(_made[key][1])
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder with all it holds."""
     at, files = _files(spark, path)
     files.delete(at, True)
 
@@ -198,4 +199,4 @@ def _remove(spark: SparkSession, path: str) -> None:
 def forget(spark: SparkSession) -> None:
     """Remove the built tables of this session."""
     for key in [k for k in _made if k[0] == spark.sparkContext.applicationId]:
-        _remove(spark, _made.pop(key)[1])
+        remove(spark, _made.pop(key)[1])
