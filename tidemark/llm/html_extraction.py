@@ -27,10 +27,11 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import lagged, leading
@@ -225,41 +226,61 @@ def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 COPY = 0.8  # share of the text from which two pages count as copies of each other
+_BYTES = 6  # of a line's hash
 
 
-def _differences(own: pa.Array, chars: pa.Array, near: pa.Array, far: pa.Array) -> pa.Array:
-    """For each page: which neighbour was asked (0: none, 1 or 2) and the lines it shares."""
-    asked, shared = [], []
-    for k in range(len(own)):
-        a, c = np.array(own[k].as_py(), np.int64), np.array(chars[k].as_py(), np.int64)
-        which, found = 0, np.zeros(len(a), bool)
-        for n, other in ((1, near[k].as_py()), (2, far[k].as_py())):
-            if other is None:
-                continue
-            both = shared_lines(a, np.array(other, np.int64))
-            if c[both].sum() < COPY * c.sum() or not c.sum():
-                which, found = n, both
-                break
-        asked.append(which)
-        shared.append(np.flatnonzero(found).tolist())
-    return pa.StructArray.from_arrays([pa.array(asked, pa.int32()), pa.array(shared, pa.list_(pa.int32()))], ["asked", "shared"])
+def _unpacked(hashes: bytes) -> np.ndarray:
+    out = np.zeros((len(hashes) // _BYTES, 8), np.uint8)
+    out[:, :_BYTES] = np.frombuffer(hashes, np.uint8).reshape(-1, _BYTES)
+    return out.view(np.int64).ravel()
+
+
+def _differences(own: pa.Array, sizes: pa.Array, other: pa.Array) -> pa.Array:
+    """The lines that each page shares with the other one; null if they are copies."""
+    shared = []
+    for a, c, b in zip(own, sizes, other):
+        c = np.frombuffer(c.as_py(), np.uint8).astype(np.int64)
+        both = shared_lines(_unpacked(a.as_py()), _unpacked(b.as_py()))
+        copy = c.sum() and c[both].sum() >= COPY * c.sum()
+        shared.append(None if copy else np.flatnonzero(both).tolist())
+    return pa.array(shared, pa.list_(pa.int32()))
 
 
 # --- pages ------------------------------------------------------------------------
 
 
-def _parsed(page: pa.Array) -> pa.Array:
-    """Hash, characters (0: surroundings) and text (null: not to be kept) of every line, and
-    whether the markup declares the article."""
-    hashes, chars, kept, declared = [], [], [], []
+def _hashed(page: pa.Array) -> pa.Array:
+    """A hash of every line, and its characters up to 255 (0: surroundings), as bytes."""
+    hashes, sizes = [], []
+    for p in page:
+        found = lines(p.as_py() or "")
+        hashes.append(b"".join(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=_BYTES).digest() for _, t in found))
+        sizes.append(bytes(min(len(t), 255) if said >= UNSAID else 0 for said, t in found))
+    return pa.StructArray.from_arrays([pa.array(hashes, pa.binary()), pa.array(sizes, pa.binary())], ["hashes", "sizes"])
+
+
+def _packed(page: pa.Array) -> pa.Array:
+    """The lines that may be kept, compressed (empty: not to be kept), their number, and
+    whether the markup declares them the article."""
+    packed, number, declared = [], [], []
     for p in page:
         found = lines(p.as_py() or "")
         most = max((said for said, _ in found), default=UNSAID)
-        hashes.append([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for _, t in found])
-        chars.append([len(t) if said >= UNSAID else 0 for said, t in found])
-        kept.append([t if said >= UNSAID and said == most else None for said, t in found])
+        kept = "\n".join(t if said >= UNSAID and said == most else "" for said, t in found)
+        packed.append(zlib.compress(kept.encode("utf-8", "replace"), 6))
+        number.append(len(found))
         declared.append(most == ARTICLE)
-    return pa.StructArray.from_arrays([pa.array(hashes, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.string())), pa.array(declared)], ["hashes", "chars", "kept", "declared"])
+    return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(number, pa.int64()), pa.array(declared)], ["packed", "n_lines", "declared"])
+
+
+def _texts(packed: pa.Array, declared: pa.Array, shared: pa.Array) -> pa.Array:
+    """The kept lines of each page, without those that its neighbour shares unless the
+    markup declares them the article."""
+    out = []
+    for p, d, s in zip(packed, declared, shared):
+        gone = set() if d.as_py() else set(s.as_py() or ())
+        out.append("\n\n".join(t for k, t in enumerate(zlib.decompress(p.as_py()).decode().split("\n")) if t and k not in gone))
+    return pa.array(out, pa.string())
 
 
 def host_of(url: Column) -> Column:
@@ -281,14 +302,41 @@ def _alike(a: str, b: str) -> Column:
 
 
 def neighbours(urls: DataFrame) -> DataFrame:
-    """(_at, near, far): for pages (_at, host, path) the two beside each in the order of its
-    host's paths, that with more leading parts in common first; pages without host have none."""
-    d = ranged(urls.where("host is not null"), "urls", F.asc("host"), F.asc("path"), F.asc("_at"))
-    cols = {"at": "_at", "path": "path"}
-    d = lagged(d, ["host"], "_block", ["path", "_at"], {f"p_{k}": c for k, c in cols.items()})
-    d = leading(d, ["host"], "_block", ["path", "_at"], {f"n_{k}": c for k, c in cols.items()})
-    after = F.col("p_at").isNull() | (_alike("path", "n_path") > _alike("path", "p_path"))
-    return d.select("_at", F.when(after, F.col("n_at")).otherwise(F.col("p_at")).alias("near"), F.when(after, F.col("p_at")).otherwise(F.col("n_at")).alias("far"))
+    """(_key, near, far): for pages (_key, host, path, _block; ``ranged`` by host, path and
+    key) the two beside each in that order on its host, that with more leading parts in
+    common first; pages without host have none."""
+    d = urls.where("host is not null").select("_key", "host", "path", "_block")
+    cols = {"key": "_key", "path": "path"}
+    d = lagged(d, ["host"], "_block", ["path", "_key"], {f"p_{k}": c for k, c in cols.items()})
+    d = leading(d, ["host"], "_block", ["path", "_key"], {f"n_{k}": c for k, c in cols.items()})
+    after = F.col("p_key").isNull() | (_alike("path", "n_path") > _alike("path", "p_path"))
+    return d.select("_key", F.when(after, F.col("n_key")).otherwise(F.col("p_key")).alias("near"), F.when(after, F.col("p_key")).otherwise(F.col("n_key")).alias("far"))
+
+
+def compared(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(_key, nearest, shared): for each distinct page the id of the page it was compared
+    with and the numbers of the lines they share; pages compared with none are left out."""
+    key, url, html_ = _of(id_col, url_col, html_col)
+    d = pages.select(key.alias("_key"), F.col(f"`{id_col}`").alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.arrow_udf(_hashed, "hashes binary, sizes binary")(html_).alias("h"))
+    # rows that repeat a page lie side by side, and one of them stands for all
+    d = ranged(d.select("_key", "_id", "host", "path", "h.*"), "lines", F.asc("host"), F.asc("path"), F.asc("_key"))
+    d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("_block", "_key").orderBy("_id"))).where("_nth = 1").drop("_nth")
+    own = d.select("_key", "hashes", "sizes")
+    other = lambda at: d.select(F.col("_key").alias(at), F.col("_id").alias("nearest"), F.col("hashes").alias("others"))
+    differences = F.arrow_udf(_differences, "array<int>")("hashes", "sizes", "others").alias("shared")
+    pairs = neighbours(d)
+    first = pairs.where("near is not null").join(own, "_key").join(other("near"), "near").select("_key", "far", "nearest", differences)
+    first = written(first, "compared")
+    # a copy says nothing of the template, so the other neighbour is asked
+    second = first.where("shared is null and far is not null").select("_key", "far").join(own, "_key").join(other("far"), "far")
+    return first.where("shared is not null").select("_key", "nearest", "shared").unionByName(second.select("_key", "nearest", differences).where("shared is not null"))
+
+
+def _of(id_col: str, url_col: str, html_col: str) -> tuple[Column, Column, Column]:
+    """(key, url, html): rows with one key have the same id, URL and page, so the same result."""
+    url, page = F.col(f"`{url_col}`").cast("string"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
+    said = [F.coalesce(c, F.lit("")) for c in (F.col(f"`{id_col}`").cast("string"), url)]
+    return F.unhex(F.md5(F.concat(said[0], F.lit("\0"), said[1], F.lit("\0"), page).cast("binary"))), url, page
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -296,27 +344,21 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     none), ``n_chars`` (its code points), ``nearest`` (id of the page compared with, null if
     none), ``n_lines`` and ``n_shared``; these replace input columns of their names.
 
-    Null and empty pages have no line; pages without a URL, or alone on their host, are
-    compared with none; repeated rows are copies of each other, and those compared with
-    none but copies lose no line; very long pages are aligned in memory that grows with
-    their lines; ids may be of any type; an empty table gives an empty one.
+    Null and empty pages have no line; pages without a URL, alone on their host, or
+    between copies of themselves are compared with none and lose no line; rows that repeat
+    id, URL and page get equal results; very long pages are aligned in memory that grows
+    with their lines; ids may be of any type; an empty table gives an empty one.
+
+    Texts are packed for the one shuffle that brings a page's decision to it.
     """
     small_batches(pages.sparkSession, 500, 8 << 20)
+    key, _, page = _of(id_col, url_col, html_col)
+    decided = written(compared(pages, id_col, url_col, html_col), "decided")
     own = F.struct(F.lit(True).alias(""), *[F.col(f"`{c}`") for c in pages.columns if c != html_col]).alias("_row")
-    url = F.col(f"`{url_col}`").cast("string")
-    parsed = "hashes array<long>, chars array<long>, kept array<string>, declared boolean"
-    d = pages.select(own, F.col(f"`{id_col}`").alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.arrow_udf(_parsed, parsed)(F.col(f"`{html_col}`").cast("string")).alias("p"))
-    d = written(d.select("_row", "_id", "host", "path", "p.*", F.monotonically_increasing_id().alias("_at")), "lines")
-    near = neighbours(d.select("_at", "host", "path"))
-    other = lambda name: d.select(F.col("_at").alias(name), F.col("hashes").alias(f"{name}_hashes"), F.col("_id").alias(f"{name}_id"))
-    pairs = d.select("_at", "hashes", "chars").join(near, "_at").join(other("near"), "near", "left").join(other("far"), "far", "left")
-    found = F.arrow_udf(_differences, "asked int, shared array<int>")("hashes", "chars", "near_hashes", "far_hashes")
-    pairs = pairs.select("_at", found.alias("f"), "near_id", "far_id")
-    pairs = pairs.select("_at", "f.shared", F.when(F.col("f.asked") == 1, F.col("near_id")).when(F.col("f.asked") == 2, F.col("far_id")).alias("nearest"))
-    d = d.select("_at", "_row", "kept", "declared").join(pairs, "_at", "left")
-    left = F.filter("kept", lambda t, k: t.isNotNull() & (F.col("declared") | F.col("shared").isNull() | ~F.array_contains("shared", k)))
-    text = F.array_join(left, "\n\n")
-    new = {"text": text, "n_chars": F.length(text).cast("long"), "nearest": F.col("nearest"), "n_lines": F.size("kept").cast("long"), "n_shared": F.coalesce(F.size("shared"), F.lit(0)).cast("long")}
+    d = pages.select(key.alias("_key"), own, F.arrow_udf(_packed, "packed binary, n_lines long, declared boolean")(page).alias("p"))
+    d = d.select("_key", "_row", "p.*").join(decided, "_key", "left")
+    d = d.withColumn("text", F.arrow_udf(_texts, "string")("packed", "declared", "shared"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long"), "nearest": F.col("nearest"), "n_lines": F.col("n_lines"), "n_shared": F.coalesce(F.size("shared"), F.lit(0)).cast("long")}
     keep = [F.col(f"_row.`{c}`").alias(c) for c in pages.columns if c != html_col and c not in new]
     return d.select(*keep, *[c.alias(k) for k, c in new.items()])
 
