@@ -53,7 +53,7 @@ _NEVER = frozenset("aside footer search button select datalist dialog template s
 _OPENED = frozenset("head nav header form".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: an open element of these kinds ends where one of the named begins
-_CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr"}
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}}
 _LISTS = frozenset("ul ol dl table".split())
 
 #: fixed words: parts of a class, id or role that name what surrounds an article
@@ -115,14 +115,21 @@ def lines(page: str) -> list[tuple[int, str]]:
     held: list[tuple[int, str]] = []  # what the block at hand has so far
 
     def close() -> None:
-        for own in (False, True):
+        if len(held) == 1:
+            said, text = held.pop()
+            if text := " ".join(text.split()):
+                out.append((said if said >= UNSAID else SURROUNDS, text))
+        for own in (False, True) if held else ():
             part = [(said, text) for said, text in held if (said >= UNSAID) == own]
             if text := " ".join("".join(t for _, t in part).split()):
                 out.append((max(said for said, _ in part) if own else SURROUNDS, text))
         held.clear()
 
     def last(wanted) -> int:
-        return next((k for k in range(len(stack) - 1, -1, -1) if wanted(stack[k][0])), -1)
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in wanted:
+                return k
+        return -1
 
     def opened(tag: str) -> None:
         """End what a block's beginning ends: the head, a paragraph with the formatting left
@@ -130,12 +137,12 @@ def lines(page: str) -> list[tuple[int, str]]:
         close()
         if stack and tag == "body":
             stack.clear()
-        if (k := last(lambda t: t == "head")) >= 0 and tag != "head":
-            del stack[k:]
-        if (k := last(_BLOCK.__contains__)) >= 0 and stack[k][0] == "p":
+        if any(t == "head" for t, _ in stack[:2]) and tag != "head":  # under html, if anywhere
+            del stack[last(("head",)) :]
+        if (k := last(_BLOCK)) >= 0 and stack[k][0] == "p":
             del stack[k:]
         if kinds := _CLOSES.get(tag):
-            k = last(lambda t: t in _LISTS or t in kinds.split())
+            k = last(_LISTS | kinds)
             if k >= 0 and stack[k][0] not in _LISTS:
                 del stack[k:]
 
@@ -153,7 +160,7 @@ def lines(page: str) -> list[tuple[int, str]]:
         if m[1]:
             if tag in _BLOCK:
                 close()
-            k = last(lambda t: t == tag)
+            k = last((tag,))
             # a stray end of formatting closes no block
             if k >= 0 and (tag in _BLOCK or not any(t in _BLOCK for t, _ in stack[k + 1 :])):
                 del stack[k:]
@@ -250,19 +257,24 @@ def _differences(own: pa.Array, sizes: pa.Array, other: pa.Array) -> pa.Array:
 
 
 def _hashed(page: pa.Array) -> pa.Array:
-    """A hash of every line, and its characters up to 255 (0: surroundings), as bytes."""
-    hashes, sizes = [], []
+    """A hash of every line, its characters up to 255 (0: surroundings), as bytes, and a digest of all lines."""
+    hashes, sizes, digests = [], [], []
     for p in page:
         found = lines(p.as_py() or "")
         hashes.append(b"".join(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=_BYTES).digest() for _, t in found))
         sizes.append(bytes(min(len(t), 255) if said >= UNSAID else 0 for said, t in found))
-    return pa.StructArray.from_arrays([pa.array(hashes, pa.binary()), pa.array(sizes, pa.binary())], ["hashes", "sizes"])
+        digests.append(_digest(found))
+    return pa.StructArray.from_arrays([pa.array(x, pa.binary()) for x in (hashes, sizes, digests)], ["hashes", "sizes", "digest"])
+
+
+def _digest(found: list[tuple[int, str]]) -> bytes:
+    return hashlib.blake2b("\n".join(t for _, t in found).encode("utf-8", "replace"), digest_size=16).digest()
 
 
 def _packed(page: pa.Array) -> pa.Array:
-    """The lines that may be kept, compressed (empty: not to be kept), their number, and
-    whether the markup declares them the article."""
-    packed, number, declared = [], [], []
+    """The lines that may be kept, compressed (empty: not to be kept), their number, whether
+    the markup declares them the article, and the digest of all lines."""
+    packed, number, declared, digests = [], [], [], []
     for p in page:
         found = lines(p.as_py() or "")
         most = max((said for said, _ in found), default=UNSAID)
@@ -270,7 +282,8 @@ def _packed(page: pa.Array) -> pa.Array:
         packed.append(zlib.compress(kept.encode("utf-8", "replace"), 6))
         number.append(len(found))
         declared.append(most == ARTICLE)
-    return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(number, pa.int64()), pa.array(declared)], ["packed", "n_lines", "declared"])
+        digests.append(_digest(found))
+    return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(number, pa.int64()), pa.array(declared), pa.array(digests, pa.binary())], ["packed", "n_lines", "declared", "digest"])
 
 
 def _texts(packed: pa.Array, declared: pa.Array, shared: pa.Array) -> pa.Array:
@@ -313,50 +326,52 @@ def neighbours(urls: DataFrame) -> DataFrame:
     return d.select("_key", F.when(after, F.col("n_key")).otherwise(F.col("p_key")).alias("near"), F.when(after, F.col("p_key")).otherwise(F.col("n_key")).alias("far"))
 
 
+def _key(host: Column, digest: Column) -> Column:
+    """Pages of one host with equal lines have one key; null without a host."""
+    return F.unhex(F.md5(F.concat(host.cast("binary"), digest)))
+
+
 def compared(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(_key, nearest, shared): for each distinct page the id of the page it was compared
-    with and the numbers of the lines they share; pages compared with none are left out."""
-    key, url, html_ = _of(id_col, url_col, html_col)
-    d = pages.select(key.alias("_key"), F.col(f"`{id_col}`").alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.arrow_udf(_hashed, "hashes binary, sizes binary")(html_).alias("h"))
-    # rows that repeat a page lie side by side, and one of them stands for all
-    d = ranged(d.select("_key", "_id", "host", "path", "h.*"), "lines", F.asc("host"), F.asc("path"), F.asc("_key"))
-    d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("_block", "_key").orderBy("_id"))).where("_nth = 1").drop("_nth")
+    """(_key, nearest, shared): for the pages of a key the id of the page they were compared
+    with and the numbers of the lines they share; pages compared with none are left out.
+
+    Pages of one host with equal lines are one page, at the first of their URLs: a copy
+    beside a page says nothing of its template.
+    """
+    url, page = F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")
+    d = pages.select(F.col(f"`{id_col}`").alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"), page.alias("page")).where("host is not null")
+    d = d.select("_id", "host", "path", F.arrow_udf(_hashed, "hashes binary, sizes binary, digest binary")("page").alias("h"))
+    d = d.withColumn("_key", _key(F.col("host"), F.col("h.digest"))).groupBy("_key").agg(F.min_by(F.struct("host", "path", "_id", "h.hashes", "h.sizes"), F.struct("path", "_id")).alias("p"))
+    d = ranged(d.select("_key", "p.*"), "lines", F.asc("host"), F.asc("path"), F.asc("_key"))
     own = d.select("_key", "hashes", "sizes")
     other = lambda at: d.select(F.col("_key").alias(at), F.col("_id").alias("nearest"), F.col("hashes").alias("others"))
     differences = F.arrow_udf(_differences, "array<int>")("hashes", "sizes", "others").alias("shared")
     pairs = neighbours(d)
     first = pairs.where("near is not null").join(own, "_key").join(other("near"), "near").select("_key", "far", "nearest", differences)
     first = written(first, "compared")
-    # a copy says nothing of the template, so the other neighbour is asked
+    # nor does a page that is nearly a copy, so the other neighbour is asked
     second = first.where("shared is null and far is not null").select("_key", "far").join(own, "_key").join(other("far"), "far")
     return first.where("shared is not null").select("_key", "nearest", "shared").unionByName(second.select("_key", "nearest", differences).where("shared is not null"))
 
 
-def _of(id_col: str, url_col: str, html_col: str) -> tuple[Column, Column, Column]:
-    """(key, url, html): rows with one key have the same id, URL and page, so the same result."""
-    url, page = F.col(f"`{url_col}`").cast("string"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
-    said = [F.coalesce(c, F.lit("")) for c in (F.col(f"`{id_col}`").cast("string"), url)]
-    return F.unhex(F.md5(F.concat(said[0], F.lit("\0"), said[1], F.lit("\0"), page).cast("binary"))), url, page
-
-
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` without the html, with ``text`` (blocks joined by an empty line; empty if
     none), ``n_chars`` (its code points), ``nearest`` (id of the page compared with, null if
     none), ``n_lines`` and ``n_shared``; these replace input columns of their names.
 
     Null and empty pages have no line; pages without a URL, alone on their host, or
-    between copies of themselves are compared with none and lose no line; rows that repeat
-    id, URL and page get equal results; very long pages are aligned in memory that grows
+    between pages that are nearly copies are compared with none and lose no line; equal
+    pages of a host get equal results; very long pages are aligned in memory that grows
     with their lines; ids may be of any type; an empty table gives an empty one.
 
     Texts are packed for the one shuffle that brings a page's decision to it.
     """
     small_batches(pages.sparkSession, 500, 8 << 20)
-    key, _, page = _of(id_col, url_col, html_col)
+    url, page = F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")
     decided = written(compared(pages, id_col, url_col, html_col), "decided")
     own = F.struct(F.lit(True).alias(""), *[F.col(f"`{c}`") for c in pages.columns if c != html_col]).alias("_row")
-    d = pages.select(key.alias("_key"), own, F.arrow_udf(_packed, "packed binary, n_lines long, declared boolean")(page).alias("p"))
-    d = d.select("_key", "_row", "p.*").join(decided, "_key", "left")
+    d = pages.select(host_of(url).alias("host"), own, F.arrow_udf(_packed, "packed binary, n_lines long, declared boolean, digest binary")(page).alias("p"))
+    d = d.select(_key(F.col("host"), F.col("p.digest")).alias("_key"), "_row", "p.packed", "p.n_lines", "p.declared").join(decided, "_key", "left")
     d = d.withColumn("text", F.arrow_udf(_texts, "string")("packed", "declared", "shared"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long"), "nearest": F.col("nearest"), "n_lines": F.col("n_lines"), "n_shared": F.coalesce(F.size("shared"), F.lit(0)).cast("long")}
     keep = [F.col(f"_row.`{c}`").alias(c) for c in pages.columns if c != html_col and c not in new]
