@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,9 @@ CUT_ROWS = 50_000
 _ROWS = 36  # bits that count the readings of a sensor
 
 
+_NEAR = 48  # readings that a corridor is followed through one by one
+
+
 def door(t: np.ndarray, v: np.ndarray, e: float) -> np.ndarray:
     """Positions that a swinging door of half-width ``e`` keeps of one unbroken segment.
 
@@ -23,41 +29,86 @@ def door(t: np.ndarray, v: np.ndarray, e: float) -> np.ndarray:
     points so far; when the range is empty, the point before becomes the next anchor.
     Then every chord between kept points is checked against the points it replaces and
     split at its worst one until all are within ``e``.
+
+    Short corridors and chords are followed point by point, long ones as arrays.
     """
     n = len(t)
     if n <= 2 or e <= 0:
         return np.arange(n)
-    marks, at, reach = [0], 0, 64
+    ts, vs = t.tolist(), v.tolist()
+    marks, at = [0], 0
     while at < n - 1:
-        run = slice(at + 1, min(n, at + 1 + reach))
-        dt = t[run] - t[at]
-        dt = np.where(dt > 0, dt, np.nan)
-        top = np.fmin.accumulate((v[run] + e - v[at]) / dt)
-        low = np.fmax.accumulate((v[run] - e - v[at]) / dt)
-        shut = np.flatnonzero(low > top)
-        if not len(shut):
-            if run.stop == n:
-                break
-            reach *= 4  # the corridor outlasts the look-ahead
-            continue
-        at, reach = at + max(int(shut[0]), 1), 64
+        shut, top, low = _walk(ts, vs, e, at, min(n, at + 1 + _NEAR))
+        if shut is None and at + 1 + _NEAR < n:
+            shut = _swing(t, v, e, at, at + 1 + _NEAR, top, low)
+        if shut is None:
+            break
+        at = max(shut - 1, at + 1)
         marks.append(at)
     if marks[-1] != n - 1:
         marks.append(n - 1)
-    keep, todo = set(marks), list(zip(marks[:-1], marks[1:]))
+    keep, todo = list(marks), list(zip(marks[:-1], marks[1:]))
     while todo:
         a, z = todo.pop()
-        if z - a < 2 or t[z] <= t[a]:
+        if z - a < 2 or ts[z] <= ts[a]:
             continue
-        off = np.abs(v[a + 1 : z] - (v[a] + (v[z] - v[a]) / (t[z] - t[a]) * (t[a + 1 : z] - t[a])))
-        worst = int(off.argmax())
-        if off[worst] > e:
-            split = a + 1 + worst
-            keep.add(split)
-            todo += [(a, split), (split, z)]
+        worst, off = _worst(ts, vs, a, z) if z - a <= _NEAR else _farthest(t, v, a, z)
+        if off > e:
+            keep.append(worst)
+            todo += [(a, worst), (worst, z)]
     return np.array(sorted(keep))
 
 
+def _walk(ts: list, vs: list, e: float, at: int, end: int) -> tuple[int | None, float, float]:
+    """(the point at which the door shuts, if it does before ``end``; its two slopes there)."""
+    t0, v0, top, low = ts[at], vs[at], math.inf, -math.inf
+    for k in range(at + 1, end):
+        dt = ts[k] - t0
+        if dt > 0:
+            high, deep = (vs[k] + e - v0) / dt, (vs[k] - e - v0) / dt
+            if high < top:
+                top = high
+            if deep > low:
+                low = deep
+            if low > top:
+                return k, top, low
+    return None, top, low
+
+
+def _swing(t: np.ndarray, v: np.ndarray, e: float, at: int, start: int, top: float, low: float) -> int | None:
+    """The point from ``start`` on at which a door that is still open shuts, over growing stretches."""
+    reach = 4 * _NEAR
+    while start < len(t):
+        run = slice(start, min(len(t), start + reach))
+        dt = t[run] - t[at]
+        dt = np.where(dt > 0, dt, np.nan)
+        tops = np.fmin(np.fmin.accumulate((v[run] + e - v[at]) / dt), top)
+        lows = np.fmax(np.fmax.accumulate((v[run] - e - v[at]) / dt), low)
+        shut = np.flatnonzero(lows > tops)
+        if len(shut):
+            return start + int(shut[0])
+        start, top, low, reach = run.stop, tops[-1], lows[-1], reach * 4
+    return None
+
+
+def _worst(ts: list, vs: list, a: int, z: int) -> tuple[int, float]:
+    """The point farthest from the chord from ``a`` to ``z``, and how far it is."""
+    t0, v0 = ts[a], vs[a]
+    slope = (vs[z] - v0) / (ts[z] - t0)
+    worst, most = a, -1.0
+    for k in range(a + 1, z):
+        off = abs(vs[k] - (v0 + slope * (ts[k] - t0)))
+        if off > most:
+            worst, most = k, off
+    return worst, most
+
+
+def _farthest(t: np.ndarray, v: np.ndarray, a: int, z: int) -> tuple[int, float]:
+    off = np.abs(v[a + 1 : z] - (v[a] + (v[z] - v[a]) / (t[z] - t[a]) * (t[a + 1 : z] - t[a])))
+    worst = int(off.argmax())
+    return a + 1 + worst, float(off[worst])
+
+
 def segments(readings: DataFrame, gap_seconds: float = C.GAP_SECONDS, cut_rows: int = CUT_ROWS) -> DataFrame:
     """``readings`` with ``segment`` and ``piece``: no line may span a gap or a change of quality.
 
@@ -82,26 +133,62 @@ def deviations(readings: DataFrame, percent: float) -> DataFrame:
     return span.select("sensor_id", deviation_for_span(F.col("lo"), F.col("hi"), percent).alias("deviation"))
 
 
+def _starts(t: pa.Table, by: list[str]) -> np.ndarray:
+    """Row numbers at which one of the columns ``by`` changes, 0 first."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for c in by:
+        codes = t.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _through_doors(by: list[str]):
+    """Sorted batches to the readings that doors keep of them: many pieces in a batch, and a
+    piece that a batch leaves open is carried into the next."""
+
+    def kept(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not t.num_rows:
+            return
+        time, value, e = (t.column(c).to_numpy() for c in ("_t", "value", "deviation"))
+        sizes = np.diff(np.append(starts, t.num_rows))
+        plain = (sizes <= 2) | ~(e[starts] > 0)
+        keep = np.repeat(plain, sizes)
+        for s, n in zip(starts[~plain], sizes[~plain]):
+            keep[s + door(time[s : s + n] - time[s], value[s : s + n], float(e[s]))] = True
+        yield from t.filter(pa.array(keep)).drop_columns(["segment", "piece", "_t"]).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            if not t.num_rows:
+                continue
+            starts = _starts(t, by)
+            yield from kept(t.slice(0, starts[-1]), starts[:-1])
+            held = t.slice(starts[-1])
+        if held is not None:
+            yield from kept(held, np.zeros(1, np.int64))
+
+    return run
+
+
 def compress(readings: DataFrame, deviation: DataFrame, gap_seconds: float = C.GAP_SECONDS, cut_rows: int = CUT_ROWS) -> DataFrame:
     """The readings worth keeping; what is dropped can be redrawn within the deviation.
 
     ``deviation`` has (sensor_id, deviation) and may hold several settings per sensor,
-    told apart by any further columns, which are carried through.  A group holds at most
-    ``cut_rows`` readings.
+    told apart by any further columns, which are carried through.  Pieces are dealt to
+    tasks whole and stream through sorted; a task holds one piece, of at most ``cut_rows``
+    readings, however many there are.
     """
     extra = [c for c in deviation.columns if c not in ("sensor_id", "deviation")]
     d = segments(readings, gap_seconds, cut_rows).withColumn("_t", millis(F.col("reading_ts")) / 1000.0)
-    d = d.select("sensor_id", "reading_ts", "value", "quality_code_id", "segment", "piece", "_t").join(deviation, "sensor_id")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_t", kind="stable")
-        t = g["_t"].to_numpy(float)
-        return g.iloc[door(t - t[0], g["value"].to_numpy(float), float(g["deviation"].iloc[0]))].drop(columns=["segment", "piece", "_t"])
-
-    types = dict(d.dtypes)
-    out = ["sensor_id", "reading_ts", "value", "quality_code_id", "deviation", *extra]
-    kept = d.groupBy("sensor_id", "segment", "piece", *extra).applyInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in d.columns if c not in ("segment", "piece", "_t")))
-    return kept.select(*out)
+    d = d.select("sensor_id", "reading_ts", F.col("value").cast("double").alias("value"), "quality_code_id", "segment", "piece", "_t").join(deviation, "sensor_id")
+    by, types = ["sensor_id", *extra, "segment", "piece"], dict(d.dtypes)
+    out = ", ".join(f"`{c}` {types[c]}" for c in d.columns if c not in ("segment", "piece", "_t"))
+    kept = d.repartition(*by).sortWithinPartitions(*by, "_t").mapInArrow(_through_doors(by), out)
+    return kept.select("sensor_id", "reading_ts", "value", "quality_code_id", "deviation", *extra)
 
 
 def redrawn(readings: DataFrame, kept: DataFrame, by: tuple[str, ...] = ("sensor_id",)) -> DataFrame:
@@ -137,17 +224,30 @@ def compression_stats(readings: DataFrame, kept: DataFrame, deviation: DataFrame
     )
 
 
-def sweep(readings: DataFrame, percents=C.COMPRESSION_SWEEP, gap_seconds: float = C.GAP_SECONDS, cut_rows: int = CUT_ROWS) -> DataFrame:
-    """Per deviation setting, over all sensors: counts, ratio, the largest share of an
-    error budget used, and the number of sensors whose bound does not hold."""
+def sweep_by_sensor(readings: DataFrame, percents=C.COMPRESSION_SWEEP, gap_seconds: float = C.GAP_SECONDS, cut_rows: int = CUT_ROWS, stored: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """``compression_stats`` of every sensor under each deviation setting ``pct``.
+
+    ``stored`` writes a table and reads it back: the kept readings are read several times,
+    and without it they are worked out each time.
+    """
     span = readings.groupBy("sensor_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     each = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("pct"), deviation_for_span(F.col("lo"), F.col("hi"), p).alias("deviation")) for p in percents])).alias("s")
     dev = span.select("sensor_id", each).select("sensor_id", "s.deviation", "s.pct")
-    stats = compression_stats(readings, compress(readings, dev, gap_seconds, cut_rows), dev)
+    return compression_stats(readings, stored(compress(readings, dev, gap_seconds, cut_rows)), dev)
+
+
+def sweep_totals(stats: DataFrame) -> DataFrame:
+    """``sweep_by_sensor`` over all sensors: counts, ratio, the largest share of an error
+    budget used, and the number of sensors whose bound does not hold."""
     d = stats.groupBy("pct").agg(F.sum("original_count").alias("original_count"), F.sum("kept_count").alias("kept_count"), F.max("budget_used").alias("worst_budget_used"), F.count_if(~F.col("within_bound")).alias("violations"))
     return d.withColumn("compression_ratio", F.col("original_count") / F.col("kept_count"))
 
 
+def sweep(readings: DataFrame, percents=C.COMPRESSION_SWEEP, gap_seconds: float = C.GAP_SECONDS, cut_rows: int = CUT_ROWS, stored: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """Totals per deviation setting over all sensors."""
+    return sweep_totals(sweep_by_sensor(readings, percents, gap_seconds, cut_rows, stored))
+
+
 def value_at(kept: DataFrame, requests: DataFrame, sensors: DataFrame, gap_seconds: float = C.GAP_SECONDS) -> DataFrame:
     """The value of a sensor at any instant: (…request columns, value, method, prev_ts, next_ts, bracket_seconds).
 

@@ -531,6 +531,17 @@ def _archive(spark, sf):
     return r, compress.deviations(r, PERCENT)
 
 
+def _kept(spark, sf):
+    """What compression leaves of the archive; built once, as several queries read it."""
+    return archive.built(spark, sf, "kept", lambda: compress.compress(*_archive(spark, sf), 6 * B.GAP))
+
+
+def _swept(spark, sf):
+    """Statistics of every sensor and setting, of kept readings that are stored once."""
+    stored = lambda d: archive.built(spark, sf, "swept", lambda: d)
+    return compress.sweep_by_sensor(_archive(spark, sf)[0], SWEEP, 6 * B.GAP, stored=stored)
+
+
 def _door(percents) -> str:
     """The swinging door in SQL: one reduction over the readings of a piece, then chords split where they err."""
     top, low = (f"CASE WHEN z.x > m.ax THEN {f}(m.{k}, (z.v {op} e - m.av) / (z.x - m.ax)) ELSE m.{k} END" for f, k, op in (("least", "top", "+"), ("greatest", "low", "-")))
@@ -565,20 +576,24 @@ def _recursive(percents, body: str, doubles: str) -> str:
 
 @query(_recursive((PERCENT,), "SELECT sensor_id, reading_ts, v AS value, q AS quality_code_id, e AS deviation FROM kept", "value deviation"))
 def compress_sdt(spark, sf):
-    r, dev = _archive(spark, sf)
-    return tidy(compress.compress(r, dev, 6 * B.GAP))
+    return tidy(_kept(spark, sf))
 
 
 @query(_recursive((PERCENT,), "SELECT * EXCLUDE (pct) FROM stats", "max_error mean_error rmse deviation compression_ratio retained_pct budget_used"))
 def compression_summary(spark, sf):
     r, dev = _archive(spark, sf)
-    return tidy(compress.compression_stats(r, compress.compress(r, dev, 6 * B.GAP), dev))
+    return tidy(compress.compression_stats(r, _kept(spark, sf), dev))
 
 
 @query(_recursive(SWEEP, "SELECT pct, sum(original_count)::BIGINT AS original_count, sum(kept_count)::BIGINT AS kept_count, max(budget_used) AS worst_budget_used, count(*) FILTER (WHERE NOT within_bound) AS violations, sum(original_count)::DOUBLE / sum(kept_count) AS compression_ratio FROM stats GROUP BY 1", "pct worst_budget_used compression_ratio"))
 def compress_sweep(spark, sf):
-    r, _ = _archive(spark, sf)
-    return tidy(compress.sweep(r, SWEEP, 6 * B.GAP))
+    return tidy(compress.sweep_totals(_swept(spark, sf)))
+
+
+@query(_recursive(SWEEP, "SELECT * FROM stats", "pct max_error mean_error rmse deviation compression_ratio retained_pct budget_used"))
+def compress_sweep_sensors(spark, sf):
+    """Kept and original counts, errors and budgets of every sensor under every setting."""
+    return tidy(_swept(spark, sf))
 
 
 _ASKED = """SELECT q.sensor_id, q.reading_ts AS "at", CASE WHEN p.reading_ts = q.reading_ts OR x.reading_ts IS NULL THEN p.v ELSE p.v + (x.v - p.v) * ((epoch_us(q.reading_ts) // 1000 - epoch_us(p.reading_ts) // 1000) / (epoch_us(x.reading_ts) // 1000 - epoch_us(p.reading_ts) // 1000)::DOUBLE) END AS value,
@@ -589,9 +604,8 @@ _ASKED = """SELECT q.sensor_id, q.reading_ts AS "at", CASE WHEN p.reading_ts = q
 @query(_recursive((PERCENT,), _ASKED.format(limit=6 * B.GAP), "value"))
 def value_at_compressed(spark, sf):
     """Every analogue reading asked of the archive that compression left of them."""
-    r, dev = _archive(spark, sf)
-    kept = compress.compress(r, dev, 6 * B.GAP)
-    return tidy(compress.value_at(kept, r.select("sensor_id", F.col("reading_ts").alias("at")), A.sensors(spark), 6 * B.GAP))
+    r, _ = _archive(spark, sf)
+    return tidy(compress.value_at(_kept(spark, sf), r.select("sensor_id", F.col("reading_ts").alias("at")), A.sensors(spark), 6 * B.GAP))
 
 
 # --- further profile and analysis -------------------------------------------------

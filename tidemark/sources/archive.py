@@ -196,6 +196,26 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+class Workspace:
+    """Tables of the shared folder that one computation writes and reads back, which cuts the
+    lineage; they are removed together when it ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.made = spark, fresh_path(shared_dir(spark), name), 0
+
+    def table(self, d: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.base}/{self.made}"
+        d.write.parquet(path)
+        return self.spark.read.schema(d.schema).parquet(path)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.base)
+
+
 def forget(spark: SparkSession) -> None:
     """Remove the built tables of this session."""
     for key in [k for k in _made if k[0] == spark.sparkContext.applicationId]:
