@@ -5,19 +5,27 @@ rule that fails and the measurements.  Policies (named, versioned sets of rules)
 masks over the bits, so applying one or asking what a rule alone costs reads the
 ledger and no text.
 
-All measurements are made within the row: no shuffle, no Python.
+Texts of up to ``LONG`` bytes are measured within the row: no shuffle, no Python.  Longer
+ones become rows of parts, cut after words (with the words that a part's last windows
+reach into) and after lines, so that no task holds a whole text's words: counts add up
+over parts, and windows and lines that occur twice are found by counting their hashes.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import leading
+
 from .common import boxed, unboxed, words, written
 
 WINDOW = 8
+LONG = 1 << 18  # bytes above which a text is measured in parts
+PART = 1 << 17  # characters of a part; it ends with the word, or line, that it is in
+DEALT = 16
 SYMBOLS = "#*$%&|<>"
 
 #: name -> condition under which the rule fails; the order gives the bits and only grows.
@@ -88,31 +96,95 @@ def _covered() -> Column:
     )
 
 
+def _count(chars: str) -> Column:
+    return F.regexp_count("_text", F.lit(chars))
+
+
+def _added() -> dict[str, Column]:
+    """Measures of ``_text`` that add up over its parts."""
+    return {
+        "word_chars": F.length("_text") - _count(r"[\x20\x09-\x0D]"),
+        "n_symbols": _count(f"[{SYMBOLS}]"),
+        "n_letters": F.length(F.regexp_replace("_text", r"\P{L}+", "")),
+        "n_upper": F.length(F.regexp_replace("_text", r"\P{Lu}+", "")),
+    }
+
+
+def _windows() -> Column:
+    n = F.size("_hashes")
+    return F.when(n >= WINDOW, F.slice("_hashes", 1, F.greatest(n - (WINDOW - 1), F.lit(1)))).otherwise(F.array().cast("array<long>"))
+
+
+def _lines() -> Column:
+    return F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _within_rows(d: DataFrame) -> DataFrame:
+    """(_row, measures) of (_row, _text)."""
+    d = _rolled(d.withColumn("_hashes", F.transform(words(F.col("_text")), lambda w: F.xxhash64(w))))
+    d = d.select("_row", "_text", F.size("_hashes").alias("n_words"), _windows().alias("_windows"), _lines().alias("_lines"))
+    out = {"n_words": F.col("n_words"), **_added(), "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")), "n_repeat_words": _repeat_words(), "n_lines": F.size("_lines")}
+    return d.select("_row", *[out[k].cast("long").alias(k) for k in MEASURES])
+
+
+def _parts(d: DataFrame, end: str) -> DataFrame:
+    """(_key, part, _text): the texts of (_key, _text), each text once, in parts that go on
+    until the characters ``end`` end."""
+    # (?s) lets a part span lines
+    cut = F.regexp_extract_all("_text", F.lit(rf"(?s)(.{{1,{PART}}}{end}*)"), F.lit(1))
+    made = written(d.select("_key", F.posexplode(cut).alias("part", "_text")), "parts")
+    return written(made.dropDuplicates(["_key", "part"]), "parts")
+
+
+_WORD, _GAP = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+
+
+def _ahead(worded: DataFrame) -> DataFrame:
+    """(_key, part, _begin, ahead): how many words are before a part, and the words that its
+    last windows reach into.  Every part has a word, so they are in the next parts, as many."""
+    first = F.regexp_extract("_text", rf"^(?:{_GAP}*{_WORD}+){{0,{WINDOW - 1}}}", 0)
+    order = Window.partitionBy("_key").orderBy("part")
+    d = worded.select("_key", "part", F.size("_own").alias("_size"), first.alias("_first"))
+    begin = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return d.select("_key", "part", F.coalesce(begin, F.lit(0)).alias("_begin"), F.array_join(F.collect_list("_first").over(order.rowsBetween(1, WINDOW - 1)), " ").alias("ahead"))
+
+
+def _over_parts(worded: DataFrame, lined: DataFrame) -> DataFrame:
+    """(_key, measures) of texts in parts that end with words, and in parts that end with lines."""
+    hashes = lambda c, n: F.transform(F.slice(words(F.col(c)), 1, n), lambda w: F.xxhash64(w))
+    d = worded.withColumn("_own", F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)))
+    counts = d.groupBy("_key").agg(F.sum(F.size("_own")).alias("n_words"), *[F.sum(c).alias(k) for k, c in _added().items()])
+    d = d.where(F.size("_own") > 0)
+    ahead = written(_ahead(d), "ahead")
+    rolled = _rolled(d.select("_key", "part", "_own").join(ahead, ["_key", "part"]).select("_key", "part", "_begin", F.concat("_own", hashes("ahead", WINDOW - 1)).alias("_hashes")))
+    windows = written(rolled.select("_key", "part", "_begin", F.posexplode(_windows()).alias("i", "h")).select("_key", "part", (F.col("_begin") + F.col("i")).alias("at"), "h"), "windows")
+    twice = windows.groupBy("_key", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_key", "h", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("_dealt"))
+    hits = windows.withColumn("_dealt", F.col("part") % DEALT).join(twice, ["_key", "h", "_dealt"]).select("_key", "part", "at")
+    hits = leading(hits, ["_key"], "part", ["at"], {"_next": "at"})
+    repeats = hits.groupBy("_key").agg(F.sum(F.least(F.coalesce(F.col("_next") - F.col("at"), F.lit(WINDOW)), F.lit(WINDOW))).alias("n_repeat_words"))
+    lines = lined.select("_key", F.explode(_lines()).alias("line")).groupBy("_key", F.md5(F.col("line").cast("binary")).alias("h")).agg(F.count(F.lit(1)).alias("c"))
+    lines = lines.groupBy("_key").agg(F.sum("c").alias("n_lines"), F.sum(F.col("c") - 1).alias("n_dup_lines"))
+    d = counts.join(repeats, "_key", "left").join(lines, "_key", "left")
+    return d.select("_key", *[F.coalesce(F.col(k), F.lit(0)).cast("long").alias(k) for k in MEASURES])
+
+
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns of MEASURES (long); a clashing input column is replaced,
     others pass through under any name.
 
     Null text has no words, lines or characters; repeated rows get equal results; very
-    long texts are measured whole, within their row; an empty table gives an empty one.
+    long texts are measured whole, in parts; an empty table gives an empty one.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = _rolled(boxed(docs, _text=text, _hashes=F.transform(words(text), lambda w: F.xxhash64(w))))
-    n = F.size("_hashes")
-    window = F.when(n >= WINDOW, F.slice("_hashes", 1, F.greatest(n - (WINDOW - 1), F.lit(1)))).otherwise(F.array().cast("array<long>"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.select("_row", "_text", n.cast("long").alias("n_words"), window.alias("_windows"), lines.alias("_lines"))
-    count = lambda chars: F.regexp_count("_text", F.lit(chars))
-    out = {
-        "n_words": F.col("n_words"),
-        "word_chars": F.length("_text") - count(r"[\x20\x09-\x0D]"),
-        "n_symbols": count(f"[{SYMBOLS}]"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": _repeat_words(),
-        "n_lines": F.size("_lines"),
-        "n_letters": F.length(F.regexp_replace("_text", r"\P{L}+", "")),
-        "n_upper": F.length(F.regexp_replace("_text", r"\P{Lu}+", "")),
-    }
-    return unboxed(d, **{k: c.cast("long") for k, c in out.items()})
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    long = F.octet_length(text) > LONG
+    short = _within_rows(boxed(docs.where(~long), _text=text))
+    key = F.md5(text.cast("binary")).alias("_key")
+    whole = docs.where(long).select(key, text.alias("_text"))
+    if whole.isEmpty():
+        return unboxed(_within_rows(boxed(docs, _text=text)), **{k: F.col(k) for k in MEASURES})
+    found = written(_over_parts(_parts(whole, _WORD), _parts(whole, r"[^\n]")), "measures")
+    rest = boxed(docs.where(long), _key=key).join(found, "_key").select("_row", *MEASURES)
+    return unboxed(short.unionByName(rest), **{k: F.col(k) for k in MEASURES})
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
