@@ -10,15 +10,20 @@ roles and texts ``\\`` becomes ``\\s``, ``<`` before ``turn `` or ``/turn>`` bec
 ``\\l``, and in roles also ``>`` becomes ``\\g`` and a line feed ``\\n``; so control
 strings cannot occur in them, and reading back undoes it exactly.
 
-A conversation is gathered in one row, as its digest needs; examples are made from it
-one at a time.
+Running lengths say where in a conversation's text every example ends, so an example is
+a beginning of that text and carries nothing else.  The examples of a conversation hold
+as many characters as the square of its turns, by the method; they are dealt in parts
+of about ``PART`` characters, each of which gets the conversation's text once, so that
+one long conversation is the work of many tasks.  The text itself is one row, as its
+digest needs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PART = 1 << 26
 ASSISTANT = "assistant"
 OPEN, CLOSE = "<turn ", "</turn>\n"
 _TEXT = [("\\", "\\s"), ("<turn ", "\\lturn "), ("</turn>", "\\l/turn>")]
@@ -48,34 +53,37 @@ def unescape_role(role: Column) -> Column:
 
 
 def format_chat(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(id_col, example, target_turn, formatted, loss_start, loss_end).
+    """(id_col, example, target_turn, formatted, loss_start, loss_end, holds_all).
 
     ``loss_start``/``loss_end`` are code points in ``formatted``, both its length in
-    the example without a target, whose ``target_turn`` is null.  Null roles and texts
-    are empty; null turn numbers come first; ties go by role, then text.  A null id is
-    a conversation of its own.
+    the example without a target, whose ``target_turn`` is null.  ``holds_all`` marks the
+    example that has every turn.  Null roles and texts are empty; null turn numbers come
+    first; ties go by role, then text.  A null id is a conversation of its own.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
-    one = F.struct(F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    conv = turns.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(one)).alias("t"))
-    conv = conv.select(
-        "_id",
-        F.transform("t", lambda x: F.struct(x["turn"].alias("turn"), (x["role"] == ASSISTANT).alias("target"), F.concat(F.lit(OPEN), escape_role(x["role"]), F.lit(">\n")).alias("head"), escape(x["text"]).alias("body"))).alias("t"),
-    )
-    conv = conv.select("_id", "t", F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))).alias("whole"))
-    ends = F.filter(F.sequence(F.lit(1), F.size("t")), lambda k: F.element_at("t", k)["target"] | (k == F.size("t")))
-    each = conv.select("_id", "t", "whole", F.posexplode(ends).alias("example", "k"))
-    last = F.element_at("t", F.col("k"))
-    each = each.select("_id", "example", last.alias("last"), F.array_join(F.slice("whole", 1, F.col("k")), "").alias("formatted"))
-    end = F.length("formatted") - F.when(F.col("last.target"), len(CLOSE)).otherwise(0)
+    d = turns.select(F.col(id_col).alias("_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    order = Window.partitionBy("_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("_id", "turn", (F.col("role") == ASSISTANT).alias("target"), F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(">\n")).alias("head"), escape(F.col("text")).alias("body"), "role", "text")
+    size = F.length("head") + F.length("body") + len(CLOSE)
+    d = d.withColumns({"k": F.count(F.lit(1)).over(order), "upto": F.sum(size.cast("long")).over(order)})
+    d = d.withColumns({"turns": F.count(F.lit(1)).over(Window.partitionBy("_id")), "made": F.sum(F.when(F.col("target"), F.col("upto")).otherwise(0)).over(order)})
+    made = d.where("target or k = turns").select("_id", "turn", "target", "k", "upto", F.length("body").alias("own"), (F.col("k") == F.col("turns")).alias("holds_all"), F.floor(F.col("made") / PART).alias("part"))
+    made = made.withColumn("example", F.row_number().over(Window.partitionBy("_id").orderBy("k")) - 1)
+    piece = F.concat("head", "body", F.lit(CLOSE))
+    whole = d.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("k", piece.alias("piece")))).alias("p"), F.max(F.floor(F.col("made") / PART)).alias("parts"))
+    whole = whole.select(F.col("_id").alias("_of"), F.array_join("p.piece", "").alias("whole"), "parts")
+    whole = whole.select("_of", "whole", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("_in"))
+    each = made.join(whole, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("part") == F.col("_in")))
+    end = F.col("upto") - F.when(F.col("target"), len(CLOSE)).otherwise(0)
     return each.select(
         F.col("_id").alias(id_col),
         F.col("example").cast("long").alias("example"),
-        F.when(F.col("last.target"), F.col("last.turn")).alias("target_turn"),
-        "formatted",
-        (end - F.when(F.col("last.target"), F.length("last.body")).otherwise(0)).cast("long").alias("loss_start"),
+        F.when(F.col("target"), F.col("turn")).alias("target_turn"),
+        F.expr("substring(whole, 1, int(upto))").alias("formatted"),
+        (end - F.when(F.col("target"), F.col("own")).otherwise(0)).cast("long").alias("loss_start"),
         end.cast("long").alias("loss_end"),
+        "holds_all",
     )
 
 
@@ -92,11 +100,11 @@ def read_turns(formatted: Column) -> Column:
 
 def read_back(examples: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Per conversation, from the examples alone: (id_col, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars).  The longest example holds all turns;
-    the rest contribute the text under their mask."""
+    loss_chars, loss_sha256, formatted_chars).  Of an example only its length and the text
+    under its mask go on, and of that which holds all turns the whole."""
     hidden = F.expr("substring(formatted, int(loss_start) + 1, int(loss_end - loss_start))")
-    piece = examples.select(F.col(id_col).alias("_id"), "example", "formatted", F.length("formatted").cast("long").alias("n"), unescape(hidden).alias("loss"))
-    pieces = piece.groupBy("_id").agg(F.max_by("formatted", "example").alias("whole"), F.sum("n").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("example", "loss"))).alias("loss"))
+    piece = examples.select(F.col(id_col).alias("_id"), "example", F.length("formatted").cast("long").alias("n"), unescape(hidden).alias("loss"), F.when(F.col("holds_all"), F.col("formatted")).alias("whole"))
+    pieces = piece.groupBy("_id").agg(F.max("whole").alias("whole"), F.sum("n").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("example", "loss"))).alias("loss"))
     read = pieces.select("_id", "formatted_chars", read_turns(F.col("whole")).alias("turns"), F.array_join("loss.loss", "").alias("loss"))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(
