@@ -396,3 +396,46 @@ def test_usable_gate(spark):
         r = readings(spark, [(86400 - 1 - k, 7, 65 if k < held else 192) for k in range(100)])
         x = analysis.failure_correlation(r, f, base).where("hours = 24").first()
         assert x["verdict"] == verdict and (x["z_vs_baseline"] == 2.0) == (verdict == "COMPARABLE")
+
+
+def test_doors_over_batches(spark):
+    """Pieces cut anywhere by Arrow batches, under several settings, against each piece alone."""
+    rng = np.random.default_rng(12)
+    t0, rows, now = datetime(2024, 1, 1), [], 0
+    for _ in range(900):
+        now += int(rng.choice([10, 10, 10, 10, 10, 500]))
+        rows.append((1 + now % 2, t0 + timedelta(seconds=now), float(np.round(rng.normal(0, 1) + (now // 700) % 5, 3)), int(rng.choice([192, 192, 192, 192, 65]))))
+    r = spark.createDataFrame(rows, "sensor_id int, reading_ts timestamp_ntz, value double, quality_code_id int")
+    dev = spark.createDataFrame([(s, e, n) for s in (1, 2) for e, n in ((0.0, "none"), (0.4, "some"), (2.5, None))], "sensor_id int, deviation double, setting string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    for size in (3, 7, 100_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        try:
+            found.append(sorted((x["sensor_id"], str(x["setting"]), x["reading_ts"]) for x in compress.compress(r, dev, 60, cut_rows=40).collect()))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = []
+    pieces = {}
+    for x in compress.segments(r, 60, 40).collect():
+        pieces.setdefault((x["sensor_id"], x["segment"], x["piece"]), []).append((x["reading_ts"], x["value"]))
+    for (s, _, _), p in pieces.items():
+        p.sort()
+        t = np.array([(a - p[0][0]).total_seconds() for a, _ in p])
+        for e, n in ((0.0, "none"), (0.4, "some"), (2.5, "None")):
+            want += [(s, n, p[k][0]) for k in compress.door(t, np.array([v for _, v in p]), e)]
+    assert found[0] == found[1] == found[2] == sorted(want) and len(pieces) > 100
+
+
+def test_long_corridors_are_followed_alike(monkeypatch):
+    """Point by point or as arrays, the door keeps the same."""
+    rng = np.random.default_rng(3)
+    for k in range(30):
+        n = int(rng.integers(3, 900))
+        t, v = np.cumsum(rng.integers(0, 20, n)).astype(float), np.round(np.cumsum(rng.normal(0, 0.1, n)), 3)
+        e = float(rng.choice([0.05, 0.5, 5.0]))
+        kept = []
+        for near in (1, 5, 48, 10_000):
+            monkeypatch.setattr(compress, "_NEAR", near)
+            kept.append(list(compress.door(t, v, e)))
+        assert kept.count(kept[0]) == 4

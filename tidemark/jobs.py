@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark.functions import day_of
-from tidemark.operators import analysis, compress, rollup, validate
+from tidemark.operators import analysis, compress, incremental, rollup, validate
 from tidemark.sources import archive
 
 
@@ -84,6 +84,7 @@ def _load(spark: SparkSession, csv_path: str, path, signals, analogue, pair, lim
     read, rejected = scans.count(), rejects.count()
     rejects.withColumns({"run_id": F.lit(run_id), "payload": F.substring("payload", 1, 1000)}).write.mode("append").parquet(path("rejected"))
     readings = work("readings", validate.melted(clean, signals).withColumn("reading_date", day_of(F.col("reading_ts"))))
+    incremental.note_touched(readings, path("").rstrip("/"), f"run-{run_id}")
     inserted, skipped = archive.insert(readings, path("readings"), ["sensor_id", "reading_ts"], ["sensor_id", "reading_date"], "reading_date")
     missing = sum(r["affected_rows"] for r in totals if r["issue_type"] == "MISSING_VALUE")
     short = (read - rejected) * len(signals) - missing - inserted - skipped
@@ -130,6 +131,21 @@ def run_analytics(spark: SparkSession, folder: str, current_id: int, switch_id:
     return {"scans": states.count(), "baselines": base.count(), "alarms": {r["method"]: (r["total"], r["verdict"]) for r in analysis.alarm_rate(spark.read.parquet(path("anomaly")), days).collect()}}
 
 
+def refresh_rollups(spark: SparkSession, folder: str) -> int:
+    """Bring the hourly and daily rollups up to date with the loads since the last time,
+    working out only the dates that they touched; how many dates that were.
+
+    Hours are kept as partials that merge, days are merged from them.
+    """
+    path = lambda t: f"{folder.rstrip('/')}/{t}"
+    days = incremental.refresh(spark, folder)
+    if days:
+        parts = spark.read.parquet(path("hourly_partials"))
+        incremental.as_rollup(parts, "sensor_id", "bucket_start").write.mode("overwrite").parquet(path("hourly"))
+        incremental.as_rollup(incremental.daily(parts), "sensor_id", "bucket_date").write.mode("overwrite").parquet(path("daily"))
+    return len(days)
+
+
 def run_compression(spark: SparkSession, folder: str, sensor_ids: list[int], percent: float = C.COMPRESSION_PCT, gap_seconds: float = C.GAP_SECONDS, cut_rows: int = compress.CUT_ROWS) -> bool:
     """Compress the readings of some sensors, store what is kept and its statistics, and
     say whether every sensor keeps its error bound."""

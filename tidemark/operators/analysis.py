@@ -9,6 +9,7 @@ from tidemark import constants as C
 from tidemark.functions import block_of, day_of, epoch, hours_between, operating_state, pct, severity_by_z, trusted
 
 from .ordered import lagged, running
+from .quantiles import exact_quantiles
 
 # --- states -----------------------------------------------------------------------
 
@@ -45,11 +46,12 @@ def duty_cycle(states: DataFrame, scan_seconds: float = C.SCAN_SECONDS) -> DataF
 PERCENTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
 
 
-def baselines(readings: DataFrame, states: DataFrame, start: str, end: str, name: str, min_samples: int = C.BASELINE_MIN_SAMPLES, wanted=C.BASELINE_STATES, approximate: bool = False) -> DataFrame:
+def baselines(readings: DataFrame, states: DataFrame, start: str, end: str, name: str, min_samples: int = C.BASELINE_MIN_SAMPLES, wanted=C.BASELINE_STATES, approximate: bool = False, selected: bool = False) -> DataFrame:
     """Statistics and IQR fences per sensor and state over trusted readings of a window.
 
-    Percentiles are exact; ``approximate`` trades that for bounded memory on groups of
-    billions of readings.
+    Percentiles are exact.  On groups of more readings than a task can hold, ``selected``
+    finds them by selection, exact as well, in some more passes; ``approximate`` takes a
+    sketch's in one.
     """
     v = F.col("value").cast("double")
     ps = F.array(*map(F.lit, PERCENTILES))
@@ -57,7 +59,12 @@ def baselines(readings: DataFrame, states: DataFrame, start: str, end: str, name
     inside = lambda d: d.where((F.col("reading_ts") >= F.to_timestamp_ntz(F.lit(start))) & (F.col("reading_ts") < F.to_timestamp_ntz(F.lit(end))))
     r = inside(readings).where(trusted(F.col("quality_code_id")))
     s = inside(states).where(~F.col("is_stale") & F.col("operating_state").isin(*wanted)).select("reading_ts", "operating_state")
-    d = r.join(s, "reading_ts").groupBy("sensor_id", "operating_state").agg(F.count(F.lit(1)).alias("sample_count"), F.avg(v).alias("mean_value"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stddev_value"), p.alias("p"))
+    by, rows = ["sensor_id", "operating_state"], r.join(s, "reading_ts")
+    aggs = [F.count(F.lit(1)).alias("sample_count"), F.avg(v).alias("mean_value"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stddev_value")]
+    if selected:
+        d = rows.groupBy(*by).agg(*aggs).join(exact_quantiles(rows, by, "value", PERCENTILES).select(*by, F.col("q").alias("p")), by)
+    else:
+        d = rows.groupBy(*by).agg(*aggs, p.alias("p"))
     d = d.where(F.col("sample_count") >= min_samples)
     low, high = F.col("p")[1], F.col("p")[3]
     return d.select(

@@ -9,6 +9,7 @@ from tidemark import constants as C
 from tidemark.functions import block_of, day_of, hour_of, pct, seconds_between, trusted, usable
 
 from .ordered import leading
+from .quantiles import exact_quantiles
 
 BUCKETS = {"hour": (hour_of, "bucket_start"), "day": (day_of, "bucket_date")}
 
@@ -75,12 +76,16 @@ def aggregate_comparison(hourly: DataFrame) -> DataFrame:
     return hourly.select("sensor_id", "bucket_start", "sample_count", "avg_value", "time_weighted_avg", (F.col("time_weighted_avg") - F.col("avg_value")).alias("difference"), diff.alias("difference_pct"))
 
 
-def daily_distribution(readings: DataFrame) -> DataFrame:
-    """Per sensor and day: extremes, mean, true median and 95th percentile."""
+def daily_distribution(readings: DataFrame, selected: bool = False) -> DataFrame:
+    """Per sensor and day: extremes, mean, true median and 95th percentile; ``selected`` finds
+    the percentiles by selection, for days of more readings than a task can hold."""
     v = F.col("value").cast("double")
-    p = F.percentile(v, F.array(F.lit(0.5), F.lit(0.95))).alias("p")
-    return (
-        readings.groupBy("sensor_id", day_of(F.col("reading_ts")).alias("bucket_date"))
-        .agg(F.count(F.lit(1)).alias("sample_count"), F.min(v).alias("min_value"), F.avg(v).alias("avg_value"), F.max(v).alias("max_value"), p)
-        .select("sensor_id", "bucket_date", "sample_count", "min_value", "avg_value", "max_value", F.col("p")[0].alias("median_value"), F.col("p")[1].alias("p95_value"))
-    )
+    day = readings.withColumn("bucket_date", day_of(F.col("reading_ts")))
+    aggs = [F.count(F.lit(1)).alias("sample_count"), F.min(v).alias("min_value"), F.avg(v).alias("avg_value"), F.max(v).alias("max_value")]
+    by = ["sensor_id", "bucket_date"]
+    if selected:
+        found = exact_quantiles(day, by, "value", (0.5, 0.95)).select(*by, F.col("q").alias("p"))
+        d = day.groupBy(*by).agg(*aggs).join(found, by)
+    else:
+        d = day.groupBy(*by).agg(*aggs, F.percentile(v, F.array(F.lit(0.5), F.lit(0.95))).alias("p"))
+    return d.select(*by, "sample_count", "min_value", "avg_value", "max_value", F.col("p")[0].alias("median_value"), F.col("p")[1].alias("p95_value"))

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark.functions import block_of, day_of, operating_state, pct, seconds_between, trusted, usable
-from tidemark.operators import analysis, ordered, rollup, serve, views
+from tidemark.operators import analysis, incremental, ordered, quantiles, rollup, serve, views
 from tidemark.sources import adapters as A
+from tidemark.sources.archive import built
 
 from . import base as B
 from .base import FROM, TO, between, sql, tidy
-from .registry import query
+from .registry import ORACLES, query
 
 R = B.READINGS
 _HOURLY = f""",
@@ -69,6 +70,30 @@ def q07_daily_median(spark, sf):
     return tidy(rollup.daily_distribution(A.readings(spark, sf).where(usable(F.col("quality_code_id")))))
 
 
+@query(ORACLES["q07_daily_median"])
+def q07_daily_median_selected(spark, sf):
+    """The same by selection, which holds no day of a sensor in one task."""
+    return tidy(rollup.daily_distribution(A.readings(spark, sf).where(usable(F.col("quality_code_id"))), selected=True))
+
+
+def _partials(spark, sf):
+    return built(spark, sf, "partials", lambda: incremental.partials(A.readings(spark, sf), B.USUAL, B.MOST))
+
+
+_QUARTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+@query(sql(R, f"SELECT sensor_id, strftime(date_trunc('month', reading_ts)::DATE, '%Y-%m-%d') AS month, count(*) AS n, prob, true AS within FROM r, (SELECT unnest({[f'{p}' for p in _QUARTILES]})::DOUBLE AS prob) GROUP BY ALL", "prob"))
+def sketch_quantiles(spark, sf):
+    """Quantiles of months out of the hours' stored sketches: whether each one's true rank is
+    within 1 % of the rows of the one asked."""
+    month = F.date_trunc("month", "bucket_start").cast("date")
+    found = quantiles.merged_quantiles(_partials(spark, sf).withColumn("month", month), ["sensor_id", "month"], _QUARTILES)
+    rows = A.readings(spark, sf).withColumn("month", F.date_trunc("month", "reading_ts").cast("date"))
+    d = quantiles.rank_errors(rows, ["sensor_id", "month"], "value", found, _QUARTILES)
+    return tidy(d.select("sensor_id", "month", "n", "prob", (F.col("error") <= 0.01).alias("within")))
+
+
 _GAPS = f"""SELECT sensor_id, prev AS gap_start, reading_ts AS gap_end, gap_seconds FROM (SELECT *, date_diff('second', prev, reading_ts) AS gap_seconds FROM (
  SELECT *, lag(reading_ts) OVER (PARTITION BY sensor_id ORDER BY reading_ts) AS prev FROM r)) WHERE gap_seconds > {B.GAP}"""
 
@@ -130,6 +155,19 @@ def rollup_daily(spark, sf):
     return tidy(rollup.rollup(A.readings(spark, sf), "day"))
 
 
+@query(ORACLES["rollup_daily"])
+def rollup_daily_merged(spark, sf):
+    """Days merged from the stored partials of their hours, without the readings."""
+    return tidy(incremental.as_rollup(incremental.daily(_partials(spark, sf)), "sensor_id", "bucket_date").drop("time_weighted_avg"))
+
+
+@query(sql(R, f"SELECT sensor_id, strftime(m, '%Y-%m-%d') AS month, count(*) AS sample_count, count(*) FILTER (WHERE q >= 64) AS good_count, min(value) AS min_value, max(value) AS max_value, avg(value) AS avg_value, stddev_samp(value) AS stddev_value, arg_min(value, reading_ts) AS first_value, arg_max(value, reading_ts) AS last_value, sum(value * w) / nullif(sum(w), 0) AS time_weighted_avg FROM (SELECT *, date_trunc('month', reading_ts)::DATE AS m, least(coalesce(date_diff('second', reading_ts, lead(reading_ts) OVER (PARTITION BY sensor_id ORDER BY reading_ts)), {B.USUAL}), {B.MOST}) AS w FROM r) GROUP BY ALL", _STATS + " time_weighted_avg"))
+def rollup_monthly_merged(spark, sf):
+    """Months, with their time-weighted means, from the same partials."""
+    parts = incremental.merged(_partials(spark, sf), ["sensor_id"], F.date_trunc("month", "bucket_start").cast("date"), "month")
+    return tidy(incremental.as_rollup(parts, "sensor_id", "month"))
+
+
 @query(sql(R + _HOURLY, "FROM h JOIN tw USING (sensor_id, bucket_start)", _STATS + " time_weighted_avg"))
 def time_weighted_hourly(spark, sf):
     return tidy(rollup.rollup(A.readings(spark, sf), "hour", True, default_seconds=B.USUAL, most_seconds=B.MOST))

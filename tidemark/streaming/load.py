@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.functions import day_of
-from tidemark.operators import validate
+from tidemark.operators import incremental, validate
 from tidemark.sources import archive
 
 LEDGER = "batch_id long, status string, event_utc timestamp_ntz, rows_read long, rows_inserted long, rows_skipped long, rows_rejected long, gaps long"
@@ -42,6 +42,7 @@ def load_batch(batch: DataFrame, batch_id: int, folder: str, name: str, signals:
         accepted = scans.where("reject is null")
         validate.melted(accepted, signals).withColumn("reading_date", day_of(F.col("reading_ts"))).write.parquet(f"{work}/readings")
         n = scans.agg(F.count(F.lit(1)).alias("read"), F.count("reject").alias("rejected"), F.count("gap_seconds").alias("gaps")).first()
+        incremental.note_touched(spark.read.parquet(f"{work}/readings"), folder.rstrip("/"), f"stream-{name}-{batch_id}")
         inserted, skipped = archive.insert(spark.read.parquet(f"{work}/readings"), path("readings"), ["sensor_id", "reading_ts"], ["sensor_id", "reading_date"], "reading_date")
         note("SUCCEEDED", n["read"], inserted, skipped, n["rejected"], n["gaps"])
     finally:
