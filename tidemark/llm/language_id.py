@@ -2,9 +2,9 @@
 
 Method: one interpolated Kneser-Ney model of order 4 per language, over letters in
 lower case with everything else as one space.  Models of all languages share sorted
-hash arrays: for every character n-gram of any language, the finished log-probability
-in each language; for every context, the back-off weight.  A text goes to the language
-with the lowest cross-entropy per character.
+hash arrays: for every character n-gram the languages that have it with their finished
+log-probabilities, and for every context the languages that have it with their back-off
+weights.  A text goes to the language with the lowest cross-entropy per character.
 
 The score is the softmax of the cross-entropies at a temperature fitted on calibration
 rows; ``rejected`` marks texts whose cross-entropy is above nearly all calibration rows
@@ -12,9 +12,12 @@ of the predicted language, so that they are probably in none of the learned ones
 
 Learning uses at most about ``2 * SAMPLE`` whole documents per language, drawn by a hash
 of id and text, and at most about ``SAMPLE_BYTES`` of text over all languages, shared
-equally; so the model that is broadcast has a bounded size.  n-grams are packed in 64
-bits, sixteen for each character, and hashed by a bijection, so look-ups are exact;
-letters beyond the basic plane share 6,144 codes.
+equally.  Of what that gives, each language keeps its most frequent n-grams, at most
+``ENTRIES`` over all languages, so the model that is broadcast has a bounded size, whatever
+the number of languages.  Calibration works out sums and quantiles where the rows are;
+the driver gets a row for each language.  n-grams are packed in 64 bits, sixteen for each
+character, and hashed by a bijection, so look-ups are exact; letters beyond the basic
+plane share 6,144 codes.
 
 Very long texts are scored and counted a part at a time, with three characters carried
 over, so memory does not grow with a text.
@@ -27,15 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches
+from .common import discarded, mix, small_batches, written
 
 ORDER = 4
 SAMPLE = 400  # half the documents drawn per language, of which a quarter calibrate
 SAMPLE_BYTES = 64 << 20  # of text drawn over all languages
+ENTRIES = 1 << 21  # n-grams of the highest order, added up over languages
 REJECT = 0.999
+TEMPERATURES = np.geomspace(0.05, 2, 40)
 UNKNOWN = "und"
 CHUNK = 1 << 18
 START = "\x01"  # three stand before a text; in a text it is white space
@@ -134,58 +139,79 @@ class HashArray:
         return at
 
 
+class Entries:
+    """Values of (code, language) pairs, those of a code side by side."""
+
+    def __init__(self, codes: np.ndarray, langs: np.ndarray, values: np.ndarray):
+        own, at = np.unique(codes, return_inverse=True)
+        self.hashes = HashArray(own)
+        place = np.empty(len(own), np.int64)
+        place[self.hashes.order] = np.arange(len(own))
+        order = np.argsort(place[at], kind="stable")
+        self.langs, self.values = langs[order].astype(np.int32), values[order].astype(np.float32)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(place[at], minlength=len(own)))])
+        del self.hashes.order
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the code asked, language, value) of all pairs of these codes."""
+        at = self.hashes.find(codes)
+        asked = np.flatnonzero(at >= 0)
+        start, n = self.first[at[asked]], self.first[at[asked] + 1] - self.first[at[asked]]
+        pairs = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(asked, n), self.langs[pairs], self.values[pairs]
+
+
 class Model:
-    """Interpolated Kneser-Ney for several languages over shared tables."""
+    """Interpolated Kneser-Ney for several languages over shared tables of what each has."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
-        n = len(self.langs)
-        low = [np.uint64((1 << (16 * k)) - 1) for k in range(ORDER + 1)]
-        low[4] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        per: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for lang in self.langs:
+        self.masks = [np.uint64((1 << (16 * k)) - 1) for k in range(ORDER)] + [np.uint64(0xFFFFFFFFFFFFFFFF)]
+        letters = [np.unique(counts[lang][0] & self.masks[1]) for lang in self.langs]
+        self.vocabulary = len(np.unique(np.concatenate(letters))) + 1 if letters else 1
+        parts: dict[tuple[str, int], list] = {(kind, k): [] for kind in ("logs", "weight") for k in range(1, ORDER + 1)}
+        for j, lang in enumerate(self.langs):
             grams = {ORDER: counts[lang]}
             for k in range(ORDER - 1, 0, -1):  # below the top, how many characters come before
-                grams[k] = np.unique(grams[k + 1][0] & low[k], return_counts=True)
-            per.append(grams)
-        self.tables, self.logs, self.context, self.weight = {}, {}, {}, {}
-        vocabulary = len(np.unique(np.concatenate([g[1][0] for g in per]))) + 1 if n else 1
-        below, finder = None, None
-        for k in range(1, ORDER + 1):
-            codes = np.unique(np.concatenate([g[k][0] for g in per]))
-            heads = np.unique(codes >> np.uint64(16)) if k > 1 else np.zeros(1, np.uint64)
-            p, lam = np.zeros((len(codes), n)), np.ones((len(heads), n))
-            for j, g in enumerate(per):
-                c, m = g[k]
+                grams[k] = np.unique(grams[k + 1][0] & self.masks[k], return_counts=True)
+            below = None
+            for k in range(1, ORDER + 1):
+                c, m = grams[k]
                 once, twice = int((m == 1).sum()), int((m == 2).sum())
                 d = once / (once + 2 * twice) if once and twice else 0.5
-                h = c >> np.uint64(16) if k > 1 else np.zeros(len(c), np.uint64)
-                at = np.searchsorted(heads, h)
-                total = np.bincount(at, weights=m, minlength=len(heads))
-                kinds = np.bincount(at, minlength=len(heads))
-                seen = total > 0
-                lam[seen, j] = d * kinds[seen] / total[seen]
-                p[np.searchsorted(codes, c), j] = np.maximum(m - d, 0) / total[at]
-            at = np.searchsorted(heads, codes >> np.uint64(16)) if k > 1 else np.zeros(len(codes), np.int64)
-            p += lam[at] * (below[finder(codes & low[k - 1])] if k > 1 else 1 / vocabulary)
-            below, finder = p, lambda x, codes=codes: np.searchsorted(codes, x)
-            self.tables[k], self.context[k] = HashArray(codes), HashArray(heads)
-            self.logs[k] = np.log(p[self.tables[k].order]).astype(np.float32)
-            self.weight[k] = np.log(lam[self.context[k].order]).astype(np.float32)
-        self.floor = -math.log(vocabulary)
-        self.masks = low
+                heads, at = np.unique(c >> np.uint64(16) if k > 1 else np.zeros(len(c), np.uint64), return_inverse=True)
+                total, kinds = np.bincount(at, weights=m), np.bincount(at)
+                lam = d * kinds / total
+                # an n-gram's end is an n-gram of the same language
+                lower = below[1][np.searchsorted(below[0], c & self.masks[k - 1])] if k > 1 else 1 / self.vocabulary
+                p = np.maximum(m - d, 0) / total[at] + lam[at] * lower
+                below = c, p
+                parts["logs", k].append((c, j, np.log(p)))
+                parts["weight", k].append((heads, j, np.log(lam)))
+        joined = lambda rows: Entries(np.concatenate([c for c, _, _ in rows]), np.repeat([j for _, j, _ in rows], [len(c) for c, _, _ in rows]), np.concatenate([v for _, _, v in rows]))
+        self.logs = {k: joined(parts["logs", k]) for k in range(1, ORDER + 1) if self.langs}
+        self.weight = {k: joined(parts["weight", k]) for k in range(1, ORDER + 1) if self.langs}
 
     def logp(self, codes: np.ndarray, k: int = ORDER) -> np.ndarray:
-        """Log-probabilities in each language of the last character of each k-gram."""
-        at = self.tables[k].find(codes)
-        out = self.logs[k][at]
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            lost = codes[missing]
-            head = self.context[k].find(lost >> np.uint64(16) if k > 1 else np.zeros(len(lost), np.uint64))
-            w = self.weight[k][head]
-            w[head < 0] = 0
-            out[missing] = w + (self.logp(lost & self.masks[k - 1], k - 1) if k > 1 else self.floor)
+        """Log-probabilities in each language of the last character of each k-gram: where the
+        language has it, as stored, elsewhere that of the shorter one and the weight."""
+        if not k:
+            return np.full((len(codes), len(self.langs)), -math.log(self.vocabulary), np.float32)
+        out = self.logp(codes & self.masks[k - 1], k - 1)
+        at, lang, w = self.weight[k].of(codes >> np.uint64(16) if k > 1 else np.zeros(len(codes), np.uint64))
+        out[at, lang] += w
+        at, lang, p = self.logs[k].of(codes)
+        out[at, lang] = p
+        return out
+
+    def sums(self, codes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """Log-probabilities in each language, added up over the k-grams of each row."""
+        out, step = np.zeros((rows, len(self.langs))), max(1, (1 << 22) // max(len(self.langs), 1))
+        for lo in range(0, len(codes), step):
+            own, at = np.unique(codes[lo : lo + step], return_inverse=True)
+            p, r = self.logp(own), row[lo : lo + step]
+            for j in range(len(self.langs)):
+                out[:, j] += np.bincount(r, weights=p[at, j], minlength=rows)
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,15 +221,13 @@ class Model:
             if len(texts[lo]) > CHUNK:
                 n = 0
                 for g, some in _long_codes(texts[lo]):
-                    out[lo] -= self.logp(g).sum(axis=0, dtype=float)
+                    out[lo] -= self.sums(g, np.zeros(len(g), np.int64), 1)[0]
                     n, letters[lo] = n + len(g), letters[lo] + some
                 out[lo] /= max(n, 1)
                 continue
             g, row, letters[lo:hi] = _codes(texts[lo:hi])
-            p = self.logp(g)
             n = np.maximum(np.bincount(row, minlength=hi - lo), 1)
-            for j in range(len(self.langs)):
-                out[lo:hi, j] = -np.bincount(row, weights=p[:, j], minlength=hi - lo) / n
+            out[lo:hi] = -self.sums(g, row, hi - lo) / n[:, None]
         return out, letters
 
 
@@ -223,16 +247,40 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.view(np.int64)), pa.array(n)], ["lang", "code", "n"])
 
 
+def losses(own: np.ndarray, entropy: np.ndarray) -> np.ndarray:
+    """Log loss of each row's own language at every one of TEMPERATURES."""
+    at = np.arange(len(own))
+    return np.stack([-np.log(np.maximum(_softmax(entropy, t)[at, own], 1e-12)) for t in TEMPERATURES], axis=1)
+
+
 def _measured(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        number = {lang: j for j, lang in enumerate(model.langs)}
         for b in batches:
-            e, _ = shared.value.entropies(b.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("_lang"), pa.array(list(e), pa.list_(pa.float64()))], ["lang", "e"])
+            known = [k for k, lang in enumerate(b.column("_lang").to_pylist()) if lang in number]
+            if known:
+                b = b.take(pa.array(known))
+                own = np.array([number[x] for x in b.column("_lang").to_pylist()])
+                e, _ = model.entropies(b.column("_text").to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column("_lang"), pa.array(e[np.arange(len(own)), own]), pa.array(list(losses(own, e)), pa.list_(pa.float64()))], ["lang", "own", "loss"])
 
     return run
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES):
+def calibrated(held: DataFrame) -> tuple[float, dict[str, float]]:
+    """(temperature of the least mean loss, cross-entropy above which a language rejects) of
+    rows (lang, own, loss): their language, its cross-entropy, losses at TEMPERATURES.  A row
+    for each language comes to the driver."""
+    sums = [F.sum(F.col("loss")[k]).alias(f"s{k}") for k in range(len(TEMPERATURES))]
+    rows = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile("own", F.lit(REJECT)).alias("most"), F.stddev_pop("own").alias("spread"), *sums).collect()
+    if not rows:
+        return 0.1, {}
+    total = [math.fsum(r[f"s{k}"] for r in rows) for k in range(len(TEMPERATURES))]
+    return float(TEMPERATURES[int(np.argmin(total))]), {r["lang"]: r["most"] + 3 * r["spread"] for r in rows if r["n"] >= 20}
+
+
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, entries: int = ENTRIES):
     """(broadcast model, temperature, least cross-entropy at which a language rejects).
 
     ``labelled`` rows without language, text or letters teach nothing; of each language
@@ -242,35 +290,31 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     small_batches(spark)
     d = labelled.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("_h")).where("_lang is not null and _text is not null")
     key = F.pmod("_h", F.lit(1 << 20))
-    seen = d.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_text").cast("double")).alias("size"), F.min_by("_h", F.struct(key, F.col("_h"))).alias("first")).collect()
-    if not seen:
+    seen = d.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_text").cast("double")).alias("size"), F.min_by("_h", F.struct(key, F.col("_h"))).alias("_first"))
+    seen = written(seen, "languages")
+    if not (languages := seen.count()):
         return None, 1.0, {}
-    share = F.create_map(*[F.lit(x) for r in seen for x in (r["_lang"], min(1.0, 2.0 * sample / r["n"], sample_bytes / len(seen) / max(r["size"], 1.0)))])
-    first = F.create_map(*[F.lit(x) for r in seen for x in (r["_lang"], r["first"])])
-    is_first = F.col("_h") == F.element_at(first, F.col("_lang"))
-    d = d.where(is_first | (key < F.element_at(share, F.col("_lang")) * (1 << 20))).withColumn("_half", (F.pmod(F.shiftright("_h", 32), F.lit(4)) == 0) & ~is_first)
-    rows = d.where("not _half").select("_lang", "_text").mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    share = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n"), F.lit(sample_bytes / languages) / F.greatest("size", F.lit(1.0)))
+    d = d.join(seen.select("_lang", "_first", share.alias("_share")), "_lang")
+    is_first = F.col("_h") == F.col("_first")
+    d = d.where(is_first | (key < F.col("_share") * (1 << 20))).withColumn("_half", (F.pmod(F.shiftright("_h", 32), F.lit(4)) == 0) & ~is_first)
+    grams = d.where("not _half").select("_lang", "_text").mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    rows = grams.withColumn("_place", place).where(F.col("_place") <= max(1, entries // languages)).select("lang", "code", "n").toArrow()
+    langs = rows.column("lang").combine_chunks().dictionary_encode()
+    lang, code, n = langs.indices.to_numpy(), rows.column("code").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     counts = {}
-    for lang, g in rows.groupby("lang"):
-        codes = g["code"].to_numpy().view(np.uint64)
-        order = np.argsort(codes)
-        counts[lang] = codes[order], g["n"].to_numpy()[order]
+    for j, name in enumerate(langs.dictionary.to_pylist()):
+        mine = np.flatnonzero(lang == j)
+        mine = mine[np.argsort(code[mine])]
+        counts[name] = code[mine], n[mine]
     if not counts:
         return None, 1.0, {}
-    model = Model(counts)
-    shared = spark.sparkContext.broadcast(model)
-    held = d.where("_half").select("_lang", "_text").mapInArrow(_measured(shared), "lang string, e array<double>").collect()
-    held = [(model.langs.index(r["lang"]), r["e"]) for r in held if r["lang"] in model.langs]
-    temperature, limits = 0.1, {}
-    if held:
-        own, e = np.array([x for x, _ in held]), np.array([x for _, x in held])
-        grid = np.geomspace(0.05, 2, 40)
-        loss = [-np.log(np.maximum(_softmax(e, t)[np.arange(len(own)), own], 1e-12)).mean() for t in grid]
-        temperature = float(grid[int(np.argmin(loss))])
-        for j, lang in enumerate(model.langs):
-            if (mine := e[own == j, j]).size >= 20:
-                limits[lang] = float(np.quantile(mine, REJECT) + 3 * mine.std())
-    return shared, temperature, limits
+    shared = spark.sparkContext.broadcast(Model(counts))
+    held = d.where("_half").select("_lang", "_text").mapInArrow(_measured(shared), "lang string, own double, loss array<double>")
+    found = calibrated(held)
+    discarded(seen)
+    return shared, *found
 
 
 _OUT = "struct<lang_pred:string,score:double,entropy:double,rejected:boolean>"
