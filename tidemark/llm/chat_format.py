@@ -64,13 +64,14 @@ def format_chat(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
     d = turns.select(F.col(id_col).alias("_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     order = Window.partitionBy("_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.select("_id", "turn", (F.col("role") == ASSISTANT).alias("target"), F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(">\n")).alias("head"), escape(F.col("text")).alias("body"), "role", "text")
-    size = F.length("head") + F.length("body") + len(CLOSE)
-    d = d.withColumns({"k": F.count(F.lit(1)).over(order), "upto": F.sum(size.cast("long")).over(order)})
+    # a row carries its text once; it is escaped where its length or the text is wanted
+    head, body = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(">\n")), escape(F.col("text"))
+    d = d.withColumns({"target": F.col("role") == ASSISTANT, "own": F.length(body), "size": (F.length(head) + F.length(body) + len(CLOSE)).cast("long")})
+    d = d.withColumns({"k": F.count(F.lit(1)).over(order), "upto": F.sum("size").over(order)})
     d = d.withColumns({"turns": F.count(F.lit(1)).over(Window.partitionBy("_id")), "made": F.sum(F.when(F.col("target"), F.col("upto")).otherwise(0)).over(order)})
-    made = d.where("target or k = turns").select("_id", "turn", "target", "k", "upto", F.length("body").alias("own"), (F.col("k") == F.col("turns")).alias("holds_all"), F.floor(F.col("made") / PART).alias("part"))
+    made = d.where("target or k = turns").select("_id", "turn", "target", "k", "upto", "own", (F.col("k") == F.col("turns")).alias("holds_all"), F.floor(F.col("made") / PART).alias("part"))
     made = made.withColumn("example", F.row_number().over(Window.partitionBy("_id").orderBy("k")) - 1)
-    piece = F.concat("head", "body", F.lit(CLOSE))
+    piece = F.concat(head, body, F.lit(CLOSE))
     whole = d.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("k", piece.alias("piece")))).alias("p"), F.max(F.floor(F.col("made") / PART)).alias("parts"))
     whole = whole.select(F.col("_id").alias("_of"), F.array_join("p.piece", "").alias("whole"), "parts")
     whole = whole.select("_of", "whole", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("_in"))
