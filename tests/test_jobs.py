@@ -129,3 +129,42 @@ def test_summaries_by_wording(spark):
 
     d = spark.createDataFrame([("Run total: 5",), ("detail was capped at 1,000 rows",), ("a gap",), (None,)], "t string")
     assert [r[0] for r in d.select(summary_by_wording(F.col("t"))).collect()] == [True, True, False, False]
+
+
+def test_a_folder_of_files_and_quoted_lines(spark, tmp_path):
+    """Files follow each other by name, no two lines share a number, and a payload is its line."""
+    from tidemark.sources import archive
+
+    head = ',timestamp,"a 1",note'
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.csv").write_text(head + '\n7,2021-01-02 00:00:00,"3.5","late, quoted ""x"""\n')
+    (tmp_path / "in" / "a.csv").write_text(head + '\n0,2021-01-01 00:00:00,1.5,plain\n\n1,"2021-01-01 00:00:10",,\nx,,oops,\n')
+    got = sorted((r["source_line_no"], r["source_index"], r["timestamp"], r["a 1"], r["payload"]) for r in archive.read_scans(spark, str(tmp_path / "in"), ["a 1"]).collect())
+    assert got == [
+        (2, 0, "2021-01-01 00:00:00", 1.5, "0,2021-01-01 00:00:00,1.5,plain"),
+        (3, 1, "2021-01-01 00:00:10", None, '1,"2021-01-01 00:00:10",,'),
+        (4, None, None, None, "x,,oops,"),
+        (6, 7, "2021-01-02 00:00:00", 3.5, '7,2021-01-02 00:00:00,"3.5","late, quoted ""x"""'),
+    ]
+    assert archive.read_scans(spark, str(tmp_path / "in" / "b.csv"), ["a 1"]).first()["source_line_no"] == 2
+    sha, size = archive.file_identity(spark, str(tmp_path / "in"))
+    assert size == sum(archive.file_identity(spark, str(tmp_path / "in" / f))[1] for f in ("a.csv", "b.csv")) and len(sha) == 64
+    (tmp_path / "in" / "c.csv").write_text("timestamp,a 1,note,\n2021-01-02 00:00:00,1,2,3\n")
+    assert archive.file_identity(spark, str(tmp_path / "in"))[0] != sha
+    with pytest.raises(Exception, match="another header"):
+        archive.read_scans(spark, str(tmp_path / "in"), ["a 1"]).collect()
+
+
+def test_lines_of_many_splits(spark, tmp_path):
+    from tidemark.sources import archive
+
+    f = tmp_path / "long.csv"
+    f.write_text(",timestamp,a\n" + "".join(f"{k},2021-01-01 00:00:00,{k}.0\n" for k in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        d = archive.read_scans(spark, str(f), ["a"])
+        got = {r["source_line_no"]: r["a"] for r in d.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {k + 2: float(k) for k in range(5000)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,35 +16,52 @@ from pyspark.sql import types as T
 from tidemark.operators.validate import check_header
 
 
-def read_scans(spark: SparkSession, path: str, signals: list[str]) -> DataFrame:
-    """A wide CSV whose first column has no name: (source_index, source_line_no,
-    timestamp string, signals, payload), columns by name; ``payload`` is the line as read.
+def _header(spark: SparkSession, path: str) -> str:
+    """The first line of one of the files."""
+    first = spark.read.text(path).where("_metadata.file_block_start = 0").first()
+    return first["value"] if first else ""
+
 
-    Line numbers start at 2 and follow the order of the file: splits by where they
-    begin, lines inside a split as a task reads them.  Only the number of lines of each
-    split is ordered as a whole.
+def read_scans(spark: SparkSession, path: str, signals: list[str]) -> DataFrame:
+    """Wide CSV, a file or a folder of files, whose first column has no name:
+    (source_index, source_line_no, timestamp string, signals, payload), columns by name;
+    ``payload`` is the line as it was written, quotes included.
+
+    Line numbers start at 2, as the header is line 1, and follow the order of the file;
+    blank lines do not count.  Files of a folder follow each other by name, each with a
+    header, which has to be the same and counts as a line, so that no two lines share a
+    number.  Splits are ordered by file and where they begin, lines inside a split as a
+    task reads them; only the number of lines of each split is ordered as a whole.
     """
-    found = [c for c in spark.read.option("header", True).csv(path).columns]
-    check_header([c for c in found if c not in ("_c0", "")], ["timestamp", *signals])
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in found])
-    d = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
-    payload = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in found]).alias("payload")
-    split = F.col("_metadata.file_block_start").alias("_split")
-    d = d.select(F.col(f"`{found[0]}`").try_cast("long").alias("source_index"), "timestamp", *[F.col(f"`{c}`").try_cast("double").alias(c) for c in signals], payload, split, F.monotonically_increasing_id().alias("_at"))
-    n = d.groupBy("_split").agg(F.count(F.lit(1)).alias("n"))
-    base = n.select("_split", (F.coalesce(F.sum("n").over(Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).alias("_base"))
-    return d.join(base, "_split").withColumn("source_line_no", F.col("_base") + F.row_number().over(Window.partitionBy("_split").orderBy("_at"))).drop("_split", "_base", "_at")
+    header = _header(spark, path)
+    found = next(csv.reader([header]), [])
+    check_header([c for c in found if c], ["timestamp", *signals])
+    at, split = Window.partitionBy("_file", "_start").orderBy("_at"), ["_file", "_start"]
+    d = spark.read.text(path).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")).where("trim(payload) <> ''")
+    n = d.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(n.select(*split, before.alias("_base")), split).withColumn("_nth", F.row_number().over(at))
+    names = [f"c{k}" for k in range(len(found))]
+    is_header = (F.col("_start") == 0) & (F.col("_nth") == 1)
+    same = F.when(F.col("payload") == header, True).otherwise(F.raise_error(F.concat(F.lit("another header in "), F.col("_file"))).cast("boolean"))
+    cells = F.from_csv("payload", ", ".join(f"{c} string" for c in names))
+    d = d.where(F.when(is_header, ~same).otherwise(True)).select("payload", (F.col("_base") + F.col("_nth")).alias("source_line_no"), cells.alias("_c"))
+    cell = lambda name: F.col("_c")[names[found.index(name)]]
+    return d.select(F.col("_c")[names[0]].try_cast("long").alias("source_index"), cell("timestamp").alias("timestamp"), *[cell(c).try_cast("double").alias(c) for c in signals], "payload", "source_line_no")
 
 
 def file_identity(spark: SparkSession, path: str) -> tuple[str, int]:
     """(SHA-256, bytes) of a file of any size, read as a stream: the digest of a whole file
-    has to see its bytes in order, a few at a time."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    has to see its bytes in order, a few at a time.  A folder's is the digest of its files'
+    digests by name."""
+    at, files = _files(spark, path)
+    if files.getFileStatus(at).isDirectory():
+        inside = sorted(s.getPath().getName() for s in files.listStatus(at) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
+        each = [file_identity(spark, f"{path.rstrip('/')}/{name}") for name in inside]
+        return hashlib.sha256("".join(sha for sha, _ in each).encode()).hexdigest(), sum(size for _, size in each)
     stream = files.open(at)
     try:
-        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream), files.getFileStatus(at).getLen()
+        return spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream), files.getFileStatus(at).getLen()
     finally:
         stream.close()
 
