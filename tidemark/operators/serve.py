@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
@@ -127,6 +127,62 @@ def anomaly_page(anomalies: DataFrame, limit: int, offset: int, **wanted: Any) -
     return Page(d.orderBy(severity_rank(), F.desc("reading_ts"), *_TIES).offset(offset).limit(limit), d.agg(F.count(F.lit(1)).alias("total")))
 
 
+ANOMALY_ORDER = (("severity_order", False), ("reading_ts", True), ("sensor_id", False), ("method", False), ("operating_state", False))
+
+
+def _keys(order) -> list[Column]:
+    return [F.desc(c) if down else F.asc(c) for c, down in order]
+
+
+def stored_in_order(rows: DataFrame, order, path: str) -> DataFrame:
+    """``rows`` written in ``order``, pairs of (column, descending): ranges of the order are
+    files, sorted inside, so that a page touches the row groups it is in and no others."""
+    rows.repartitionByRange(*_keys(order)).sortWithinPartitions(*_keys(order)).write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _beyond(column: str, down: bool, value: Any) -> Column:
+    """Rows whose key comes after ``value``: null is last in descending order, first in ascending."""
+    c = F.col(column)
+    if value is None:
+        return F.lit(False) if down else c.isNotNull()
+    return (c < F.lit(value)) | c.isNull() if down else c > F.lit(value)
+
+
+def _from(column: str, down: bool, value: Any) -> Column:
+    """Rows whose key is ``value`` or comes after it."""
+    c = F.col(column)
+    if value is None:
+        return c.isNull() if down else F.lit(True)
+    return (c <= F.lit(value)) | c.isNull() if down else c >= F.lit(value)
+
+
+def keyset_page(stored: DataFrame, order, limit: int, after: dict[str, Any] | None = None) -> DataFrame:
+    """The next ``limit`` rows after the key ``after`` (``cursor_of`` the page before; None: the
+    first page).  No row before the page is sorted or counted: the first key's bound reaches
+    the scan, and of the rest each task keeps ``limit`` rows.  ``order`` has to be unique."""
+    d = stored
+    if after is not None:
+        first, down = order[0]
+        level, found = F.lit(True), F.lit(False)
+        for c, falls in order:
+            found = found | (level & _beyond(c, falls, after[c]))
+            level = level & F.col(c).eqNullSafe(F.lit(after[c]))
+        # the first key's bound by itself as well, as a scan takes simple bounds only
+        d = d.where(_from(first, down, after[first])).where(found)
+    return d.orderBy(*_keys(order)).limit(limit)
+
+
+def cursor_of(page: list, order) -> dict[str, Any] | None:
+    """The key of a page's last row, None for an empty page."""
+    return {c: page[-1][c] for c, _ in order} if page else None
+
+
+def ordered_anomalies(anomalies: DataFrame, path: str) -> DataFrame:
+    """Anomalies stored in the order of ``anomaly_page``, for ``keyset_page`` with ANOMALY_ORDER."""
+    return stored_in_order(anomalies.withColumn("severity_order", severity_rank()), ANOMALY_ORDER, path)
+
+
 def active_anomalies(anomalies: DataFrame, archive_end: DataFrame, limit: int = 50, hours: int = C.ACTIVE_HOURS) -> DataFrame:
     d = anomalies.crossJoin(archive_end.select("last_ts")).where(F.col("reading_ts") >= F.col("last_ts") - F.make_dt_interval(F.lit(0), F.lit(hours))).drop("last_ts")
     return d.orderBy(severity_rank(), F.desc("score"), "reading_ts", *_TIES).limit(limit)

@@ -265,6 +265,15 @@ def anomalies_page(spark, sf):
     return tidy(serve.anomaly_page(B.anomalies(spark, sf), 20, 5, severity="WARNING", method=None, start="2024-01-04 00:00:00").rows)
 
 
+@query(ORACLES["anomalies_page"])
+def anomalies_keyset_page(spark, sf):
+    """The same page by its place in a stored order: after the last key of a page of five."""
+    wanted = serve.optional(B.anomalies(spark, sf), severity="WARNING", start="2024-01-04 00:00:00")
+    stored = archive.built(spark, sf, "anomaly_order", lambda: wanted.withColumn("severity_order", serve.severity_rank()).repartitionByRange(*serve._keys(serve.ANOMALY_ORDER)).sortWithinPartitions(*serve._keys(serve.ANOMALY_ORDER)))
+    five = serve.keyset_page(stored, serve.ANOMALY_ORDER, 5).collect()
+    return tidy(serve.keyset_page(stored, serve.ANOMALY_ORDER, 20, serve.cursor_of(five, serve.ANOMALY_ORDER)).drop("severity_order"))
+
+
 @query(sql(_ANOMALIES, f"SELECT * FROM anomaly WHERE reading_ts >= (SELECT max(reading_ts) FROM nb) - to_hours(240) ORDER BY {_RANK}, score DESC, reading_ts, sensor_id, method, operating_state NULLS FIRST LIMIT 50", _DET))
 def anomalies_active(spark, sf):
     return tidy(serve.active_anomalies(B.anomalies(spark, sf), views.bounds(narrow(spark, sf)), hours=240))
