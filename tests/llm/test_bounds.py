@@ -112,7 +112,7 @@ def test_calibration_against_brute_force(spark):
         t = language_id.TEMPERATURES[k]
         for i in (0, 50, 199):
             p = [math.exp(-(x - min(e[i])) / t) for x in e[i]]
-            assert math.isclose(loss[i, k], -math.log(max(p[own[i]] / sum(p), 1e-12)), rel_tol=1e-9)
+            assert math.isclose(loss[i, k], -math.log(max(p[own[i]] / sum(p), 1e-12)), rel_tol=1e-9, abs_tol=1e-12)
     rows = [(langs[j], float(e[i, j]), [float(x) for x in loss[i]]) for i, j in enumerate(own)]
     temperature, limits = language_id.calibrated(spark.createDataFrame(rows, "lang string, own double, loss array<double>"))
     assert temperature == language_id.TEMPERATURES[int(np.argmin(loss.mean(axis=0)))]
