@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 
 @pytest.fixture(scope="module")
 def duck():
-    c = duckdb.connect()
+    c = duckdb.connect(config={"memory_limit": "3GB", "threads": 4})  # one statement cannot end the run
     for f in os.listdir(SF):
         c.sql(f"CREATE VIEW {f.split('.')[0]} AS FROM read_parquet('{SF}/{f}')")
     return c

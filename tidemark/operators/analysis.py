@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.functions import block_of, day_of, epoch, hours_between, operating_state, pct, severity_by_z, trusted
 
-from .ordered import lagged, running
+from .ordered import lagged, running, runs
 from .quantiles import exact_quantiles
+from .sliding import before_each
 
 # --- states -----------------------------------------------------------------------
 
@@ -123,9 +124,28 @@ def detect_mad(hourly_state: DataFrame, window: int = C.ADAPTIVE_WINDOW, min_his
     d = d.withColumn("_mad", F.when(F.col("_m").isNotNull(), _median(F.transform("_h", lambda x: F.abs(x - F.col("_m"))))))
     d = d.withColumn("_z", F.when(F.col("_mad") > 0, C.MAD_SCALE * (F.col("avg_value") - F.col("_m")) / F.col("_mad"))).drop("_h")
     d = persistent(d, ["sensor_id", "operating_state"], "bucket_start", F.abs(F.col("_z")) >= C.ROBUST_Z_WARNING, persistence)
+    return _robust(d, "bucket_start", "avg_value", "ADAPTIVE_MAD")
+
+
+def _robust(d: DataFrame, time: str, value: str, method: str) -> DataFrame:
     spread = C.ROBUST_Z_WARNING * F.col("_mad") / C.MAD_SCALE
     score = F.abs(F.col("_z"))
-    return d.select("sensor_id", F.col("bucket_start").alias("reading_ts"), F.col("avg_value").alias("value"), (F.col("_m") - spread).alias("expected_low"), (F.col("_m") + spread).alias("expected_high"), F.lit("ADAPTIVE_MAD").alias("method"), score.alias("score"), severity_by_z(score).alias("severity"), "operating_state")
+    return d.select("sensor_id", F.col(time).alias("reading_ts"), F.col(value).alias("value"), (F.col("_m") - spread).alias("expected_low"), (F.col("_m") + spread).alias("expected_high"), F.lit(method).alias("method"), score.alias("score"), severity_by_z(score).alias("severity"), "operating_state")
+
+
+def detect_scan_mad(readings: DataFrame, states: DataFrame, sensors: list[int], window: int = C.ADAPTIVE_WINDOW, min_history: int = C.ADAPTIVE_MIN_HISTORY, persistence: int = C.PERSISTENCE) -> DataFrame:
+    """``detect_mad`` on single trusted readings of ``sensors`` instead of hourly means: the
+    window is ``window`` readings of the same sensor and state.
+
+    Series are cut into blocks and pieces throughout, so none has to fit in one task.
+    """
+    by = ["sensor_id", "operating_state"]
+    r = readings.where(F.col("sensor_id").isin(*sensors) & trusted(F.col("quality_code_id"))).select("sensor_id", "reading_ts", "value")
+    d = r.join(states.where("not is_stale").select("reading_ts", "operating_state"), "reading_ts").withColumn("_block", block_of(F.col("reading_ts")))
+    d = before_each(d, by, "_block", "reading_ts", "value", window, min_history)
+    d = d.withColumn("_z", F.when(F.col("_mad") > 0, C.MAD_SCALE * (F.col("value") - F.col("_m")) / F.col("_mad")))
+    d = runs(d, by, "_block", ["reading_ts"], F.abs(F.col("_z")) >= C.ROBUST_Z_WARNING).where(F.col("run_length") >= persistence)
+    return _robust(d, "reading_ts", "value", "SCAN_MAD")
 
 
 def detect_iqr(hourly_state: DataFrame, base: DataFrame, persistence: int = C.PERSISTENCE) -> DataFrame:
@@ -291,13 +311,38 @@ def lead_up_windows(failures: DataFrame, hours=C.LEAD_UP_HOURS) -> DataFrame:
     return d.withColumn("window_start", F.col("start_ts") - F.make_dt_interval(F.lit(0), F.col("hours")))
 
 
-def inside_windows(rows: DataFrame, windows: DataFrame, time: str, start: str = "window_start", end: str = "start_ts", bucket_hours: int = 24) -> DataFrame:
-    """Range join of half-open windows with rows: both sides meet on day buckets, so it
-    stays an equi-join however many windows there are."""
-    day = lambda c: F.floor(epoch(c) / (3600 * bucket_hours))
-    w = windows.withColumn("_d", F.explode(F.sequence(day(F.col(start)), day(F.col(end)))))
-    r = rows.withColumn("_d", day(F.col(time)))
-    return r.join(w, "_d").where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_d")
+CELLS = 16  # cells of a window: up to two more where its edges lie inside cells
+
+
+def _cell(ts: Column, seconds: int, level: Column) -> Column:
+    return F.call_function("shiftright", F.floor(epoch(ts) / seconds), level)
+
+
+def window_cells(windows: DataFrame, start: str, end: str, cell_seconds: int = 86_400) -> DataFrame:
+    """``windows`` once for each cell of time that covers them (``_level``, ``_d``).
+
+    A cell of level k is ``cell_seconds << k`` long; a window takes the first level at which
+    about ``CELLS`` cells cover it, so it becomes a bounded number of rows whatever its
+    length.  Windows without an edge, or that end before they start, have no cells.
+    """
+    a, z = (F.floor(epoch(F.col(c)) / cell_seconds) for c in (start, end))
+    level = F.ceil(F.log2((z - a + 1) / F.lit(float(CELLS)))).cast("int")
+    w = windows.where(F.col(start) <= F.col(end)).withColumn("_level", F.greatest(F.lit(0), level))
+    first, last = (_cell(F.col(c), cell_seconds, F.col("_level")) for c in (start, end))
+    return w.withColumn("_d", F.explode(F.sequence(first, last)))
+
+
+def inside_windows(rows: DataFrame, windows: DataFrame, time: str, start: str = "window_start", end: str = "start_ts", closed: bool = False, cell_seconds: int = 86_400) -> DataFrame:
+    """Range join of windows, half-open or ``closed``, with the rows inside them.
+
+    Both sides meet on cells of time, so it stays an equi-join however many windows there
+    are; a row looks into one cell of each level that some window has.
+    """
+    w = window_cells(windows, start, end, cell_seconds)
+    levels = w.agg(F.collect_set("_level").alias("_levels"))  # one row, a level for each power of two at most
+    r = rows.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).withColumn("_d", _cell(F.col(time), cell_seconds, F.col("_level"))).drop("_levels")
+    before = F.col(time) <= F.col(end) if closed else F.col(time) < F.col(end)
+    return r.join(w, ["_level", "_d"]).where((F.col(time) >= F.col(start)) & before).drop("_level", "_d")
 
 
 def failure_correlation(readings: DataFrame, failures: DataFrame, base: DataFrame) -> DataFrame:

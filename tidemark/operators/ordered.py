@@ -2,8 +2,13 @@
 
 ``lag``, ``lead`` and running values over a whole series would put a series, or a
 whole file, in one task.  Here a series is cut into blocks (hours, ranges of line
-numbers) that keep its order: the window runs inside each block, one row per block
-carries what crosses its edge, and only that small table is ordered as a whole.
+numbers) that keep its order: the window runs inside each block, and one row per block
+carries what crosses its edge.
+
+Hours grow with the time that an archive covers, some 9,000 a year, so their edges are
+ordered as a whole.  Blocks of lines grow with the rows; ``spans=True`` carries their
+edges in two levels, ordered inside spans of ``1 << SPAN_BITS`` blocks and then by one
+row per span, so that no task sees all edges.  Blocks are whole numbers.
 """
 
 from __future__ import annotations
@@ -13,13 +18,51 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import block_of
 
+SPAN_BITS = 10
+
+
+def _span(block: str) -> Column:
+    return F.shiftright(F.col(block).cast("long"), SPAN_BITS).alias("_span")
+
+
+def _folded(keys: list[str], place: str, folds: dict[str, str]) -> dict[str, Column]:
+    def over(c: str, how: str) -> Column:
+        w = Window.partitionBy(*keys).orderBy(F.desc(place) if how == "next" else F.asc(place)).rowsBetween(Window.unboundedPreceding, -1)
+        return {"sum": F.sum, "max": F.max}.get(how, lambda c: F.last(c, ignorenulls=True))(c).over(w)
+
+    return {c: over(c, how) for c, how in folds.items()}
+
+
+def carried(edges: DataFrame, by: list[str], block: str, folds: dict[str, str], spans: bool = False) -> DataFrame:
+    """(by, block) with each column of ``folds`` folded over all other blocks on its side:
+    ``last`` known value, ``sum`` or ``max`` of the blocks before, ``next`` known value after.
+
+    ``edges`` has one row per block.  With ``spans`` both levels read the same exchange.
+    """
+    if not spans:
+        return edges.select(*by, block, *[f.alias(c) for c, f in _folded(by, block, folds).items()])
+    e = edges.withColumn("_span", _span(block)).repartition(*by, "_span")
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col(block))
+    whole = {"last": lambda c: F.max_by(c, known(c)), "next": lambda c: F.min_by(c, known(c)), "sum": F.sum, "max": F.max}
+    far = e.groupBy(*by, "_span").agg(*[whole[how](c).alias(c) for c, how in folds.items()])
+    far = far.select(*by, "_span", *[f.alias(f"_far_{c}") for c, f in _folded(by, "_span", folds).items()])
+    near = e.select(*by, block, "_span", *[f.alias(c) for c, f in _folded([*by, "_span"], block, folds).items()])
+
+    def both(c: str, how: str) -> Column:
+        a, b = F.col(c), F.col(f"_far_{c}")
+        if how == "max":
+            return F.greatest(a, b)
+        return F.coalesce(a + b, a, b) if how == "sum" else F.coalesce(a, b)
+
+    return near.join(far, [*by, "_span"], "left").select(*by, block, *[both(c, how).alias(c) for c, how in folds.items()])
+
 
-def _neighbour(df: DataFrame, by: list[str], block: str, order: list[str], cols: dict[str, str], forward: bool) -> DataFrame:
+def _neighbour(df: DataFrame, by: list[str], block: str, order: list[str], cols: dict[str, str], forward: bool, spans: bool) -> DataFrame:
     inside = Window.partitionBy(*by, block).orderBy(*order)
     step = F.lead if forward else F.lag
     pick = F.min_by if forward else F.max_by
     edge = df.groupBy(*by, block).agg(pick(F.struct(*cols.values()), F.struct(*order)).alias("_edge"))
-    carry = edge.select(*by, block, step("_edge").over(Window.partitionBy(*by).orderBy(block)).alias("_carry"))
+    carry = carried(edge, by, block, {"_edge": "next" if forward else "last"}, spans).withColumnRenamed("_edge", "_carry")
     at_edge = step(F.lit(True)).over(inside).isNull()
     out = df.join(carry, [*by, block], "left")
     for new, old in cols.items():
@@ -27,46 +70,49 @@ def _neighbour(df: DataFrame, by: list[str], block: str, order: list[str], cols:
     return out.drop("_carry")
 
 
-def lagged(df: DataFrame, by: list[str], block: str, order: list[str], cols: dict[str, str]) -> DataFrame:
+def lagged(df: DataFrame, by: list[str], block: str, order: list[str], cols: dict[str, str], spans: bool = False) -> DataFrame:
     """Columns {new: old} of the row before, in (by), ordered by ``order``."""
-    return _neighbour(df, by, block, order, cols, False)
+    return _neighbour(df, by, block, order, cols, False, spans)
 
 
-def leading(df: DataFrame, by: list[str], block: str, order: list[str], cols: dict[str, str]) -> DataFrame:
+def leading(df: DataFrame, by: list[str], block: str, order: list[str], cols: dict[str, str], spans: bool = False) -> DataFrame:
     """Columns {new: old} of the row after."""
-    return _neighbour(df, by, block, order, cols, True)
+    return _neighbour(df, by, block, order, cols, True, spans)
 
 
-def running(df: DataFrame, by: list[str], block: str, order: list[str], new: str, value: Column, how: str = "sum", before: bool = False) -> DataFrame:
+def running(df: DataFrame, by: list[str], block: str, order: list[str], new: str, value: Column, how: str = "sum", before: bool = False, spans: bool = False) -> DataFrame:
     """Running sum or max of ``value`` up to each row, or up to the row before it."""
     f = {"sum": F.sum, "max": F.max}[how]
     d = df.withColumn("_v", value)
     inside = Window.partitionBy(*by, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    carry = d.groupBy(*by, block).agg(f("_v").alias("_all"))
-    carry = carry.select(*by, block, f("_all").over(Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    carry = carried(d.groupBy(*by, block).agg(f("_v").alias("_carry")), by, block, {"_carry": how}, spans)
     d = d.join(carry, [*by, block], "left").withColumn("_in", f("_v").over(inside))
     both = F.greatest("_carry", "_in") if how == "max" else F.coalesce("_carry", F.lit(0)) + F.coalesce("_in", F.lit(0))
     return d.withColumn(new, both).drop("_v", "_in", "_carry")
 
 
-def filled(df: DataFrame, by: list[str], block: str, order: list[str], cols: tuple[str, ...]) -> DataFrame:
+def filled(df: DataFrame, by: list[str], block: str, order: list[str], cols: tuple[str, ...], spans: bool = False) -> DataFrame:
     """Each of ``cols`` with its last value carried forward over nulls."""
     inside = Window.partitionBy(*by, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order)))
-    edge = df.groupBy(*by, block).agg(*[newest(c).alias(f"_e_{c}") for c in cols])
-    carry = edge.select(*by, block, *[F.last(f"_e_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in cols])
+    edge = df.groupBy(*by, block).agg(*[newest(c).alias(f"_c_{c}") for c in cols])
+    carry = carried(edge, by, block, {f"_c_{c}": "last" for c in cols}, spans)
     d = df.join(carry, [*by, block], "left")
     return d.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_c_{c}")) for c in cols}).drop(*[f"_c_{c}" for c in cols])
 
 
-def runs(df: DataFrame, by: list[str], block: str, order: list[str], flag: Column, island: str = "island", size: str = "run_length") -> DataFrame:
+def runs(df: DataFrame, by: list[str], block: str, order: list[str], flag: Column, island: str = "island", size: str = "run_length", spans: bool = False) -> DataFrame:
     """Number maximal runs of rows with ``flag`` and give each flagged row its run's
     length (0 elsewhere).  A run starts a new island after each unflagged row."""
-    d = running(df.withColumn("_flag", F.coalesce(flag, F.lit(False))), by, block, order, island, F.when(F.col("_flag"), 0).otherwise(1).cast("long"))
+    d = running(df.withColumn("_flag", F.coalesce(flag, F.lit(False))), by, block, order, island, F.when(F.col("_flag"), 0).otherwise(1).cast("long"), spans=spans)
     # sizes by block as well, so that a run that fills many blocks is no hot key of the join
-    sizes = d.where("_flag").groupBy(*by, island, block).agg(F.count(F.lit(1)).alias("_part"))
-    sizes = sizes.select(*by, island, block, F.sum("_part").over(Window.partitionBy(*by, island)).alias(size))
+    sizes = d.where("_flag").groupBy(*by, island, block, *[_span(block)][: int(spans)]).agg(F.count(F.lit(1)).alias("_part"))
+    if spans:  # and a run's total meets its blocks by span
+        total = sizes.groupBy(*by, island, "_span").agg(F.sum("_part").alias("_part"))
+        total = total.select(*by, island, "_span", F.sum("_part").over(Window.partitionBy(*by, island)).alias(size))
+        sizes = sizes.drop("_part").join(total, [*by, island, "_span"]).drop("_span")
+    else:
+        sizes = sizes.select(*by, island, block, F.sum("_part").over(Window.partitionBy(*by, island)).alias(size))
     return d.join(sizes, [*by, block, island], "left").withColumn(size, F.when(F.col("_flag"), F.coalesce(size, F.lit(0))).otherwise(0)).drop("_flag")
 
 
@@ -87,13 +133,7 @@ def bracketed(points: DataFrame, requests: DataFrame, key: str, at: str, time: s
     ahead = F.last("_p", ignorenulls=True).over(inside.orderBy(F.desc("_t"), F.desc("_k")))  # a request holds no point
     edge = both.where("_k = 0").groupBy(key, "_b").agg(F.max_by("_p", "_t").alias("z"), F.min_by("_p", "_t").alias("a"))
     blocks = both.select(key, "_b").distinct().join(edge, [key, "_b"], "left")
-    series = Window.partitionBy(key).orderBy("_b")
-    carry = blocks.select(
-        key,
-        "_b",
-        F.last("z", ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.last("a", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
-    )
+    carry = carried(blocks, [key], "_b", {"z": "last", "a": "next"}).withColumnsRenamed({"z": "_before", "a": "_after"})
     d = both.withColumn("_back", back).withColumn("_ahead", ahead).where("_k = 1").join(carry, [key, "_b"], "left")
     d = d.withColumn("_back", F.coalesce("_back", "_before")).withColumn("_ahead", F.coalesce("_ahead", "_after"))
     return d.select("_r.*", F.col("_back.ts").alias("prev_ts"), F.col("_back.value").alias("prev_value"), F.col("_ahead.ts").alias("next_ts"), F.col("_ahead.value").alias("next_value"))

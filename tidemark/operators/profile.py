@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import block_of, day_of, epoch, pct
 
+from .analysis import inside_windows
 from .ordered import lagged, runs
 
 
@@ -44,9 +45,7 @@ def duplicates(scans: DataFrame, keys: list[str]) -> DataFrame:
 
 def failure_profile(scans: DataFrame, failures: DataFrame, signals: list[str], scan_seconds: float, time: str = "scan_ts") -> DataFrame:
     """Scans and means inside each failure, both ends included, against the expected number."""
-    day = lambda c: F.floor(epoch(c) / 86400)
-    w = failures.withColumn("_d", F.explode(F.sequence(day(F.col("start_ts")), day(F.col("end_ts")))))
-    r = scans.withColumn("_d", day(F.col(time))).join(w, "_d").where((F.col(time) >= F.col("start_ts")) & (F.col(time) <= F.col("end_ts")))
+    r = inside_windows(scans, failures, time, "start_ts", "end_ts", closed=True)
     d = r.groupBy("failure_event_id").agg(F.count(F.lit(1)).alias("scans"), *[F.avg(c).alias(f"mean_{c}") for c in signals])
     expected = F.floor((epoch(F.col("end_ts")) - epoch(F.col("start_ts"))) / scan_seconds) + 1
     return failures.select("failure_event_id", "source_reference", expected.alias("expected_scans")).join(d, "failure_event_id", "left").withColumn("scans", F.coalesce("scans", F.lit(0)))
@@ -106,8 +105,6 @@ def contamination(frozen: DataFrame, windows: DataFrame, time: str = "scan_ts")
 
     ``frozen`` has ``time`` and ``is_stale``.
     """
-    from .analysis import inside_windows
-
     d = inside_windows(frozen, windows, time).groupBy("source_reference", "hours").agg(F.count(F.lit(1)).alias("scans"), F.count_if("is_stale").alias("held"))
     d = windows.select("source_reference", "hours").join(d, ["source_reference", "hours"], "left")
     return d.select("source_reference", "hours", F.coalesce("scans", F.lit(0)).alias("scans"), F.coalesce("held", F.lit(0)).alias("held"), pct(F.col("held"), F.col("scans")).alias("held_pct"))

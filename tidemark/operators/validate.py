@@ -39,7 +39,7 @@ def checked_order(raw: DataFrame, by_previous_line: bool = False, form: str = FO
     d = d.withColumn("_block", F.floor(F.col("source_line_no") / LINES_PER_BLOCK))
     parsed = d.where("scan_ts is not null")
     order = ["source_line_no"]
-    parsed = lagged(parsed, [], "_block", order, {"prev_ts": "scan_ts"}) if by_previous_line else running(parsed, [], "_block", order, "prev_ts", F.col("scan_ts"), "max", before=True)
+    parsed = lagged(parsed, [], "_block", order, {"prev_ts": "scan_ts"}, spans=True) if by_previous_line else running(parsed, [], "_block", order, "prev_ts", F.col("scan_ts"), "max", before=True, spans=True)
     parsed = parsed.withColumn("delta", seconds_between(F.col("prev_ts"), F.col("scan_ts")))
     parsed = parsed.withColumn("reject", F.when(F.col("scan_ts") == F.col("prev_ts"), "DUPLICATE_TIMESTAMP").when(F.col("scan_ts") < F.col("prev_ts"), "NON_MONOTONIC_TIMESTAMP"))
     bad = d.where("scan_ts is null").withColumns({"prev_ts": F.lit(None).cast("timestamp_ntz"), "delta": F.lit(None).cast("long"), "reject": F.lit("UNPARSEABLE_TIMESTAMP")})
@@ -65,12 +65,12 @@ def frozen(ordered: DataFrame, analogue: tuple[str, ...], samples: int = C.FLATL
     """Accepted scans with ``is_stale``: part of a run in which every analogue signal
     repeats the scan before; the first scan of a freeze is good.  Null repeats nothing."""
     d = ordered.where("reject is null")
-    d = lagged(d, [], "_block", ["source_line_no"], {f"_was_{c}": c for c in analogue})
+    d = lagged(d, [], "_block", ["source_line_no"], {f"_was_{c}": c for c in analogue}, spans=True)
     same = F.lit(True)
     for c in analogue:
         same = same & F.coalesce(F.col(c) == F.col(f"_was_{c}"), F.lit(False))
     d = d.withColumn("unchanged", same).drop(*[f"_was_{c}" for c in analogue])
-    d = runs(d, [], "_block", ["source_line_no"], F.col("unchanged"))
+    d = runs(d, [], "_block", ["source_line_no"], F.col("unchanged"), spans=True)
     return d.withColumn("is_stale", F.col("run_length") >= max(samples - 1, 1))
 
 

@@ -226,6 +226,16 @@ def detect_mad(spark, sf):
     return tidy(B.detected(spark, sf, "ADAPTIVE_MAD"))
 
 
+_SCAN_STATE = """,
+hs AS (SELECT nb.sensor_id, operating_state, nb.reading_ts AS bucket_start, value AS avg_value FROM nb JOIN st USING (reading_ts) WHERE sensor_id IN (1, 2, 3, 5) AND q >= 64 AND q <> 65 AND NOT is_stale)"""
+
+
+@query(sql(S + _SCAN_STATE, _MAD_SQL.replace("ADAPTIVE_MAD", "SCAN_MAD"), _DET))
+def detect_scan_mad(spark, sf):
+    """The same on every reading: windows of an order statistic over sorted batches."""
+    return tidy(analysis.detect_scan_mad(narrow(spark, sf), states(spark, sf), [1, 2, 3, 5], B.WINDOW, B.HISTORY, B.PERSIST))
+
+
 @query(sql(S + HS + BASE, _IQR_SQL, _DET))
 def detect_iqr(spark, sf):
     return tidy(B.detected(spark, sf, "BASELINE_IQR"))

@@ -83,7 +83,7 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``own`` is the signal that reported; cells are null before a signal's first report.
     """
     e = events(spark, sf_dir).select(F.col("event_id").alias("scan_no"), F.col("ts").alias("scan_ts"), F.col("event_type").alias("own"), *[F.when(F.col("event_type") == c, F.col("value")).alias(c) for c in WIDE])
-    d = filled(e.withColumn("_block", F.floor(F.col("scan_no") / SCANS_PER_BLOCK)), [], "_block", ["scan_no"], WIDE).drop("_block")
+    d = filled(e.withColumn("_block", F.floor(F.col("scan_no") / SCANS_PER_BLOCK)), [], "_block", ["scan_no"], WIDE, spans=True).drop("_block")
     d = d.withColumn("signup", (F.col("signup") > 30).cast("double"))
     held = F.dayofmonth("scan_ts").isin(*HELD_DAYS) & F.hour("scan_ts").between(*HELD_HOURS)
     frozen = d.where(held).groupBy(F.to_date("scan_ts").alias("_day")).agg(F.min_by(F.struct(*WIDE), "scan_no").alias("_held"))
