@@ -52,3 +52,7 @@ def same_as_sql(spark, folder, name):
 @pytest.mark.parametrize("name", ["compress_sdt", "compress_sweep", "compress_sweep_sensors", "compression_summary"])
 def test_doors_of_one_instant(spark, dense, name):
     same_as_sql(spark, dense, name)
+
+
+def test_value_between_points_of_one_instant(spark, dense):
+    same_as_sql(spark, dense, "value_at_compressed")
