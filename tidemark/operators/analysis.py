@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.functions import block_of, day_of, epoch, hours_between, operating_state, pct, severity_by_z, trusted
+from tidemark.functions import block_of, day_of, epoch, hours_between, operating_state, pct, severity_by_z, trusted, with_states
 
 from .ordered import lagged, running, runs
 from .quantiles import exact_quantiles
 from .sliding import before_each
+from .validate import cell_quality, melted
 
 # --- states -----------------------------------------------------------------------
 
@@ -24,6 +25,15 @@ def scan_states(readings: DataFrame, current_id: int, compressor_id: int, bands=
     return m.join(c, "reading_ts", "left").select("reading_ts", "motor_current", operating_state(F.col("motor_current"), bands).alias("operating_state"), active.alias("comp_active"), (F.col("q") == C.STALE).alias("is_stale"))
 
 
+def stated(scans: DataFrame, signals: list[tuple[int, str, float, float, bool]], current_id: int, bands=C.STATE_BANDS) -> DataFrame:
+    """``melted`` readings with the ``operating_state`` and ``is_stale`` that ``scan_states``
+    has at their instant: a scan's readings share its row, so nothing is joined."""
+    _, current, low, high, digital = next(s for s in signals if s[0] == current_id)
+    q = cell_quality(F.col(current), low, high, digital, F.col("is_stale"))
+    d = scans.where(q != C.MISSING).withColumns({"operating_state": operating_state(F.col(current), bands), "_held": q == C.STALE})
+    return melted(d, signals, ("operating_state", "_held")).withColumnRenamed("_held", "is_stale")
+
+
 def state_distribution(states: DataFrame) -> DataFrame:
     return states.groupBy("operating_state").agg(F.count(F.lit(1)).alias("scans"), F.sum(F.col("is_stale").cast("long")).alias("stale_scans"))
 
@@ -47,20 +57,20 @@ def duty_cycle(states: DataFrame, scan_seconds: float = C.SCAN_SECONDS) -> DataF
 PERCENTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
 
 
-def baselines(readings: DataFrame, states: DataFrame, start: str, end: str, name: str, min_samples: int = C.BASELINE_MIN_SAMPLES, wanted=C.BASELINE_STATES, approximate: bool = False, selected: bool = False) -> DataFrame:
+def baselines(readings: DataFrame, states: DataFrame | None, start: str, end: str, name: str, min_samples: int = C.BASELINE_MIN_SAMPLES, wanted=C.BASELINE_STATES, approximate: bool = False, selected: bool = False) -> DataFrame:
     """Statistics and IQR fences per sensor and state over trusted readings of a window.
 
     Percentiles are exact.  On groups of more readings than a task can hold, ``selected``
     finds them by selection, exact as well, in some more passes; ``approximate`` takes a
-    sketch's in one.
+    sketch's in one.  Without ``states`` the readings bring theirs (``stated``).
     """
     v = F.col("value").cast("double")
     ps = F.array(*map(F.lit, PERCENTILES))
     p = F.percentile_approx(v, list(PERCENTILES), 100_000) if approximate else F.percentile(v, ps)
     inside = lambda d: d.where((F.col("reading_ts") >= F.to_timestamp_ntz(F.lit(start))) & (F.col("reading_ts") < F.to_timestamp_ntz(F.lit(end))))
     r = inside(readings).where(trusted(F.col("quality_code_id")))
-    s = inside(states).where(~F.col("is_stale") & F.col("operating_state").isin(*wanted)).select("reading_ts", "operating_state")
-    by, rows = ["sensor_id", "operating_state"], r.join(s, "reading_ts")
+    by = ["sensor_id", "operating_state"]
+    rows = with_states(r, states if states is None else inside(states)).where(F.col("operating_state").isin(*wanted))
     aggs = [F.count(F.lit(1)).alias("sample_count"), F.avg(v).alias("mean_value"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stddev_value")]
     if selected:
         d = rows.groupBy(*by).agg(*aggs).join(exact_quantiles(rows, by, "value", PERCENTILES).select(*by, F.col("q").alias("p")), by)

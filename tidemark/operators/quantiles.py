@@ -90,6 +90,7 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, probs: tuple[flo
     with Workspace(spark, "quantiles") as w:
         at = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
         ranks = [r for x in at for r in (F.floor(x), F.least(F.floor(x) + 1, F.col("_n") - 1))]
+        base = w.table(base)  # every pass reads them, and what they are made of may be joins
         n = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         start = F.array(*[F.struct(r.cast("long").alias("rank"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.lit(0).cast("long").alias("below"), F.col("_n").alias("n")) for r in ranks])
         groups = w.table(n.select(*by, "_n", start.alias("_b")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.functions import block_of, day_of, hour_of, pct, seconds_between, trusted, usable
+from tidemark.functions import block_of, day_of, hour_of, pct, seconds_between, trusted, usable, with_states
 
 from .ordered import leading
 from .quantiles import exact_quantiles
@@ -48,12 +48,12 @@ def rollup(readings: DataFrame, bucket: str = "hour", time_weighted: bool = Fals
     return d.groupBy("sensor_id", f(F.col("reading_ts")).alias(name)).agg(*aggs)
 
 
-def state_rollup(readings: DataFrame, scan_state: DataFrame, analogue_ids: list[int]) -> DataFrame:
-    """Hourly statistics per sensor and operating state over trusted analogue readings."""
+def state_rollup(readings: DataFrame, scan_state: DataFrame | None, analogue_ids: list[int]) -> DataFrame:
+    """Hourly statistics per sensor and operating state over trusted analogue readings;
+    without ``scan_state`` the readings bring their states (``analysis.stated``)."""
     v = F.col("value").cast("double")
     r = readings.where(F.col("sensor_id").isin(analogue_ids) & trusted(F.col("quality_code_id")))
-    j = r.join(scan_state.where("not is_stale").select("reading_ts", "operating_state"), "reading_ts")
-    return j.groupBy("sensor_id", "operating_state", hour_of(F.col("reading_ts")).alias("bucket_start")).agg(
+    return with_states(r, scan_state).groupBy("sensor_id", "operating_state", hour_of(F.col("reading_ts")).alias("bucket_start")).agg(
         F.count(F.lit(1)).alias("sample_count"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.avg(v).alias("avg_value"), F.stddev_samp(v).alias("stddev_value")
     )
 
