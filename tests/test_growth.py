@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import analysis, quantiles, rollup, validate
+from tidemark.operators import analysis, ordered, quantiles, rollup, validate
 
 T0 = datetime(2024, 1, 1)
 SIGNALS = [(1, "p", 0.0, 300.0, False), (4, "s", 0.0, 300.0, True), (5, "i", 0.0, 300.0, False)]
@@ -54,3 +54,26 @@ def test_selection_makes_its_rows_once(spark):
     r = quantiles.exact_quantiles(d.select(F.lit(1).alias("g"), "v"), ["g"], "v", (0.25, 0.5), few=10).first()
     # twice in one pass: for the filter of nulls and for the column
     assert r["q"] == [749.75, 1499.5] and made.value <= 2 * 3_000
+
+
+@pytest.mark.parametrize("spans", [False, True])
+def test_runs_over_blocks_stay_where_they_are(spark, spans):
+    rng, rows = random.Random(8), []
+    for s in ("a", "b"):
+        flags = [f for _ in range(60) for f in [rng.random() < 0.5] * rng.choice([1, 2, 5, 30])]
+        start = 0
+        for k in range(len(flags) + 1):
+            if k == len(flags) or not flags[k]:
+                rows += [(s, j, k // 7 if j == k else j // 7, flags[j], k - start) for j in range(start, k)]
+                if k < len(flags):
+                    rows.append((s, k, k // 7, False, 0))
+                start = k + 1
+    d = spark.createDataFrame(rows, "s string, n int, b int, f boolean, want int").localCheckpoint()
+    got = ordered.runs(d, ["s"], "b", ["n"], F.col("f"), spans=spans)
+    assert got.where("run_length <> want").count() == 0 and got.count() == len(rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        moved = plan(ordered.runs(d.withColumn("more", F.lit("x")), ["s"], "b", ["n"], F.col("f"), spans=spans))
+        assert "hashpartitioning(s, b, island" not in moved.replace("#", " #").replace(" #", "#").translate(str.maketrans("", "", "#0123456789"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
