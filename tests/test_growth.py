@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +78,21 @@ def test_runs_over_blocks_stay_where_they_are(spark, spans):
         assert "hashpartitioning(s, b, island" not in moved.replace("#", " #").replace(" #", "#").translate(str.maketrans("", "", "#0123456789"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hourly_detector_in_pieces(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(s, st, T0 + timedelta(hours=2 * k), rng.gauss(0, 1) if rng.random() < 0.8 else rng.gauss(0, 30)) for s in (1, 2) for st in ("OFF", "LOADED") for k in range(150)]
+    d = spark.createDataFrame(rows, "sensor_id int, operating_state string, bucket_start timestamp_ntz, avg_value double")
+    want = set()
+    for key in {(r[0], r[1]) for r in rows}:
+        series = [r for r in rows if (r[0], r[1]) == key]
+        for k, r in enumerate(series):
+            h = [x[3] for x in series[max(0, k - 12) : k]]
+            if len(h) >= 6 and (mad := median([abs(x - median(h)) for x in h])) > 0 and abs(0.6745 * (r[3] - median(h)) / mad) >= 3.5:
+                want.add((*key, r[2]))
+    monkeypatch.setattr(analysis, "HOURS_PER_BLOCK", 10)
+    monkeypatch.setattr(analysis, "HOURS_PER_PIECE", 20)
+    found = analysis.detect_mad(d, 12, 6, 1)
+    assert {(r["sensor_id"], r["operating_state"], r["reading_ts"]) for r in found.collect()} == want and want
+    assert "collect_list" not in plan(found)

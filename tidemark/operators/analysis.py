@@ -119,20 +119,16 @@ def persistent(df: DataFrame, by: list[str], order: str, flag: Column, required:
     return d.where("_f").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by, "_i"))).where(F.col("_n") >= required).drop("_f", "_i", "_n")
 
 
-def _median(values: Column) -> Column:
-    s, n = F.array_sort(values), F.size(values)
-    at = lambda k: F.get(s, k.cast("int"))
-    return (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2.0
+HOURS_PER_BLOCK, HOURS_PER_PIECE = 1_024, 4_096  # of a sensor's and state's hourly means
 
 
 def detect_mad(hourly_state: DataFrame, window: int = C.ADAPTIVE_WINDOW, min_history: int = C.ADAPTIVE_MIN_HISTORY, persistence: int = C.PERSISTENCE) -> DataFrame:
     """Robust z-score of each hourly value against the same sensor's and state's
     ``window`` buckets before it (never itself)."""
-    w = Window.partitionBy("sensor_id", "operating_state").orderBy("bucket_start").rowsBetween(-window, -1)
-    d = hourly_state.withColumn("_h", F.collect_list("avg_value").over(w))
-    d = d.withColumn("_m", F.when(F.size("_h") >= min_history, _median(F.col("_h"))))
-    d = d.withColumn("_mad", F.when(F.col("_m").isNotNull(), _median(F.transform("_h", lambda x: F.abs(x - F.col("_m"))))))
-    d = d.withColumn("_z", F.when(F.col("_mad") > 0, C.MAD_SCALE * (F.col("avg_value") - F.col("_m")) / F.col("_mad"))).drop("_h")
+    by = ["sensor_id", "operating_state"]
+    d = hourly_state.withColumn("_block", F.floor(block_of(F.col("bucket_start")) / HOURS_PER_BLOCK))
+    d = before_each(d, by, "_block", "bucket_start", "avg_value", window, min_history, HOURS_PER_PIECE).drop("_block")
+    d = d.withColumn("_z", F.when(F.col("_mad") > 0, C.MAD_SCALE * (F.col("avg_value") - F.col("_m")) / F.col("_mad")))
     d = persistent(d, ["sensor_id", "operating_state"], "bucket_start", F.abs(F.col("_z")) >= C.ROBUST_Z_WARNING, persistence)
     return _robust(d, "bucket_start", "avg_value", "ADAPTIVE_MAD")
 
